@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import decontaminate, langid, minhash, packing, toxicity
+from webloom.llm import chatformat, decontaminate, embed_dedup, htmltext, langid, minhash, packing, tokencount, toxicity, urlfilter
 from webloom.llm.common import remainder, table
 
 
@@ -27,6 +27,25 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_rejected")
 
 
+# The rules of the URL query.
+URL_RULES = [
+    ("block", "com/en/"),
+    ("allow", "example.com/en/7"),
+    ("allow", "net/de/"),
+    ("block", "example.net/de/8"),
+    ("block", "org/es/"),
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chatformat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -35,6 +54,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), size=1024, end_id=0)
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(remainder("doc_id", 5) != 0)
@@ -43,11 +66,66 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_lines(table(spark, sf_dir, "documents"), tokenizer_path(), rule="most")
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return htmltext.main_text(pages, htmltext.fit(pages))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
+    "op3_url_filter": op3_url_filter,
+    "op4_chat_format": op4_chat_format,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_packing": op6_packing,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_toxicity": op8_toxicity,
+    "op9_token_counts": op9_token_counts,
+    "op10_html_text": op10_html_text,
+}
+
+
+def _url_sql() -> str:
+    near = lambda t: f"regexp_matches(low, '(^|[^a-z0-9])({t})([^a-z0-9]|$)')"
+    soft = [f"CASE WHEN {near(t)} THEN {w} ELSE 0 END" for t, w in urlfilter.SOFT.items()]
+    count = [f"CASE WHEN {near(t)} THEN 1 ELSE 0 END" for t in urlfilter.SOFT]
+    rules = sorted(URL_RULES, key=lambda r: (-len(r[1]), r[1]))
+
+    def fits(rule: str) -> str:
+        domain, slash, rest = rule.partition("/")
+        return f"(host = '{domain}' OR ends_with(host, '.{domain}')) AND starts_with(path, '{slash}{rest}')"
+
+    upper, lower = urlfilter.UPPER, urlfilter.LOWER
+    return f"""
+WITH u AS (
+    SELECT page_id, coalesce(translate(url, '{upper}', '{lower}'), '') AS low,
+           coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{upper}', '{lower}'), '') AS host,
+           coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+    FROM pages),
+r AS (SELECT *, CASE {" ".join(f"WHEN {fits(t)} THEN '{t}'" for _, t in rules)} END AS rule FROM u)
+SELECT page_id, host, path, rule,
+       CASE {" ".join(f"WHEN rule = '{t}' THEN '{v}'" for v, t in rules)}
+            WHEN {near("|".join(urlfilter.STRICT))} THEN 'block'
+            WHEN {" + ".join(count)} >= 2 AND {" + ".join(soft)} >= 1.5 THEN 'block'
+            ELSE 'allow' END AS verdict
+FROM r"""
+
+
+SQL: dict[str, str] = {
+    "op3_url_filter": _url_sql(),
+    "op4_chat_format": """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns
+      FROM t GROUP BY conv_id),
+m AS (SELECT turns, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY turns),
+k AS (SELECT * FROM m WHERE NOT EXISTS (
+      SELECT 1 FROM m d WHERE len(d.turns) > len(m.turns) AND d.turns[1:len(m.turns)] = m.turns))
+SELECT conv_id, len(turns) AS n_turns, n_copies,
+       array_to_string(['<|im_start|>' || replace(coalesce(x.r, 'unknown'), '<|', '< |') || chr(10)
+           || replace(coalesce(x.t, ''), '<|', '< |') || '<|im_end|>' || chr(10) for x in turns], '') AS rendered
+FROM k""",
 }
-SQL: dict[str, str] = {}
