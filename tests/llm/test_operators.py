@@ -1,0 +1,263 @@
+"""Operators on small inputs: brute-force comparisons, and nulls, empty tables, repeated rows, clashing columns."""
+
+import html
+import itertools
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from webloom.llm import chatformat, decontaminate, embed_dedup, htmltext, langid, minhash, packing, tokencount, toxicity, urlfilter
+from webloom.llm.components import connected_components
+from webloom.llm.queries import URL_RULES, tokenizer_path
+from webloom.llm.tokens import PieceTokenizer, byte_lengths
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
+ODD = [None, "", "   ", "one", "ÀÉ\x1c\x85x  y", "!!! 123", "a\n\nb\n", "<|endoftext|> 日本語 🙂", "x" * 5000]
+
+
+def texts(n, seed=1, length=40):
+    rng = random.Random(seed)
+    out = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, length))) for _ in range(n)]
+    for i in range(0, n, 3):  # near copies
+        words = out[rng.randrange(n)].split()
+        words[rng.randrange(len(words))] = rng.choice(WORDS)
+        out[i] = " ".join(words)
+    return out + ODD + out[:3]
+
+
+def docs(spark, rows=None):
+    rows = texts(60) if rows is None else rows
+    data = [(i, t, "x", 1) for i, t in enumerate(rows)]
+    return spark.createDataFrame(data, "doc_id long, text string, component_id string, score int")
+
+
+def sets(rows, k):
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    out = []
+    for t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low))
+        out.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    return out
+
+
+@pytest.mark.parametrize("k", [2, 4])
+def test_near_duplicates_match_brute_force(spark, k):
+    rows = texts(80)
+    own = sets(rows, k)
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        both = len(own[a] & own[b])
+        if own[a] and own[b] and 100 * both >= 80 * (len(own[a]) + len(own[b]) - both):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(docs(spark, rows), k=k).collect()}
+    assert [got[i]["n_shingles"] for i in range(len(rows))] == [len(s) for s in own]
+    assert [got[i]["component_id"] for i in range(len(rows))] == [find(i) for i in range(len(rows))]
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.values())
+
+
+def test_near_duplicates_of_nothing_and_null_ids(spark):
+    assert minhash.near_duplicates(docs(spark, [])).count() == 0
+    rows = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (None, None)], "doc_id long, text string")
+    assert sorted(map(tuple, minhash.near_duplicates(rows).collect()), key=repr) == [(1, 2, 1, True), (None, 0, None, True), (None, 2, None, True)]
+
+
+def test_members_apart_from_their_hub_are_compared(spark):
+    named = spark.createDataFrame([(7, 1, 1, 1, 1), (7, 1, 2, 2, 1), (7, 1, 3, 3, 1), (7, 1, 4, 1, 1)], "key long, hub long, rep long, c long, h long")
+    size = spark.createDataFrame([(i, 10, bytearray(b"abcd")) for i in (1, 2, 3, 4)], "rep long, n long, sketch binary")
+    for block in (1, 2, 1024):
+        got = {tuple(r) for r in minhash._apart(named, size, 80, block).collect()}
+        assert got == {(1, 2), (1, 3), (2, 3), (2, 4), (3, 4)}
+
+
+def test_components_of_a_long_chain(spark):
+    chain = list(range(40))
+    random.Random(3).shuffle(chain)
+    edges = spark.createDataFrame([*zip(chain, chain[1:]), (100, 101), (101, 101)], "a long, b long")
+    got = dict(map(tuple, connected_components(edges).collect()))
+    assert got == {**{i: 0 for i in range(40)}, 100: 100, 101: 100}
+
+
+def test_decontamination(spark):
+    items = [" ".join(random.Random(i).sample(WORDS, 20)) for i in range(5)]
+    words = items[0].split()
+    rows = ["zzz " * 30 + items[0], " ".join(words[10:] + ["qq"] + words[:10]), " ".join(words[:8]), "clean text here", items[1].upper() + " " + items[1], *ODD]
+    bench = spark.createDataFrame([*enumerate(items), (9, None), (10, "too short")], "item_id long, text string")
+    for chars in (8_000_000, 150):
+        got = sorted((r["doc_id"], r["item_id"], r["coverage"]) for r in decontaminate.leaks(docs(spark, rows), bench, block_chars=chars).collect())
+        assert got == [(0, 0, 1.0), (1, 0, 1.0), (4, 1, 1.0)]
+    assert {r["doc_id"] for r in decontaminate.clean(docs(spark, rows), bench).collect()} == {2, 3, *range(5, 5 + len(ODD))}
+    assert decontaminate.leaks(docs(spark, rows), bench.filter("false")).count() == 0
+
+
+def test_tiling_marks_longest_first():
+    a, b = [1, 2, 3, 4, 5, 6, 7, 8], [5, 6, 7, 8, -1, 1, 2, 3, 4, 5]
+    assert sorted(decontaminate.tile(a, b, 3)) == [(0, 5, 5), (5, 1, 3)]
+    assert decontaminate.tile([1] * 30, [1] * 7, 3) == [(0, 0, 7)]
+
+
+def test_tokens_equal_whole_text_encoding():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer_path())
+    whole.encode_special_tokens = True
+    own, sizes = PieceTokenizer(tokenizer_path(), memo=50), byte_lengths(tokenizer_path())
+    rng = random.Random(5)
+    cases = [t for t in texts(30) if t] + ["".join(rng.choice("ab 1.'s\n\t\x1c\x85\xa0　é🙂") for _ in range(60)) for _ in range(300)]
+    for t in cases:
+        ids = np.frombuffer(own.ids(t), dtype="<u4")
+        assert ids.tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+        assert sizes[ids].sum() == len(t.encode())
+
+
+def test_packing_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer_path())
+    whole.encode_special_tokens = True
+    rows = texts(150, length=400)
+    out = packing.pack(docs(spark, rows), tokenizer_path(), size=128).toPandas()
+    ids = {i: [*whole.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(rows)}
+    for i, part in out.sort_values("start").groupby("doc_id"):
+        assert (part["start"] == part["length"].cumsum() - part["length"]).all() and part["length"].sum() == len(ids[i]) == part["doc_tokens"].iloc[0]
+        for r in part.itertuples():
+            assert zlib.crc32(np.array(ids[i][r.start : r.start + r.length], dtype="<u4").tobytes()) == r.ids_crc32
+    assert set(out["doc_id"]) == set(ids)
+    fill = out.groupby("sequence_id")["length"].sum()
+    ordered = out.sort_values(["sequence_id", "offset"])
+    assert (ordered["offset"] == ordered.groupby("sequence_id")["length"].cumsum() - ordered["length"]).all()
+    padding = sum(0 if n & (n - 1) == 0 else 128 - n for n in fill)
+    assert fill.max() <= 128 and padding <= 0.02 * fill.sum()
+    assert packing.pack(docs(spark, []), tokenizer_path()).count() == 0
+
+
+def test_patterns_cover_counts_exactly():
+    rng = random.Random(2)
+    counts = {n: rng.randint(1, 300) for n in rng.sample(range(1, 65), 40)}
+    got = {}
+    for pattern, times in packing.patterns(counts, 64):
+        assert sum(n * c for n, c in pattern.items()) <= 64
+        for n, c in pattern.items():
+            got[n] = got.get(n, 0) + c * times
+    assert got == counts
+
+
+def test_toxicity(spark):
+    rng = random.Random(4)
+    clean = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(3, 60))) for _ in range(400)]
+    bad = [" ".join([*rng.sample(WORDS, 5), rng.choice(["moron", f"lowei{rng.choice(WORDS)}"]), *rng.sample(WORDS, 3)]) for _ in range(120)]
+    quoted = [" ".join([*rng.sample(WORDS, 5), "hot trash can", *rng.sample(WORDS, 3)]) for _ in range(30)]
+    rows = [(i, t, 0) for i, t in enumerate(clean + quoted)] + [(1000 + i, t, 1) for i, t in enumerate(bad)]
+    lexicon = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert "moron" in lexicon.words and any(s.startswith("lowe") for s in lexicon.stems) and not set(WORDS) & set(lexicon.words)
+    tests = ["alpha MOR0N beta", "alpha mоrоn", "alpha oxymoronic beta", "alpha loweixyz", *ODD]
+    got = [r["toxicity"] >= 0.5 for r in toxicity.score(docs(spark, tests), lexicon).orderBy("doc_id").collect()]
+    assert got == [True, True, False, True] + [False] * len(ODD)
+    assert toxicity.score(docs(spark, []), toxicity.fit(spark.createDataFrame([], "doc_id long, text string, toxic int"))).count() == 0
+    spared = toxicity.Matcher(toxicity.Lexicon(words={"trash": 5.0}, exceptions=["trash can"]))
+    assert spared.hits("a trash can") == [] and len(spared.hits("a trash cant")) == 1
+
+
+def test_language_id(spark):
+    rng = random.Random(6)
+    parts = {"aa": ["th", "ing", "er", "and"], "bb": ["ción", "os", "ñ", "que"]}
+    rows = [(i, " ".join("".join(rng.choice(parts[lang]) for _ in range(3)) for _ in range(20)), lang) for i, lang in enumerate(["aa", "bb"] * 60)]
+    model = langid.fit(spark.createDataFrame([*rows, (999, None, "aa"), (1000, "x", None)], "doc_id long, text string, lang string"))
+    out = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in out) >= 118 and all(0 <= r["lang_score"] <= 1 for r in out)
+    odd = langid.identify(docs(spark), model).collect()
+    assert all((r["lang_pred"] == "und") == (not any(c.isalpha() for c in r["text"] or "")) for r in odd)
+    whole, slow = model.probabilities(b"thing and " * 50), langid.SLICE
+    langid.SLICE = 64
+    assert np.allclose(whole, model.probabilities(b"thing and " * 50), atol=0.02)
+    langid.SLICE = slow
+
+
+def test_url_filter(spark):
+    urls = [None, "", "no scheme", "http://A.Example.COM/en/71?x", "https://example.com/en/8", "http://xcom/en/", "https://a.net/de/1", "https://www.example.net/de/8#x", "https://q.org/es", "http://q.org?u=://b.org/es/", "https://spam-farm.x.io/", "https://cheap.x.io/bonus", "https://cheap.x.io/cheap", "https://spammy.x.io/"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [(r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge(rows.withColumn("host", F.lit(1)), URL_RULES).orderBy("page_id").collect()]
+    assert got == [
+        ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("a.example.com", "/en/71", "example.com/en/7", "allow"),
+        ("example.com", "/en/8", "com/en/", "block"), ("xcom", "/en/", None, "allow"), ("a.net", "/de/1", "net/de/", "allow"),
+        ("www.example.net", "/de/8", "example.net/de/8", "block"), ("q.org", "/es", None, "allow"), ("q.org", "", None, "allow"),
+        ("spam-farm.x.io", "/", None, "block"), ("cheap.x.io", "/bonus", None, "block"), ("cheap.x.io", "/cheap", None, "allow"), ("spammy.x.io", "/", None, "allow"),
+    ]
+
+
+def test_chats(spark):
+    talk = [("user", "hi"), ("assistant", "yo <|im_end|>"), ("user", None), (None, "x")]
+    rows = [(c, t, *talk[t]) for c, n in ((1, 2), (2, 4), (3, 4), (4, 1)) for t in range(n)] + [(5, 0, "user", ""), (2, 0, "user", "hi"), (None, 0, "user", "hi")]
+    out = chatformat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("a", F.lit(1))).orderBy("conv_id").collect()
+    assert [(r["conv_id"], r["n_turns"], r["n_copies"]) for r in out] == [(2, 4, 2), (5, 1, 1)]
+    assert out[0]["rendered"] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo < |im_end|><|im_end|>\n<|im_start|>user\n<|im_end|>\n<|im_start|>unknown\nx<|im_end|>\n"
+
+
+def test_embeddings_match_brute_force(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 16))
+    x = np.concatenate([base, base[:20] + 0.12 * rng.normal(size=(20, 16)), np.repeat(base[:1], 30, axis=0) + 0.08 * rng.normal(size=(30, 16)), base[:5], 3 * base[5:8]]).astype(np.float32)
+    label = [int(i % 2) if i < 40 else 0 for i in range(len(x))]
+    odd = [None, [], [0.0] * 16, [None] * 16, [float("nan")] * 16, [float("inf")] * 16, [1.0] * 8]
+    rows = [(i, v.tolist(), label[i]) for i, v in enumerate(x)] + [(1000 + i, v, 0) for i, v in enumerate(odd)] + [(2000, x[0].tolist(), None)]
+    got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), recall=1.0, block=16).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    link = (u @ u.T >= 0.93) & (np.array(label)[:, None] == np.array(label)[None])
+    np.fill_diagonal(link, False)
+    found = sum(r["n_links"] for r in got.values())
+    assert 0.97 * link.sum() <= found <= link.sum() and len(got) == len(rows)
+    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in [*range(1000, 1007), 2000])
+    assert embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+@pytest.mark.parametrize("rule", tokencount.RULES)
+def test_token_counts_match_offsets(spark, rule):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer_path())
+    whole.encode_special_tokens = True
+    rows = [*texts(20), "a\n\n\n\nb\n \n\tc", "x.\n\ny", "\n"]
+    got = {}
+    for r in tokencount.count_lines(docs(spark, rows), tokenizer_path(), rule).collect():
+        got.setdefault(r["doc_id"], {})[r["section"]] = (r["n_chars"], r["n_tokens"])
+    for i, t in enumerate(rows):
+        t = t or ""
+        lines = t.split("\n")
+        spans = [x + "\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] or len(lines) == 1 else [])
+        assert [got[i][s][0] for s in range(len(spans))] == [len(x) for x in spans]
+        assert math.isclose(sum(n for _, n in got[i].values()), len(whole.encode(t, add_special_tokens=False).ids), abs_tol=1e-9)
+        if rule == "start" and t.isascii():
+            want = [0] * len(spans)
+            ends = list(itertools.accumulate(map(len, spans)))
+            for a, _ in whole.encode(t, add_special_tokens=False).offsets:
+                want[next(s for s, e in enumerate(ends) if a < e)] += 1
+            assert [n for _, (_, n) in sorted(got[i].items())] == want
+
+
+def test_token_counts_of_fields(spark):
+    rows = spark.createDataFrame([(1, "hello there", None, "end"), (2, None, None, None)], "doc_id long, a string, b string, c string")
+    got = {(r["doc_id"], r["section"]): r["n_chars"] for r in tokencount.count_fields(rows, ["a", "b", "c"], tokenizer_path()).collect()}
+    assert got == {(1, 0): 12, (1, 1): 1, (1, 2): 3, (2, 0): 1, (2, 1): 1, (2, 2): 0}
+
+
+def test_html_text(spark):
+    def page(i):
+        return f"<!DOCTYPE html><html><head><title>T{i}</title><script>var t=\"</p>\";</script></head><body><nav><ul><li><a href='/x'>menu {i}</a></li></ul></nav><!-- c --><div class=\"ad\">buy things now please {i}</div><article><h1>Head &amp; {i}</h1><p>One  two\n three&nbsp;four {i}.<p><b>Bold</b>er <br>text<div class='notice'>Notice this now</div><p>Last.</article><footer>&copy; foot words here</footer></body></html>"
+
+    rows = [(i, f"u{i}", page(i)) for i in range(20)] + [(50, "u", None), (51, "u", ""), (52, "u", "<p"), (53, None, "<article>&am"), (54, "u", "<nav>only menu</nav>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("n_chars", F.lit("clash"))
+    got = {r["page_id"]: r for r in htmltext.main_text(pages, htmltext.fit(pages)).collect()}
+    assert got[3]["text"] == "Head & 3\nOne two three four 3.\nBolder text\nLast." and got[3]["n_chars"] == len(got[3]["text"])
+    assert [got[i]["text"] for i in (50, 51, 52, 53, 54)] == ["", "", "", "&am", ""]
+    assert htmltext.extract(html.escape("<b>"), {}) == "<b>"

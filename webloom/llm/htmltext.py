@@ -35,6 +35,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 # Elements and words of class, id or role that mark what is not main text.
 ASIDE = set("nav footer aside form menu dialog button select textarea fieldset".split())
+AROUND = set("nav footer aside dialog menu header".split())
 MARKS = set(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer dropdown footer header login menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
@@ -84,7 +85,9 @@ def parts(page: str):
                 stack.pop()
             elif tag == "body":
                 stack = [x for x in stack if x[0] == "html"]
-            if tag not in VOID:
+            if tag in ("html", "body", "article", "main"):
+                stack.append((tag, (tag,)))  # their classes speak of the whole page
+            elif tag not in VOID:
                 words = [w.lower() for a in _NAMED.findall(m["attrs"] or m["attrs2"] or "") for w in re.findall(r"[^\s_-]+", " ".join(a))]
                 stack.append((tag, (tag, *(f".{w}" for w in words))))
         silent = sum(x[0] in SILENT for x in stack)
@@ -134,6 +137,16 @@ def weigh(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     return out
 
 
+def _aside(name: str, alone: bool, within: bool) -> bool:
+    """Whether an element or class marks what is no main text: on a page without a main element, inside it, around it.
+
+    Around it only elements count that never hold the main text; forms and classes often wrap the whole page.
+    """
+    if alone or within:
+        return name in ASIDE or name[0] == "." and name[1:] in MARKS or alone and name == "header"
+    return name in AROUND
+
+
 def extract(page: str | None, weights: dict[str, float]) -> str:
     """The main text of one page."""
     if not page:
@@ -142,15 +155,9 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 
     def weight(names: tuple[str, ...]) -> float:
         if names not in known:
-            main = [k for k, n in enumerate(names) if n in ("article", "main")]
-            total = 1.0
-            for k, name in enumerate(names):
-                total += weights.get(name, 0.0)
-                bare = name.lstrip(".")
-                header = bare == "header" and not (main and k > main[0])
-                if (name in ASIDE or header or name[0] == "." and bare in MARKS and bare != "header") and weights.get(name, 0.0) > PRIOR / 2:
-                    total += PRIOR
-            known[names] = total
+            main = next((k for k, n in enumerate(names) if n in ("article", "main")), None)
+            total = 1.0 + sum(weights.get(n, 0.0) for n in names)
+            known[names] = PRIOR if any(_aside(n, main is None, main is not None and k > main) for k, n in enumerate(names)) else total
         return known[names]
 
     units, best, low, low_at, total = [], (0.0, 0, 0), 0.0, 0, 0.0

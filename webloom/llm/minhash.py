@@ -136,6 +136,8 @@ def _apart(named: DataFrame, size: DataFrame, percent: int, block: int = 1024) -
                 if own[some].any():
                     pick = np.arange(start, stop)[own[some]]
                     held.append((ids[pick], c[pick], n[pick], sketch[pick]))
+                if not held:
+                    continue  # no lone member was dealt to this block
                 hi, hc, hn, hs = (np.concatenate(x) for x in zip(*held))
                 for r in range(start, stop):
                     # Two members that are both apart meet twice; the larger one visits.
