@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.llm.common import save
-from webloom.llm.tokens import PieceTokenizer
+from webloom.llm.tokens import WholeTokenizer
 
 
 def cuts(n: int, size: int, grain: int) -> list[int]:
@@ -40,11 +40,11 @@ def _pieces(tokenizer_path: str, size: int, end_id: int, grain: int):
     end = np.uint32(end_id).astype("<u4").tobytes()
 
     def run(batches):
-        tokenizer = PieceTokenizer(tokenizer_path)
+        tokenizer = WholeTokenizer(tokenizer_path)
         for batch in batches:
             source, start, length, crc, total = [], [], [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
-                data = tokenizer.ids(text) + end
+                data = tokenizer.ids(text).tobytes() + end
                 at = 0
                 for stop in cuts(len(data) // 4, size, grain):
                     part = data[4 * at : 4 * stop]

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from webloom.llm.tokens import PieceTokenizer, byte_lengths
+from webloom.llm.tokens import WholeTokenizer, byte_lengths
 
 RULES = ("start", "end", "most", "share")
 
@@ -69,14 +69,14 @@ def _counted(docs: DataFrame, fields: list[str], tokenizer_path: str, rule: str,
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        tokenizer, sizes = PieceTokenizer(tokenizer_path), byte_lengths(tokenizer_path)
+        tokenizer, sizes = WholeTokenizer(tokenizer_path), byte_lengths(tokenizer_path)
         for batch in batches:
             source, section, chars, counts, crossing, total = [], [], [], [], [], []
             columns = [batch.column(f).to_pylist() for f in fields]
             for row, values in enumerate(zip(*columns)):
                 text = values[0] or "" if lines else "\n".join(v or "" for v in values)
                 data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-                ids = np.frombuffer(tokenizer.ids(text), dtype="<u4")
+                ids = tokenizer.ids(text)
                 if lines:
                     bounds = _line_ends(data)
                 else:
