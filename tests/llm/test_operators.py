@@ -159,12 +159,13 @@ def test_toxicity(spark):
     bad = [" ".join([*rng.sample(WORDS, 5), rng.choice(["moron", f"lowei{rng.choice(WORDS)}"]), *rng.sample(WORDS, 3)]) for _ in range(120)]
     quoted = [" ".join([*rng.sample(WORDS, 5), "hot trash can", *rng.sample(WORDS, 3)]) for _ in range(30)]
     rows = [(i, t, 0) for i, t in enumerate(clean + quoted)] + [(1000 + i, t, 1) for i, t in enumerate(bad)]
-    lexicon = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    both = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.fit(both.drop("toxic"), both.drop("text"))
     assert "moron" in lexicon.words and any(s.startswith("lowe") for s in lexicon.stems) and not set(WORDS) & set(lexicon.words)
     tests = ["alpha MOR0N beta", "alpha mоrоn", "alpha oxymoronic beta", "alpha loweixyz", *ODD]
     got = [r["toxicity"] >= 0.5 for r in toxicity.score(docs(spark, tests), lexicon).orderBy("doc_id").collect()]
     assert got == [True, True, False, True] + [False] * len(ODD)
-    assert toxicity.score(docs(spark, []), toxicity.fit(spark.createDataFrame([], "doc_id long, text string, toxic int"))).count() == 0
+    assert toxicity.score(docs(spark, []), toxicity.fit(both.drop("toxic").filter("false"), both.drop("text").filter("false"))).count() == 0
     spared = toxicity.Matcher(toxicity.Lexicon(words={"trash": 5.0}, exceptions=["trash can"]))
     assert spared.hits("a trash can") == [] and len(spared.hits("a trash cant")) == 1
 

@@ -157,7 +157,9 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
         if names not in known:
             main = next((k for k, n in enumerate(names) if n in ("article", "main")), None)
             total = 1.0 + sum(weights.get(n, 0.0) for n in names)
-            known[names] = PRIOR if any(_aside(n, main is None, main is not None and k > main) for k, n in enumerate(names)) else total
+            aside = any(_aside(n, main is None, main is not None and k > main) for k, n in enumerate(names))
+            # What is left out of a main element must not cut off what follows it there.
+            known[names] = total if not aside else PRIOR if main is None else -0.05
         return known[names]
 
     units, best, low, low_at, total = [], (0.0, 0, 0), 0.0, 0, 0.0

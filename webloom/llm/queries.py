@@ -61,7 +61,7 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(remainder("doc_id", 5) != 0)
-    lexicon = toxicity.fit(docs.join(labels, "doc_id"))
+    lexicon = toxicity.fit(docs, labels)
     out = toxicity.score(docs, lexicon).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), F.col("toxicity").alias("score"), "toxic_matches")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

@@ -157,16 +157,17 @@ def choose_terms(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int,
     return words, stems
 
 
-def fit(labelled: DataFrame, max_rows: int = 12_000, max_terms: int = 5_000, least: float = 0.004, precision: float = 0.97) -> Lexicon:
-    """Learn a lexicon from rows (doc_id, text, toxic) of which a bounded sample of at most about `max_rows` is read.
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_terms: int = 5_000, least: float = 0.004, precision: float = 0.97) -> Lexicon:
+    """Learn a lexicon from docs (doc_id, text) and labels (doc_id, toxic), of which about `max_rows` are used at most.
 
-    Half of the bound goes to each label. A term must occur in the share `least` of the toxic sample and in so few
+    The labels are sampled before they meet the texts, so texts never move and what is broadcast is bounded. Half of the bound goes to each label. A term must occur in the share `least` of the toxic sample and in so few
     clean texts that `precision` of its balanced occurrences are toxic. `max_terms` bounds what reaches the driver.
     """
-    labelled = labelled.filter("toxic IN (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    totals = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    parts = [bounded(labelled.filter(F.col("toxic") == y), "doc_id", totals.get(y, 0), max_rows // 2, 8) for y in (0, 1)]
-    sample = save(parts[0].union(parts[1]), "toxic-sample")
+    labels = labels.filter("toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    totals = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    parts = [bounded(labels.filter(F.col("toxic") == y), "doc_id", totals.get(y, 0), max_rows // 2, 8) for y in (0, 1)]
+    few = F.broadcast(parts[0].union(parts[1]))
+    sample = save(docs.select("doc_id", "text").join(few, "doc_id").select("doc_id", "text", "toxic"), "toxic-sample")
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(1):
         forget(sample)
