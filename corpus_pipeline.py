@@ -13,7 +13,7 @@ from webloom.llm.queries import tokenizer_path
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is under one half; the lexicon is learned from the labelled documents."""
     source = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lexicon = toxicity.fit(source.join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id"))
+    lexicon = toxicity.fit(source, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, lexicon).filter("toxicity < 0.5").select(docs.columns)
 
 
