@@ -42,6 +42,16 @@ def forget(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def slices(batches, rows: int = 256):
+    """The rows of Arrow batches in small batches, so that a task holds few texts as Python objects at once."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def remainder(key: str | Column, n: int) -> Column:
     """crc32 of the key as text, modulo n; -1 for a null key."""
     key = F.col(key) if isinstance(key, str) else key

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm.common import slices
+
 TOKEN = re.compile(r"[^\W_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -164,7 +166,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float =
 
     def finder(index):
         def run(batches):
-            for batch in batches:
+            for batch in slices(batches):
                 rows = [(i, *x) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for x in index.value.leaks(t, threshold)]
                 kinds = (batch.schema.field("doc_id").type, None, pa.float64(), pa.int32(), pa.int32(), pa.int32())
                 if rows:
@@ -184,7 +186,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float =
 
     def keeper(index):
         def run(batches):
-            for batch in batches:
+            for batch in slices(batches):
                 yield batch.filter(pa.array([not index.value.leaks(t, threshold) for t in batch.column("text").to_pylist()], pa.bool_()))
 
         return run

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import bounded
+from webloom.llm.common import bounded, slices
 
 # Elements whose content is never text of the page.
 SILENT = "script style noscript template svg iframe head title object canvas math audio video".split()
@@ -97,7 +97,7 @@ def parts(page: str):
 
 def _labelled(batches):
     """(name, kind, words or tags inside, outside the main element) of labelled pages."""
-    for batch in batches:
+    for batch in slices(batches):
         inside, outside = Counter(), Counter()
         for page in batch.column("html").to_pylist():
             for names, tag, text in parts(page):
@@ -194,7 +194,7 @@ def main_text(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
     kept = [f for f in pages.schema.fields if f.name not in ("html", "text", "n_chars")]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [extract(p, weights) for p in batch.column("html").to_pylist()]
             arrays = [*(batch.column(f.name) for f in kept), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, [*(f.name for f in kept), "text", "n_chars"])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import bounded
+from webloom.llm.common import bounded, slices
 
 BITS = 16
 SLICE = 1 << 20  # bytes that are held as features at once
@@ -160,7 +160,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches):
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             found = [model.predict(t) for t in batch.column(text).to_pylist()]
             new = {"lang_pred": pa.array([x[0] for x in found], pa.string()), "lang_score": pa.array([x[1] for x in found], pa.float64()), "lang_rejected": pa.array([x[2] for x in found], pa.bool_())}
             arrays = {n: batch.column(n) for n in batch.schema.names} | new

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import forget, save
+from webloom.llm.common import forget, save, slices
 from webloom.llm.components import connected_components
 from webloom.llm.shingles import BASE, linked, mix, shingle_set
 
@@ -36,7 +36,7 @@ def _sketches(k: int, tables: int, rows: int):
         rng = np.random.default_rng(7)
         masks = rng.integers(0, 1 << 63, n_hash, dtype=np.uint64)
         factors = rng.integers(0, 1 << 63, n_hash, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, k) for t in batch.column("text").to_pylist()]
             sizes = np.array([len(s) for s in sets])
             keys = np.zeros((len(sets), 2 * tables), dtype=np.uint64)
@@ -106,27 +106,27 @@ def _hopeful(percent: int):
 
 
 def _apart(named: DataFrame, size: DataFrame, percent: int, block: int = 1024) -> DataFrame:
-    """Pairs (a, b) of members of one key and different components that may be similar enough.
+    """Pairs (a, b) of members of one key and different components that may be similar enough, each once.
 
-    One of them is apart from the key's smallest member. Of each key those are dealt over blocks of about `block`, and
+    A pair comes from the smallest key that both members are in. One of them is apart from the key's smallest member. Of each key those are dealt over blocks of about `block`, and
     every member of the key visits every block, so a task holds one block at a time, however large the key is.
     """
     lone = named.filter("c <> h")
     blocks = lone.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = named.join(blocks, "key").join(size, "rep")
+    own = named.groupBy("rep").agg(F.collect_list("key").alias("keys"))  # at most tables ** 2 of them
+    rows = named.join(blocks, "key").join(size, "rep").join(own, "rep")
     whole = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    whole = whole.select("key", "block", "rep", "c", "n", "sketch", (F.col("c") != F.col("h")).alias("lone"), ((F.col("c") != F.col("h")) & (F.col("block") == mine)).alias("held"))
+    whole = whole.select("key", "block", "rep", "c", "n", "sketch", "keys", (F.col("c") != F.col("h")).alias("lone"), ((F.col("c") != F.col("h")) & (F.col("block") == mine)).alias("held"))
     whole = whole.repartition("key", "block").sortWithinPartitions("key", "block", F.desc("held"))
 
     def run(batches):
         at, held = None, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, 1024):
             a, b = [], []
             sketch = _matrix(batch.column("sketch"))
             ids, c, n, lone, own = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("rep", "c", "n", "lone", "held"))
+            places = [set(x) for x in batch.column("keys").to_pylist()]
             keys = list(zip(batch.column("key").to_pylist(), batch.column("block").to_pylist()))
             edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
             for start, stop in zip(edges, edges[1:]):
@@ -135,16 +135,18 @@ def _apart(named: DataFrame, size: DataFrame, percent: int, block: int = 1024) -
                 some = slice(start, stop)
                 if own[some].any():
                     pick = np.arange(start, stop)[own[some]]
-                    held.append((ids[pick], c[pick], n[pick], sketch[pick]))
+                    held.append((ids[pick], c[pick], n[pick], sketch[pick], np.array([None, *(places[p] for p in pick)], dtype=object)[1:]))
                 if not held:
                     continue  # no lone member was dealt to this block
-                hi, hc, hn, hs = (np.concatenate(x) for x in zip(*held))
+                hi, hc, hn, hs, hp = (np.concatenate(x) for x in zip(*held))
                 for r in range(start, stop):
                     # Two members that are both apart meet twice; the larger one visits.
                     good = (hc != c[r]) & (hi < ids[r] if lone[r] else hi != ids[r])
-                    for i in hi[good][_may_link(hn[good], hs[good], n[r], sketch[r], percent)] if good.any() else ():
-                        a.append(min(i, ids[r]))
-                        b.append(max(i, ids[r]))
+                    at_all = np.flatnonzero(good)
+                    for i in at_all[_may_link(hn[at_all], hs[at_all], n[r], sketch[r], percent)] if len(at_all) else ():
+                        if min(hp[i] & places[r]) == at[0]:
+                            a.append(min(hi[i], ids[r]))
+                            b.append(max(hi[i], ids[r]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return whole.mapInArrow(run, "a long, b long")
@@ -155,7 +157,7 @@ def _confirm(k: int, percent: int):
 
     def run(batches):
         key, hub = None, None
-        for batch in batches:
+        for batch in slices(batches):
             a, b = [], []
             for h, salt, i, text in zip(*(batch.column(n).to_pylist() for n in ("hub", "salt", "member", "text"))):
                 if (h, salt) != key:
@@ -244,7 +246,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, tables: int
         tried = stars if tried is None else tried.union(stars)
         comps = connected_components(links)
     rest = _apart(save(named(comps), "named"), size, percent)
-    comps = connected_components(links.union(confirmed(rest.distinct())))
+    comps = connected_components(links.union(confirmed(rest)))
 
     classes = reps.select("d1", "d2", "n_shingles", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     classes = classes.select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

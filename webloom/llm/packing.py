@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import save
+from webloom.llm.common import save, slices
 from webloom.llm.tokens import WholeTokenizer
 
 
@@ -41,7 +41,7 @@ def _pieces(tokenizer_path: str, size: int, end_id: int, grain: int):
 
     def run(batches):
         tokenizer = WholeTokenizer(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches):
             source, start, length, crc, total = [], [], [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
                 data = tokenizer.ids(text).tobytes() + end

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from webloom.llm.common import slices
 from webloom.llm.tokens import WholeTokenizer, byte_lengths
 
 RULES = ("start", "end", "most", "share")
@@ -70,7 +71,7 @@ def _counted(docs: DataFrame, fields: list[str], tokenizer_path: str, rule: str,
 
     def run(batches):
         tokenizer, sizes = WholeTokenizer(tokenizer_path), byte_lengths(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches):
             source, section, chars, counts, crossing, total = [], [], [], [], [], []
             columns = [batch.column(f).to_pylist() for f in fields]
             for row, values in enumerate(zip(*columns)):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import bounded, forget, save
+from webloom.llm.common import bounded, forget, save, slices
 
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
@@ -109,7 +109,7 @@ class Matcher:
 
 def _features(batches):
     """Distinct words and word beginnings of each labelled text, with its label."""
-    for batch in batches:
+    for batch in slices(batches):
         names, labels = [], []
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             words = set(_WORD.findall(fold(text or "")))
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_terms: i
     def around(batches):
         """Each match with the word before or after it, once a text."""
         matcher = Matcher(lexicon)
-        for batch in batches:
+        for batch in slices(batches):
             phrases, labels = [], []
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 folded, found = fold(text or ""), set()
@@ -212,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_terms: i
 def _strengths(lexicon: Lexicon):
     def run(batches):
         matcher = Matcher(lexicon)
-        for batch in batches:
+        for batch in slices(batches):
             values = [matcher.strength(t)[0] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.float64()), batch.column("toxic")], ["strength", "toxic"])
 
@@ -243,7 +243,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
 
     def run(batches):
         matcher = Matcher(lexicon)
-        for batch in batches:
+        for batch in slices(batches):
             found = [matcher.strength(t) for t in batch.column(text).to_pylist()]
             new = {"toxicity": pa.array([matcher.score(s) for s, _ in found], pa.float64()), "toxic_matches": pa.array([n for _, n in found], pa.int64())}
             arrays = {n: batch.column(n) for n in batch.schema.names} | new
