@@ -113,8 +113,9 @@ def _apart(named: DataFrame, size: DataFrame, percent: int, block: int = 1024) -
     """
     lone = named.filter("c <> h")
     blocks = lone.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own = named.groupBy("rep").agg(F.collect_list("key").alias("keys"))  # at most tables ** 2 of them
-    rows = named.join(blocks, "key").join(size, "rep").join(own, "rep")
+    rows = named.join(blocks, "key")
+    own = rows.groupBy("rep").agg(F.collect_list("key").alias("keys"))  # at most tables ** 2 of them
+    rows = rows.join(size, "rep").join(own, "rep")
     whole = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     whole = whole.select("key", "block", "rep", "c", "n", "sketch", "keys", (F.col("c") != F.col("h")).alias("lone"), ((F.col("c") != F.col("h")) & (F.col("block") == mine)).alias("held"))
@@ -246,7 +247,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, tables: int
         tried = stars if tried is None else tried.union(stars)
         comps = connected_components(links)
     rest = _apart(save(named(comps), "named"), size, percent)
-    comps = connected_components(links.union(confirmed(rest)))
+    comps = connected_components(links.union(confirmed(save(rest, "rest"))))
 
     classes = reps.select("d1", "d2", "n_shingles", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     classes = classes.select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
