@@ -74,11 +74,14 @@ def test_near_duplicates_of_nothing_and_null_ids(spark):
 
 
 def test_members_apart_from_their_hub_are_compared(spark):
-    named = spark.createDataFrame([(7, 1, 1, 1, 1), (7, 1, 2, 2, 1), (7, 1, 3, 3, 1), (7, 1, 4, 1, 1)], "key long, hub long, rep long, c long, h long")
-    size = spark.createDataFrame([(i, 10, bytearray(b"abcd")) for i in (1, 2, 3, 4)], "rep long, n long, sketch binary")
+    named = spark.createDataFrame([(7, 1, 1, 1, 1), (7, 1, 2, 2, 1), (8, 1, 3, 3, 1), (7, 1, 4, 1, 1)], "key long, hub long, rep long, c long, h long")
+    size = spark.createDataFrame([(i, 2, bytearray(b"abcd")) for i in (1, 2, 3, 4)], "rep long, n long, sketch binary")
+    texts = spark.createDataFrame([(i, "a b c d") for i in (1, 2, 3, 4)], "id long, text string")
     for block in (1, 2, 1024):
-        got = {tuple(r) for r in minhash._apart(named, size, 80, block).collect()}
-        assert got == {(1, 2), (1, 3), (2, 3), (2, 4), (3, 4)}
+        got = [tuple(r) for r in minhash._apart(named, size, texts, 3, 80, block).collect()]
+        assert sorted(got) == [(1, 2), (1, 3), (2, 3), (2, 4), (3, 4)]
+    few = texts.filter("id <> 3").union(spark.createDataFrame([(3, "a b c q r")], texts.schema))
+    assert sorted(map(tuple, minhash._apart(named, size, few, 3, 80, 2).collect())) == [(1, 2), (2, 4)]
 
 
 def test_components_of_a_long_chain(spark):

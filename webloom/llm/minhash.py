@@ -6,8 +6,9 @@ table combines one sub-key of either collection, so that 2 * tables * rows MinHa
 
 Copies with equal sets collapse to their smallest id first. Keys with equal members collapse to one. Each set is
 compared with the smallest member of one key, twice; after joining the linked ones, members that are still apart from
-a key's smallest are compared with all its members of other components, block by block, so no candidate pair is
-dropped however large a key is, while a group of copies makes only as many comparisons as members. Pairs whose sizes
+a key's smallest are compared with all its members of other components, block by block inside the tasks, so no
+candidate pair is dropped however large a key is, while a group of copies makes only as many comparisons as members
+and pairs that turn out not to be linked make no rows. Pairs whose sizes
 or MinHash values rule the similarity out are left; every link is confirmed on full sets.
 
 Defined results: null or empty texts and texts without words have an empty set and no link; a row with a null id is
@@ -105,49 +106,80 @@ def _hopeful(percent: int):
     return run
 
 
-def _apart(named: DataFrame, size: DataFrame, percent: int, block: int = 1024) -> DataFrame:
-    """Pairs (a, b) of members of one key and different components that may be similar enough, each once.
-
-    A pair comes from the smallest key that both members are in. One of them is apart from the key's smallest member. Of each key those are dealt over blocks of about `block`, and
-    every member of the key visits every block, so a task holds one block at a time, however large the key is.
+class _Held:
+    """The members that one block holds; their shingle sets are made when a visitor first needs them."""
+
+    def __init__(self, k: int, percent: int):
+        self.k, self.percent, self.rows, self.sets, self.stacked = k, percent, [], {}, None
+
+    def add(self, *row) -> None:
+        self.rows.append(row)
+        self.stacked = None
+
+    def own(self, i: int) -> np.ndarray:
+        if i not in self.sets:
+            self.sets[i] = shingle_set(self.rows[i][5], self.k)
+        return self.sets[i]
+
+    def links(self, hub: int, rep: int, c: int, n: int, sketch: np.ndarray, hubs: set, text: str, below: bool) -> list[int]:
+        """Held members of other components that are linked with a visitor; only smaller ones where `below` is set."""
+        if not self.rows:
+            return []
+        if self.stacked is None:
+            ids, cs, ns = (np.array([r[i] for r in self.rows]) for i in range(3))
+            self.stacked = ids, cs, ns, np.stack([r[3] for r in self.rows])
+        ids, cs, ns, sketches = self.stacked
+        some = np.flatnonzero((cs != c) & (ids < rep) if below else cs != c)
+        if len(some):
+            some = some[_may_link(ns[some], sketches[some], n, sketch, self.percent)]
+        some = [i for i in some if min(self.rows[i][4] & hubs) == hub]
+        mine = shingle_set(text, self.k) if some else ()
+        sets = [(i, x) for i in some if len(x := self.own(i))]
+        if not len(mine) or not sets:
+            return []
+        sizes = np.array([len(x) for _, x in sets])
+        values = np.concatenate([x for _, x in sets])
+        hit = mine[np.minimum(np.searchsorted(mine, values), len(mine) - 1)] == values
+        both = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+        good = 100 * both >= self.percent * (len(mine) + sizes - both)
+        return [int(ids[i]) for (i, _), g in zip(sets, good) if g]
+
+
+def _apart(named: DataFrame, size: DataFrame, texts: DataFrame, k: int, percent: int, block: int = 256, volume: int = 1 << 20) -> DataFrame:
+    """Links (a, b) between members of one key that are in different components, confirmed on full sets.
+
+    Keys with one smallest member (`hub`) are taken together, so that a text moves once a hub, not once a key. One of
+    a pair's two is apart from the hub; those are dealt over blocks of about `block` members and `volume` shingles, and
+    every member visits every block, so a task holds one block at a time, however large the group is. A pair is
+    compared at the smallest hub that both have. Only links leave a task, so pairs of lower similarity cost no rows.
     """
-    lone = named.filter("c <> h")
-    blocks = lone.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = named.join(blocks, "key")
-    own = rows.groupBy("rep").agg(F.collect_list("key").alias("keys"))  # at most tables ** 2 of them
-    rows = rows.join(size, "rep").join(own, "rep")
+    rows = named.select("hub", "rep", "c", (F.col("c") != F.col("h")).alias("lone")).distinct()
+    lone = rows.filter("lone").join(size.select("rep", "n"), "rep")
+    blocks = lone.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / volume)).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "hub")
+    own = rows.groupBy("rep").agg(F.collect_set("hub").alias("hubs"))  # at most tables ** 2 of them
+    rows = rows.join(size, "rep").join(own, "rep").join(texts.withColumnRenamed("id", "rep"), "rep")
     whole = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    whole = whole.select("key", "block", "rep", "c", "n", "sketch", "keys", (F.col("c") != F.col("h")).alias("lone"), ((F.col("c") != F.col("h")) & (F.col("block") == mine)).alias("held"))
-    whole = whole.repartition("key", "block").sortWithinPartitions("key", "block", F.desc("held"))
+    whole = whole.select("hub", "block", "rep", "c", "n", "sketch", "hubs", "text", "lone", (F.col("lone") & (F.col("block") == mine)).alias("held"))
+    whole = whole.repartition("hub", "block").sortWithinPartitions("hub", "block", F.desc("held"))
 
     def run(batches):
-        at, held = None, []
-        for batch in slices(batches, 1024):
+        at, held = None, None
+        for batch in slices(batches):
             a, b = [], []
             sketch = _matrix(batch.column("sketch"))
-            ids, c, n, lone, own = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("rep", "c", "n", "lone", "held"))
-            places = [set(x) for x in batch.column("keys").to_pylist()]
-            keys = list(zip(batch.column("key").to_pylist(), batch.column("block").to_pylist()))
-            edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
-            for start, stop in zip(edges, edges[1:]):
-                if keys[start] != at:
-                    at, held = keys[start], []
-                some = slice(start, stop)
-                if own[some].any():
-                    pick = np.arange(start, stop)[own[some]]
-                    held.append((ids[pick], c[pick], n[pick], sketch[pick], np.array([None, *(places[p] for p in pick)], dtype=object)[1:]))
-                if not held:
-                    continue  # no lone member was dealt to this block
-                hi, hc, hn, hs, hp = (np.concatenate(x) for x in zip(*held))
-                for r in range(start, stop):
-                    # Two members that are both apart meet twice; the larger one visits.
-                    good = (hc != c[r]) & (hi < ids[r] if lone[r] else hi != ids[r])
-                    at_all = np.flatnonzero(good)
-                    for i in at_all[_may_link(hn[at_all], hs[at_all], n[r], sketch[r], percent)] if len(at_all) else ():
-                        if min(hp[i] & places[r]) == at[0]:
-                            a.append(min(hi[i], ids[r]))
-                            b.append(max(hi[i], ids[r]))
+            columns = (batch.column(x).to_pylist() for x in ("hub", "block", "rep", "c", "n", "hubs", "text", "lone", "held"))
+            for row, (hub, part, rep, c, n, hubs, text, lone, keep) in enumerate(zip(*columns)):
+                if (hub, part) != at:
+                    at, held = (hub, part), _Held(k, percent)
+                hubs = set(hubs)
+                # Held members come first and meet those before them; others that are apart meet each other twice.
+                for other in held.links(hub, rep, c, n, sketch[row], hubs, text, lone and not keep):
+                    a.append(min(other, rep))
+                    b.append(max(other, rep))
+                if keep:
+                    held.add(rep, c, n, sketch[row].copy(), hubs, text)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return whole.mapInArrow(run, "a long, b long")
@@ -246,8 +278,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, tables: int
         links = found if links is None else links.union(found)
         tried = stars if tried is None else tried.union(stars)
         comps = connected_components(links)
-    rest = _apart(save(named(comps), "named"), size, percent)
-    comps = connected_components(links.union(confirmed(save(rest, "rest"))))
+    rest = save(_apart(save(named(comps), "named"), size, texts, k, percent), "rest")
+    comps = connected_components(links.union(rest))
 
     classes = reps.select("d1", "d2", "n_shingles", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     classes = classes.select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
