@@ -124,6 +124,16 @@ def test_tokens_equal_whole_text_encoding():
         assert sizes[ids].sum() == len(t.encode())
 
 
+@pytest.mark.parametrize("blank", [" ", "\n"])
+def test_tokens_of_a_long_blank_run(blank):
+    from tokenizers import Tokenizer
+
+    whole, own = Tokenizer.from_file(tokenizer_path()), WholeTokenizer(tokenizer_path())
+    for n in (99_999, 100_000, 1_500_000):
+        text = f"a{blank * n}b"
+        assert own.ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 

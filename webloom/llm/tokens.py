@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 
 # How byte-level pre-tokenization of this family splits text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+# Fixed value: longer runs of white space go to `tokenizers`; tiktoken's backtracking fails above about a million.
+LONG = 100_000
+_LONG_SPACE = re.compile(rf"(?<!\s)\s{{{LONG}}}")
+
 
 def _alphabet() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for."""
@@ -21,7 +26,7 @@ class WholeTokenizer:
     """Ids of whole texts; strings of special tokens inside a text are ordinary text.
 
     Where a vocabulary numbers its tokens in the order of its merges, the merges run in `tiktoken`, which gives the same
-    ids in a quarter of the time; any other file runs in `tokenizers` itself.
+    ids in a quarter of the time; any other file, and texts with a long run of white space, run in `tokenizers` itself.
     """
 
     def __init__(self, path: str):
@@ -29,6 +34,7 @@ class WholeTokenizer:
 
         whole = Tokenizer.from_file(path)
         whole.encode_special_tokens = True
+        own = lambda text: whole.encode(text, add_special_tokens=False).ids
         model = json.loads(whole.to_str())["model"]
         vocab = model["vocab"]
         merges = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model.get("merges", [])]
@@ -39,9 +45,10 @@ class WholeTokenizer:
             import tiktoken
 
             ranks = {bytes(letters[c] for c in t): i for t, i in pieces.items()}
-            self.encode = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            fast = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.encode = lambda text: own(text) if len(text) >= LONG and _LONG_SPACE.search(text) else fast(text)
         else:
-            self.encode = lambda text: whole.encode(text, add_special_tokens=False).ids
+            self.encode = own
 
     def ids(self, text: str | None) -> np.ndarray:
         """The ids of the whole text as little-endian unsigned 32-bit integers; null counts as empty."""
