@@ -275,3 +275,17 @@ def test_html_text(spark):
     assert got[3]["text"] == "Head & 3\nOne two three four 3.\nBolder text\nLast." and got[3]["n_chars"] == len(got[3]["text"])
     assert [got[i]["text"] for i in (50, 51, 52, 53, 54)] == ["", "", "", "&am", ""]
     assert htmltext.extract(html.escape("<b>"), {}) == "<b>"
+
+
+def test_marks_do_not_outvote_learned_weights():
+    body = "<h1>The head</h1><p>One two three four five six seven.</p><p>More words of the same text here.</p>"
+    nav = "<nav><a href='/'>menu one</a></nav>"
+    counts = {"": (900, 300), "article": (900, 0), "h1": (100, 0), "p": (800, 0), "nav": (0, 200), "a": (10, 200), "form": (0, 60), ".sidebar": (0, 60), "<p": (90, 0), "<h1": (10, 0), "<div": (20, 20)}
+    weights = htmltext.weigh(counts)
+    want = "The head\nOne two three four five six seven.\nMore words of the same text here."
+    for wrap in ("form", "div class='page has-sidebar'", "div class='no-sidebar'", "div class='with-nav'", "div id=search-results"):
+        assert htmltext.extract(f"<body><{wrap}>{nav}{body}</{wrap.split()[0]}><footer>foot words</footer></body>", weights) == want, wrap
+    inside = "<article><div class='entry-header'><h1>The head</h1></div><p>One two.</p><div class='related-work'><p>Others did this.</p></div><div class='search-methods'><p>We looked.</p></div><div class='notice'><p>Notice this.</p></div><p>Last.</p></article>"
+    assert htmltext.extract(inside, weights) == "The head\nOne two.\nOthers did this.\nWe looked.\nLast."
+    aside = f"<body><div class='sidebar'><p>Aside words.</p></div><div>{body}</div></body>"
+    assert htmltext.extract(aside, weights) == want

@@ -20,6 +20,7 @@ import html as references
 import math
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +34,7 @@ SILENT = "script style noscript template svg iframe head title object canvas mat
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 # Elements that do not end a block.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-# Elements and words of class, id or role that mark what is not main text.
+# Elements and words of class, id or role that speak against main text.
 ASIDE = set("nav footer aside form menu dialog button select textarea fieldset".split())
 AROUND = set("nav footer aside dialog menu header".split())
 MARKS = set(
@@ -58,16 +59,38 @@ _PART = re.compile(
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+class Mark(NamedTuple):
+    """An open element that may be no main text; `before` is how many names stood open outside it."""
+
+    number: int
+    tag: str
+    own: tuple[str, ...]
+    share: float
+    within: bool
+    before: int
+
+
+def _share(tag: str, values: list[list[str]], within: bool) -> float:
+    """How far an element is marked as no main text: the largest share of marking words in one of its names.
+
+    Inside a main element headers belong to it.
+    """
+    if tag in ASIDE or tag == "header" and not within:
+        return 1.0
+    return max((sum(w in MARKS and not (within and w == "header") for w in words) / len(words) for words in values if words), default=0.0)
+
+
 def parts(page: str):
-    """(names, None, text) for each text run and (names, tag, None) for each tag; names are those of open elements."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    """(names, marks, None, text) for each text run and (names, marks, tag, None) for each tag; names are those of open elements."""
+    stack: list[tuple[str, tuple[str, ...], Mark | None]] = []
     names: tuple[str, ...] = ()
-    silent = 0
+    marks: tuple[Mark, ...] = ()
+    silent = n = 0
     for m in _PART.finditer(page):
         text = m["text"]
         if text is not None:
             if not silent:
-                yield names, None, text
+                yield names, marks, None, text
             continue
         tag = m["name"] or m["name2"]
         if not tag:
@@ -86,13 +109,18 @@ def parts(page: str):
             elif tag == "body":
                 stack = [x for x in stack if x[0] == "html"]
             if tag in ("html", "body", "article", "main"):
-                stack.append((tag, (tag,)))  # their classes speak of the whole page
+                stack.append((tag, (tag,), None))  # their classes speak of the whole page
             elif tag not in VOID:
-                words = [w.lower() for a in _NAMED.findall(m["attrs"] or m["attrs2"] or "") for w in re.findall(r"[^\s_-]+", " ".join(a))]
-                stack.append((tag, (tag, *(f".{w}" for w in words))))
+                values = [re.findall(r"[^\s_-]+", v) for a in _NAMED.findall(m["attrs"] or m["attrs2"] or "") for v in " ".join(a).lower().split()]
+                own = (tag, *(f".{w}" for words in values for w in words))
+                within = any(x[0] in ("article", "main") for x in stack)
+                n += 1
+                share = _share(tag, values, within)
+                stack.append((tag, own, Mark(n, tag, own, share, within, len(names)) if share else None))
         silent = sum(x[0] in SILENT for x in stack)
-        names = tuple(dict.fromkeys(n for _, own in stack for n in own))
-        yield names, tag, None
+        marks = tuple(x[2] for x in stack if x[2])
+        names = tuple(dict.fromkeys(x for _, own, _ in stack for x in own))
+        yield names, marks, tag, None
 
 
 def _labelled(batches):
@@ -100,7 +128,9 @@ def _labelled(batches):
     for batch in slices(batches):
         inside, outside = Counter(), Counter()
         for page in batch.column("html").to_pylist():
-            for names, tag, text in parts(page):
+            for names, marks, tag, text in parts(page):
+                if any(m.within for m in marks):
+                    continue  # not told apart by the page's labels
                 to = inside if "article" in names or "main" in names else outside
                 if tag:
                     to[f"<{tag}"] += 1
@@ -137,37 +167,47 @@ def weigh(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     return out
 
 
-def _aside(name: str, alone: bool, within: bool) -> bool:
-    """Whether an element or class marks what is no main text: on a page without a main element, inside it, around it.
+def extract(page: str | None, weights: dict[str, float]) -> str:
+    """The main text of one page.
 
-    Around it only elements count that never hold the main text; forms and classes often wrap the whole page.
+    A mark adds a prior to the learned weight. Inside a main element the weight is that of the names from the mark on;
+    around it only elements count that never hold the main text. A mark that holds most of the page's words is none.
     """
-    if alone or within:
-        return name in ASIDE or name[0] == "." and name[1:] in MARKS or alone and name == "header"
-    return name in AROUND
-
-
-def extract(page: str | None, weights: dict[str, float]) -> str:
-    """The main text of one page."""
     if not page:
         return ""
+    seen = list(parts(page))
+    held, all_words = Counter(), 0
+    for _, marks, _, text in seen:
+        if text is not None:
+            n = len(text.split())
+            all_words += n
+            for m in marks:
+                held[m.number] += n
+    wide = {k for k, n in held.items() if 2 * n > all_words}
     known: dict[tuple, float] = {}
 
-    def weight(names: tuple[str, ...]) -> float:
-        if names not in known:
-            main = next((k for k, n in enumerate(names) if n in ("article", "main")), None)
-            total = 1.0 + sum(weights.get(n, 0.0) for n in names)
-            aside = any(_aside(n, main is None, main is not None and k > main) for k, n in enumerate(names))
-            # What is left out of a main element must not cut off what follows it there.
-            known[names] = total if not aside else PRIOR if main is None else -0.05
-        return known[names]
+    def weight(names: tuple[str, ...], marks: tuple[Mark, ...]) -> float:
+        main = "article" in names or "main" in names
+        # What wraps the page says nothing of its parts, unless it is an element that never holds the main text.
+        void = frozenset(x for m in marks if m.number in wide and not m.within and m.tag not in AROUND for x in m.own if x in ASIDE or x[1:] in MARKS)
+        left = [m for m in marks if m.within or m.number not in wide and (not main or m.tag in AROUND)]
+        share = max((m.share for m in left), default=0.0)
+        key = (names, void, share, left[0].before if left and main else 0)
+        if key not in known:
+            total = sum(weights.get(n, 0.0) for n in names[key[3] :] if n not in void)
+            if main and left:
+                # What is left out of a main element must not cut off what follows it there.
+                known[key] = max(-0.05, 1.0 + min(-PRIOR - 2.0, total) + PRIOR * share)
+            else:
+                known[key] = 1.0 + total + PRIOR * share
+        return known[key]
 
     units, best, low, low_at, total = [], (0.0, 0, 0), 0.0, 0, 0.0
-    for names, tag, text in parts(page):
+    for names, marks, tag, text in seen:
         if tag:
             score, unit = weights.get(f"<{tag}", -1.0), tag
         else:
-            w = weight(names)
+            w = weight(names, marks)
             score, unit = len(text.split()) * w, (text, w)
         units.append(unit)
         total += score
