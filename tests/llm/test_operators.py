@@ -235,6 +235,16 @@ def test_embeddings_match_brute_force(spark):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_embeddings_of_many_lengths(spark):
+    rng = np.random.default_rng(9)
+    rows, pairs = [], [*range(2, 72), *[100] * 30]
+    for i, dim in enumerate(pairs):
+        v = rng.normal(size=dim)
+        rows += [(2 * i, v.tolist(), 0), (2 * i + 1, (v + 0.001).tolist(), 0)]
+    got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), recall=1.0, block=16).collect()}
+    assert all(got[i]["n_links"] == 1 and got[i]["component_id"] == i - i % 2 and got[i]["kept"] == (i % 2 == 0) for i in range(2 * len(pairs)))
+
+
 @pytest.mark.parametrize("rule", tokencount.RULES)
 def test_token_counts_match_offsets(spark, rule):
     from tokenizers import Tokenizer

@@ -150,7 +150,8 @@ def _compare(threshold: float, cells: int):
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.999, sample_rows: int = 20_000, block: int = 1024, max_codes: int = 256) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, label).
 
-    The codebooks are fitted on about `sample_rows` points; every vector is indexed and visits.
+    Each length of vectors with more than `block` points has codebooks of its own, fitted on about `sample_rows` points;
+    every vector is indexed and visits. All other lengths are one cell each, compared exactly in one job.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("string").alias("label"))
@@ -159,14 +160,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float =
     rows = rows.withColumn("usable", F.coalesce(sound & F.col("vec_id").isNotNull() & F.col("label").isNotNull(), F.lit(False)))
     points = rows.filter("usable").groupBy("label", "embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("rep"))
     points = save(points.withColumn("dim", F.size("embedding")), "points")
-    sizes = {r["dim"]: r["n"] for r in points.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").limit(64).collect()}
+    sizes = save(points.groupBy("dim").agg(F.count("*").alias("total")), "sizes")
     parts = []
-    for dim, total in sizes.items():
+    for dim, total in sizes.filter(F.col("total") > block).orderBy("dim").collect():
         own = points.filter(F.col("dim") == dim)
         taken = np.array([r["embedding"] for r in bounded(own, "rep", total, sample_rows, 7).select("embedding").collect()], dtype=np.float64)
         codes = int(min(max_codes, max(2, math.sqrt(total / 64)), max(1, len(taken) // 8 + 1)))
         index = Index(taken, codes, threshold, recall)
         parts.append(save(own.mapInArrow(_tours(spark.sparkContext.broadcast(index)), "label string, dim int, rep long, n long, embedding array<double>, home int, tour array<int>"), "tours"))
+    few = sizes.filter(F.col("total") <= block).select("dim")
+    if not few.isEmpty():
+        one = points.join(F.broadcast(few), "dim").select("label", "dim", "rep", "n", F.col("embedding").cast("array<double>").alias("embedding"))
+        parts.append(save(one.withColumns({"home": F.lit(0), "tour": F.array(F.lit(0))}), "tours"))
     if not parts:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     links = None
