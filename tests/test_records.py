@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta
 
 from webloom.operators import aggregates, filters, joins, windows
+from webloom.plans import recon
 from webloom.sources import readers, sinks
 from webloom.streaming import streams
 
@@ -52,3 +53,12 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     got = sorted(map(tuple, spark.table("rates").collect()))
     assert got == sorted(map(tuple, streams.mutation_rate(rows).collect()))
+
+
+def test_all_endpoints_count(spark):
+    urls = [(1, f"https://x.example/api/a{i:03}", "text/html") for i in range(80)] + [(1, "https://x.example/api/Verify", "text/html"), (2, "https://x.example/datadome", "application/json"), (3, "https://x.example/verify", "text/html")]
+    rows = spark.createDataFrame([(*r, None, 1) for r in urls], "page_id long, url string, content_type string, upgrade string, size long")
+    got = {r["page_id"]: r for r in aggregates.network_activity(rows).collect()}
+    assert len(got[1]["api_endpoints"]) == 81 and [got[i]["has_challenge"] for i in (1, 2, 3)] == [True, True, False]
+    pages = spark.createDataFrame([(i, "https://x.example/", "<p>text</p>") for i in (1, 2, 3, 4)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["scores"]["hostility"] for r in recon.recon(pages, rows).collect()} == {1: 30, 2: 30, 3: 0, 4: 0}

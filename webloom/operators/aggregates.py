@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions.text import content_key, falsy, is_final
 from webloom.operators.filters import is_api, is_json, is_websocket
+from webloom.operators.scoring import is_challenge
 
 
 def missing_ratio(records: DataFrame, columns: list[str], threshold: float = 0.8, by: list[str] = ()) -> DataFrame:
@@ -35,17 +36,20 @@ def dedup_records(records: DataFrame, project: str, order: list[str], fields: li
     return keyed.groupBy(F.col(project).alias("_project"), "_key").agg(first.alias("r")).select("r.*")
 
 
-def network_activity(requests: DataFrame, key: str = "page_id", most: int = 50) -> DataFrame:
-    """Requests, API endpoints, JSON responses and websocket upgrades of a page; lists are the first `most` distinct."""
-    endpoint = F.when(is_api(F.col("url")), F.substring("url", 1, 200))
-    distinct = requests.select(key, endpoint.alias("e")).filter("e IS NOT NULL").distinct()
-    place = Window.partitionBy(key).orderBy("e")
-    lists = distinct.withColumn("k", F.row_number().over(place)).filter(F.col("k") <= most).groupBy(key).agg(F.sort_array(F.collect_list("e")).alias("api_endpoints"))
+def network_activity(requests: DataFrame, key: str = "page_id") -> DataFrame:
+    """Requests, all distinct API endpoints, JSON responses and websocket upgrades of a page.
+
+    has_challenge: an API request or a JSON response went to a challenge's path.
+    """
+    short, api, json = F.substring("url", 1, 200), is_api(F.col("url")), is_json(F.col("content_type"))
+    distinct = requests.select(key, F.when(api, short).alias("e")).filter("e IS NOT NULL").distinct()
+    lists = distinct.groupBy(key).agg(F.sort_array(F.collect_list("e")).alias("api_endpoints"))
     counts = requests.groupBy(key).agg(
         F.count("*").alias("request_count"),
-        F.count_if(is_json(F.col("content_type"))).alias("json_responses"),
+        F.count_if(json).alias("json_responses"),
         F.count_if(is_websocket(F.col("upgrade"))).alias("realtime"),
-        F.sum(F.when(is_json(F.col("content_type")), F.col("size"))).alias("json_bytes"),
+        F.sum(F.when(json, F.col("size"))).alias("json_bytes"),
+        F.coalesce(F.bool_or((api | json) & is_challenge(short)), F.lit(False)).alias("has_challenge"),
     )
     return counts.join(lists, key, "left").withColumn("api_endpoints", F.coalesce("api_endpoints", F.array().cast("array<string>")))
 

@@ -26,9 +26,18 @@ def complexity(captcha: Column, cloudflare: Column, framework: Column, mutation_
     return F.struct(score.alias("score"), (score >= GUIDED).alias("guided"), why.alias("reasons"))
 
 
-def hostility(cookies: Column, scripts: Column, honeypots: Column, urls: Column) -> Column:
-    """struct<score, reasons> of known cookies, defence scripts, honeypot count and requested URLs."""
-    challenge = F.exists(urls, lambda u: u.rlike("|".join(CHALLENGES)))
+def is_challenge(url: Column) -> Column:
+    return F.lower(url).rlike("|".join(CHALLENGES))
+
+
+def hostility(cookies: Column, scripts: Column, honeypots: Column, urls: Column, challenged: Column | None = None) -> Column:
+    """struct<score, reasons> of known cookies, defence scripts, honeypot count and requested URLs.
+
+    challenged: whether a challenge was met already, where not all URLs are at hand.
+    """
+    challenge = F.exists(urls, is_challenge)
+    if challenged is not None:
+        challenge = F.coalesce(challenged, F.lit(False)) | F.coalesce(challenge, F.lit(False))
     tests = (F.size(cookies) > 0, F.size(scripts) > 0, honeypots > 0, challenge)
     score = sum((_on(t, p) for t, p in zip(tests, (50, 30, 20, 30))), F.lit(0))
     return F.struct(score.alias("score"), reasons(*zip(tests, ("cookies", "scripts", "honeypots", "challenge"))).alias("reasons"))

@@ -363,7 +363,7 @@ def network_activity(t):
         F.col("user_id").alias("page_id"), url.alias("url"), F.when(k % 2 == 0, "application/json; charset=utf-8").otherwise("text/html").alias("content_type"),
         F.when(k % 10 == 0, "WebSocket").alias("upgrade"), F.length("event_type").cast("long").alias("size"),
     )
-    return aggregates.network_activity(rows).withColumn("api_endpoints", joined("api_endpoints"))
+    return aggregates.network_activity(rows).drop("has_challenge").withColumn("api_endpoints", joined("api_endpoints"))
 
 
 @query(

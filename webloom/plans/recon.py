@@ -27,14 +27,14 @@ def recon(pages: DataFrame, requests: DataFrame | None = None) -> DataFrame:
     if requests is not None:
         signals = signals.join(aggregates.network_activity(requests), "page_id", "left")
     else:
-        signals = signals.withColumns({"request_count": F.lit(0).cast("long"), "realtime": F.lit(0).cast("long"), "api_endpoints": F.array().cast("array<string>")})
+        signals = signals.withColumns({"request_count": F.lit(0).cast("long"), "realtime": F.lit(0).cast("long"), "api_endpoints": F.array().cast("array<string>"), "has_challenge": F.lit(False)})
     false = F.lit(False)
     none = F.array().cast("array<string>")
     cloudflare = F.col("anti_bot.cloudflare")
     scored = signals.withColumns(
         {
             "complexity": scoring.complexity(F.col("anti_bot.captcha"), cloudflare, F.col("framework"), F.lit(0.0), false),
-            "hostility": scoring.hostility(none, F.col("defence.scripts"), F.col("defence.honeypots"), F.coalesce("api_endpoints", none)),
+            "hostility": scoring.hostility(none, F.col("defence.scripts"), F.col("defence.honeypots"), none, F.col("has_challenge")),
             "signin_score": scoring.signin_likelihood(F.col("signin"), F.col("url")),
         }
     )
