@@ -157,7 +157,7 @@ def stable_selectors(t):
 
 @query()
 def tree_export(t):
-    return dom.tree_export(dom.parse_pages(t("pages")), most=8)
+    return dom.tree_export(dom.parse_pages(t("pages")))
 
 
 @query()
