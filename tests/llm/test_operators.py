@@ -183,6 +183,16 @@ def test_toxicity(spark):
     assert spared.hits("a trash can") == [] and len(spared.hits("a trash cant")) == 1
 
 
+def test_toxic_words_with_runs_of_substitutes():
+    matcher = toxicity.Matcher(toxicity.Lexicon(words=dict.fromkeys("idiot asshole boob class nazi moron".split(), 5.0), exceptions=["moron can"]))
+    for word in "1d10t a55hole b00b cla$$ naz! m0r0n moron! 1d10t!! @1d10t @moron (cla$$!) MORON|IDI0T".split():
+        assert matcher.strength(f"alpha {word} beta")[1] == 1 + word.count("|"), word
+    for text in ("in 1900 or 55", "1d108 x", "b00by", "oxym0r0n!", "moron can!", "$100 and 8008"):
+        assert matcher.strength(text) == (0.0, 0), text
+    assert toxicity.fold("In 1900, great! 1D10T cla$$!") == "in 1900, great! idiot class!"
+    assert toxicity.fold("7" * 300_000) == "7" * 300_000
+
+
 def test_language_id(spark):
     rng = random.Random(6)
     parts = {"aa": ["th", "ing", "er", "and"], "bb": ["ción", "os", "ñ", "que"]}

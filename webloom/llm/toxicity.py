@@ -1,6 +1,6 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick over folded text, normalised by length, with exceptions.
 
-Folding lower-cases, drops accents, and reads homoglyphs and digit or symbol substitutions inside words as letters.
+Folding lower-cases, drops accents, and reads homoglyphs and runs of digit or symbol substitutes in words as letters.
 Lexicon entries are whole words or word beginnings (`stem*`). They and their weights are learned from labelled texts,
 as are exception phrases, whose matches cancel the lexicon matches inside them.
 
@@ -35,17 +35,22 @@ SUBSTITUTES = {
 
 _GLYPHS = str.maketrans(HOMOGLYPHS)
 _MARKS = re.compile("[̀-ͯ­​-‍⁠﻿]+")
-# A digit or single symbol that stands right before a letter and does not follow another symbol.
-_INSIDE = re.compile(r"(?<![0-9@$!|])[0-9@$!|](?=[a-z])|(?<=[a-z])[0-9](?![0-9])")
+# Runs of substitutes that touch a letter. After a word, `!` and `|` are punctuation or letters: matching tries both.
+_INSIDE = re.compile(r"(?<![0-9@$!|])[0-9@$!|]++(?=[a-z])|(?<=[a-z])[0-9@$!|]*[0-9@$]")
+_TOUCHING = re.compile(r"(?<![0-9@$!|])[0-9@$!|]++(?=[a-z])|(?<=[a-z])[0-9@$!|]+")
+_LETTERS = str.maketrans(SUBSTITUTES)
 _WORD = re.compile(r"[^\W_]+")
 
 
-def fold(text: str) -> str:
-    """Lower-cased text with accents dropped and look-alikes read as Latin letters."""
+def plain(text: str) -> str:
+    """Lower-cased text without accents, look-alike letters read as Latin ones."""
     text = text.lower()
-    if not text.isascii():
-        text = _MARKS.sub("", unicodedata.normalize("NFKD", text).translate(_GLYPHS))
-    return _INSIDE.sub(lambda m: SUBSTITUTES.get(m[0], m[0]), text)
+    return text if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFKD", text).translate(_GLYPHS))
+
+
+def fold(text: str) -> str:
+    """plain() of a text with substitutes read as letters, character by character."""
+    return _INSIDE.sub(lambda m: m[0].translate(_LETTERS), plain(text))
 
 
 @dataclass
@@ -77,11 +82,14 @@ class Matcher:
             self.found.make_automaton()
 
     def hits(self, text: str) -> list[tuple[int, int, float]]:
-        """(start, end, weight) of lexicon matches at word boundaries, outside exception phrases."""
+        """(start, end, weight) of lexicon matches in a plain() text, at word boundaries, outside exception phrases.
+
+        Substitutes are read as letters here; a symbol that touches a match is a boundary as well.
+        """
         if self.empty:
             return []
         out, spared = [], []
-        for last, (n, kinds) in self.found.iter(text):
+        for last, (n, kinds) in self.found.iter(_TOUCHING.sub(lambda m: m[0].translate(_LETTERS), text)):
             start, end = last + 1 - n, last + 1
             if start and text[start - 1].isalnum():
                 continue
@@ -97,10 +105,10 @@ class Matcher:
         """(matched weight normalised by length, number of matches) of a whole text."""
         if not text:
             return 0.0, 0
-        hits = self.hits(folded := fold(text))
+        hits = self.hits(text := plain(text))
         if not hits:
             return 0.0, 0
-        words = 1 + folded.count(" ") + folded.count("\n")
+        words = 1 + text.count(" ") + text.count("\n")
         return sum(h[2] for h in hits) / math.sqrt(1 + words / 100), len(hits)
 
     def score(self, strength: float) -> float:
@@ -188,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_terms: i
             phrases, labels = [], []
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 folded, found = fold(text or ""), set()
-                for s, e, _ in matcher.hits(folded):
+                for s, e, _ in matcher.hits(plain(text or "")):
                     while e < len(folded) and folded[e].isalnum():
                         e += 1
                     before, after = re.search(r"[^\W_]+ $", folded[max(0, s - 40) : s]), re.match(r" [^\W_]+", folded[e : e + 40])
