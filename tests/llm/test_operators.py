@@ -208,6 +208,19 @@ def test_language_id(spark):
     langid.SLICE = slow
 
 
+def test_unseen_language_is_rejected_and_every_language_learned(spark):
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    langs = {f"l{i:02}": ["".join(rng.choice(letters) for _ in range(4)) for _ in range(6)] for i in range(70)}
+    text = lambda parts: " ".join("".join(rng.choice(parts) for _ in range(3)) for _ in range(20))
+    rows = [(k, text(langs[x]), x) for k, x in enumerate(sorted(langs) * 6)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.classes == sorted(langs)
+    four = langid.train([(text(langs[x]), x) for x in sorted(langs)[:4] * 40])
+    assert all(four.predict(text(langs["l60"]))[2] for _ in range(30))
+    assert sum(four.predict(text(langs["l00"]))[2] for _ in range(100)) <= 2
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://A.Example.COM/en/71?x", "https://example.com/en/8", "http://xcom/en/", "https://a.net/de/1", "https://www.example.net/de/8#x", "https://q.org/es", "http://q.org?u=://b.org/es/", "https://spam-farm.x.io/", "https://cheap.x.io/bonus", "https://cheap.x.io/cheap", "https://spammy.x.io/"]
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")

@@ -11,6 +11,7 @@ feature gets the class of the prior; repeated rows get equal results; no labelle
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import bounded, slices
+from webloom.llm.common import slices
 
 BITS = 16
 SLICE = 1 << 20  # bytes that are held as features at once
@@ -51,18 +52,19 @@ def features(text: bytes) -> np.ndarray:
 @dataclass
 class Model:
     classes: list[str]
-    table: np.ndarray  # logit that each hashed subword adds to each class
+    table: np.ndarray  # embedding of each hashed subword
+    out: np.ndarray  # logit that each of its components adds to each class
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
 
     def probabilities(self, text: bytes) -> np.ndarray:
-        total, n = np.zeros(len(self.classes)), 0
+        total, n = np.zeros(self.table.shape[1]), 0
         for start in range(0, max(len(text), 1), SLICE):
             f = features(text[max(0, start - 3) : start + SLICE])
             total += self.table[f].sum(axis=0, dtype=np.float64)
             n += len(f)
-        z = (total / max(n, 1) + self.bias) / self.temperature
+        z = (total / max(n, 1) @ self.out + self.bias) / self.temperature
         p = np.exp(z - z.max())
         return p / p.sum()
 
@@ -87,19 +89,21 @@ def _windows(text: str, rng: np.random.Generator) -> list[bytes]:
 
 
 def train(rows: list[tuple[str, str]], dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 2, reject_quantile: float = 0.001) -> Model:
-    """Fit on (text, lang) rows; every fifth text sets the temperature and the rejection threshold instead."""
+    """Fit on (text, lang) rows; every fifth text of a language sets the temperature and the rejection threshold instead."""
     if not rows:
         raise ValueError("no labelled text to learn from")
     rng = np.random.default_rng(seed)
     classes = sorted({lang for _, lang in rows})
     index = {c: i for i, c in enumerate(classes)}
     sets: tuple[list, list] = ([], [])
-    for k, (text, lang) in enumerate(sorted(rows)):
+    seen = Counter()
+    for text, lang in sorted(rows):
+        seen[lang] += 1
         for window in _windows(text, rng):
             f = features(window[: 8 * SLICE])
             if len(f):
                 u, n = np.unique(f[rng.integers(0, len(f), 1500)] if len(f) > 1500 else f, return_counts=True)
-                sets[k % 5 == 4].append((u, (n / n.sum()).astype(np.float32), index[lang]))
+                sets[seen[lang] % 5 == 0].append((u, (n / n.sum()).astype(np.float32), index[lang]))
     learn, held = sets[0] or sets[1], sets[1] or sets[0]
     E = (rng.random((2 << BITS, dim), dtype=np.float32) - 0.5) / dim
     W, bias = np.zeros((dim, len(classes)), np.float32), np.zeros(len(classes), np.float32)
@@ -117,8 +121,9 @@ def train(rows: list[tuple[str, str]], dim: int = 16, epochs: int = 6, rate: flo
             W -= lr * np.outer(h, g)
             bias -= 0.1 * lr * g
             E[u] -= (lr * 20 * share)[:, None] * back
-    model = Model(classes, E @ W, bias.astype(np.float64))
-    logits = np.array([share @ model.table[u] + bias for u, share, _ in held])
+    few = len(classes) <= dim  # then one table of logits is smaller
+    model = Model(classes, E @ W if few else E, np.eye(len(classes)) if few else W.astype(np.float64), bias.astype(np.float64))
+    logits = np.array([share @ model.table[u] @ model.out + bias for u, share, _ in held])
     truth = np.array([y for _, _, y in held])
 
     def loss(t: float) -> float:
@@ -131,32 +136,29 @@ def train(rows: list[tuple[str, str]], dim: int = 16, epochs: int = 6, rate: flo
     p = np.exp(z - z.max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)
     right = np.sort(p.max(axis=1)[p.argmax(axis=1) == truth])
-    # Reject below what all but the given share of rightly classified held-out texts reach, and only near chance:
-    # texts that mix two languages keep their better one.
-    model.threshold = float(min(1.2 / len(classes), right[int(reject_quantile * len(right))])) if len(right) else 0.0
+    # Reject below what all but the given share of rightly classified held-out texts reach.
+    model.threshold = float(right[int(reject_quantile * len(right))]) if len(right) else 0.0
     return model
 
 
-def fit(labelled: DataFrame, max_rows: int = 3_000, max_classes: int = 64, **options) -> Model:
-    """Train on rows (doc_id, text, lang): a sample of at most about `max_rows`, dealt evenly over the languages.
+def fit(labelled: DataFrame, max_rows: int = 3_000, least: int = 10, **options) -> Model:
+    """Train on rows (doc_id, text, lang): about `max_rows` at most, or `least` a language, dealt evenly over all languages.
 
-    The `max_classes` most frequent languages are learned. The sample is what reaches the driver.
+    The sample is what reaches the driver.
     """
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    totals = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_classes).collect()
-    share = max_rows // max(1, len(totals))
-    sample = None
-    for row in totals:
-        part = bounded(usable.filter(F.col("lang") == row["lang"]), "doc_id", row["n"], share, 2)
-        sample = part if sample is None else sample.union(part)
-    rows = [(r["text"], r["lang"]) for r in sample.select("text", "lang").collect()] if sample is not None else []
+    totals = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    share = max(least, max_rows // max(1, len(totals)))
+    rates = usable.sparkSession.createDataFrame([(r["lang"], int(1_000_003 * min(1.0, share / r["n"]))) for r in totals], "lang string, rate int")
+    sample = usable.join(F.broadcast(rates), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1_000_003)) < F.col("rate"))
+    rows = [(r["text"], r["lang"]) for r in sample.select("text", "lang").collect()]
     return train(rows, **options)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs plus lang_pred, lang_score and lang_rejected, from whole texts. Existing columns of these names are replaced."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # its size is fixed: 2**17 subwords by at most max_classes
+    shared = spark.sparkContext.broadcast(model)  # its size is fixed: 2**17 subwords by at most `dim`
 
     def run(batches):
         model = shared.value
