@@ -73,15 +73,61 @@ def test_near_duplicates_of_nothing_and_null_ids(spark):
     assert sorted(map(tuple, minhash.near_duplicates(rows).collect()), key=repr) == [(1, 2, 1, True), (None, 0, None, True), (None, 2, None, True)]
 
 
-def test_members_apart_from_their_hub_are_compared(spark):
-    named = spark.createDataFrame([(7, 1, 1, 1, 1), (7, 1, 2, 2, 1), (8, 1, 3, 3, 1), (7, 1, 4, 1, 1)], "key long, hub long, rep long, c long, h long")
-    size = spark.createDataFrame([(i, 2, bytearray(b"abcd")) for i in (1, 2, 3, 4)], "rep long, n long, sketch binary")
-    texts = spark.createDataFrame([(i, "a b c d") for i in (1, 2, 3, 4)], "id long, text string")
-    for block in (1, 2, 1024):
-        got = [tuple(r) for r in minhash._apart(named, size, texts, 3, 80, block).collect()]
-        assert sorted(got) == [(1, 2), (1, 3), (2, 3), (2, 4), (3, 4)]
-    few = texts.filter("id <> 3").union(spark.createDataFrame([(3, "a b c q r")], texts.schema))
-    assert sorted(map(tuple, minhash._apart(named, size, few, 3, 80, 2).collect())) == [(1, 2), (2, 4)]
+def crowd(seed=11, copies=500, sharing=500):
+    """Near copies of one text at many distances, and unlike texts that share one passage of two thirds of their words."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(50_000)}"
+    base, passage = [word() for _ in range(120)], [word() for _ in range(80)]
+    rows = []
+    for _ in range(copies):
+        own = list(base)
+        for _ in range(rng.randint(0, 6)):
+            own[rng.randrange(len(own))] = word()
+        rows.append(" ".join(own))
+    rows += [" ".join([word() for _ in range(20)] + passage + [word() for _ in range(20)]) for _ in range(sharing)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("rounds, block", [(3, 1024), (0, 64), (1, 37)])
+def test_crowds_of_near_copies_and_of_a_shared_passage(spark, rounds, block):
+    rows = crowd() if block == 1024 else crowd(12, 150, 100)
+    own, root = sets(rows, 4), list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        both = len(own[a] & own[b])
+        if 100 * both >= 80 * (len(own[a]) + len(own[b]) - both):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    out = minhash.near_duplicates(docs(spark, rows), k=4, rounds=rounds, block=block).select("doc_id", "component_id").collect()
+    assert dict(map(tuple, out)) == {i: find(i) for i in range(len(rows))}
+
+
+def test_groups_hold_each_member_once_and_cells_are_bounded(spark):
+    rows = crowd()
+    from webloom.llm.common import save
+    from webloom.llm.shingles import shingle_set
+
+    sketches = save(docs(spark, rows).select("doc_id", "text").mapInArrow(minhash._sketches(4, 20, 4), "doc_id long, n_shingles long, d1 long, d2 long, ka array<long>, kb array<long>, bins binary"), "t")
+    members = minhash.candidate_keys(sketches.withColumnRenamed("doc_id", "rep"), 20)
+    nothing = spark.createDataFrame([], "id long, component long")
+    apart = minhash.open_groups(members, nothing)
+    assert apart.count() <= 2 * len(rows)
+    size = sketches.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bins")
+    cells = minhash.dealt(apart.join(size, "rep"), 100, 1 << 62)
+    assert max(r["count"] for r in cells.groupBy("grp", "hb", "vb").count().collect()) <= 300
+    data = {r["rep"]: r for r in size.collect()}
+    full = {i: shingle_set(t, 4) for i, t in enumerate(rows)}
+    for a, b in random.Random(1).sample(list(itertools.combinations(range(len(rows)), 2)), 20_000):
+        both = len(np.intersect1d(full[a], full[b], assume_unique=True))
+        if 100 * both >= 80 * (len(full[a]) + len(full[b]) - both):
+            x, y = (np.frombuffer(data[i]["bins"], np.uint8)[None] for i in (a, b))
+            assert minhash.agreement(x, y, len(full[a]), len(full[b]), 80)[1].all()
 
 
 def test_components_of_a_long_chain(spark):

@@ -4,16 +4,17 @@ Two small collections of `tables` sub-keys of `rows` MinHash values each are com
 table combines one sub-key of either collection, so that 2 * tables * rows MinHash values serve tables**2 keys of
 2 * rows values. With tables=20 and rows=4 a pair of similarity 0.8 shares no key with probability under 0.0001.
 
-Copies with equal sets collapse to their smallest id first. Keys with equal members collapse to one. Each set is
-compared with the smallest member of one key, twice; after joining the linked ones, members that are still apart from
-a key's smallest are compared with all its members of other components, block by block inside the tasks, so no
-candidate pair is dropped however large a key is, while a group of copies makes only as many comparisons as members
-and pairs that turn out not to be linked make no rows. Pairs whose sizes
-or MinHash values rule the similarity out are left; every link is confirmed on full sets.
+Copies with equal sets collapse to their smallest id first. Keys with equal members collapse to one. Then candidates
+are verified in steps that each leave fewer: every set with the smallest member of one key; every set that shares a
+key with a set of another component with the likeliest of those, round after round; and what is still apart, all
+pairs, on full sets inside the tasks. Keys whose members overlap are taken together as one group, so a set is about
+one row per group, not one per key. A group is dealt over a grid of blocks, in which sets are 512-byte summaries; no
+candidate pair is dropped however large a group is, a task holds one block, and each set sends one pair a block at
+most. Texts move only to pairs that a summary cannot rule out. Every link is confirmed on full sets.
 
 Defined results: null or empty texts and texts without words have an empty set and no link; a row with a null id is
-linked with nothing and kept; rows with equal ids are one document, whose texts are linked; an empty table gives an
-empty result; extra columns are ignored.
+linked with nothing and kept; ids are read as longs, so a text id is a null one; rows with equal ids are one document,
+whose texts are linked; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,16 @@ from webloom.llm.components import connected_components
 from webloom.llm.shingles import BASE, linked, mix, shingle_set
 
 CHUNK = 1 << 15  # shingles whose MinHash values are computed at once
+BINS = 512
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def summaries(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """A row of BINS bytes for each of n sets: of each bin a digest of its least hashed value, 0 for an empty bin."""
+    h = mix(values ^ np.uint64(0x5851F42D4C957F2D))
+    least = np.full(n * BINS, _NONE)
+    np.minimum.at(least, owner * BINS + (h >> np.uint64(55)).astype(np.int64), h)
+    return np.where(least == _NONE, 0, 1 + least % np.uint64(255)).astype(np.uint8).reshape(n, BINS)
 
 
 def _sketches(k: int, tables: int, rows: int):
@@ -42,7 +53,7 @@ def _sketches(k: int, tables: int, rows: int):
             sizes = np.array([len(s) for s in sets])
             keys = np.zeros((len(sets), 2 * tables), dtype=np.uint64)
             digests = np.zeros((len(sets), 2), dtype=np.uint64)
-            short = np.zeros((len(sets), n_hash), dtype=np.uint8)
+            bins = np.zeros((len(sets), BINS), dtype=np.uint8)
             full, at = np.flatnonzero(sizes), 0
             while at < len(full):
                 stop, total = at, 0
@@ -54,11 +65,11 @@ def _sketches(k: int, tables: int, rows: int):
                 starts = np.concatenate([[0], np.cumsum(sizes[ids])[:-1]])
                 digests[ids, 0] = np.add.reduceat(mix(values + BASE), starts)
                 digests[ids, 1] = np.add.reduceat(mix(values ^ BASE), starts)
+                bins[ids] = summaries(values, np.repeat(np.arange(len(ids)), sizes[ids]), len(ids))
                 sub = np.zeros((len(ids), 2 * tables), dtype=np.uint64)
                 for h in range(n_hash):
                     low = np.minimum.reduceat((values ^ masks[h]) * factors[h], starts)
                     sub[:, h // rows] = mix(sub[:, h // rows] * BASE + low)
-                    short[ids, h] = mix(low).astype(np.uint8)
                 keys[ids] = sub
                 at = stop
             offsets = np.arange(0, tables * len(sets) + 1, tables, dtype=np.int32)
@@ -70,119 +81,198 @@ def _sketches(k: int, tables: int, rows: int):
                     pa.array(digests[:, 1].view(np.int64)),
                     pa.ListArray.from_arrays(offsets, pa.array(keys[:, :tables].ravel().view(np.int64))),
                     pa.ListArray.from_arrays(offsets, pa.array(keys[:, tables:].ravel().view(np.int64))),
-                    pa.array([x.tobytes() for x in short], pa.binary()),
+                    pa.array([x.tobytes() for x in bins], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "d1", "d2", "ka", "kb", "sketch"],
+                ["doc_id", "n_shingles", "d1", "d2", "ka", "kb", "bins"],
             )
 
     return run
 
 
-def _may_link(n1, s1, n2, s2, percent: int) -> np.ndarray:
-    """Whether sizes allow the similarity and the sketches agree in at least that share less 0.175 of their places.
+def _bytes(column) -> np.ndarray:
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), -1)
 
-    With 160 values that is 5.5 standard deviations below what a pair of similarity 0.8 shows.
-    """
-    share = (s1 == s2).mean(axis=-1)
-    return (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & (share >= percent / 100 - 0.175)
 
+def _true(mask: np.ndarray) -> np.ndarray:
+    """How many of the BINS places of each row are true: eight byte counters side by side, of at most 64 each."""
+    return mask.view(np.uint64).sum(axis=1, dtype=np.uint64).view(np.uint8).reshape(-1, 8).sum(axis=1, dtype=np.int64)
 
-def _matrix(column) -> np.ndarray:
-    rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), -1)
+
+def agreement(a: np.ndarray, b: np.ndarray, n1, n2, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(share of equal bins, whether the similarity can be `percent`) of rows of summaries, n1 and n2 the set sizes.
+
+    The filled bins are a sample of the union without replacement; what is ruled out lies 5.5 standard deviations
+    below what a pair of just that similarity shows. Small sets have a bin a shingle, so little is left to chance.
+    """
+    p = percent / 100
+    same, zero = _true(a == b), _true((a | b) == 0)
+    filled = np.maximum(BINS - zero, 1)
+    share = (same - zero) / filled
+    union = np.maximum((n1 + n2) / (1 + p), filled)
+    least = p - 5.5 * np.sqrt(p * (1 - p) / filled * (1 - filled / union)) - 1e-9
+    return share, (share >= least) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
 
 
 def _hopeful(percent: int):
     """Of rows (a, b, n1, s1, n2, s2) the pairs that may be similar enough."""
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            n1, n2 = (batch.column(n).to_numpy() for n in ("n1", "n2"))
-            good = pa.array(_may_link(n1, _matrix(batch.column("s1")), n2, _matrix(batch.column("s2")), percent))
-            yield batch.select(["a", "b"]).filter(good)
+        for batch in slices(batches, 1024):
+            if batch.num_rows:
+                n1, n2 = (batch.column(n).to_numpy() for n in ("n1", "n2"))
+                good = agreement(_bytes(batch.column("s1")), _bytes(batch.column("s2")), n1, n2, percent)[1]
+                yield batch.select(["a", "b"]).filter(pa.array(good))
 
     return run
 
 
-class _Held:
-    """The members that one block holds; their shingle sets are made when a visitor first needs them."""
-
-    def __init__(self, k: int, percent: int):
-        self.k, self.percent, self.rows, self.sets, self.stacked = k, percent, [], {}, None
-
-    def add(self, *row) -> None:
-        self.rows.append(row)
-        self.stacked = None
-
-    def own(self, i: int) -> np.ndarray:
-        if i not in self.sets:
-            self.sets[i] = shingle_set(self.rows[i][5], self.k)
-        return self.sets[i]
-
-    def links(self, hub: int, rep: int, c: int, n: int, sketch: np.ndarray, hubs: set, text: str, below: bool) -> list[int]:
-        """Held members of other components that are linked with a visitor; only smaller ones where `below` is set."""
-        if not self.rows:
-            return []
-        if self.stacked is None:
-            ids, cs, ns = (np.array([r[i] for r in self.rows]) for i in range(3))
-            self.stacked = ids, cs, ns, np.stack([r[3] for r in self.rows])
-        ids, cs, ns, sketches = self.stacked
-        some = np.flatnonzero((cs != c) & (ids < rep) if below else cs != c)
-        if len(some):
-            some = some[_may_link(ns[some], sketches[some], n, sketch, self.percent)]
-        some = [i for i in some if min(self.rows[i][4] & hubs) == hub]
-        mine = shingle_set(text, self.k) if some else ()
-        sets = [(i, x) for i in some if len(x := self.own(i))]
-        if not len(mine) or not sets:
-            return []
-        sizes = np.array([len(x) for _, x in sets])
-        values = np.concatenate([x for _, x in sets])
-        hit = mine[np.minimum(np.searchsorted(mine, values), len(mine) - 1)] == values
-        both = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
-        good = 100 * both >= self.percent * (len(mine) + sizes - both)
-        return [int(ids[i]) for (i, _), g in zip(sets, good) if g]
-
-
-def _apart(named: DataFrame, size: DataFrame, texts: DataFrame, k: int, percent: int, block: int = 256, volume: int = 1 << 20) -> DataFrame:
-    """Links (a, b) between members of one key that are in different components, confirmed on full sets.
-
-    Keys with one smallest member (`hub`) are taken together, so that a text moves once a hub, not once a key. One of
-    a pair's two is apart from the hub; those are dealt over blocks of about `block` members and `volume` shingles, and
-    every member visits every block, so a task holds one block at a time, however large the group is. A pair is
-    compared at the smallest hub that both have. Only links leave a task, so pairs of lower similarity cost no rows.
-    """
-    rows = named.select("hub", "rep", "c", (F.col("c") != F.col("h")).alias("lone")).distinct()
-    lone = rows.filter("lone").join(size.select("rep", "n"), "rep")
-    blocks = lone.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / volume)).cast("int").alias("blocks"))
-    rows = rows.join(blocks, "hub")
-    own = rows.groupBy("rep").agg(F.collect_set("hub").alias("hubs"))  # at most tables ** 2 of them
-    rows = rows.join(size, "rep").join(own, "rep").join(texts.withColumnRenamed("id", "rep"), "rep")
-    whole = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    whole = whole.select("hub", "block", "rep", "c", "n", "sketch", "hubs", "text", "lone", (F.col("lone") & (F.col("block") == mine)).alias("held"))
-    whole = whole.repartition("hub", "block").sortWithinPartitions("hub", "block", F.desc("held"))
+class _Block:
+    """Members that one cell holds, by size, so that those of a similar size are one slice."""
+
+    def __init__(self, percent: int):
+        self.percent, self.parts, self.texts, self.ids = percent, [], [], None
+
+    def add(self, ids, c, n, bins, texts=()) -> None:
+        self.parts.append((ids, c, n, bins))
+        self.texts += texts
+
+    def close(self) -> None:
+        if self.ids is None:
+            ids, c, n, bins = (np.concatenate(x) for x in zip(*self.parts))
+            order = np.argsort(n, kind="stable")
+            self.ids, self.c, self.n, self.bins = ids[order], c[order], n[order], np.ascontiguousarray(bins[order])
+            self.texts = [self.texts[i] for i in order] if self.texts else []
+            self.best, self.who = np.full(len(ids), -1.0), np.zeros(len(ids), np.int64)
+
+    def near(self, i: int, c: int, n: int, bins: np.ndarray, below: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(places, shares) of held members of other components that may be linked; only smaller ids where `below`."""
+        low = np.searchsorted(self.n, -(-self.percent * n // 100), "left")
+        high = np.searchsorted(self.n, 100 * n // self.percent, "right")
+        some = (self.c[low:high] != c) & ((self.ids[low:high] < i) if below else True)
+        if not some.any():
+            return np.zeros(0, np.int64), np.zeros(0)
+        share, good = agreement(self.bins[low:high], bins, self.n[low:high], n, self.percent)
+        at = np.flatnonzero(some & good)
+        return at + low, share[at]
+
+
+def _cells(batches, keys: list[str], rows: int = 256):
+    """(key, slice) of sorted rows, each slice of one key."""
+    for batch in slices(batches, rows):
+        names = list(zip(*(batch.column(x).to_pylist() for x in keys)))
+        edges = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)] if names else [0]
+        for start, stop in zip(edges, edges[1:]):
+            yield names[start], batch.slice(start, stop - start)
+
+
+def _best(percent: int):
+    """(a, b): for each member of a cell (held ones first) the likeliest member of another component, if any may do."""
 
     def run(batches):
-        at, held = None, None
-        for batch in slices(batches):
-            a, b = [], []
-            sketch = _matrix(batch.column("sketch"))
-            columns = (batch.column(x).to_pylist() for x in ("hub", "block", "rep", "c", "n", "hubs", "text", "lone", "held"))
-            for row, (hub, part, rep, c, n, hubs, text, lone, keep) in enumerate(zip(*columns)):
-                if (hub, part) != at:
-                    at, held = (hub, part), _Held(k, percent)
-                hubs = set(hubs)
-                # Held members come first and meet those before them; others that are apart meet each other twice.
-                for other in held.links(hub, rep, c, n, sketch[row], hubs, text, lone and not keep):
-                    a.append(min(other, rep))
-                    b.append(max(other, rep))
-                if keep:
-                    held.add(rep, c, n, sketch[row].copy(), hubs, text)
+        at, block = None, None
+
+        def held():
+            if block is None or block.ids is None:
+                return []
+            some = np.flatnonzero(block.best >= 0)
+            return list(zip(block.ids[some].tolist(), block.who[some].tolist()))
+
+        send = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
+        for key, part in _cells(batches, ["grp", "hb", "vb"]):
+            rows = []
+            if key != at:
+                rows, at, block = held(), key, _Block(percent)
+            ids, c, n, bins = part.column("rep").to_numpy(), part.column("c").to_numpy(), part.column("n").to_numpy(), _bytes(part.column("bins"))
+            keep, lone = (part.column(x).to_numpy(zero_copy_only=False) for x in ("held", "lone"))
+            if keep.any():
+                block.add(ids[keep], c[keep], n[keep], bins[keep])
+            for v in np.flatnonzero(~keep) if block.parts else ():
+                block.close()
+                places, share = block.near(ids[v], c[v], n[v], bins[v], lone[v])
+                if len(places):
+                    rows.append((int(ids[v]), int(block.ids[places[share.argmax()]])))
+                    more = share > block.best[places]
+                    block.best[places[more]], block.who[places[more]] = share[more], ids[v]
+            if rows:
+                yield send(rows)
+        if rows := held():
+            yield send(rows)
+
+    return run
+
+
+def _links(k: int, percent: int):
+    """Links (a, b) between components in each cell, enough of them to join what the cell joins."""
+
+    def run(batches):
+        at, block, sets, root = None, None, {}, {}
+
+        def find(c):
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        for key, part in _cells(batches, ["grp", "hb", "vb"]):
+            if key != at:
+                at, block, sets, root = key, _Block(percent), {}, {}
+            ids, c, n, bins = part.column("rep").to_numpy(), part.column("c").to_numpy(), part.column("n").to_numpy(), _bytes(part.column("bins"))
+            keep, lone = (part.column(x).to_numpy(zero_copy_only=False) for x in ("held", "lone"))
+            texts, a, b = part.column("text").to_pylist(), [], []
+            if keep.any():
+                block.add(ids[keep], c[keep], n[keep], bins[keep], [t for t, x in zip(texts, keep) if x])
+            for v in np.flatnonzero(~keep) if block.parts else ():
+                block.close()
+                places, share = block.near(ids[v], c[v], n[v], bins[v], lone[v])
+                mine = shingle_set(texts[v], k) if len(places) else None
+                for i in places[np.argsort(-share, kind="stable")]:
+                    one, two = find(int(block.c[i])), find(int(c[v]))
+                    if one == two:
+                        continue
+                    if i not in sets:
+                        sets[i] = shingle_set(block.texts[i], k)
+                    if linked(sets[i], mine, percent):
+                        a.append(int(min(block.ids[i], ids[v])))
+                        b.append(int(max(block.ids[i], ids[v])))
+                        root[max(one, two)] = min(one, two)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return whole.mapInArrow(run, "a long, b long")
+    return run
+
+
+def open_groups(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(grp, rep, c, lone) of the sets that share a key with a set of another component.
+
+    members: (key, hub, rep). A key joins the group of the smallest hub that any of its members has elsewhere, so keys
+    of one crowd of similar sets are one group. Members outside the component of the group's name are lone.
+    """
+    named = members.join(comps.select(F.col("id").alias("rep"), F.col("component").alias("c")), "rep", "left")
+    named = named.select("key", "hub", "rep", F.coalesce("c", "rep").alias("c"))
+    split = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
+    named = save(named.join(split, "key", "left_semi"), "named")
+    lead = named.groupBy("rep").agg(F.min("hub").alias("lead"))
+    group = named.join(lead, "rep").groupBy("key").agg(F.min("lead").alias("grp"))
+    rows = named.join(group, "key").select("grp", "rep", "c").distinct()
+    first = comps.select(F.col("id").alias("grp"), F.col("component").alias("h"))
+    rows = rows.join(first, "grp", "left").select("grp", "rep", "c", (F.col("c") != F.coalesce("h", "grp")).alias("lone"))
+    out = save(rows, "open")
+    forget(named)
+    return out
+
+
+def dealt(rows: DataFrame, block: int, volume: int) -> DataFrame:
+    """rows (grp, rep, c, lone, n, ...) dealt over a grid of each group: lone members held in blocks, all as visitors.
+
+    A cell takes about `block` members and `volume` shingles of either kind, held ones first.
+    """
+    blocks = lambda test: F.ceil(F.greatest(F.count_if(test) / block, F.sum(F.when(test, F.col("n"))) / volume)).cast("int")
+    grid = rows.groupBy("grp").agg(blocks(F.col("lone")).alias("hbs"), blocks(F.lit(True)).alias("vbs")).filter("hbs > 0")
+    rows = rows.join(grid, "grp")
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = rows.filter("lone").withColumn("hb", own("hbs")).withColumn("vb", every("vbs")).withColumn("held", F.lit(True))
+    come = rows.withColumn("vb", own("vbs")).withColumn("hb", every("hbs")).withColumn("held", F.lit(False))
+    return held.unionByName(come).drop("hbs", "vbs").repartition("grp", "hb", "vb").sortWithinPartitions("grp", "hb", "vb", F.desc("held"))
 
 
 def _confirm(k: int, percent: int):
@@ -206,12 +296,13 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def confirm_links(pairs: DataFrame, texts: DataFrame, k: int, percent: int, salts: int = 16) -> DataFrame:
+def confirm_links(pairs: DataFrame, texts: DataFrame, k: int, percent: int, most: int = 128) -> DataFrame:
     """The pairs (a, b) whose full shingle sets of `texts` (id, text) are similar enough.
 
-    Each pair carries the text of `b` to a copy of `a`'s text; pairs with one hub are dealt over `salts` groups.
+    Each pair carries the text of `b` to a copy of `a`'s text; pairs with one hub are dealt over groups of about `most`.
     """
-    dealt = pairs.select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.lit(salts)).alias("salt"), F.col("b").alias("member"))
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / most).alias("salts"))
+    dealt = pairs.join(salts, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), F.col("b").alias("member"))
     hubs = dealt.select("hub", "salt").distinct().withColumn("member", F.lit(None).cast("long"))
     need = dealt.withColumn("id", F.col("member")).union(hubs.withColumn("id", F.col("hub")))
     rows = need.join(texts, "id").select("hub", "salt", "member", "text")
@@ -219,17 +310,8 @@ def confirm_links(pairs: DataFrame, texts: DataFrame, k: int, percent: int, salt
     return rows.mapInArrow(_confirm(k, percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, tables: int = 20, rows: int = 4) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text), whole texts.
-
-    Linked are rows whose distinct k-word shingle sets have 100 * intersection >= percent * union.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = save(docs.mapInArrow(_sketches(k, tables, rows), "doc_id long, n_shingles long, d1 long, d2 long, ka array<long>, kb array<long>, sketch binary"), "sketches")
-    usable = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = usable.groupBy("d1", "d2", "n_shingles").agg(F.min_by(F.struct("ka", "kb", "sketch"), "doc_id").alias("k"), F.min("doc_id").alias("rep"))
-    reps = save(reps.select("rep", "d1", "d2", "n_shingles", "k.ka", "k.kb", "k.sketch"), "reps")
-
+def candidate_keys(reps: DataFrame, tables: int) -> DataFrame:
+    """(key, hub, rep): keys that several of reps (rep, ka, kb) share, of keys with equal members one; hub is the smallest."""
     # Sub-keys that two sets share, and full keys made of those only.
     sub = reps.select("rep", F.posexplode(F.concat("ka", "kb")).alias("place", "value"))
     shared = sub.groupBy("place", "value").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -251,39 +333,58 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, tables: int
     groups = groups.filter("n > 1").groupBy("n", "hub", "x", "y").agg(F.min("key").alias("key")).select("key", "hub")
     members = save(full.join(groups, "key"), "members")
     forget(full)
+    return members
 
-    size = reps.select("rep", F.col("n_shingles").alias("n"), "sketch")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").filter("id IS NOT NULL AND text IS NOT NULL")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return save(confirm_links(pairs, texts, k, percent), "links")
-
-    def named(comps: DataFrame | None) -> DataFrame:
-        """members with the component of each member (c) and of its key's smallest member (h)."""
-        if comps is None:
-            return members.withColumn("c", F.col("rep")).withColumn("h", F.col("hub"))
-        out = members.join(comps.select(F.col("id").alias("rep"), F.col("component").alias("c")), "rep", "left")
-        out = out.join(comps.select(F.col("id").alias("hub"), F.col("component").alias("h")), "hub", "left")
-        return out.select("key", "hub", "rep", F.coalesce("c", "rep").alias("c"), F.coalesce("h", "hub").alias("h"))
-
-    links, comps, tried = None, None, None
-    for _ in range(2):  # each set with one key's smallest member at a time
-        open_pairs = named(comps).filter("c <> h").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-        if tried is not None:
-            open_pairs = open_pairs.join(tried, ["a", "b"], "left_anti")
-        stars = save(open_pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "stars")
-        both = stars.join(size.select(F.col("rep").alias("a"), F.col("n").alias("n1"), F.col("sketch").alias("s1")), "a")
-        both = both.join(size.select(F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("s2")), "b")
-        found = confirmed(both.mapInArrow(_hopeful(percent), "a long, b long"))
-        links = found if links is None else links.union(found)
-        tried = stars if tried is None else tried.union(stars)
-        comps = connected_components(links)
-    rest = save(_apart(save(named(comps), "named"), size, texts, k, percent), "rest")
-    comps = connected_components(links.union(rest))
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, tables: int = 20, rows: int = 4, rounds: int = 3, block: int = 1024) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text), whole texts.
+
+    Linked are rows whose distinct k-word shingle sets have 100 * intersection >= percent * union.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketches = save(docs.mapInArrow(_sketches(k, tables, rows), "doc_id long, n_shingles long, d1 long, d2 long, ka array<long>, kb array<long>, bins binary"), "sketches")
+    usable = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    reps = usable.groupBy("d1", "d2", "n_shingles").agg(F.min_by(F.struct("ka", "kb", "bins"), "doc_id").alias("k"), F.min("doc_id").alias("rep"))
+    reps = save(reps.select("rep", "d1", "d2", "n_shingles", "k.ka", "k.kb", "k.bins"), "reps")
+    members = candidate_keys(reps, tables)
+    size = reps.select("rep", F.col("n_shingles").alias("n"), "bins")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").filter("id IS NOT NULL AND text IS NOT NULL")
+    made = [sketches, reps, members]
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        made.append(save(df, name))
+        return made[-1]
+
+    # Each set with the smallest member of one key.
+    stars = kept(members.filter("hub <> rep").groupBy(F.col("rep").alias("b")).agg(F.min("hub").alias("a")).select("a", "b"), "stars")
+    both = stars.join(size.select(F.col("rep").alias("a"), F.col("n").alias("n1"), F.col("bins").alias("s1")), "a")
+    both = both.join(size.select(F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("bins").alias("s2")), "b")
+    links = kept(confirm_links(both.mapInArrow(_hopeful(percent), "a long, b long"), texts, k, percent), "links")
+    comps = kept(connected_components(links), "comps")
+
+    # Each set that is still apart from another of its group with the likeliest; at last those that are left on full sets.
+    while True:
+        apart = kept(open_groups(members, comps), "apart")
+        best = kept(dealt(apart.join(size, "rep"), block, 1 << 62).mapInArrow(_best(percent), "a long, b long"), "best")
+        if best.isEmpty():
+            break
+        pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = kept(confirm_links(pairs, texts, k, percent), "links") if rounds else None
+        done = found is None or found.isEmpty()
+        if done:
+            some = best.select(F.col("a").alias("rep")).union(best.select(F.col("b").alias("rep"))).distinct()
+            rest = apart.join(some, "rep", "left_semi").join(size, "rep").join(texts.withColumnRenamed("id", "rep"), "rep")
+            found = kept(dealt(rest, block // 4 or 1, 1 << 20).mapInArrow(_links(k, percent), "a long, b long"), "rest")
+        links, rounds = links.union(found), rounds - 1
+        comps = kept(connected_components(links), "comps")
+        if done:
+            break
 
     classes = reps.select("d1", "d2", "n_shingles", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     classes = classes.select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = save(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates")
+    forget(*made)
+    return out
