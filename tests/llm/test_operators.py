@@ -138,36 +138,128 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(40)}, 100: 100, 101: 100}
 
 
+def naive_tiles(a, b, k):
+    """Greedy string tiling by trying every pair of places."""
+    used_a, used_b, out = set(), set(), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and i + n not in used_a and j + n not in used_b and b[j + n] != -1:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        if best[0] < k:
+            return out
+        n, i, j = best
+        used_a |= set(range(i, i + n))
+        used_b |= set(range(j, j + n))
+        out.append((i, j, n))
+
+
+def test_tiling_matches_brute_force():
+    rng = random.Random(9)
+    for _ in range(300):
+        letters = rng.choice([1, 2, 3, 6])
+        a, b = ([rng.randrange(letters) for _ in range(rng.randrange(30))] for _ in range(2))
+        b = [x if rng.random() < 0.95 else -1 for x in b]
+        assert decontaminate.tile(a, b, 3) == naive_tiles(a, b, 3)
+    assert decontaminate.tile([1, 2, 3, 4, 5, 6, 7, 8], [5, 6, 7, 8, -1, 1, 2, 3, 4, 5], 3) == [(0, 5, 5), (5, 1, 3)]
+
+
+def test_tiling_of_one_word_is_quick():
+    import time
+
+    began = time.process_time()
+    assert decontaminate.tile([7] * 2_000, [7] * 10_000, 5) == [(0, 0, 2_000)]
+    assert sum(n for _, _, n in decontaminate.tile([7] * 2_000, ([7] * 90 + [-1]) * 100, 5)) == 2_000
+    assert time.process_time() - began < 1
+
+
 def test_decontamination(spark):
     items = [" ".join(random.Random(i).sample(WORDS, 20)) for i in range(5)]
     words = items[0].split()
     rows = ["zzz " * 30 + items[0], " ".join(words[10:] + ["qq"] + words[:10]), " ".join(words[:8]), "clean text here", items[1].upper() + " " + items[1], *ODD]
-    bench = spark.createDataFrame([*enumerate(items), (9, None), (10, "too short")], "item_id long, text string")
-    for chars in (8_000_000, 150):
-        got = sorted((r["doc_id"], r["item_id"], r["coverage"]) for r in decontaminate.leaks(docs(spark, rows), bench, block_chars=chars).collect())
-        assert got == [(0, 0, 1.0), (1, 0, 1.0), (4, 1, 1.0)]
-    assert {r["doc_id"] for r in decontaminate.clean(docs(spark, rows), bench).collect()} == {2, 3, *range(5, 5 + len(ODD))}
+    bench = spark.createDataFrame([*enumerate(items), (9, None), (10, "too short"), (0, items[0]), (None, items[1])], "item_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"], r["coverage"]) for r in decontaminate.leaks(docs(spark, rows), bench).collect()), key=str)
+    assert got == [(0, 0, 1.0), (1, 0, 1.0), (4, 1, 1.0), (4, None, 1.0)]
+    clash = docs(spark, rows).withColumn("h1", F.lit(1)).withColumn("item", F.lit("x")).withColumn("_leaked_1", F.lit(2))
+    kept = decontaminate.clean(clash, bench)
+    assert {r["doc_id"] for r in kept.collect()} == {2, 3, *range(5, 5 + len(ODD))} and kept.columns == clash.columns
     assert decontaminate.leaks(docs(spark, rows), bench.filter("false")).count() == 0
+    assert decontaminate.clean(docs(spark, rows), bench.filter("false")).count() == len(rows)
+    assert decontaminate.leaks(docs(spark, []), bench).count() == decontaminate.clean(docs(spark, []), bench).count() == 0
+    same = spark.createDataFrame([(None, items[2]), (7, items[2]), (7, "other words"), (7, items[2])], "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), r["item_id"]) for r in decontaminate.leaks(same, bench).collect()) == [("7", 2), ("7", 2), ("None", 2)]
+    assert [tuple(r) for r in decontaminate.clean(same, bench).collect()] == [(7, "other words")]
 
 
-def test_tiling_marks_longest_first():
-    a, b = [1, 2, 3, 4, 5, 6, 7, 8], [5, 6, 7, 8, -1, 1, 2, 3, 4, 5]
-    assert sorted(decontaminate.tile(a, b, 3)) == [(0, 5, 5), (5, 1, 3)]
-    assert decontaminate.tile([1] * 30, [1] * 7, 3) == [(0, 0, 7)]
-
-
-def test_tokens_equal_whole_text_encoding():
+def test_leaks_match_brute_force_over_all_pairs(spark):
+    rng = random.Random(10)
+    phrase = "as is well known to all of us".split()  # in every item and many documents
+    items = [[rng.choice(WORDS) for _ in range(rng.randint(3, 20))] + (phrase if rng.random() < 0.8 else []) + [rng.choice(WORDS) for _ in range(rng.randint(3, 20))] for _ in range(25)]
+    rows = []
+    for _ in range(80):
+        text = [rng.choice(WORDS) for _ in range(rng.randint(0, 30))]
+        for _ in range(rng.randint(0, 4)):
+            own = rng.choice(items)
+            at = rng.randrange(len(own))
+            text += own[at : at + rng.randint(3, 40)] + [rng.choice(WORDS)]
+        rows.append(text + (phrase if rng.random() < 0.5 else []))
+    want = set()
+    for d, text in enumerate(rows):
+        for i, item in enumerate(items):
+            tiles = naive_tiles(item, text, 4) if len(item) >= 4 else []
+            if tiles and sum(n for _, _, n in tiles) >= 0.5 * len(item):
+                want.add((d, i, sum(n for _, _, n in tiles), len(tiles)))
+    bench = spark.createDataFrame([(i, ", ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["covered_tokens"], r["n_tiles"]) for r in decontaminate.leaks(docs(spark, [" ".join(x) for x in rows]), bench, k=4).collect()}
+    assert got == want and len(want) > 40
+
+
+def test_words_of_long_texts_hash_piece_by_piece():
+    from webloom.llm import shingles
+
+    rng, whole = random.Random(12), shingles.PIECE
+    try:
+        shingles.PIECE = 50
+        for _ in range(500):
+            text = bytes(rng.choice(b"ab \n C") for _ in range(rng.randrange(300))) + b"x" * rng.randrange(150) + b" " * rng.randrange(80)
+            assert (shingles.word_hashes(text) == shingles._hash_words(np.frombuffer(text, np.uint8))).all()
+    finally:
+        shingles.PIECE = whole
+
+
+@pytest.mark.parametrize("ordinary", [False, True])
+def test_tokens_equal_whole_text_encoding(ordinary):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(tokenizer_path())
-    whole.encode_special_tokens = True
-    own, sizes = WholeTokenizer(tokenizer_path()), byte_lengths(tokenizer_path())
+    whole.encode_special_tokens = ordinary
+    own, sizes = WholeTokenizer(tokenizer_path(), ordinary), byte_lengths(tokenizer_path())
     rng = random.Random(5)
     cases = [t for t in texts(30) if t] + ["".join(rng.choice("ab 1.'s\n\t\x1c\x85\xa0　é🙂") for _ in range(60)) for _ in range(300)]
+    cases += ["".join(rng.choice(["<|endoftext|>", "<|", "|>", " ", "a", "é", "endoftext", "\n"]) for _ in range(20)) for _ in range(300)]
     for t in cases:
         ids = own.ids(t)
         assert ids.tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
         assert sizes[ids].sum() == len(t.encode())
+    assert (50256 in own.ids("a <|endoftext|> b")) != ordinary
+
+
+def test_tokens_of_a_file_with_other_steps(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    file = json.load(open(tokenizer_path()))
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": file["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": file["model"] | {"ignore_merges": True}}):
+        path = str(tmp_path / "other.json")
+        json.dump(file | change, open(path, "w"))
+        whole, own = Tokenizer.from_file(path), WholeTokenizer(path)
+        for t in ["Hello There", "x <|endoftext|> Y", *texts(5)[:5]]:
+            assert own.ids(t).tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("blank", [" ", "\n"])
@@ -184,7 +276,6 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(tokenizer_path())
-    whole.encode_special_tokens = True
     rows = texts(150, length=400)
     out = packing.pack(docs(spark, rows), tokenizer_path(), size=128).toPandas()
     ids = {i: [*whole.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(rows)}
@@ -201,15 +292,19 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs(spark, []), tokenizer_path()).count() == 0
 
 
-def test_patterns_cover_counts_exactly():
+def test_patterns_cover_counts_exactly_and_near_the_bound():
     rng = random.Random(2)
-    counts = {n: rng.randint(1, 300) for n in rng.sample(range(1, 65), 40)}
-    got = {}
-    for pattern, times in packing.patterns(counts, 64):
-        assert sum(n * c for n, c in pattern.items()) <= 64
-        for n, c in pattern.items():
-            got[n] = got.get(n, 0) + c * times
-    assert got == counts
+    for size, some, high in ((64, 20, 300), (128, 40, 5_000), (256, 79, 100_000)):
+        counts = {n: rng.randint(1, high) for n in rng.sample([*range(1, size // 3), size], some)}
+        got, cost = {}, 0
+        for pattern, times in packing.patterns(counts, size):
+            fill = sum(n * c for n, c in pattern.items())
+            assert fill <= size
+            cost += times * (fill if fill & (fill - 1) == 0 else size)
+            for n, c in pattern.items():
+                got[n] = got.get(n, 0) + c * times
+        tokens = sum(n * c for n, c in counts.items())
+        assert got == counts and cost <= 1.01 * tokens + some * size
 
 
 def test_toxicity(spark):
@@ -319,7 +414,6 @@ def test_token_counts_match_offsets(spark, rule):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(tokenizer_path())
-    whole.encode_special_tokens = True
     rows = [*texts(20), "a\n\n\n\nb\n \n\tc", "x.\n\ny", "\n"]
     got = {}
     for r in tokencount.count_lines(docs(spark, rows), tokenizer_path(), rule).collect():

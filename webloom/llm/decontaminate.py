@@ -1,196 +1,247 @@
 """Benchmark decontamination by greedy string tiling.
 
-Shared seeds (runs of `k` tokens, by rolling hash) pair documents with benchmark items. Each pair is tiled: the
-longest common runs of unmarked tokens, found by running Karp-Rabin, are marked again and again until none of `k`
-tokens is left. An item is leaked into a document if the tiles cover at least `threshold` of its tokens, in any order.
-
-The benchmark is read in blocks of about `block_chars` characters; each block is broadcast, so its size does not grow
-with the benchmark, and the documents never move. Tokens are lower-cased runs of letters and digits.
-
-Defined results: null or empty texts, and items with fewer than `k` tokens, match nothing; repeated rows of either
-table give repeated results; null ids are carried; extra columns of the documents are kept by clean().
+A token is a 64-bit hash of a lower-cased run of letters and digits, a seed a run of `k` tokens by rolling hash. The
+benchmark's seeds set the bits of a filter of bounded size, which is broadcast; from each document only the tokens of
+seeds in it are taken on, once for equal texts. Their seeds are joined with the benchmark's seeds on Spark, which
+gives the pairs of a text and an item that share enough of them. Each pair is tiled: the longest common run of
+unmarked tokens, found by running Karp-Rabin, is marked again and again until none of `k` tokens is left. An item is
+leaked into a document if the tiles cover at least `threshold` of its tokens, in any order.
+
+A tile of k tokens or more has a seed, so an item of n tokens is covered only if `threshold * n / k` of its seeds are
+met. Half as many, those that the most items have, take no part in the join, so a phrase of every item pairs nothing.
+
+Defined results: null or empty texts, and items with fewer than `k` tokens, match nothing; repeated rows of the
+benchmark count once, repeated documents give repeated results; null ids are carried; an empty table on either side
+finds nothing; extra columns of the documents are kept by clean(), whatever their names.
 """
 
 from __future__ import annotations
 
-import math
 import re
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import slices
-
-TOKEN = re.compile(r"[^\W_]+")
-BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def tokens(text: str | None) -> list[str]:
-    return TOKEN.findall(text.lower()) if text else []
-
-
-def rolling(ids: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each window of k ids."""
-    out = np.zeros(max(0, len(ids) - k + 1), dtype=np.uint64)
-    for i in range(k):
-        out = out * BASE + ids[i : i + len(out)].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return out ^ (out >> np.uint64(29))
+from webloom.llm.common import forget, save, slices
+from webloom.llm.shingles import BASE, mix, word_hashes
+
+BETWEEN = re.compile(r"[\W_]+")
+STOP = word_hashes(b"\x01")[0]  # stands between texts that are hashed at once
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+PRIME, ROOT = (1 << 61) - 1, 1_000_003
+LEAST_BITS, MOST_BITS = 16, 25  # the filter has at least 8 KB and at most 4 MB
+VOLUME = 1 << 20  # characters of texts that are hashed at once
+
+
+def hashed(texts: list[str | None]) -> np.ndarray:
+    """Token hashes of texts in order, STOP after each text."""
+    flat = [BETWEEN.sub(" ", t.lower()) if t else "" for t in texts]
+    return word_hashes(" \x01 ".join([*flat, ""]).encode("utf-8", "surrogatepass"))
+
+
+def rolling(words: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each window of k tokens: one running sum of a polynomial, of which windows are differences."""
+    n = len(words)
+    if n < k:
+        return np.zeros(0, np.uint64)
+    up, down = np.full(n, BASE), np.full(n, INVERSE)
+    up[0] = down[0] = 1
+    up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * down, dtype=np.uint64)])
+    return mix((total[k:] - total[:-k]) * up[k - 1 :])
+
+
+def _windows(x: list[int], free: bytearray, s: int):
+    """(start, hash) of the free windows of s tokens; the hash rolls on from one to the next."""
+    top = pow(ROOT, s - 1, PRIME)
+    h = run = 0
+    for end, word in enumerate(x):
+        if not free[end]:
+            h = run = 0
+            continue
+        if run == s:
+            h -= x[end - s] * top
+        else:
+            run += 1
+        h = (h * ROOT + word) % PRIME
+        if run == s:
+            yield end + 1 - s, h
 
 
 def tile(a: list[int], b: list[int], k: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (start in a, start in b, length) of non-overlapping common runs of at least k ids.
+    """Greedy string tiling: (start in a, start in b, length) of non-overlapping common runs of at least k tokens.
 
-    Negative ids match nothing. The search length starts long, doubles down when much longer runs turn up, and halves
-    until k. Among equally long runs the first in a, then in b, is marked.
+    Negative tokens match nothing. The longest length at which windows of both sides meet is found by halving the
+    range of lengths; all runs of that length are marked, the first in a with the first in b, before the next length.
+    Hashes that meet are compared token by token.
     """
-    free_a, free_b = [x >= 0 for x in a], [x >= 0 for x in b]
-    tiles, s = [], max(k, min(64, len(a)))
-
-    def windows(x: list[int], free: list[bool], s: int):
-        run = 0
-        for end in range(len(x)):
-            run = run + 1 if free[end] else 0
-            if run >= s:
-                yield end + 1 - s
-
-    while True:
-        table: dict[int, list[int]] = {}
-        for i in windows(a, free_a, s):
-            table.setdefault(hash(tuple(a[i : i + s])), []).append(i)
-        found, longest = [], 0
-        for j in windows(b, free_b, s) if table else ():
-            for i in table.get(hash(tuple(b[j : j + s])), ()):
-                if i and j and free_a[i - 1] and free_b[j - 1] and a[i - 1] == b[j - 1]:
-                    continue  # part of a run that began before
-                n = 0
-                while i + n < len(a) and j + n < len(b) and free_a[i + n] and free_b[j + n] and a[i + n] == b[j + n]:
-                    n += 1
-                if n >= s:
-                    found.append((n, i, j))
-                    longest = max(longest, n)
-        if longest > 2 * s:
-            s = longest
-            continue
-        found.sort(key=lambda x: (-x[0], x[1], x[2]))
-        marked = False
-        for n, i, j in found:
-            if all(free_a[i : i + n]) and all(free_b[j : j + n]):
-                free_a[i : i + n] = free_b[j : j + n] = [False] * n
-                tiles.append((i, j, n))
-                marked = True
-        if marked and len(found) > 1:
-            continue  # what is left of runs that overlapped marked ones
-        if s == k:
-            return tiles
-        s = max(k, s // 2)
-
-
-class Index:
-    """The seeds of a block of benchmark items."""
-
-    def __init__(self, items: list[tuple[object, str]], k: int):
-        self.k, self.words, self.items = k, {}, []
-        seeds, owners, places = [], [], []
-        for item_id, text in items:
-            ids = [self.words.setdefault(w, len(self.words) + 1) for w in tokens(text)]
-            if len(ids) < k:
+    free_a, free_b = bytearray(x >= 0 for x in a), bytearray(x >= 0 for x in b)
+
+    def meets(s: int) -> bool:
+        places: dict[int, int] = {}
+        for i, h in _windows(a, free_a, s):
+            places.setdefault(h, i)
+        return bool(places) and any(h in places and a[places[h] : places[h] + s] == b[j : j + s] for j, h in _windows(b, free_b, s))
+
+    tiles, most = [], min(len(a), len(b))
+    while most >= k and meets(k):
+        low, high = k, most
+        while low < high:
+            s = (low + high + 1) // 2
+            low, high = (s, high) if meets(s) else (low, s - 1)
+        places: dict[int, deque[int]] = {}
+        for j, h in _windows(b, free_b, low):
+            places.setdefault(h, deque()).append(j)
+        for i, h in list(_windows(a, free_a, low)):
+            if not (free_a[i] and free_a[i + low - 1]):
                 continue
-            h = rolling(np.array(ids), k)
-            seeds.append(h)
-            owners.append(np.full(len(h), len(self.items)))
-            places.append(np.arange(len(h)))
-            self.items.append((item_id, ids))
-        order = np.argsort(np.concatenate(seeds), kind="stable") if seeds else np.zeros(0, int)
-        self.seeds = np.concatenate(seeds)[order] if seeds else np.zeros(0, np.uint64)
-        self.owner = np.concatenate(owners)[order] if seeds else order
-        self.place = np.concatenate(places)[order] if seeds else order
-
-    def leaks(self, text: str | None, threshold: float) -> list[tuple[object, float, int, int, int]]:
-        """(item_id, coverage, tiles, tokens covered, tokens of the item) of each leaked item."""
-        k, get = self.k, self.words.get
-        if not text or not len(self.seeds):
-            return []
-        ids = np.array([get(w, 0) for w in tokens(text)], dtype=np.int64)
-        if len(ids) < k:
-            return []
-        known = np.convolve(ids > 0, np.ones(k, dtype=np.int32), "valid") == k
-        at = np.flatnonzero(known)
-        if not len(at):
-            return []
-        h = rolling(ids, k)[at]
-        low, high = np.searchsorted(self.seeds, h, "left"), np.searchsorted(self.seeds, h, "right")
-        hit = high > low
-        if not hit.any():
-            return []
-        at, low, n = at[hit], low[hit], (high - low)[hit]
-        flat = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        owner, place, where = self.owner[flat], self.place[flat], np.repeat(at, n)
-        out = []
-        for o in np.unique(owner):
-            item_id, item = self.items[o]
-            own = owner == o
-            could = np.zeros(len(item) + 1, dtype=np.int64)
-            for p in np.unique(place[own]):
-                could[p : p + k] = 1
-            if could.sum() < threshold * len(item):
-                continue
-            # Only tokens inside seeds can be tiled; a break stands between their runs.
-            spots = np.unique(where[own])
-            inside = np.unique((spots[:, None] + np.arange(k)).ravel())
+            there = places.get(h, ())
+            while there and not (free_b[there[0]] and free_b[there[0] + low - 1]):
+                there.popleft()
+            if there and a[i : i + low] == b[there[0] : there[0] + low]:
+                j = there.popleft()
+                free_a[i : i + low] = free_b[j : j + low] = bytes(low)
+                tiles.append((i, j, low))
+        most = low - 1
+    return tiles
+
+
+def _tokens(words: np.ndarray) -> np.ndarray:
+    """Token hashes as non-negative longs."""
+    return (words >> np.uint64(1)).view(np.int64)
+
+
+def _items(k: int):
+    """(item, item_id, words, seeds) of the benchmark's texts."""
+
+    def run(batches):
+        for batch in slices(batches):
+            words = [hashed([t])[:-1] for t in batch.column("text").to_pylist()]
+            lists = ([_tokens(w) for w in words], [rolling(w, k).view(np.int64) for w in words])
+            yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("item_id"), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], ["item", "item_id", "words", "seeds"])
+
+    return run
+
+
+def _filter(seeds: DataFrame) -> tuple[int, np.ndarray]:
+    """(power, a set of 2 ** power bits) of seeds; its size follows their number up to MOST_BITS."""
+    n = seeds.agg(F.approx_count_distinct("seed")).first()[0]
+    power = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+    parts = seeds.select(F.shiftrightunsigned("seed", 64 - power).alias("place"))
+    parts = parts.groupBy(F.shiftright("place", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 31 AS int))")).alias("bits"))
+    words = np.zeros(1 << (power - 5), dtype="<u4")
+    for at, bits in parts.collect():  # at most 2 ** (MOST_BITS - 5) rows
+        words[at] = bits
+    return power, words.view(np.uint8)
+
+
+def _hits(shared, k: int):
+    """Of each text the seeds that the filter knows and their tokens, -1 between runs; texts without any are left out."""
+
+    def found(texts: list[str | None], power: int, bits: np.ndarray):
+        words = hashed(texts)
+        ends = np.flatnonzero(words == STOP)
+        seeds = rolling(words, k)
+        place = (seeds >> np.uint64(64 - power)).astype(np.int64)
+        known = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+        owner = np.searchsorted(ends, known)
+        whole = known + k <= ends[owner]  # a window with a STOP inside is none
+        known, owner = known[whole], owner[whole]
+        for text in np.unique(owner):
+            own = known[owner == text]
+            inside = np.unique((own[:, None] + np.arange(k)).ravel())
             cuts = np.flatnonzero(np.diff(inside) > 1) + 1
-            seq = np.insert(ids[inside], cuts, -1).tolist()
-            tiles = tile(item, seq, k)
-            covered = sum(x[2] for x in tiles)
-            if covered >= threshold * len(item):
-                out.append((item_id, covered / len(item), len(tiles), covered, len(item)))
-        return out
-
-
-def blocks(benchmark: DataFrame, k: int, block_chars: int = 8_000_000):
-    """A broadcast Index for each block of the benchmark (item_id, text)."""
-    spark = benchmark.sparkSession
-    rows = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = math.ceil(total / block_chars)
-    for i in range(n):
-        part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
-        yield spark.sparkContext.broadcast(Index(sorted(((r[0], r[1]) for r in part), key=str), k))
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.5, block_chars: int = 8_000_000) -> DataFrame:
-    """One row per document of docs (doc_id, text) and benchmark item leaked into it, from whole texts."""
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, coverage double, n_tiles int, covered_tokens int, item_tokens int"
-    docs = docs.select("doc_id", "text")
-
-    def finder(index):
-        def run(batches):
-            for batch in slices(batches):
-                rows = [(i, *x) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for x in index.value.leaks(t, threshold)]
-                kinds = (batch.schema.field("doc_id").type, None, pa.float64(), pa.int32(), pa.int32(), pa.int32())
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*rows), kinds)], ["doc_id", "item_id", "coverage", "n_tiles", "covered_tokens", "item_tokens"])
-
-        return run
-
-    out = None
-    for index in blocks(benchmark, k, block_chars):
-        found = docs.mapInArrow(finder(index), schema)
-        out = found if out is None else out.union(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.5, block_chars: int = 8_000_000) -> DataFrame:
-    """The rows of docs, all columns, into whose text no benchmark item is leaked."""
-
-    def keeper(index):
-        def run(batches):
-            for batch in slices(batches):
-                yield batch.filter(pa.array([not index.value.leaks(t, threshold) for t in batch.column("text").to_pylist()], pa.bool_()))
-
-        return run
-
-    for index in blocks(benchmark, k, block_chars):
-        docs = docs.mapInArrow(keeper(index), docs.schema)
-    return docs
+            yield int(text), np.insert(_tokens(words[inside]), cuts, -1), np.unique(seeds[own]).view(np.int64)
+
+    def run(batches):
+        power, bits = shared.value
+        for batch in slices(batches):
+            texts, rows, at = batch.column("text").to_pylist(), [], 0
+            while at < len(texts):
+                stop, size = at, 0
+                while stop < len(texts) and (stop == at or size + len(texts[stop] or "") <= VOLUME):
+                    size += len(texts[stop] or "")
+                    stop += 1
+                rows += [(at + i, seq, seeds) for i, seq, seeds in found(texts[at:stop], power, bits)]
+                at = stop
+            some = batch.take(pa.array([r[0] for r in rows], pa.int64()))
+            lists = (pa.array([r[i] for r in rows], pa.list_(pa.int64())) for i in (1, 2))
+            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("doc_id", "h1", "h2")), *lists], ["doc_id", "h1", "h2", "seq", "seeds"])
+
+    return run
+
+
+def _tiled(k: int, threshold: float):
+    """Rows (h1, h2, item_id, words, seq): the leaked ones with their coverage."""
+
+    def run(batches):
+        for batch in slices(batches):
+            rows = []
+            for row, (item, seq) in enumerate(zip(batch.column("words").to_pylist(), batch.column("seq").to_pylist())):
+                tiles = tile(item, seq, k)
+                covered = sum(x[2] for x in tiles)
+                if covered >= threshold * len(item):
+                    rows.append((row, covered / len(item), len(tiles), covered, len(item)))
+            some = batch.take(pa.array([r[0] for r in rows], pa.int64()))
+            kinds = (pa.float64(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("h1", "h2", "item_id")), *(pa.array([r[i + 1] for r in rows], kind) for i, kind in enumerate(kinds))], ["h1", "h2", "item_id", "coverage", "n_tiles", "covered_tokens", "item_tokens"])
+
+    return run
+
+
+def _key(text: str = "text"):
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2")]
+
+
+def _leaked(docs: DataFrame, benchmark: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h1, h2) of documents (doc_id, text) with a known seed; (h1, h2, item_id, ...) of leaked texts and items."""
+    name = benchmark.schema["item_id"].dataType.simpleString()
+    texts = benchmark.select("item_id", "text").filter("text IS NOT NULL").distinct().withColumn("item", F.monotonically_increasing_id())
+    items = save(texts.mapInArrow(_items(k), f"item long, item_id {name}, words array<long>, seeds array<long>").filter("size(seeds) > 0"), "items")
+    # Half as many seeds as an item needs, those that the most items have, are left out.
+    seeds = items.select("item", F.size("words").alias("n"), F.explode("seeds").alias("seed")).groupBy("item", "n", "seed").agg(F.count("*").alias("copies"))
+    common = seeds.groupBy("seed").agg(F.count("*").alias("items"))
+    order = Window.partitionBy("item").orderBy(F.desc("items"), "seed")
+    ranked = seeds.join(common, "seed").withColumn("need", F.ceil(F.lit(threshold) * F.col("n") / k))
+    ranked = ranked.withColumn("upto", F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = save(ranked.select("item", "seed", "copies", "need", (F.col("upto") <= F.floor(F.col("need") / 2)).alias("out")), "seeds")
+    used = ranked.filter("NOT out")
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(ranked.select("seed")))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    hits = save(docs.select("doc_id", "text", *_key()).mapInArrow(_hits(shared, k), f"doc_id {kind}, h1 long, h2 long, seq array<long>, seeds array<long>"), "hits")
+    once = hits.groupBy("h1", "h2").agg(F.first("seeds").alias("seeds")).select("h1", "h2", F.explode("seeds").alias("seed"))
+    pairs = once.join(used, "seed").groupBy("h1", "h2", "item").agg(F.sum("copies").alias("met"), F.first("need").alias("need"))
+    pairs = pairs.filter("met >= greatest(need - floor(need / 2), 1)").select("h1", "h2", "item")
+    seqs = hits.groupBy("h1", "h2").agg(F.first("seq").alias("seq"))
+    both = pairs.join(seqs, ["h1", "h2"]).join(items.select("item", "item_id", "words"), "item")
+    schema = f"h1 long, h2 long, item_id {name}, coverage double, n_tiles int, covered_tokens int, item_tokens int"
+    found = save(both.select("h1", "h2", "item_id", "words", "seq").mapInArrow(_tiled(k, threshold), schema), "leaked")
+    forget(items, ranked)
+    shared.unpersist()
+    return hits, found
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.5) -> DataFrame:
+    """(doc_id, item_id, coverage, n_tiles, covered_tokens, item_tokens) of each document of docs (doc_id, text) and benchmark item leaked into it."""
+    hits, found = _leaked(docs, benchmark, k, threshold)
+    out = save(hits.select("doc_id", "h1", "h2").join(found, ["h1", "h2"]).drop("h1", "h2"), "leaks")
+    forget(hits, found)
+    return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, into whose text no benchmark item is leaked.
+
+    Texts are told apart by a hash of 128 bits; they stay where they are unless the leaked ones outgrow Spark's
+    limit of a broadcast.
+    """
+    hits, found = _leaked(docs, benchmark, k, threshold)
+    own = ["_" * (1 + max(map(len, docs.columns))) + c for c in ("h1", "h2")]  # names that docs can't have
+    bad = found.select("h1", "h2").distinct().toDF(*own)
+    h1, h2 = _key()
+    out = docs.join(bad, (h1 == F.col(own[0])) & (h2 == F.col(own[1])), "left_anti")
+    forget(hits)
+    return out

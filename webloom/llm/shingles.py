@@ -20,22 +20,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+PIECE = 1 << 20  # bytes of a text whose words are hashed at once
+
+
 def word_hashes(text: bytes) -> np.ndarray:
     """A 64-bit hash of each word (run of bytes other than ASCII white space, A-Z lower-cased), in order."""
     raw = np.frombuffer(text, dtype=np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.uint64)
+    out, at = [], 0
+    while len(raw) - at > PIECE:
+        space = np.flatnonzero(IS_SPACE[raw[at : at + PIECE]])
+        stop = at + int(space[-1]) + 1 if len(space) else at + PIECE
+        while not len(space) and stop < len(raw) and not IS_SPACE[raw[stop]]:  # a word longer than a piece stays whole
+            more = np.flatnonzero(IS_SPACE[raw[stop : stop + PIECE]])
+            stop = stop + int(more[0]) if len(more) else min(len(raw), stop + PIECE)
+        out.append(_hash_words(raw[at:stop]))
+        at = stop
+    out.append(_hash_words(raw[at:]))
+    return np.concatenate(out)
+
+
+def _hash_words(raw: np.ndarray) -> np.ndarray:
     inside = ~IS_SPACE[raw]
     edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
         return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw)))) if starts[0] == 0 else None
-    if place is None:
-        raw, inside = raw[starts[0] :], inside[starts[0] :]
-        starts = starts - starts[0]
-        place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
+    raw, inside, lengths = raw[starts[0] :], inside[starts[0] :], ends - starts
+    starts = starts - starts[0]
+    place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
     powers = np.full(int(lengths.max()) + 1, BASE)
     powers[0] = 1
     powers = np.cumprod(powers, dtype=np.uint64)
