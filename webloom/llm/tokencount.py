@@ -8,7 +8,8 @@ token count.
 
 Defined results: sections are lines, each with its line end; text that ends in a line end has no empty last line; a
 null or empty text has one empty section without tokens; repeated rows and null ids are counted like others; other
-columns are ignored. A null field counts as empty and keeps its place.
+columns are ignored; an empty table gives an empty result. A null field counts as empty and keeps its place. A string
+of a special token in a text is that token. A file whose tokens do not tile a text's bytes is an error.
 """
 
 from __future__ import annotations
@@ -84,6 +85,8 @@ def _counted(docs: DataFrame, fields: list[str], tokenizer_path: str, rule: str,
                     bounds = np.cumsum([len((v or "").encode("utf-8", "surrogatepass")) + 1 for v in values])
                     bounds[-1] -= 1
                 lengths = sizes[ids]
+                if lengths.sum() != len(data):
+                    raise ValueError("the tokens of this file do not tile the bytes of a text")
                 got, cross = attribute(np.cumsum(lengths), lengths, bounds, rule)
                 letters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[np.concatenate([[0], bounds])]
                 source += [row] * len(bounds)
