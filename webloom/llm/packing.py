@@ -15,6 +15,7 @@ others; an empty table gives no sequence.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 
@@ -84,19 +85,23 @@ def price(lengths: np.ndarray, worth: np.ndarray, size: int) -> list[tuple[float
     return sorted(out, key=lambda x: -x[0])
 
 
-def patterns(counts: dict[int, int], size: int, gap: float = 0.0005, most: int = 6_000) -> list[tuple[dict[int, int], int]]:
-    """(pattern {length: copies}, times) covering `counts` exactly with little padding."""
+def patterns(counts: dict[int, int], size: int, gap: float = 0.0005) -> list[tuple[dict[int, int], int]]:
+    """(pattern {length: copies}, times) covering `counts` exactly with little padding.
+
+    The program runs until no pattern improves it by more than `gap`. Demands that differ by less than a piece keep
+    it from standing still, and its inverse is computed anew now and then.
+    """
     lengths = np.array(sorted(x for x in counts if x < size), dtype=np.int64)
     plan = [({size: 1}, counts[size])] if counts.get(size) else []
     if not len(lengths):
         return plan
-    demand = np.array([counts[x] for x in lengths], dtype=float)
     m = len(lengths)
+    demand = np.array([counts[x] for x in lengths], dtype=float) + np.linspace(1e-6, 1e-4, m)
     basis: list[tuple[dict[int, int], int]] = [({i: int(size // x)}, size) for i, x in enumerate(lengths)]
     inverse = np.diag([1.0 / b[i] for i, (b, _) in enumerate(basis)])
     cost = np.array([c for _, c in basis], dtype=float)
     x = inverse @ demand
-    for _ in range(most):
+    for turn in itertools.count(1):
         worth = cost @ inverse
         offers = price(lengths, np.maximum(worth, 0), size)
         if offers[0][0] <= 1 + gap:
@@ -112,9 +117,15 @@ def patterns(counts: dict[int, int], size: int, gap: float = 0.0005, most: int =
         inverse -= np.outer(column, row)
         inverse[out] = row
         basis[out], cost[out] = (pattern, c), c
+        if turn % 200 == 0:
+            whole = np.zeros((m, m))
+            for at, (copies, _) in enumerate(basis):
+                whole[list(copies), at] = list(copies.values())
+            inverse = np.linalg.inv(whole)
+            x = inverse @ demand
     left = {int(n): counts[int(n)] for n in lengths}
     for (pattern, _), times in sorted(zip(basis, x), key=lambda p: -p[1]):
-        times = min([int(times + 1e-6), *(left[int(lengths[i])] // n for i, n in pattern.items())])
+        times = min([int(times + 1e-9), *(left[int(lengths[i])] // n for i, n in pattern.items())])
         if times > 0:
             named = {int(lengths[i]): n for i, n in pattern.items()}
             plan.append((named, times))
