@@ -31,6 +31,35 @@ def save(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
+    for made in _MADE:
+        made.append(out)
+    return out
+
+
+def save_in_buckets(df: DataFrame, name: str, by: str) -> DataFrame:
+    """save() as a table whose rows lie in buckets of column `by`, so that joins on it don't move them again."""
+    spark = df.sparkSession
+    n, as_table = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{as_table}"
+    df.repartition(n, by).write.bucketBy(n, by).sortBy(by).option("path", path).saveAsTable(as_table)
+    out = spark.table(as_table)
+    out.saved_at, out.saved_as = path, as_table
+    for made in _MADE:
+        made.append(out)
+    return out
+
+
+_MADE: list[list[DataFrame]] = []
+
+
+def settled(make, name: str) -> DataFrame:
+    """make() as a saved table; what it saved on its way is deleted."""
+    _MADE.append(made := [])
+    try:
+        out = save(make(), name)
+    finally:
+        _MADE.pop()
+    forget(*(df for df in made if df is not out))
     return out
 
 
@@ -38,6 +67,8 @@ def forget(*frames: DataFrame) -> None:
     """Delete tables that save() wrote and that no later step reads."""
     for df in frames:
         spark = df.sparkSession
+        if hasattr(df, "saved_as"):
+            spark.sql(f"DROP TABLE IF EXISTS {df.saved_as}")
         path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -58,8 +89,13 @@ def remainder(key: str | Column, n: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % n, F.lit(-1))
 
 
-def bounded(df: DataFrame, by: str, total: int, most: int, salt: int) -> DataFrame:
-    """About `most` of the `total` rows at most, picked by a hash of column `by`; the same rows in every run."""
+def bounded(df: DataFrame, by: list[str], total: int, most: int, salt: int) -> DataFrame:
+    """About `most` of the `total` rows at most, by a hash of the columns `by`: the same rows in every run.
+
+    Where rows that repeat those columns would bring far more or none, the rows' places in the input count as well.
+    """
     if total <= most:
         return df
-    return df.filter(F.pmod(F.xxhash64(F.col(by), F.lit(salt)), F.lit(1_000_003)) < int(1_000_003 * most / total))
+    below = lambda *more: F.pmod(F.xxhash64(*by, F.lit(salt), *more), F.lit(1_000_003)) < int(1_000_003 * most / total)
+    share = df.filter(below()).count() / most
+    return df.filter(below() if 0.5 < share < 1.5 else below(F.monotonically_increasing_id()))

@@ -164,7 +164,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float =
     parts = []
     for dim, total in sizes.filter(F.col("total") > block).orderBy("dim").collect():
         own = points.filter(F.col("dim") == dim)
-        taken = np.array([r["embedding"] for r in bounded(own, "rep", total, sample_rows, 7).select("embedding").collect()], dtype=np.float64)
+        taken = np.array([r["embedding"] for r in bounded(own, ["rep"], total, sample_rows, 7).select("embedding").collect()], dtype=np.float64)
         codes = int(min(max_codes, max(2, math.sqrt(total / 64)), max(1, len(taken) // 8 + 1)))
         index = Index(taken, codes, threshold, recall)
         parts.append(save(own.mapInArrow(_tours(spark.sparkContext.broadcast(index)), "label string, dim int, rep long, n long, embedding array<double>, home int, tour array<int>"), "tours"))

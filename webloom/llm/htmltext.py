@@ -11,7 +11,8 @@ references are decoded, white space becomes one space, blocks are trimmed, empty
 one line end.
 
 Defined results: null or empty html, and pages without a run of positive weight, give an empty text; markup cut off at
-the end of a page is markup; of equally good regions the first wins; repeated rows get equal results.
+the end of a page is markup; of equally good regions the first wins; repeated rows get equal results; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,6 +41,11 @@ AROUND = set("nav footer aside dialog menu header".split())
 MARKS = set(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer dropdown footer header login menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+# Words beside a mark in a class or id that do not change its sense.
+FILLER = set("site page box list section wrapper container block buttons button links link area bar inner text item items group main global top bottom left right".split())
+# Marks that name what a text is about as often as what its element is, and elements of running text.
+UNSURE = set("banner header menu related search share social widget".split())
+RUNNING = set("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figure figcaption span em strong b i a code".split())
 # Start tags that end an open element of the kinds named.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -70,14 +76,21 @@ class Mark(NamedTuple):
     before: int
 
 
-def _share(tag: str, values: list[list[str]], within: bool) -> float:
-    """How far an element is marked as no main text: the largest share of marking words in one of its names.
+def _share(tag: str, values: list[str], within: bool) -> float:
+    """How far an element is marked as no main text, by its tag or by its names: class and id tokens, and role.
 
-    Inside a main element headers belong to it.
+    A name counts by the share of marking words in it, fillers aside. Inside a main element only a name of nothing but
+    marks counts, headers belong to the text, and an unsure mark says nothing of an element of running text.
     """
     if tag in ASIDE or tag == "header" and not within:
         return 1.0
-    return max((sum(w in MARKS and not (within and w == "header") for w in words) / len(words) for words in values if words), default=0.0)
+    best = 0.0
+    for value in values:
+        words = [w for w in re.split(r"[-_]+", value) if w and w not in FILLER] or [value]
+        marks = [w in MARKS and not (within and w == "header") and not (w in UNSURE and tag in RUNNING) for w in words]
+        if not within or all(marks):
+            best = max(best, sum(marks) / len(marks))
+    return best
 
 
 def parts(page: str):
@@ -108,14 +121,16 @@ def parts(page: str):
                 stack.pop()
             elif tag == "body":
                 stack = [x for x in stack if x[0] == "html"]
-            if tag in ("html", "body", "article", "main"):
+            if tag in ("html", "body"):
                 stack.append((tag, (tag,), None))  # their classes speak of the whole page
             elif tag not in VOID:
-                values = [re.findall(r"[^\s_-]+", v) for a in _NAMED.findall(m["attrs"] or m["attrs2"] or "") for v in " ".join(a).lower().split()]
-                own = (tag, *(f".{w}" for words in values for w in words))
+                values = [v for a in _NAMED.findall(m["attrs"] or m["attrs2"] or "") for v in " ".join(a).lower().split()]
                 within = any(x[0] in ("article", "main") for x in stack)
                 n += 1
                 share = _share(tag, values, within)
+                if tag in ("article", "main"):
+                    values, share = [], share if share == 1.0 else 0.0  # of these only a name that says it is none counts
+                own = (tag, *(f".{w}" for v in values for w in re.split(r"[-_]+", v) if w))
                 stack.append((tag, own, Mark(n, tag, own, share, within, len(names)) if share else None))
         silent = sum(x[0] in SILENT for x in stack)
         marks = tuple(x[2] for x in stack if x[2])
@@ -143,15 +158,17 @@ def _labelled(batches):
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([inside[x] for x in names], pa.int64()), pa.array([outside[x] for x in names], pa.int64())], ["name", "inside", "outside"])
 
 
-def fit(pages: DataFrame, max_rows: int = 4_000, max_names: int = 5_000) -> dict[str, float]:
-    """Weights of names (elements and `.class` words) and of tags (`<tag`), from at most about `max_rows` pages."""
-    one = F.size(F.split(F.lower("html"), "<(article|main)[\\s>]")) == 2
-    labelled = pages.select("page_id", "html").filter(F.col("html").isNotNull() & one)
-    sample = bounded(labelled, "page_id", labelled.count(), max_rows, 10).select("html")
+def fit(pages: DataFrame, max_rows: int = 4_000, least: int = 5) -> dict[str, float]:
+    """Weights of names (elements and `.class` words) and of tags (`<tag`), from at most about `max_rows` labelled pages.
+
+    Names with fewer than `least` words or tags in that sample have no weight, so what reaches the driver is bounded by
+    the sample. Without any labelled page there are no weights, and marks alone decide.
+    """
+    labelled = pages.select("page_id", "html").filter(F.regexp_count("html", F.lit("(?i)<(article|main)[\\s>]")) == 1)
+    sample = bounded(labelled, ["page_id", "html"], labelled.count(), max_rows, 10).select("html")
     counted = sample.mapInArrow(_labelled, "name string, inside long, outside long").groupBy("name")
-    counted = counted.agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"))
-    rows = counted.orderBy(F.desc(F.col("i") + F.col("o")), "name").limit(max_names).collect()
-    return weigh({r["name"]: (r["i"], r["o"]) for r in rows})
+    counted = counted.agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).filter(F.col("i") + F.col("o") >= least)
+    return weigh({r["name"]: (r["i"], r["o"]) for r in counted.collect()})
 
 
 def weigh(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
@@ -167,30 +184,45 @@ def weigh(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     return out
 
 
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """(start, stop) of the contiguous run with the highest positive total, the first of equals; one linear scan."""
+    best, low, low_at, total = (0.0, 0, 0), 0.0, 0, 0.0
+    for at, score in enumerate(scores):
+        total += score
+        if total - low > best[0]:
+            best = (total - low, low_at, at + 1)
+        if total < low:
+            low, low_at = total, at + 1
+    return best[1:]
+
+
 def extract(page: str | None, weights: dict[str, float]) -> str:
     """The main text of one page.
 
     A mark adds a prior to the learned weight. Inside a main element the weight is that of the names from the mark on;
-    around it only elements count that never hold the main text. A mark that holds most of the page's words is none.
+    around it only elements count that never hold the main text, and main elements named as something else. On a page
+    without a main element a mark that holds most of the page's words is none.
     """
     if not page:
         return ""
     seen = list(parts(page))
-    held, all_words = Counter(), 0
-    for _, marks, _, text in seen:
+    held, all_words, central = Counter(), 0, False
+    for names, marks, _, text in seen:
+        central = central or "article" in names or "main" in names
         if text is not None:
             n = len(text.split())
             all_words += n
             for m in marks:
                 held[m.number] += n
     wide = {k for k, n in held.items() if 2 * n > all_words}
+    plain = set() if central else wide  # beside a main element, a long list of comments is one still
     known: dict[tuple, float] = {}
 
     def weight(names: tuple[str, ...], marks: tuple[Mark, ...]) -> float:
         main = "article" in names or "main" in names
         # What wraps the page says nothing of its parts, unless it is an element that never holds the main text.
         void = frozenset(x for m in marks if m.number in wide and not m.within and m.tag not in AROUND for x in m.own if x in ASIDE or x[1:] in MARKS)
-        left = [m for m in marks if m.within or m.number not in wide and (not main or m.tag in AROUND)]
+        left = [m for m in marks if m.within or m.number not in (wide if main else plain) and (not main or m.tag in AROUND or m.tag in ("article", "main"))]
         share = max((m.share for m in left), default=0.0)
         key = (names, void, share, left[0].before if left and main else 0)
         if key not in known:
@@ -202,21 +234,18 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
                 known[key] = 1.0 + total + PRIOR * share
         return known[key]
 
-    units, best, low, low_at, total = [], (0.0, 0, 0), 0.0, 0, 0.0
+    units, scores = [], []
     for names, marks, tag, text in seen:
         if tag:
-            score, unit = weights.get(f"<{tag}", -1.0), tag
+            units.append(tag)
+            scores.append(weights.get(f"<{tag}", -1.0))
         else:
             w = weight(names, marks)
-            score, unit = len(text.split()) * w, (text, w)
-        units.append(unit)
-        total += score
-        if total - low > best[0]:
-            best = (total - low, low_at, len(units))
-        if total < low:
-            low, low_at = total, len(units)
+            units.append((text, w))
+            scores.append(len(text.split()) * w)
+    start, stop = best_region(scores)
     blocks, now = [], []
-    for unit in [*units[best[1] : best[2]], "p"]:
+    for unit in [*units[start:stop], "p"]:
         if isinstance(unit, tuple):
             if unit[1] > 0:
                 now.append(references.unescape(unit[0]))
