@@ -6,11 +6,13 @@ linear layer and a softmax whose temperature is set on texts kept out of trainin
 class has less than the threshold found there.
 
 Defined results: `und` with score 0 for a null text or one without a letter; a text whose words are too short for any
-feature gets the class of the prior; repeated rows get equal results; no labelled text at all is an error.
+feature gets the class of the prior; repeated rows get equal results; without any labelled text every text is `und`
+with score 0 and none is rejected; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -36,16 +38,20 @@ def _byte_table() -> np.ndarray:
 BYTES = _byte_table()
 
 
-def features(text: bytes) -> np.ndarray:
-    """Hashed subwords of a text, of at most SLICE bytes."""
-    raw = np.frombuffer(b" " + text + b" ", dtype=np.uint8)
-    low = BYTES[raw]
+def features(text: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """Hashed subwords of a text that begin at its padded places start to stop, the whole text's by default."""
+    n = len(text) + 2
+    stop = n if stop is None else min(stop, n)
+    skip = min(start, 1)  # the byte before tells capital letters
+    low, high = start - skip, min(n, stop + 3)
+    raw = np.frombuffer(b" " * (low == 0) + text[max(0, low - 1) : high - 1] + b" " * (high == n), dtype=np.uint8)
+    found = BYTES[raw]
     upper = (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97) & (raw[:-1] == 0xC3)
-    low[1:][upper] += 0x20  # capital letters of the Latin-1 block
-    c = low.astype(np.uint32)
-    inner = low[1:-1] != 0
-    three = (c[:-2] << 16 | c[1:-1] << 8 | c[2:])[inner]
-    four = ((c[:-3] << 24) | (c[1:-2] << 16) | (c[2:-1] << 8) | c[3:])[inner[:-1] & inner[1:]]
+    found[1:][upper] += 0x20  # capital letters of the Latin-1 block
+    c = found[skip:].astype(np.uint32)
+    inner, places = c != 0, stop - start
+    three = (c[:-2] << 16 | c[1:-1] << 8 | c[2:])[:places][inner[1:-1][:places]]
+    four = ((c[:-3] << 24) | (c[1:-2] << 16) | (c[2:-1] << 8) | c[3:])[:places][(inner[1:-2] & inner[2:-1])[:places]]
     return np.concatenate([(three * np.uint32(2654435761)) >> np.uint32(32 - BITS), ((four * np.uint32(2246822519)) >> np.uint32(32 - BITS)) + np.uint32(1 << BITS)])
 
 
@@ -60,8 +66,8 @@ class Model:
 
     def probabilities(self, text: bytes) -> np.ndarray:
         total, n = np.zeros(self.table.shape[1]), 0
-        for start in range(0, max(len(text), 1), SLICE):
-            f = features(text[max(0, start - 3) : start + SLICE])
+        for start in range(0, len(text) + 2, SLICE):
+            f = features(text, start, start + SLICE)
             total += self.table[f].sum(axis=0, dtype=np.float64)
             n += len(f)
         z = (total / max(n, 1) @ self.out + self.bias) / self.temperature
@@ -69,7 +75,9 @@ class Model:
         return p / p.sum()
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """(class or und, calibrated probability, rejected)."""
+        """(class or und, calibrated probability, rejected); without any class und, and nothing to reject by."""
+        if not self.classes:
+            return "und", 0.0, False
         if text is None or not any(c.isalpha() for c in text):
             return "und", 0.0, True
         p = self.probabilities(text.encode("utf-8", "replace"))
@@ -77,36 +85,50 @@ class Model:
         return self.classes[best], float(p[best]), bool(p[best] < self.threshold)
 
 
-def _windows(text: str, rng: np.random.Generator) -> list[bytes]:
-    """The whole text and a few of its passages of 1 to 60 words, so that short texts are learned too."""
-    words = text.split()
-    out = [text]
+def windows(text: str, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(subwords, counts) of the whole text and of a few of its passages of 1 to 60 words, so that short texts are learned too.
+
+    Of a window with more than `most` subwords as many are drawn, from all of it.
+    """
+    rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "replace")))
+    words, parts = text.split(), [text]
     for _ in range(4):
         n = int(rng.integers(1, 61))
         at = int(rng.integers(0, max(1, len(words) - n)))
-        out.append(" ".join(words[at : at + n]))
-    return [x.encode("utf-8", "replace") for x in out]
-
-
-def train(rows: list[tuple[str, str]], dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 2, reject_quantile: float = 0.001) -> Model:
-    """Fit on (text, lang) rows; every fifth text of a language sets the temperature and the rejection threshold instead."""
-    if not rows:
-        raise ValueError("no labelled text to learn from")
+        parts.append(" ".join(words[at : at + n]))
+    out = []
+    for part in parts:
+        data = part.encode("utf-8", "replace")
+        places = [(at, features(data, at, at + SLICE)) for at in range(0, len(data) + 2, SLICE)]
+        total = sum(len(f) for _, f in places)
+        if total > most:
+            drawn = np.sort(rng.integers(0, total, most))
+            ends = np.cumsum([len(f) for _, f in places])
+            places = [(0, f[drawn[(drawn >= end - len(f)) & (drawn < end)] - (end - len(f))]) for (_, f), end in zip(places, ends)]
+        if total:
+            out.append(np.unique(np.concatenate([f for _, f in places]), return_counts=True))
+    return out
+
+
+def train(rows: list[tuple[str, list]], dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 2, reject_quantile: float = 0.001) -> Model:
+    """Fit on (lang, windows) rows; every fifth text of a language sets the temperature and the rejection threshold instead.
+
+    Without any row the model has no class.
+    """
     rng = np.random.default_rng(seed)
-    classes = sorted({lang for _, lang in rows})
+    classes = sorted({lang for lang, _ in rows})
     index = {c: i for i, c in enumerate(classes)}
     sets: tuple[list, list] = ([], [])
     seen = Counter()
-    for text, lang in sorted(rows):
+    for lang, parts in rows:
         seen[lang] += 1
-        for window in _windows(text, rng):
-            f = features(window[: 8 * SLICE])
-            if len(f):
-                u, n = np.unique(f[rng.integers(0, len(f), 1500)] if len(f) > 1500 else f, return_counts=True)
-                sets[seen[lang] % 5 == 0].append((u, (n / n.sum()).astype(np.float32), index[lang]))
+        for u, n in parts:
+            sets[seen[lang] % 5 == 0].append((u, (n / n.sum()).astype(np.float32), index[lang]))
     learn, held = sets[0] or sets[1], sets[1] or sets[0]
     E = (rng.random((2 << BITS, dim), dtype=np.float32) - 0.5) / dim
     W, bias = np.zeros((dim, len(classes)), np.float32), np.zeros(len(classes), np.float32)
+    if not learn:
+        return Model(classes, E, W.astype(np.float64), bias.astype(np.float64))
     steps, done = max(1, epochs * len(learn)), 0
     for _ in range(epochs):
         for k in rng.permutation(len(learn)):
@@ -141,18 +163,35 @@ def train(rows: list[tuple[str, str]], dim: int = 16, epochs: int = 6, rate: flo
     return model
 
 
-def fit(labelled: DataFrame, max_rows: int = 3_000, least: int = 10, **options) -> Model:
+def fit(labelled: DataFrame, max_rows: int = 3_000, least: int = 10, most: int = 1_500, **options) -> Model:
     """Train on rows (doc_id, text, lang): about `max_rows` at most, or `least` a language, dealt evenly over all languages.
 
-    The sample is what reaches the driver.
+    Repeated rows count once. What reaches the driver are five windows of each sampled text, of at most `most` subwords
+    each.
     """
-    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    totals = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()
-    share = max(least, max_rows // max(1, len(totals)))
-    rates = usable.sparkSession.createDataFrame([(r["lang"], int(1_000_003 * min(1.0, share / r["n"]))) for r in totals], "lang string, rate int")
-    sample = usable.join(F.broadcast(rates), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1_000_003)) < F.col("rate"))
-    rows = [(r["text"], r["lang"]) for r in sample.select("text", "lang").collect()]
-    return train(rows, **options)
+    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    usable = usable.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(2)).alias("h"))
+    totals = usable.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
+    if not totals:
+        return train([])
+    share = max(least, max_rows // len(totals))
+    rates = usable.sparkSession.createDataFrame([(r["lang"], int(1_000_003 * min(1.0, share / max(1, r["n"])))) for r in totals], "lang string, rate int")
+    drawn = usable.join(F.broadcast(rates), "lang").filter(F.pmod("h", F.lit(1_000_003)) < F.col("rate"))
+    drawn = drawn.groupBy("lang", "h").agg(F.first("text").alias("text"))
+
+    def cut(batches):
+        for batch in slices(batches):
+            rows = [(row, k, u, n) for row, t in enumerate(batch.column("text").to_pylist()) for k, (u, n) in enumerate(windows(t, most))]
+            some = batch.take(pa.array([r[0] for r in rows], pa.int64()))
+            lists = (pa.array([r[i] for r in rows], pa.list_(pa.int64())) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([some.column("lang"), some.column("h"), pa.array([r[1] for r in rows], pa.int32()), *lists], ["lang", "h", "k", "u", "n"])
+
+    found = drawn.mapInArrow(cut, "lang string, h long, k int, u array<long>, n array<long>").toArrow()
+    found = found.sort_by([("lang", "ascending"), ("h", "ascending"), ("k", "ascending")])
+    rows: dict[tuple, list] = {}
+    for lang, h, u, n in zip(*(found[c] for c in ("lang", "h", "u", "n"))):
+        rows.setdefault((lang.as_py(), h.as_py()), []).append((u.values.to_numpy(), n.values.to_numpy()))
+    return train([(lang, parts) for (lang, _), parts in rows.items()], **options)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
