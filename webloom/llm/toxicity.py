@@ -5,7 +5,8 @@ Lexicon entries are whole words or word beginnings (`stem*`). They and their wei
 as are exception phrases, whose matches cancel the lexicon matches inside them.
 
 Defined results: a null or empty text, or one without words, has no matches and the lowest score; repeated rows get
-equal scores; without any labelled toxic row the lexicon is empty and every score is the prior's.
+equal scores; with fewer than 5 labelled toxic texts, or none, the lexicon is empty and every score is that of a text
+without matches, below one half; labels other than 0 and 1 are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -165,17 +166,23 @@ def choose_terms(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int,
     return words, stems
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_terms: int = 5_000, least: float = 0.004, precision: float = 0.97) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, least: float = 0.004, precision: float = 0.97) -> Lexicon:
     """Learn a lexicon from docs (doc_id, text) and labels (doc_id, toxic), of which about `max_rows` are used at most.
 
-    The labels are sampled before they meet the texts, so texts never move and what is broadcast is bounded. Half of the bound goes to each label. A term must occur in the share `least` of the toxic sample and in so few
-    clean texts that `precision` of its balanced occurrences are toxic. `max_terms` bounds what reaches the driver.
+    The labels are sampled before they meet the texts, so texts never move and what is broadcast is bounded. Half of
+    the bound goes to each label; repeated labels and texts count once. A term must occur in 5 toxic texts, in the share `least`
+    of the toxic sample and in so few clean texts that `precision` of its balanced occurrences are toxic. Terms and
+    phrases reach the driver; they are those of the sample that occur in 5 of its texts or more.
     """
-    labels = labels.filter("toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    labels = labels.filter("toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     totals = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    parts = [bounded(labels.filter(F.col("toxic") == y), "doc_id", totals.get(y, 0), max_rows // 2, 8) for y in (0, 1)]
+    parts = [bounded(labels.filter(F.col("toxic") == y), ["doc_id"], totals.get(y, 0), max_rows // 2, 8) for y in (0, 1)]
     few = F.broadcast(parts[0].union(parts[1]))
-    sample = save(docs.select("doc_id", "text").join(few, "doc_id").select("doc_id", "text", "toxic"), "toxic-sample")
+    sample = docs.select("doc_id", "text").join(few, "doc_id").groupBy("toxic", F.xxhash64("text").alias("h"), F.xxhash64("text", F.lit(1)).alias("i"))
+    sample = save(sample.agg(F.first("text").alias("text")), "toxic-sample")
+    if (rows := sample.count()) > 2 * max_rows:  # many documents of one id
+        whole, sample = sample, save(bounded(sample, ["h"], rows, max_rows, 9), "toxic-sample")
+        forget(whole)
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(1):
         forget(sample)
@@ -185,10 +192,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_terms: i
     strong = counted.filter(F.col("t") >= max(5, least * n[1])).filter(
         F.col("t") / n[1] >= precision * (F.col("t") / n[1] + F.col("c") / max(n.get(0, 0), 1))
     )
-    rows = strong.orderBy(F.desc("t"), "c", "name").limit(max_terms).collect()
+    rows = strong.orderBy(F.desc("t"), "c", "name").collect()
     words, stems = choose_terms({r["name"]: (r["t"], r["c"]) for r in rows}, n[1], n.get(0, 0), least, precision)
     lexicon = Lexicon(words, stems)
 
+    def beside(text: str, at: int, step: int) -> str:
+        """The blank and word that touch place `at` of a text, before (step -1) or after it (step 1)."""
+        blank = at - 1 if step < 0 else at
+        if not (0 <= blank < len(text) and text[blank] == " "):
+            return ""
+        end = blank + step
+        while 0 <= end < len(text) and text[end].isalnum():
+            end += step
+        word = text[blank + 1 : end] if step > 0 else text[end + 1 : blank]
+        return (f" {word}" if step > 0 else f"{word} ") if word else ""
+
     def around(batches):
         """Each match with the word before or after it, once a text."""
         matcher = Matcher(lexicon)
@@ -199,9 +217,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_terms: i
                 for s, e, _ in matcher.hits(plain(text or "")):
                     while e < len(folded) and folded[e].isalnum():
                         e += 1
-                    before, after = re.search(r"[^\W_]+ $", folded[max(0, s - 40) : s]), re.match(r" [^\W_]+", folded[e : e + 40])
-                    found |= {before[0] + folded[s:e]} if before else set()
-                    found |= {folded[s:e] + after[0]} if after else set()
+                    before, after = beside(folded, s, -1), beside(folded, e, 1)
+                    found |= {before + folded[s:e]} if before else set()
+                    found |= {folded[s:e] + after} if after else set()
                 phrases += found
                 labels += [toxic] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.string()), pa.array(labels, pa.int32())], ["phrase", "toxic"])
@@ -209,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_terms: i
     if words or stems:
         told = sample.select("text", "toxic").mapInArrow(around, "phrase string, toxic int").groupBy("phrase")
         told = told.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).filter("c >= 5 AND t * 20 <= c")
-        lexicon.exceptions = [r["phrase"] for r in told.orderBy(F.desc("c"), "phrase").limit(max_terms).collect()]
+        lexicon.exceptions = [r["phrase"] for r in told.orderBy(F.desc("c"), "phrase").collect()]
     pairs = sample.select("text", "toxic").mapInArrow(_strengths(lexicon), "strength double, toxic int")
     points = pairs.groupBy("strength", "toxic").count().collect()  # at most max_rows of them
     forget(sample)
