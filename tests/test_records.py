@@ -1,6 +1,8 @@
 from datetime import datetime, timedelta
 
-from webloom.operators import aggregates, filters, joins, windows
+from pyspark.sql import functions as F
+
+from webloom.operators import aggregates, filters, joins, scoring, windows
 from webloom.plans import recon
 from webloom.sources import readers, sinks
 from webloom.streaming import streams
@@ -55,6 +57,66 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == sorted(map(tuple, streams.mutation_rate(rows).collect()))
 
 
+def test_logs_are_read_with_their_extras(spark, tmp_path):
+    (tmp_path / "events.json").write_text('{"asctime": "t", "levelname": "INFO", "message": "m", "extra": {"a": "1"}}\nnot json\n')
+    rows = readers.read_logs(spark, str(tmp_path / "events.json")).collect()
+    assert [(r["levelname"], r["message"], r["extra"]) for r in rows] == [("INFO", "m", {"a": "1"})]
+
+
+def test_cases_of_letters_do_not_matter(spark):
+    kinds = spark.createDataFrame([("Application/JSON; x",), ("text/html",), (None,)], "c string")
+    assert [r[0] for r in kinds.select(filters.is_json(F.col("c"))).collect()] == [True, False, False]
+    urls = spark.createDataFrame([("https://x.example/Challenge/1",), ("https://www.LinkedIn.com/in",), (None,)], "u string")
+    none = F.struct(*(F.lit(0).alias(x) for x in ("login_links", "auth_blocks", "blurred", "overlays")), F.lit(False).alias("auth_text"))
+    got = urls.select(scoring.is_challenge(F.col("u")).alias("c"), scoring.signin_likelihood(none, F.col("u")).alias("s")).collect()
+    assert [(r["c"], r["s"]["score"], r["s"]["reasons"]) for r in got] == [(True, 0, []), (False, 30, ["Known auth-heavy platform"]), (None, 0, [])]
+
+
+def test_wide_events_of_one_time_go_by_order(spark):
+    rows = spark.createDataFrame([("p", T0, 2, "DONE", None, None), ("p", T0, 1, "TEST", "u", None)], "project_id string, ts timestamp, n int, state string, url string, error string")
+    assert aggregates.wide_events(rows, order=["n"]).first()["final_state"] == "DONE"
+
+
+def test_report_and_verdicts_of_projects_without_records(spark):
+    rows = spark.createDataFrame([("p", i) for i in range(500)], "project_id string, n int")
+    names = spark.createDataFrame([("p", "https://p"), ("q", "https://q")], "project_id string, url string")
+    got = {r["project_id"]: r for r in aggregates.report(rows, "project_id", ["n"], ["n"], sessions=names).collect()}
+    assert (got["p"]["url"], got["p"]["rows_extracted"], [x["n"] for x in got["p"]["sample_data"]]) == ("https://p", 500, list(range(10)))
+    assert (got["q"]["rows_extracted"], got["q"]["sample_data"]) == (0, None)
+    verdicts = aggregates.quality_verdict(rows, "project_id", ["n"], projects=names).collect()
+    assert {r["project_id"]: (r["verdict"], r["bad_columns"]) for r in verdicts} == {"p": ("pass", []), "q": ("no_data", [])}
+    twice = spark.createDataFrame([("p", "A "), ("p", "a"), ("p", None), ("q", "a")], "project_id string, x string")
+    assert {tuple(r) for r in aggregates.removed_counts(twice, "project_id", ["x"]).collect()} == {("p", 3, 1), ("q", 1, 0)}
+
+
+def stream(spark, frame, path, name, build, mode="append"):
+    frame.coalesce(1).write.parquet(path)
+    q = build(spark.readStream.schema(frame.schema).parquet(path)).writeStream.format("memory").queryName(name).outputMode(mode).start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name)
+
+
+def test_other_streams(spark, tmp_path):
+    at = lambda s: T0 + timedelta(seconds=s)
+    log = spark.createDataFrame([(1, at(5), "https://x/api/a", "application/json", None), (1, at(70), "https://x/p", "text/html", "websocket"), (2, at(9_000), "https://x/p", None, None)], "page_id long, ts timestamp, url string, content_type string, upgrade string")
+    got = stream(spark, log, str(tmp_path / "log"), "counters", streams.network_counters, "complete")
+    assert sorted(map(tuple, got.drop("start").collect())) == [(1, 1, 0, 0, 1), (1, 1, 1, 1, 0), (2, 1, 0, 0, 0)]
+    records = spark.createDataFrame([("p", at(0), "A"), ("p", at(1), "a "), ("q", at(2), "a"), ("p", at(3), "b")], "project string, ts timestamp, x string")
+    got = stream(spark, records, str(tmp_path / "records"), "once", lambda s: streams.dedup(s, "project", ["x"]))
+    assert sorted((r["project"], r["x"].strip().lower()) for r in got.collect()) == [("p", "a"), ("p", "b"), ("q", "a")]
+    states = spark.createDataFrame([("p", at(0), "INIT"), ("p", at(60), "DONE"), ("q", at(90_000), "INIT")], "project_id string, ts timestamp, state string")
+    got = stream(spark, states, str(tmp_path / "states"), "ended", streams.completions)
+    assert [tuple(r) for r in got.collect()] in ([("p", "DONE", True, 60.0)], [])
+    assert sorted(map(tuple, streams.completions(states).collect())) == [("p", "DONE", True, 60.0), ("q", "INIT", False, 0.0)]
+    events = spark.createDataFrame([("extract", {"a": "b"})], "type string, data map<string,string>")
+    sinks.append_events(events, str(tmp_path / "rec"))
+    q = streams.recording_tail(spark, str(tmp_path / "rec")).writeStream.format("memory").queryName("tail").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [(r["type"], r["data"], r["ts"] is not None) for r in spark.table("tail").collect()] == [("extract", {"a": "b"}, True)]
+
+
 def test_all_endpoints_count(spark):
     urls = [(1, f"https://x.example/api/a{i:03}", "text/html") for i in range(80)] + [(1, "https://x.example/api/Verify", "text/html"), (2, "https://x.example/datadome", "application/json"), (3, "https://x.example/verify", "text/html")]
     rows = spark.createDataFrame([(*r, None, 1) for r in urls], "page_id long, url string, content_type string, upgrade string, size long")

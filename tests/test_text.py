@@ -17,12 +17,12 @@ def test_redact_text(spark):
 
 def test_json_from_text(spark):
     cases = {
-        '{"fields": ["title", "price"]}': '{"fields":["title","price"]}',
-        '```json\n{"fields": ["title"]}\n```': '{"fields":["title"]}',
-        'Here is the data: {"id": 123} Hope this helps!': '{"id":123}',
-        '{"id": 123': "{}",
+        '{"columns": [1, 2]}': '{"columns":[1,2]}',
+        '```json\n\t{"columns": ["name"]}\n```': '{"columns":["name"]}',
+        'Found it - {"n": 7}. Anything else?': '{"n":7}',
+        '{"n": 7': "{}",
         "": "{}",
-        "   ": "{}",
+        " \t ": "{}",
     }
     rows = spark.createDataFrame(list(cases.items()), "content string, want string")
     got = rows.select("want", F.to_json(fn.parse_json(F.col("content"))).alias("got")).collect()
@@ -31,11 +31,11 @@ def test_json_from_text(spark):
 
 def test_code_from_text(spark):
     assert one(spark, fn.code_text(F.col("t")), t="a\n```python\nx\n```\n```\nlonger\n```") == "longer"
-    assert one(spark, fn.code_text(F.col("t")), t="Sure!\nimport os\nprint(1)") == "import os\nprint(1)"
+    assert one(spark, fn.code_text(F.col("t")), t="Sure!\n\timport os\nprint(1)") == "import os\nprint(1)"
 
 
 def test_urls(spark):
-    urls = {"https://example.com": True, "http://localhost:8080/test": True, "ftp://example.com": False, "example.com": False, "not-a-url": False, None: False}
+    urls = {"https://a.example": True, "HTTP://localhost:81/x": True, "ftp://a.example": False, "a.example": False, "https://": False, "words": False, None: False}
     rows = spark.createDataFrame([(u, v) for u, v in urls.items()], "u string, v boolean")
     assert rows.filter(fn.valid_url(F.col("u")) != F.col("v")).count() == 0
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NODE = "array<struct<node_id:int,parent_id:int,subtree_end:int,depth:int,tag:string,id:string,classes:array<string>,attrs:map<string,string>,texts:array<string>,text:string,in_chrome:boolean>>"
+NODE = "array<struct<node_id:int,parent_id:int,subtree_end:int,depth:int,place:int,nth:int,tag:string,id:string,classes:array<string>,attrs:map<string,string>,texts:array<string>,words:array<struct<at:int,s:string>>,in_chrome:boolean>>"
 # Elements without an end tag, and start tags that end an open element of the kinds named.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -19,13 +20,15 @@ CHROME = {"nav", "header", "footer"}
 class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.nodes, self.open = [], []
+        self.nodes, self.open, self.kids, self.pieces = [], [], {}, 0
 
     def add(self, tag: str, attrs: dict) -> dict:
         parent = self.open[-1] if self.open else None
+        above = parent["node_id"] if parent else None
+        kids = self.kids.setdefault(above, Counter())
+        kids[tag] += 1
         node = {
-            "node_id": len(self.nodes), "parent_id": parent["node_id"] if parent else None, "subtree_end": 0,
-            "depth": len(self.open) + 1, "tag": tag, "id": attrs.get("id"), "classes": (attrs.get("class") or "").split(),
+            "node_id": len(self.nodes), "parent_id": above, "subtree_end": 0, "depth": len(self.open) + 1, "place": kids.total(), "nth": kids[tag], "tag": tag, "id": attrs.get("id"), "classes": (attrs.get("class") or "").split(),
             "attrs": list(attrs.items()), "texts": [], "words": [], "in_chrome": tag in CHROME or bool(parent and parent["in_chrome"]),
         }
         self.nodes.append(node)
@@ -74,8 +77,8 @@ class _Tree(HTMLParser):
         if self.open:
             self.open[-1]["texts"].append(data)
             if data.strip():
-                for node in self.open:
-                    node["words"].append(data.strip())
+                self.pieces += 1
+                self.open[-1]["words"].append({"at": self.pieces, "s": data.strip()})
 
     def handle_comment(self, data):
         if self.open:
@@ -84,7 +87,7 @@ class _Tree(HTMLParser):
     def result(self) -> list[dict]:
         while self.open:
             self.shut()
-        return [{k: v for k, v in n.items() if k != "words"} | {"text": "".join(n["words"])} for n in self.nodes]
+        return self.nodes
 
 
 def parse(page: str | None) -> list[dict] | None:
@@ -96,9 +99,18 @@ def parse(page: str | None) -> list[dict] | None:
     return tree.result()
 
 
+def parse_with_text(page: str | None) -> list[dict]:
+    """Nodes with the `text` of their subtrees, for plug-ins."""
+    nodes = parse(page) or []
+    for n in nodes:
+        words = (w for m in nodes[n["node_id"] : n["subtree_end"]] for w in m["words"])
+        n["text"] = "".join(w["s"] for w in sorted(words, key=lambda w: w["at"]))
+    return nodes
+
+
 _TYPE = pa.list_(
     pa.struct(
-        [("node_id", pa.int32()), ("parent_id", pa.int32()), ("subtree_end", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("id", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("texts", pa.list_(pa.string())), ("text", pa.string()), ("in_chrome", pa.bool_())]
+        [("node_id", pa.int32()), ("parent_id", pa.int32()), ("subtree_end", pa.int32()), ("depth", pa.int32()), ("place", pa.int32()), ("nth", pa.int32()), ("tag", pa.string()), ("id", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("texts", pa.list_(pa.string())), ("words", pa.list_(pa.struct([("at", pa.int32()), ("s", pa.string())]))), ("in_chrome", pa.bool_())]
     )
 )
 
@@ -108,10 +120,25 @@ def _nodes(pages: pa.Array) -> pa.Array:
 
 
 def html_nodes(page: str | Column) -> Column:
-    """Node arrays of html pages: subtree_end is the first node id after the subtree; text is all stripped text in it."""
+    """Node arrays of html pages.
+
+    subtree_end is the first node id after the subtree; place and nth count siblings, all and of one tag, from 1; texts
+    are a node's own pieces of text and comments; words are its own stripped texts with their place in the page.
+    """
     return F.arrow_udf(_nodes, NODE)(page)
 
 
+def subtree(nodes: Column, node: Column) -> Column:
+    """A node and all nodes inside it, of a page's nodes or of a subtree that holds it."""
+    return F.slice(nodes, node["node_id"] - nodes[0]["node_id"] + 1, node["subtree_end"] - node["node_id"])
+
+
+def text_of(nodes: Column, node: Column) -> Column:
+    """All stripped text in a node's subtree, joined."""
+    words = F.flatten(F.transform(subtree(nodes, node), lambda n: n["words"]))
+    return F.array_join(F.transform(F.array_sort(words), lambda w: w["s"]), "")
+
+
 _COMPOUND = re.compile(r"([a-zA-Z][\w-]*|\*)|#([\w-]+)|\.([\w-]+)|\[([\w-]+)(?:(\*?=)[\"']?([^\"'\]]*)[\"']?)?\]|:nth-of-type\((\d+)\)")
 
 

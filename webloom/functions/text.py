@@ -14,8 +14,10 @@ SECRETS = [
     (r"[\p{L}\p{N}_\.-]+@[\p{L}\p{N}_\.-]+\.[\p{L}\p{N}_]+", "[REDACTED_EMAIL]"),
     (r"Bearer [a-zA-Z0-9\._-]+", "[REDACTED_AUTH_TOKEN]"),
 ]
+# Keys whose values are redacted.
 SENSITIVE = ["password", "secret", "token", "key"]
 # States in order, and the final ones.
+STATES = "INIT LOGIN GUIDED_ACCESS RECON INTERACTIVE_SOLVE LLM_ANALYSIS USER_CONFIG CODEGEN TEST REPAIR APPROVED FINAL_RUN DONE FAILED".split()
 FINAL_STATES = ["DONE", "FAILED"]
 
 
@@ -68,7 +70,7 @@ def code_text(content: Column) -> Column:
     blocks = F.regexp_extract_all(content, F.lit(r"```(?:python)?\s*([\s\S]*?)```"), 1)
     numbered = F.transform(blocks, lambda b, i: F.struct(F.length(b).alias("n"), (-i).alias("i"), b.alias("b")))
     lines = F.split(content, "\n")
-    starts = lambda x: F.trim(x).rlike(r"^(import |from |class |def |async def |#!)")
+    starts = lambda x: strip(x).rlike(r"^(import |from |class |def |async def |#!)")
     first = F.array_position(F.transform(lines, lambda x: starts(x)), True)
     tail = F.array_join(F.slice(lines, F.greatest(first, F.lit(1)).cast("int"), F.size(lines)), "\n")
     return strip(F.when(F.size(blocks) > 0, F.array_max(numbered)["b"]).when(first > 0, tail).otherwise(content))
@@ -97,6 +99,11 @@ def is_final(state: Column) -> Column:
     return state.isin(FINAL_STATES)
 
 
+def state_order(state: Column) -> Column:
+    """Place of a state in the order that runs go through, from 1; null for an unknown one."""
+    return F.nullif(F.array_position(F.array(*map(F.lit, STATES)), state), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space of any script at either end."""
     return F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")

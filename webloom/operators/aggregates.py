@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions.text import content_key, falsy, is_final
@@ -21,19 +21,46 @@ def missing_ratio(records: DataFrame, columns: list[str], threshold: float = 0.8
     return long.select(*by, "column_name", "missing", "total", ratio.alias("ratio"), (ratio > threshold).alias("flagged"))
 
 
-def quality_verdict(records: DataFrame, project: str, columns: list[str], threshold: float = 0.5) -> DataFrame:
-    """(project, verdict pass | fix_columns, bad_columns)."""
+def quality_verdict(records: DataFrame, project: str, columns: list[str], threshold: float = 0.5, projects: DataFrame | None = None) -> DataFrame:
+    """(project, verdict pass | fix_columns | no_data, bad_columns).
+
+    projects: all projects of which a verdict is due; those without a record have no data.
+    """
     per = missing_ratio(records, columns, threshold, [project])
     bad = F.sort_array(F.collect_list(F.when(F.col("flagged"), F.col("column_name"))))
     out = per.groupBy(project).agg(bad.alias("bad_columns"))
-    return out.select(project, F.when(F.size("bad_columns") > 0, "fix_columns").otherwise("pass").alias("verdict"), "bad_columns")
+    if projects is not None:
+        out = projects.select(project).distinct().join(out, project, "left")
+    verdict = F.when(F.col("bad_columns").isNull(), "no_data").when(F.size("bad_columns") > 0, "fix_columns").otherwise("pass")
+    return out.select(project, verdict.alias("verdict"), F.coalesce("bad_columns", F.array().cast("array<string>")).alias("bad_columns"))
+
+
+def _content_hash(fields: list[str]) -> list[Column]:
+    key = content_key([F.col(f) for f in fields])
+    return [F.xxhash64(key).alias("_h1"), F.xxhash64(key, F.lit(1)).alias("_h2")]
 
 
 def dedup_records(records: DataFrame, project: str, order: list[str], fields: list[str]) -> DataFrame:
-    """First record, by `order`, of each content key of a project."""
-    keyed = records.withColumn("_key", content_key([F.col(f) for f in fields]))
+    """First record, by `order`, of each content of a project; contents are told apart by a hash of 128 bits."""
     first = F.min_by(F.struct(*records.columns), F.struct(*order))
-    return keyed.groupBy(F.col(project).alias("_project"), "_key").agg(first.alias("r")).select("r.*")
+    keyed = records.withColumns(dict(zip(("_h1", "_h2"), _content_hash(fields))))
+    return keyed.groupBy(F.col(project).alias("_project"), "_h1", "_h2").agg(first.alias("r")).select("r.*")
+
+
+def removed_counts(records: DataFrame, project: str, fields: list[str]) -> DataFrame:
+    """(project, records, removed): how many records of each project repeat the content of another."""
+    groups = records.select(project, *_content_hash(fields)).groupBy(project, "_h1", "_h2").agg(F.count("*").alias("n"))
+    return groups.groupBy(project).agg(F.sum("n").alias("records"), F.sum(F.col("n") - 1).alias("removed"))
+
+
+def api_requests(requests: DataFrame, keep: list[str] = ("page_id", "method", "resource_type")) -> DataFrame:
+    """Every request to an API, one row each: keep and the first 200 characters of its url."""
+    return requests.filter(is_api(F.col("url"))).select(*keep, F.substring("url", 1, 200).alias("url"))
+
+
+def json_responses(requests: DataFrame, keep: list[str] = ("page_id", "status", "size")) -> DataFrame:
+    """Every JSON response, one row each: keep and the first 200 characters of its url."""
+    return requests.filter(is_json(F.col("content_type"))).select(*keep, F.substring("url", 1, 200).alias("url"))
 
 
 def network_activity(requests: DataFrame, key: str = "page_id") -> DataFrame:
@@ -65,19 +92,35 @@ def usage_totals(calls: DataFrame) -> DataFrame:
     return calls.groupBy("model").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count("*").alias("calls"))
 
 
-def report(records: DataFrame, project: str, order: list[str], fields: list[str], sample: int = 10) -> DataFrame:
-    """(project, rows_extracted, sample_data) with the first rows of each project."""
-    ranked = records.withColumn("_k", F.row_number().over(Window.partitionBy(project).orderBy(*order))).filter(F.col("_k") <= sample)
-    shown = ranked.groupBy(project).agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", F.struct(*fields).alias("r")))), lambda x: x["r"]).alias("sample_data"))
-    return records.groupBy(project).agg(F.count("*").alias("rows_extracted")).join(shown, project)
+def report(records: DataFrame, project: str, order: list[str], fields: list[str], sample: int = 10, sessions: DataFrame | None = None) -> DataFrame:
+    """(project, url, generated_at, rows_extracted, sample_data) with the first rows of each project.
 
-
-def wide_events(states: DataFrame, project: str = "project_id") -> DataFrame:
-    """One completion row per session from (project_id, ts, state, url, error)."""
+    sessions (project, url) name the pages; a project without one has the url `Unknown`, one without records no rows.
+    The first rows of a project are kept as records are read, so a large project is never in one task.
+    """
+    ranked = records.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(64)))
+    near = ranked.withColumn("_k", F.row_number().over(Window.partitionBy(project, "_part").orderBy(*order))).filter(F.col("_k") <= sample)
+    last = near.withColumn("_k", F.row_number().over(Window.partitionBy(project).orderBy(*order))).filter(F.col("_k") <= sample)
+    shown = last.groupBy(project).agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", F.struct(*fields).alias("r")))), lambda x: x["r"]).alias("sample_data"))
+    out = records.groupBy(project).agg(F.count("*").alias("rows_extracted")).join(shown, project)
+    if sessions is None:
+        out = out.withColumn("url", F.lit("Unknown"))
+    else:
+        urls = sessions.groupBy(project).agg(F.max("url").alias("url"))
+        out = out.join(urls, project, "full").withColumns({"url": F.coalesce("url", F.lit("Unknown")), "rows_extracted": F.coalesce("rows_extracted", F.lit(0))})
+    return out.select(project, "url", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("generated_at"), "rows_extracted", "sample_data")
+
+
+def wide_events(states: DataFrame, project: str = "project_id", order: list[str] = ()) -> DataFrame:
+    """One completion row per session from (project_id, ts, state, url, error).
+
+    Of rows with one time the last by `order`, then by state, counts.
+    """
     seconds = F.col("ts").cast("timestamp").cast("double")
+    at = F.struct("ts", *order, "state")
     return states.groupBy(project).agg(
-        F.max_by("state", "ts").alias("final_state"),
+        F.max_by("state", at).alias("final_state"),
         F.round(F.max(seconds) - F.min(seconds), 2).alias("duration_seconds"),
-        F.max_by("url", F.when(F.col("url").isNotNull(), F.col("ts"))).alias("url"),
-        F.max_by("error", F.when(F.col("error").isNotNull(), F.col("ts"))).alias("error"),
+        F.max_by("url", F.when(F.col("url").isNotNull(), at)).alias("url"),
+        F.max_by("error", F.when(F.col("error").isNotNull(), at)).alias("error"),
     ).withColumns({"success": F.col("final_state") == "DONE", "ended": is_final(F.col("final_state"))})

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.functions.nodes import compound, html_nodes, select
-from webloom.functions.text import contains_any, selector
+from webloom.functions.nodes import compound, html_nodes, select, subtree, text_of
+from webloom.functions.text import contains_any, selector, strip
 
 SAFE = r"^[a-zA-Z0-9_-]+$"
 # Tags that are no repeating section, and parents whose text is no field.
@@ -57,11 +57,11 @@ def next_selector(nodes: Column) -> Column:
     """Selector of the first next-page link or button that yields one."""
 
     def found(n: Column) -> Column:
-        text = F.lower(F.trim(n["text"]))
+        text = F.lower(text_of(nodes, n))
         return n["tag"].isin("a", "button") & (text.isin(NEXT_TEXTS) | F.exists(n["classes"], lambda c: c.contains("next")))
 
     def name(n: Column) -> Column:
-        by_text = F.when(F.lower(F.trim(n["text"])) == "next", F.concat(n["tag"], F.lit(":contains('Next')")))
+        by_text = F.when(F.lower(text_of(nodes, n)) == "next", F.concat(n["tag"], F.lit(":contains('Next')")))
         by_class = F.when(F.size(n["classes"]) > 0, F.concat(F.lit("."), F.array_join(n["classes"], ".")))
         return F.coalesce(F.when(n["id"] != "", F.concat(F.lit("#"), n["id"])), by_class, by_text)
 
@@ -106,7 +106,7 @@ def lazy_images(nodes: Column) -> Column:
 
 
 def anti_bot(nodes: Column) -> Column:
-    title = F.exists(nodes, lambda n: (n["tag"] == "title") & n["text"].contains("Cloudflare"))
+    title = F.exists(nodes, lambda n: (n["tag"] == "title") & text_of(nodes, n).contains("Cloudflare"))
     return F.struct(
         any_match(nodes, 'iframe[src*="captcha"]', '[id*="captcha"]').alias("captcha"),
         any_match(nodes, '[id*="cookie"]', '[class*="cookie"]').alias("cookie_wall"),
@@ -142,42 +142,53 @@ def defence(nodes: Column) -> Column:
 
 
 def sections(parsed: DataFrame, candidates: int = 30, least: int = 2, most: int = 12) -> DataFrame:
-    """Repeating sections of parsed pages: (page_id, rank, selector, count, score, fields), best first.
+    """Repeating sections of parsed pages: (page_id, rank, type, selector, count, score, fields), best first.
 
     Nodes of one tag and one set of safe classes are a group; the most common groups whose first matching element is
-    rich, or has text, and yields fields are scored by fields times the root of their count.
+    rich, or has text, and yields fields are scored by fields times the root of their count. A page is worked on within
+    its row: only the candidate groups' first elements leave it.
     """
-    nodes = node_table(parsed).withColumn("safe", F.array_sort(F.array_distinct(safe_classes(F.col("classes")))))
-    groups = nodes.filter(~F.col("tag").isin(NO_SECTION) & (F.size("safe") > 0)).groupBy("page_id", "tag", "safe")
-    groups = groups.agg(F.count("*").alias("count"), F.min("node_id").alias("first"))
-    ranked = groups.withColumn("order", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("count"), "first")))
-    ranked = ranked.filter((F.col("order") <= candidates) & (F.col("count") > least))
-    g, n = ranked.alias("g"), nodes.alias("n")
-    first = g.join(n, (F.col("g.page_id") == F.col("n.page_id")) & (F.col("g.tag") == F.col("n.tag")) & (F.size(F.array_except("g.safe", "n.classes")) == 0))
-    example = first.groupBy("g.page_id", "g.tag", "g.safe", "g.count", "g.order").agg(F.min_by(F.struct("n.node_id", "n.subtree_end", "n.text"), "n.node_id").alias("e"))
-    example = example.select("page_id", "tag", "safe", "count", "order", "e.*").alias("e")
-    inside = example.join(n, (F.col("e.page_id") == F.col("n.page_id")) & (F.col("n.node_id") >= F.col("e.node_id")) & (F.col("n.node_id") < F.col("e.subtree_end")))
-    css = selector(F.col("n.tag"), safe_classes(F.col("n.classes")))
-    direct = F.col("n.parent_id") == F.col("e.node_id")
-    parts = inside.select(
-        "e.page_id", "e.order", F.col("n.node_id").alias("at"), css.alias("css"), direct.alias("direct"), F.col("n.tag").alias("own"),
-        F.filter(F.transform("n.texts", lambda t: F.trim(t)), lambda t: (F.length(t) > 1) & (F.length(t) < 250)).alias("texts"),
-        F.col("n.attrs").alias("attrs"), (F.col("n.node_id") == F.col("e.node_id")).alias("self"),
-    )
-    rich = parts.filter("direct").groupBy("page_id", "order").agg(F.count("*").alias("kids"), F.countDistinct("own").alias("kinds"))
-    text = parts.filter(~F.col("own").isin(NO_TEXT) & (F.size("texts") > 0)).select("page_id", "order", F.lit(1).alias("phase"), "at", "css", F.lit("text_field").alias("name"), F.substring(F.col("texts")[0], 1, 50).alias("sample"))
-    link = parts.filter((F.col("own") == "a") & ~F.col("self") & F.map_contains_key("attrs", "href")).select("page_id", "order", F.lit(2), "at", "css", F.lit("link"), F.substring(F.col("attrs")["href"], 1, 50))
-    image = parts.filter((F.col("own") == "img") & ~F.col("self") & F.map_contains_key("attrs", "src")).select("page_id", "order", F.lit(3), "at", "css", F.lit("image"), F.substring(F.col("attrs")["src"], 1, 50))
-    seen = Window.partitionBy("page_id", "order", "css").orderBy("phase", "at")
-    fields = text.union(link).union(image).withColumn("k", F.row_number().over(seen)).filter("k = 1")
-    fields = fields.groupBy("page_id", "order").agg(F.sort_array(F.collect_list(F.struct("phase", "at", "name", "css", "sample"))).alias("fields"))
-    scored = example.join(fields, ["page_id", "order"]).join(rich, ["page_id", "order"], "left")
-    scored = scored.filter(((F.col("kids") >= 2) & (F.col("kinds") >= 2)) | (F.length("text") >= 5))
-    scored = scored.withColumn("score", F.size("fields") * F.sqrt("count"))
+    n, inside = F.col("nodes"), F.col("inside")
+    safe = lambda x: F.array_sort(F.array_distinct(safe_classes(x["classes"])))
+    some = F.filter(n, lambda x: ~x["tag"].isin(NO_SECTION) & (F.size(safe_classes(x["classes"])) > 0))
+    keys = parsed.select("page_id", "nodes", F.transform(some, lambda x: F.struct(x["tag"].alias("tag"), safe(x).alias("safe"), x["node_id"].alias("at"))).alias("keys"))
+    kinds = F.array_distinct(F.transform("keys", lambda k: F.struct(k["tag"].alias("tag"), k["safe"].alias("safe"))))
+
+    def group(g: Column) -> Column:
+        own = F.filter("keys", lambda k: (k["tag"] == g["tag"]) & (k["safe"] == g["safe"]))
+        return F.struct((-F.size(own)).alias("less"), own[0]["at"].alias("first"), g["tag"].alias("tag"), g["safe"].alias("safe"))
+
+    top = keys.select("page_id", "nodes", F.slice(F.array_sort(F.transform(kinds, group)), 1, candidates).alias("top"))
+
+    def example(g: Column) -> Column:
+        found = F.filter(n, lambda x: (x["tag"] == g["tag"]) & (F.size(F.array_except(g["safe"], x["classes"])) == 0))
+        return subtree(n, found[0])
+
+    found = F.transform(F.filter("top", lambda g: -g["less"] > least), lambda g: F.struct(g.alias("g"), example(g).alias("inside")))
+    rows = top.select("page_id", F.posexplode(found).alias("order", "x")).select("page_id", "order", "x.g.tag", "x.g.safe", (-F.col("x.g.less")).cast("long").alias("count"), "x.inside")
+    css = lambda x: selector(x["tag"], safe_classes(x["classes"]))
+    clean = lambda x: F.filter(F.transform(x["texts"], strip), lambda t: (F.length(t) > 1) & (F.length(t) < 250))
+
+    def part(phase: int, name: str, test, value) -> Column:
+        one = lambda x: F.struct(F.lit(phase).alias("phase"), x["node_id"].alias("at"), F.lit(name).alias("name"), css(x).alias("css"), F.substring(value(x), 1, 50).alias("sample"))
+        return F.transform(F.filter(inside, test), one)
+
+    below = lambda x: x["node_id"] != inside[0]["node_id"]
+    parts = F.concat(
+        part(1, "text_field", lambda x: ~x["tag"].isin(NO_TEXT) & (F.size(clean(x)) > 0), lambda x: clean(x)[0]),
+        part(2, "link", lambda x: (x["tag"] == "a") & below(x) & F.map_contains_key(x["attrs"], "href"), lambda x: x["attrs"]["href"]),
+        part(3, "image", lambda x: (x["tag"] == "img") & below(x) & F.map_contains_key(x["attrs"], "src"), lambda x: x["attrs"]["src"]),
+    )
+    kids = F.transform(F.filter(inside, lambda x: x["parent_id"] == inside[0]["node_id"]), lambda x: x["tag"])
+    rows = rows.select("page_id", "order", "tag", "safe", "count", F.array_sort(parts).alias("parts"), kids.alias("kids"), F.length(text_of(inside, inside[0])).alias("chars"))
+    names = rows.withColumn("names", F.transform("parts", lambda f: f["css"]))
+    first = names.withColumn("fields", F.filter("parts", lambda f, i: F.array_position("names", f["css"]) == i + 1))
+    rich = (F.size("kids") >= 2) & (F.size(F.array_distinct("kids")) >= 2)
+    scored = first.filter((F.size("fields") > 0) & (rich | (F.col("chars") >= 5))).withColumn("score", F.size("fields") * F.sqrt("count"))
     scored = scored.withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "order"))).filter(F.col("rank") <= most)
-    clean = F.transform("fields", lambda f: F.struct(f["name"].alias("name"), f["css"].alias("css"), f["sample"].alias("sample")))
+    fields = F.transform("fields", lambda f: F.struct(f["name"].alias("name"), f["css"].alias("css"), f["sample"].alias("sample")))
     kind = F.when(F.col("tag").isin("table", "tr"), "table").otherwise("repeating_list")
-    return scored.select("page_id", "rank", kind.alias("type"), selector(F.col("tag"), F.col("safe")).alias("selector"), "count", "score", clean.alias("fields"))
+    return scored.select("page_id", "rank", kind.alias("type"), selector(F.col("tag"), F.col("safe")).alias("selector"), "count", "score", fields.alias("fields"))
 
 
 def best_unit(parsed: DataFrame, least: int = 5) -> DataFrame:
@@ -189,35 +200,47 @@ def best_unit(parsed: DataFrame, least: int = 5) -> DataFrame:
 
 
 def tree_export(parsed: DataFrame, most: int = 500) -> DataFrame:
-    """Nodes with at most `most` children of each parent, and a marker row for the others."""
-    nodes = node_table(parsed)
-    place = Window.partitionBy("page_id", "parent_id").orderBy("node_id")
-    numbered = nodes.withColumn("place", F.row_number().over(place))
-    leaf = F.col("subtree_end") == F.col("node_id") + 1
-    kept = numbered.filter(F.col("place") <= most).select("page_id", "parent_id", "node_id", "tag", F.when(leaf, F.substring("text", 1, 50)).alias("text"))
-    more = numbered.groupBy("page_id", "parent_id").agg(F.count("*").alias("n")).filter(F.col("n") > most)
-    marks = more.select("page_id", "parent_id", F.lit(None).cast("int"), F.lit("#more"), F.format_string("... %d more items ...", F.col("n") - most))
-    return kept.union(marks)
+    """(page_id, parent_id, node_id, tag, text): nodes with at most `most` children of each parent, and a marker row for the others.
+
+    What is inside a node that is left out is left out too.
+    """
+    n = F.col("nodes")
+    cut = F.filter(n, lambda x: x["place"] > most)
+    out = lambda x: F.exists(cut, lambda c: (c["node_id"] <= x["node_id"]) & (x["node_id"] < c["subtree_end"]))
+    row = lambda parent, node, tag, text: F.struct(parent.alias("parent_id"), node.alias("node_id"), tag.alias("tag"), text.alias("text"))
+    leaf = lambda x: F.when(x["subtree_end"] == x["node_id"] + 1, F.substring(text_of(n, x), 1, 50))
+    kept = F.transform(F.filter(n, lambda x: ~out(x)), lambda x: row(x["parent_id"], x["node_id"], x["tag"], leaf(x)))
+    over = F.filter(n, lambda x: (x["place"] == most + 1) & ~F.exists(cut, lambda c: (c["node_id"] < x["node_id"]) & (x["node_id"] < c["subtree_end"])))
+    rest = lambda x: F.size(F.filter(n, lambda y: y["parent_id"].eqNullSafe(x["parent_id"]))) - most
+    marks = F.transform(over, lambda x: row(x["parent_id"], F.lit(None).cast("int"), F.lit("#more"), F.format_string("... %d more items ...", rest(x))))
+    return parsed.select("page_id", F.explode(F.concat(kept, marks)).alias("r")).select("page_id", "r.*")
 
 
 def stable_selector(parsed: DataFrame) -> DataFrame:
     """(page_id, node_id, css): #id, else a test id or label, else a path of tags and positions."""
-    nodes = node_table(parsed)
-    nth = F.row_number().over(Window.partitionBy("page_id", "parent_id", "tag").orderBy("node_id"))
-    steps = nodes.withColumn("step", F.concat("tag", F.lit(":nth-of-type("), nth, F.lit(")")))
-    a, b = steps.alias("a"), steps.alias("b")
-    on = (F.col("a.page_id") == F.col("b.page_id")) & (F.col("b.node_id") <= F.col("a.node_id")) & (F.col("a.node_id") < F.col("b.subtree_end"))
-    paths = a.join(b, on).groupBy("a.page_id", "a.node_id").agg(F.sort_array(F.collect_list(F.struct("b.depth", "b.step"))).alias("p"), F.first("a.id").alias("id"), F.first("a.attrs").alias("attrs"))
-    named = [F.when(F.col("attrs")[k].isNotNull(), F.concat(F.lit(f'[{k}="'), F.col("attrs")[k], F.lit('"]'))) for k in ("data-testid", "data-qa", "aria-label")]
-    path = F.array_join(F.transform("p", lambda x: x["step"]), " > ")
-    return paths.select("page_id", "node_id", F.coalesce(F.when(F.col("id") != "", F.concat(F.lit("#"), "id")), *named, path).alias("css"))
-
-
-def value_of(node: Column, kind: str = "text") -> Column:
-    """A node's value: the title attribute before the text; src of images; href of links."""
+    n = F.col("nodes")
+
+    def path(x: Column) -> Column:
+        """Steps from the node up to the root, by parent ids."""
+        at = lambda acc: n[acc["at"]]
+        step = lambda acc: F.concat(at(acc)["tag"], F.lit(":nth-of-type("), at(acc)["nth"], F.lit(")"))
+        start = F.struct(x["node_id"].alias("at"), F.array().cast("array<string>").alias("steps"))
+        up = lambda acc, _: F.struct(F.coalesce(at(acc)["parent_id"], acc["at"]).alias("at"), F.array_append(acc["steps"], step(acc)).alias("steps"))
+        return F.aggregate(F.sequence(F.lit(1), x["depth"]), start, up, lambda acc: F.array_join(F.reverse(acc["steps"]), " > "))
+
+    def css(x: Column) -> Column:
+        named = [F.when(x["attrs"][k].isNotNull(), F.concat(F.lit(f'[{k}="'), x["attrs"][k], F.lit('"]'))) for k in ("data-testid", "data-qa", "aria-label")]
+        return F.coalesce(F.when(x["id"] != "", F.concat(F.lit("#"), x["id"])), *named, path(x))
+
+    found = F.transform(n, lambda x: F.struct(x["node_id"].alias("node_id"), css(x).alias("css")))
+    return parsed.select("page_id", F.explode(found).alias("r")).select("page_id", "r.*")
+
+
+def value_of(nodes: Column, node: Column, kind: str = "text") -> Column:
+    """The value of a node of `nodes`: the title attribute before the text; src of images; href of links."""
     if kind in ("image", "link"):
         return node["attrs"]["src" if kind == "image" else "href"]
-    return F.coalesce(node["attrs"]["title"], node["text"])
+    return F.coalesce(node["attrs"]["title"], text_of(nodes, node))
 
 
 def select_nodes(parsed: DataFrame, css: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.functions.nodes import compound, parse, select
+from webloom.functions.nodes import compound, parse_with_text, select, subtree
 from webloom.operators.dom import value_of
 
 # How many pages each scope reads.
@@ -17,20 +17,21 @@ SCOPES = {"first_page": 1, "limit_5": 5, "all_pages": 50}
 
 
 def items(parsed: DataFrame, css: str, keep: list[str] = ("page_id",)) -> DataFrame:
-    """All elements matching the list selector, in document order: keep, item_no, item and the page's nodes."""
-    return parsed.select(*keep, "nodes", F.posexplode(select(F.col("nodes"), css)).alias("item_no", "item"))
+    """All elements matching the list selector, in document order: keep, item_no and item, the nodes of its subtree."""
+    found = F.transform(select(F.col("nodes"), css), lambda x: subtree(F.col("nodes"), x))
+    return parsed.select(*keep, F.posexplode(found).alias("item_no", "item"))
 
 
-def field(nodes: Column, item: Column, css: str, kind: str = "text") -> Column:
+def field(item: Column, css: str, kind: str = "text") -> Column:
     """Value of the first node matching a compound selector inside an item, or of the item itself; null if missing."""
-    inside = F.filter(nodes, lambda n: (n["node_id"] >= item["node_id"]) & (n["node_id"] < item["subtree_end"]) & compound(n, css))
-    return F.get(F.transform(inside, lambda n: value_of(n, kind)), F.lit(0))
+    found = F.filter(item, lambda n: compound(n, css))
+    return F.when(F.size(found) > 0, value_of(item, found[0], kind))
 
 
 def records(parsed: DataFrame, css: str, fields: dict[str, tuple[str, str]], keep: list[str] = ("page_id",)) -> DataFrame:
     """One record per item; fields: name -> (compound selector, text | image | link)."""
     found = items(parsed, css, keep)
-    return found.select(*keep, "item_no", *(field(F.col("nodes"), F.col("item"), c, kind).alias(name) for name, (c, kind) in fields.items()))
+    return found.select(*keep, "item_no", *(field(F.col("item"), c, kind).alias(name) for name, (c, kind) in fields.items()))
 
 
 def from_templates(parsed: DataFrame, templates: list[dict], site: str = "site") -> DataFrame:
@@ -72,7 +73,8 @@ def extract_with(pages: DataFrame, get_items: Callable[[list[dict]], Iterable[An
     """User plug-in: (page_id, item_no, error, fields...) with text values.
 
     get_items takes a page's node list, parse_item an item; an exception or a result that is no dict fails its item
-    alone, with the reason in `error`, and an exception of get_items fails its page as item -1.
+    alone, with the reason in `error`, and an exception of get_items fails its page as item -1. An item of which
+    parse_item gives None, or no value, has no data: a row of nulls without an error, which drop_empty() takes out.
     """
 
     def run(batches):
@@ -80,13 +82,14 @@ def extract_with(pages: DataFrame, get_items: Callable[[list[dict]], Iterable[An
             rows = []
             for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()):
                 try:
-                    found = list(get_items(parse(html) or []))
+                    found = list(get_items(parse_with_text(html)))
                 except Exception as e:  # noqa: BLE001  the user's code
                     rows.append((page_id, -1, f"{type(e).__name__}: {e}", {}))
                     continue
                 for no, item in enumerate(found):
                     try:
                         got = parse_item(item)
+                        got = {} if got is None else got
                         bad = None if isinstance(got, dict) else f"TypeError: {type(got).__name__} is no dict"
                     except Exception as e:  # noqa: BLE001
                         got, bad = {}, f"{type(e).__name__}: {e}"

@@ -66,7 +66,7 @@ def is_api(url: Column) -> Column:
 
 
 def is_json(content_type: Column) -> Column:
-    return F.coalesce(content_type.contains("application/json"), F.lit(False))
+    return F.coalesce(F.lower(content_type).contains("application/json"), F.lit(False))
 
 
 def is_websocket(upgrade: Column) -> Column:

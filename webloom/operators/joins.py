@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.functions.nodes import compound, select, subtree, text_of
 from webloom.functions.text import content_key
 
 # Cookies of bot defences, in order.
@@ -23,11 +24,16 @@ def context(projects: DataFrame, *others: DataFrame, key: str = "project_id") ->
     return projects
 
 
-def inside(outer: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Interval join: nodes strictly inside each outer node's subtree, of the same page."""
-    o, n = outer.alias("o"), nodes.alias("n")
-    on = (F.col("o.page_id") == F.col("n.page_id")) & (F.col("n.node_id") > F.col("o.node_id")) & (F.col("n.node_id") < F.col("o.subtree_end"))
-    return o.join(n, on).select(F.col("o.page_id").alias("page_id"), F.col("o.node_id").alias("outer_id"), F.col("n.node_id").alias("node_id"), F.col("n.tag").alias("tag"), F.col("n.text").alias("text"))
+def inside(parsed: DataFrame, outer: str, inner: str) -> DataFrame:
+    """(page_id, outer_id, node_id, tag, text): nodes matching `inner` strictly inside each node matching `outer`.
+
+    An interval join of node ids with subtrees: a subtree is a slice of the page's nodes, so no row meets another.
+    """
+    n = F.col("nodes")
+    own = parsed.select("page_id", F.explode(F.transform(select(n, outer), lambda o: subtree(n, o))).alias("o"))
+    one = lambda x: F.struct(F.col("o")[0]["node_id"].alias("outer_id"), x["node_id"].alias("node_id"), x["tag"].alias("tag"), text_of(F.col("o"), x).alias("text"))
+    found = F.filter("o", lambda x: (x["node_id"] != F.col("o")[0]["node_id"]) & compound(x, inner))
+    return own.select("page_id", F.explode(F.transform(found, one)).alias("r")).select("page_id", "r.*")
 
 
 def known_cookies(names: Column) -> Column:

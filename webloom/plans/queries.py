@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions import text as fn
+from webloom.functions.nodes import text_of
 from webloom.operators import aggregates, dom, extract, filters, joins, scoring, windows
 from webloom.plans import recon
 from webloom.streaming import streams
@@ -43,6 +45,34 @@ SITE = "replace(replace(split_part(split_part(url, '//', -1), '/', 1), 'www.', '
 BLOCKED = [(has("lower(html)", *terms), name) for name, terms in filters.BLOCKS] + [("contains(lower(html), 'amazon') AND contains(lower(html), 'robot')", "Amazon Robot Check")]
 
 
+# Derived pages: markup that real captures hold and the given pages lack, placed by the page's own number k
+
+
+def times(html: str, n: Column) -> Column:
+    return F.repeat(F.lit(html), n.cast("int"))
+
+
+def flavoured(t) -> DataFrame:
+    """One page for each of `pages`, of the same id, with signals that follow from the id."""
+    k = F.col("page_id")
+    pick = lambda m, *parts: reduce(lambda out, p: out.when(k % m == p[0], p[1]), parts, F.when(F.lit(False), "")).otherwise("")
+    title = F.when(k % 7 == 0, "Cloudflare check").otherwise("Shop")
+    body = [
+        F.lit("<nav>\n"), times('<a href="/n">n</a>', k % 4), F.lit("</nav>\n\t"), times('<a href="/c">c</a>', k % 3),
+        times('<iframe src="/f.html"></iframe>', k % 4), pick(5, (0, '<iframe src="/captcha/x"></iframe>'), (1, '<script src="/static/DataDome.js"></script>')),
+        times('<img data-src="a.png">', k % 3), pick(2, (1, '<img loading="lazy" src="b.png"><p aria-label="x">some text</p>')),
+        pick(3, (1, '<div class="cookie-bar">ok</div>'), (2, '<div role="list">list</div>')), pick(4, (1, '<div ng-version="17">x</div>'), (2, "<div data-v->x</div>")),
+        times('<a href="/login">in</a>', k % 3), pick(6, (0, '<p class="blurred">x</p>'), (1, '<div class="overlay">x</div>'), (2, "<p>Please Log in</p>"), (3, "<div data-requires-auth>x</div>")),
+        times('<input style="display: none">', k % 3),
+        pick(8, (1, '<a class="pager next" href="?p">\n\tNext \n</a>'), (2, '<button id="more">Next Page</button>'), (3, "<a>\r\n Next</a>")),
+        pick(9, (0, "<p>Checking your Browser</p>"), (1, "<p>Access Denied</p>"), (2, "<p>PerimeterX</p>"), (3, "<p>Automated access</p>"), (4, "<p>Amazon robot</p>")),
+        pick(10, (0, "<p>wp-content react</p>"), (1, "<p>__NEXT_DATA__</p>"), (2, "<p>shopify vue</p>"), (3, "<p>React</p>")),
+    ]
+    url = F.when(k % 11 == 0, "https://www.LinkedIn.com/in").when(k % 11 == 1, "https://x.example/list?page=2").when(k % 11 == 2, "https://x.example/p/3").otherwise("https://x.example/")
+    html = F.concat(F.lit("<html><head><title>"), title, F.lit("</title></head><body>"), *body, F.lit("</body></html>"))
+    return t("pages").select("page_id", url.alias("url"), html.alias("html"))
+
+
 # Pages: predicates and tags on raw text
 
 
@@ -77,20 +107,38 @@ def request_admission(t):
     return t("pages").select("page_id", joined(filters.request_violations(url, k % 1500, kind, mode)).alias("violations"))
 
 
-@query(f"SELECT page_id, {named(*BLOCKED)} AS reasons, ({' OR '.join(c for c, _ in BLOCKED)}) AS blocked FROM pages")
+@query(
+    "SELECT page_id, concat_ws('; ', CASE WHEN page_id % 9 = 0 OR page_id % 7 = 0 THEN 'Cloudflare Challenge' END, CASE WHEN page_id % 9 = 1 THEN 'Akamai/WAF Block' END, CASE WHEN page_id % 9 = 2 THEN 'PerimeterX CAPTCHA' END, "
+    "CASE WHEN page_id % 9 = 3 THEN 'Generic Bot Detection' END, CASE WHEN page_id % 9 = 4 THEN 'Amazon Robot Check' END) AS reasons, page_id % 9 < 5 OR page_id % 7 = 0 AS blocked FROM pages"
+)
 def page_health(t):
     why = filters.block_reasons(F.col("html"))
-    return t("pages").select("page_id", joined(why).alias("reasons"), (F.size(why) > 0).alias("blocked"))
+    return flavoured(t).select("page_id", joined(why).alias("reasons"), (F.size(why) > 0).alias("blocked"))
 
 
-@query(f"SELECT page_id, {named(*((has('html', *terms), name) for name, terms in filters.TECHNOLOGIES))} AS technologies FROM pages")
+@query(
+    "SELECT page_id, concat_ws('; ', CASE WHEN page_id % 10 = 0 THEN 'React' END, CASE WHEN page_id % 10 = 1 THEN 'Next.js' END, CASE WHEN page_id % 10 = 2 THEN 'Vue.js' END, "
+    "CASE WHEN page_id % 10 = 0 THEN 'WordPress' END, CASE WHEN page_id % 10 = 2 THEN 'Shopify' END) AS technologies FROM pages"
+)
 def tech_tags(t):
-    return t("pages").select("page_id", joined(filters.technologies(F.col("html"))).alias("technologies"))
+    return flavoured(t).select("page_id", joined(filters.technologies(F.col("html"))).alias("technologies"))
+
+
+@query(f"SELECT page_id, {named(*BLOCKED)} AS reasons, {named(*((has('html', *terms), name) for name, terms in filters.TECHNOLOGIES))} AS technologies FROM pages")
+def given_page_tags(t):
+    html = F.col("html")
+    return t("pages").select("page_id", joined(filters.block_reasons(html)).alias("reasons"), joined(filters.technologies(html)).alias("technologies"))
+
+
+ENDPOINTS = ["/api/items", "/GraphQL", "/data.JSON?x", "/list?q=1", "/search?Query=a"]
 
 
-@query("SELECT page_id, regexp_matches(lower(url), '/api/|graphql|\\.json|query') AS api, substr(url, 1, 200) AS endpoint FROM pages")
+@query(
+    "SELECT page_id, page_id % 5 <> 3 AS api, substr(CASE page_id % 5 " + " ".join(f"WHEN {i} THEN url || '{e}'" for i, e in enumerate(ENDPOINTS)) + " END || repeat('z', page_id % 300), 1, 200) AS endpoint FROM pages"
+)
 def api_endpoints(t):
-    return t("pages").select("page_id", filters.is_api(F.col("url")).alias("api"), F.substring("url", 1, 200).alias("endpoint"))
+    url = F.concat("url", F.element_at(F.array(*map(F.lit, ENDPOINTS)), (F.col("page_id") % 5 + 1).cast("int")), times("z", F.col("page_id") % 300))
+    return t("pages").select("page_id", filters.is_api(url).alias("api"), F.substring(url, 1, 200).alias("endpoint"))
 
 
 # Pages: node arrays
@@ -101,85 +149,127 @@ def dom_node_count(t):
     return dom.parse_pages(t("pages")).select("page_id", F.size("nodes").cast("long").alias("node_count"))
 
 
-@query()
+COUNTS = "(SELECT p_partkey // 20 AS page_id, count(*) AS c FROM part GROUP BY 1)"
+
+
+@query(f"SELECT page_id, round((3 + 19 * c) / (2 + 5 * c), 6) AS avg_depth, 4 AS max_depth, 2 + 5 * c AS node_count FROM {COUNTS}")
 def dom_depth(t):
     s = dom.stats(F.col("nodes"))
-    return dom.parse_pages(t("pages")).select("page_id", F.round(s["avg_depth"], 6).alias("avg_depth"), s["max_depth"].alias("max_depth"))
+    return dom.parse_pages(listings(t)).select("page_id", F.round(s["avg_depth"], 6).alias("avg_depth"), s["max_depth"].cast("long").alias("max_depth"), s["node_count"].cast("long").alias("node_count"))
 
 
-@query(
-    "SELECT page_id, CASE WHEN a = 0 THEN 0 ELSE round(n / a, 6) END AS nav_ratio FROM (SELECT page_id, len(regexp_extract_all(html, '<a ')) AS a, "
-    "len(regexp_extract_all(regexp_extract(html, '(?s)<nav>.*?</nav>'), '<a ')) + len(regexp_extract_all(regexp_extract(html, '(?s)<footer>.*'), '<a ')) AS n FROM pages)"
-)
+@query("SELECT page_id, CASE WHEN n + 2 * c + b = 0 THEN 0 ELSE round(n / (n + 2 * c + b), 6) END AS nav_ratio FROM (SELECT page_id, page_id % 4 AS n, page_id % 3 AS c, CASE WHEN page_id % 8 IN (1, 3) THEN 1 ELSE 0 END AS b FROM pages)")
 def nav_ratio(t):
-    return dom.parse_pages(t("pages")).select("page_id", F.round(dom.nav_ratio(F.col("nodes")), 6).alias("nav_ratio"))
+    return dom.parse_pages(flavoured(t)).select("page_id", F.round(dom.nav_ratio(F.col("nodes")), 6).alias("nav_ratio"))
 
 
-@query("SELECT page_id, CASE WHEN contains(url, 'page=') OR contains(url, '/p/') THEN 'url_param' ELSE 'none' END AS type, CASE WHEN contains(url, 'page=') THEN 'page' WHEN contains(url, '/p/') THEN 'p' END AS param FROM pages")
+@query(
+    "SELECT page_id, CASE WHEN b IS NOT NULL THEN 'next_button' WHEN page_id % 11 IN (1, 2) THEN 'url_param' ELSE 'none' END AS type, b AS selector, CASE WHEN b IS NULL AND page_id % 11 = 1 THEN 'page' WHEN b IS NULL AND page_id % 11 = 2 THEN 'p' END AS param "
+    "FROM (SELECT page_id, CASE page_id % 8 WHEN 1 THEN '.pager.next' WHEN 2 THEN '#more' WHEN 3 THEN 'a:contains(''Next'')' END AS b FROM pages)"
+)
 def pagination_type(t):
     p = dom.pagination(F.col("nodes"), F.col("url"))
-    return dom.parse_pages(t("pages")).select("page_id", p["type"].alias("type"), p["param"].alias("param"))
+    return dom.parse_pages(flavoured(t)).select("page_id", p["type"].alias("type"), p["selector"].alias("selector"), p["param"].alias("param"))
 
 
 @query(
-    "SELECT page_id, len(regexp_extract_all(html, '<iframe')) AS iframes, len(regexp_extract_all(html, '<img[^>]*(data-src|loading=\"lazy\")')) AS lazy_images, "
-    "regexp_matches(html, '(<iframe[^>]*src=\"[^\"]*captcha)|( id=\"[^\"]*captcha)') AS captcha, regexp_matches(html, '(id|class)=\"[^\"]*cookie') AS cookie_wall, "
-    "len(regexp_extract_all(html, '<a [^>]*href=\"[^\"]*login')) + len(regexp_extract_all(html, '<a [^>]*href=\"[^\"]*account')) AS login_links, "
-    "CASE WHEN contains(html, 'ng-version') THEN 'angular' ELSE 'unknown' END AS framework, regexp_matches(html, 'aria-label') AS aria FROM pages"
+    "SELECT page_id, page_id % 4 + CASE WHEN page_id % 5 = 0 THEN 1 ELSE 0 END AS iframes, page_id % 3 + page_id % 2 AS lazy_images, page_id % 5 = 0 AS captcha, page_id % 3 = 1 AS cookie_wall, page_id % 7 = 0 AS cloudflare, "
+    "page_id % 3 AS login_links, CASE WHEN page_id % 6 = 3 THEN 1 ELSE 0 END AS auth_blocks, page_id % 6 = 2 AS auth_text, CASE WHEN page_id % 6 = 0 THEN 1 ELSE 0 END AS blurred, CASE WHEN page_id % 6 = 1 THEN 1 ELSE 0 END AS overlays, "
+    "CASE page_id % 4 WHEN 1 THEN 'angular' WHEN 2 THEN 'vue' ELSE 'unknown' END AS framework, page_id % 2 = 1 AS aria, page_id % 3 = 2 AS roles, "
+    "CASE WHEN page_id % 5 = 1 THEN '/static/DataDome.js' ELSE '' END AS scripts, page_id % 3 AS honeypots FROM pages"
 )
 def dom_signals(t):
     n = F.col("nodes")
-    bot = dom.anti_bot(n)
-    return dom.parse_pages(t("pages")).select(
-        "page_id", dom.iframes(n)["count"].cast("long").alias("iframes"), dom.lazy_images(n).cast("long").alias("lazy_images"), bot["captcha"].alias("captcha"), bot["cookie_wall"].alias("cookie_wall"),
-        dom.count(n, 'a[href*="login"]', 'a[href*="account"]').cast("long").alias("login_links"), dom.framework(n).alias("framework"), dom.accessibility(n)["has_aria_labels"].alias("aria"),
+    bot, sign, safe, why = dom.anti_bot(n), dom.signin(n), dom.accessibility(n), dom.defence(n)
+    long = lambda c, name: c.cast("long").alias(name)
+    return dom.parse_pages(flavoured(t)).select(
+        "page_id", long(dom.iframes(n)["count"], "iframes"), long(dom.lazy_images(n), "lazy_images"), bot["captcha"].alias("captcha"), bot["cookie_wall"].alias("cookie_wall"), bot["cloudflare"].alias("cloudflare"),
+        long(sign["login_links"], "login_links"), long(sign["auth_blocks"], "auth_blocks"), sign["auth_text"].alias("auth_text"), long(sign["blurred"], "blurred"), long(sign["overlays"], "overlays"),
+        dom.framework(n).alias("framework"), safe["has_aria_labels"].alias("aria"), safe["has_roles"].alias("roles"), joined(why["scripts"]).alias("scripts"), long(why["honeypots"], "honeypots"),
     )
 
 
-@query()
+RECON = (
+    "(SELECT page_id, page_id % 9 < 5 OR page_id % 7 = 0 AS blocked, page_id % 5 = 0 AS captcha, page_id % 7 = 0 AS cf, "
+    "CASE WHEN page_id % 5 = 0 THEN 50 ELSE 0 END + CASE WHEN page_id % 7 = 0 THEN 40 ELSE 0 END + CASE WHEN page_id % 4 IN (1, 2) THEN 20 ELSE 0 END + CASE WHEN page_id % 2 = 1 THEN 15 ELSE 0 END + CASE WHEN page_id % 3 = 0 THEN 15 ELSE 0 END AS c, "
+    "CASE WHEN page_id % 10 = 0 THEN 50 ELSE 0 END + CASE WHEN page_id % 5 = 1 THEN 30 ELSE 0 END + CASE WHEN page_id % 3 > 0 THEN 20 ELSE 0 END + CASE WHEN page_id % 13 = 0 THEN 30 ELSE 0 END AS h, "
+    "CASE WHEN page_id % 3 > 0 THEN 20 ELSE 0 END + CASE page_id % 6 WHEN 0 THEN 25 WHEN 1 THEN 35 WHEN 2 THEN 40 WHEN 3 THEN 30 ELSE 0 END + CASE WHEN page_id % 11 = 0 THEN 30 ELSE 0 END AS s FROM pages)"
+)
+RECON_REASONS = (
+    "concat_ws('; ', CASE WHEN captcha THEN 'CAPTCHA detected' END, CASE WHEN cf THEN 'Cloudflare detected' END, CASE WHEN page_id % 4 IN (1, 2) THEN 'SPA Framework detected' END, CASE WHEN page_id % 2 = 1 THEN 'High DOM mutation rate' END, CASE WHEN page_id % 3 = 0 THEN 'Infinite scroll / Lazy loading' END)",
+    "concat_ws('; ', CASE WHEN page_id % 10 = 0 THEN 'Bot Cookies: _abck, px3' END, CASE WHEN page_id % 5 = 1 THEN 'Bot Defense Scripts detected' END, CASE WHEN page_id % 3 > 0 THEN 'Honeypots detected (' || page_id % 3 || ')' END, CASE WHEN page_id % 13 = 0 THEN 'Challenge/Verification requests detected' END)",
+    "CASE WHEN s >= 40 THEN concat_ws('; ', CASE WHEN page_id % 3 > 0 THEN 'Login buttons detected (' || page_id % 3 || ')' END, CASE page_id % 6 WHEN 3 THEN 'Auth-required content blocks found' WHEN 2 THEN 'Authentication prompts in text' WHEN 0 THEN 'Blurred/restricted content' WHEN 1 THEN 'Authentication overlays' END, "
+    "CASE WHEN page_id % 11 = 0 THEN 'Known auth-heavy platform' END) ELSE '' END",
+)
+
+
+@query(
+    f"WITH r AS (SELECT *, greatest(h, CASE WHEN s >= 40 THEN s ELSE 0 END) AS hh, {RECON_REASONS[0]} AS rc, {RECON_REASONS[1]} AS rh, {RECON_REASONS[2]} AS rs FROM {RECON}) "
+    "SELECT page_id, CASE WHEN hh >= 40 THEN greatest(c, hh) ELSE c + hh END AS complexity, hh AS hostility, hh >= 40 OR c >= 40 AS guided, "
+    "CASE WHEN captcha OR cf OR (page_id % 2 = 0 AND page_id % 3 = 0) THEN 'headed' ELSE 'headless' END AS browser_mode, CASE WHEN blocked THEN 'solve' ELSE 'analysis' END AS route, "
+    "concat_ws('; ', CASE WHEN hh >= 40 THEN 'Hostile Bot Defense Detected' ELSE nullif(rc, '') END, nullif(rh, ''), nullif(rs, ''), CASE WHEN hh >= 40 THEN nullif(rc, '') END) AS reasons FROM r"
+)
 def page_recon(t):
-    out = recon.recon(t("pages"))
+    k, pages = F.col("page_id"), flavoured(t)
+    kind = F.when(k % 2 == 0, "Application/JSON").otherwise("text/html")
+    url = F.when(k % 13 == 0, F.when(k % 2 == 0, "https://x.example/Challenge/1").otherwise("https://x.example/api/VERIFY")).otherwise("https://x.example/")
+    requests = pages.select("page_id", url.alias("url"), kind.alias("content_type"), F.when(k % 3 == 0, "WebSocket").alias("upgrade"), F.lit(1).cast("long").alias("size"))
+    cookies = F.when(k % 10 == 0, F.array(F.lit("PX3"), F.lit("_ABCK"), F.lit("other"))).otherwise(F.array(F.lit("sid")))
+    behaviour = pages.select("page_id", cookies.alias("cookies"), (k % 2 * 0.6).cast("double").alias("mutation_rate"), (k % 3 == 0).alias("grows"), (k % 2 == 0).alias("shadow_dom"))
+    out = recon.recon(pages, requests, behaviour)
     return out.select("page_id", "scores.complexity", "scores.hostility", "scores.guided", "browser_mode", "route", joined("scores.reasons").alias("reasons"))
 
 
 @query("SELECT page_id, 'div.ad' AS css, len(regexp_extract_all(html, '<div class=\"ad\">')) AS found, trim(regexp_extract(html, '<div class=\"ad\">([^<]*)', 1)) AS first_text FROM pages")
 def select_ads(t):
     found = dom.select_nodes(dom.parse_pages(t("pages")), "body > div.ad")
-    first = F.trim(F.get(F.transform("found", lambda n: n["text"]), F.lit(0)))
+    first = F.trim(F.get(F.transform("found", lambda n: text_of(F.col("nodes"), n)), F.lit(0)))
     return found.select("page_id", F.lit("div.ad").alias("css"), F.size("found").cast("long").alias("found"), first.alias("first_text"))
 
 
-@query()
-def stable_selectors(t):
-    css = dom.stable_selector(dom.parse_pages(t("pages")))
-    return css.groupBy("page_id").agg(F.count("*").alias("nodes"), F.max_by("css", "node_id").alias("last_css"))
+# Listings made of parts: sections, extraction, round trip
 
 
-@query()
-def tree_export(t):
-    return dom.tree_export(dom.parse_pages(t("pages")))
+def listings(t, size: int = 20) -> DataFrame:
+    """Pages of up to `size` parts each, as cards, with white space between tags as captures have it."""
+    card = F.concat(
+        F.lit('<div class="card">\n\t\t<h2 class="name">'), "p_name", F.lit('</h2>\r\n\t\t<span class="brand">'), "p_brand", F.lit('</span>\n\n<span class="price">'), F.col("p_retailprice").cast("decimal(12,2)").cast("string"),
+        F.lit('</span>\t<a class="more" href="/parts/'), F.col("p_partkey").cast("string"), F.lit('">View</a>\n</div>\n\t'),
+    )
+    page = F.floor(F.col("p_partkey") / size).cast("long")
+    cards = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", card.alias("c")))), lambda x: x["c"]), "")
+    out = t("part").groupBy(page.alias("page_id")).agg(F.concat(F.lit("<html><body>\n"), cards, F.lit("</body></html>")).alias("html"))
+    return out.withColumn("url", F.concat(F.lit("https://parts.example.com/?page="), F.col("page_id").cast("string")))
 
 
-@query()
-def subtree_words(t):
-    nodes = dom.node_table(dom.parse_pages(t("pages")))
-    found = joins.inside(nodes.filter("tag = 'article'"), nodes.filter("tag = 'p'"))
-    return found.groupBy("page_id").agg(F.count("*").alias("paragraphs"), F.sum(F.length("text")).alias("chars"))
+CARD = "SELECT p_partkey // {0} AS page_id, row_number() OVER (PARTITION BY p_partkey // {0} ORDER BY p_partkey) AS j, p_name, p_brand, CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR) AS price FROM part"
+PARTS_OF_CARD = "(VALUES (1, 'h2', 1), (2, 'span', 1), (3, 'span', 2), (4, 'a', 1)) AS v(i, tag, nth)"
 
 
-# Listings made of parts: sections, extraction, round trip
+@query(
+    f"WITH c AS ({CARD.format(20)}), r AS (SELECT DISTINCT page_id FROM c) SELECT page_id, 0 AS node_id, 'html:nth-of-type(1)' AS css FROM r UNION ALL SELECT page_id, 1, 'html:nth-of-type(1) > body:nth-of-type(1)' FROM r "
+    "UNION ALL SELECT page_id, 5 * j - 3, 'html:nth-of-type(1) > body:nth-of-type(1) > div:nth-of-type(' || j || ')' FROM c "
+    f"UNION ALL SELECT page_id, 5 * j - 3 + i, 'html:nth-of-type(1) > body:nth-of-type(1) > div:nth-of-type(' || j || ') > ' || tag || ':nth-of-type(' || nth || ')' FROM c, {PARTS_OF_CARD}"
+)
+def stable_selectors(t):
+    return dom.stable_selector(dom.parse_pages(listings(t))).select("page_id", F.col("node_id").cast("long").alias("node_id"), "css")
 
 
-def listings(t) -> DataFrame:
-    """Pages of up to 20 parts each, as cards."""
-    card = F.concat(
-        F.lit('<div class="card"><h2 class="name">'), "p_name", F.lit('</h2><span class="brand">'), "p_brand", F.lit('</span><span class="price">'), F.col("p_retailprice").cast("decimal(12,2)").cast("string"),
-        F.lit('</span><a class="more" href="/parts/'), F.col("p_partkey").cast("string"), F.lit('">View</a></div>'),
-    )
-    page = (F.col("p_partkey") / 20).cast("long")
-    cards = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", card.alias("c")))), lambda x: x["c"]), "")
-    out = t("part").groupBy(page.alias("page_id")).agg(F.concat(F.lit("<html><body>"), cards, F.lit("</body></html>")).alias("html"))
-    return out.withColumn("url", F.concat(F.lit("https://parts.example.com/?page="), F.col("page_id").cast("string")))
+@query(
+    f"WITH c AS ({CARD.format(600)}), r AS (SELECT page_id, count(*) AS n FROM c GROUP BY 1) SELECT page_id, NULL AS parent_id, 0 AS node_id, 'html' AS tag, NULL AS text FROM r UNION ALL SELECT page_id, 0, 1, 'body', NULL FROM r "
+    "UNION ALL SELECT page_id, 1, 5 * j - 3, 'div', NULL FROM c WHERE j <= 500 "
+    f"UNION ALL SELECT page_id, 5 * j - 3, 5 * j - 3 + i, tag, CASE i WHEN 1 THEN trim(substr(p_name, 1, 50)) WHEN 2 THEN p_brand WHEN 3 THEN price ELSE 'View' END FROM c, {PARTS_OF_CARD} WHERE j <= 500 "
+    "UNION ALL SELECT page_id, 1, NULL, '#more', '... ' || (n - 500) || ' more items ...' FROM r WHERE n > 500"
+)
+def tree_export(t):
+    out = dom.tree_export(dom.parse_pages(listings(t, 600)))
+    return out.withColumns({"parent_id": F.col("parent_id").cast("long"), "node_id": F.col("node_id").cast("long")})
+
+
+@query("SELECT p_partkey // 20 AS page_id, 2 * count(*) AS spans, sum(length(p_brand) + length(CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR))) AS chars FROM part GROUP BY 1")
+def subtree_words(t):
+    found = joins.inside(dom.parse_pages(listings(t)), "body > div.card", "span")
+    return found.groupBy("page_id").agg(F.count("*").alias("spans"), F.sum(F.length("text")).alias("chars"))
 
 
 @query("SELECT p_partkey // 20 AS page_id, 'repeating_list' AS type, 'div.card' AS selector, count(*) AS count, round(4 * sqrt(count(*)), 6) AS score, 'h2.name; span.brand; span.price; a.more' AS fields FROM part GROUP BY 1 HAVING count(*) > 2")
@@ -222,17 +312,23 @@ def listing_templates(t):
 
 
 def _cards(nodes: list[dict]):
-    return [n for n in nodes if n["tag"] == "h2"]
+    return [n for n in nodes if n["tag"] == "a"]
 
 
 def _card(node: dict):
-    return {"name": node["text"]} if node["text"] else None
+    key = int(dict(node["attrs"])["href"].rsplit("/", 1)[1])
+    if key % 5 == 0:
+        raise ValueError(f"part {key}")
+    return None if key % 5 == 1 else "text" if key % 5 == 2 else {"key": key}
 
 
-@query("SELECT p_partkey // 20 AS page_id, p_name AS name FROM part")
+@query(
+    "SELECT p_partkey // 20 AS page_id, CASE WHEN p_partkey % 5 > 2 THEN CAST(p_partkey AS VARCHAR) END AS key, CASE p_partkey % 5 WHEN 0 THEN 'ValueError: part ' || p_partkey WHEN 2 THEN 'TypeError: str is no dict' END AS error FROM part WHERE p_partkey % 5 <> 1"
+)
 def listing_plugin(t):
-    good, _ = filters.split_failures(extract.extract_with(listings(t), _cards, _card, ["name"]))
-    return good.select("page_id", "name")
+    good, bad = filters.split_failures(extract.extract_with(listings(t), _cards, _card, ["key"]))
+    good = filters.drop_empty(good, ["key"]).withColumn("error", F.lit(None).cast("string"))
+    return good.unionByName(bad).select("page_id", "key", "error")
 
 
 # Documents
@@ -348,8 +444,8 @@ STATES = {"purchase": "DONE", "error": "FAILED"}
 def wide_events(t):
     kind = F.col("event_type")
     state = F.when(kind == "purchase", "DONE").when(kind == "error", "FAILED").otherwise("RECON")
-    rows = t("events").select("user_id", "ts", state.alias("state"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("error"))
-    return aggregates.wide_events(rows, "user_id").select("user_id", "final_state", "duration_seconds", "success")
+    rows = t("events").select("user_id", "ts", "event_id", state.alias("state"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("error"))
+    return aggregates.wide_events(rows, "user_id", ["event_id"]).select("user_id", "final_state", "duration_seconds", "success")
 
 
 @query(
@@ -360,7 +456,7 @@ def network_activity(t):
     k = F.col("event_id")
     url = F.when(k % 3 == 0, F.concat(F.lit("https://x.example/api/"), "event_type")).otherwise("https://x.example/page")
     rows = t("events").select(
-        F.col("user_id").alias("page_id"), url.alias("url"), F.when(k % 2 == 0, "application/json; charset=utf-8").otherwise("text/html").alias("content_type"),
+        F.col("user_id").alias("page_id"), url.alias("url"), F.when(k % 2 == 0, "Application/JSON; charset=utf-8").otherwise("text/html").alias("content_type"),
         F.when(k % 10 == 0, "WebSocket").alias("upgrade"), F.length("event_type").cast("long").alias("size"),
     )
     return aggregates.network_activity(rows).drop("has_challenge").withColumn("api_endpoints", joined("api_endpoints"))
@@ -400,7 +496,7 @@ def hostility_scores(t):
     urls = F.when(k % 7 == 0, F.array(F.lit("https://x.example/verify"))).otherwise(none)
     h = scoring.hostility(cookies, none, F.when(k % 3 == 0, 1).otherwise(0), urls)
     c = scoring.complexity(k % 5 == 0, F.lit(False), F.lit("unknown"), F.lit(0.0), F.lit(False))
-    quiet = F.struct(F.lit(0).alias("score"), F.lit(False).alias("detected"))
+    quiet = F.struct(F.lit(0).alias("score"), F.lit(False).alias("detected"), none.alias("reasons"))
     m = scoring.merged(c, h, quiet)
     return t("events").select("event_id", m["hostility"].alias("hostility"), m["complexity"].alias("complexity"), m["guided"].alias("guided"))
 
@@ -486,3 +582,72 @@ def redact_fields(t):
     data = F.create_map(F.lit("Token"), F.lit("abc"), F.lit("note"), F.col("event_type"))
     safe = fn.redact_map(data)
     return t("events").select("user_id", safe["Token"].alias("token"), safe["note"].alias("note"))
+
+
+@query("SELECT event_id, list_position(['INIT', 'RECON', 'TEST', 'DONE', 'FAILED'], s) IS NOT NULL AS known, CASE s WHEN 'INIT' THEN 1 WHEN 'RECON' THEN 4 WHEN 'TEST' THEN 9 WHEN 'DONE' THEN 13 WHEN 'FAILED' THEN 14 END AS step, s IN ('DONE', 'FAILED') AS final FROM (SELECT event_id, ['INIT', 'RECON', 'TEST', 'DONE', 'FAILED', 'NONE'][event_id % 6 + 1] AS s FROM events)")
+def state_steps(t):
+    state = F.element_at(F.array(*map(F.lit, ["INIT", "RECON", "TEST", "DONE", "FAILED", "NONE"])), (F.col("event_id") % 6 + 1).cast("int"))
+    step = fn.state_order(state)
+    return t("events").select("event_id", step.isNotNull().alias("known"), step.cast("long").alias("step"), fn.is_final(state).alias("final"))
+
+
+@query("SELECT event_id, CASE WHEN value * 100 >= 40 OR event_id % 7 = 0 THEN 'headed' ELSE CASE WHEN event_id % 2 = 0 THEN 'headed' ELSE 'headless' END END AS mode, CASE WHEN event_id % 3 = 0 OR (event_id % 5 = 0 AND event_id % 4 = 0) THEN 'solve' ELSE 'analysis' END AS route FROM events")
+def mode_and_route(t):
+    k = F.col("event_id")
+    mode = scoring.mode_override(F.when(k % 2 == 0, "headed").otherwise("headless"), F.col("value") * 100, k % 7 == 0)
+    return t("events").select("event_id", mode.alias("mode"), scoring.route(k % 3 == 0, k % 5 == 0, k % 4 == 0).alias("route"))
+
+
+@query("SELECT source, count(*) AS records, count(*) - count(DISTINCT lower(" + TRIMMED + ") || '|' || coalesce(lower(lang), 'none')) AS removed FROM documents GROUP BY source")
+def removed_records(t):
+    return aggregates.removed_counts(t("documents"), "source", ["text", "lang"])
+
+
+@query("SELECT c_custkey, CASE WHEN count(o_orderkey) = 0 THEN 'no_data' WHEN avg(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END) > 0.5 THEN 'fix_columns' ELSE 'pass' END AS verdict FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def data_verdicts(t):
+    rows = t("orders").select(F.col("o_custkey").alias("c_custkey"), (F.col("o_orderstatus") == "F").alias("done"))
+    return aggregates.quality_verdict(rows, "c_custkey", ["done"], projects=t("customer")).select("c_custkey", "verdict")
+
+
+@query("SELECT c_custkey, c_name AS url, count(o_orderkey) AS rows_extracted, min(o_orderkey) AS first_key FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2")
+def customer_report(t):
+    rows, names = t("orders").withColumnRenamed("o_custkey", "c_custkey"), t("customer").select("c_custkey", F.col("c_name").alias("url"))
+    out = aggregates.report(rows, "c_custkey", ["o_orderkey"], ["o_orderkey"], sessions=names)
+    return out.select("c_custkey", "url", "rows_extracted", F.get("sample_data", F.lit(0))["o_orderkey"].alias("first_key"))
+
+
+def requests(t) -> DataFrame:
+    """A network log made of the events: every third a call of an API, every second answered in JSON."""
+    k = F.col("event_id")
+    return t("events").select(
+        F.col("user_id").alias("page_id"), "ts", F.concat(F.lit("https://x.example/"), F.when(k % 3 == 0, "API/").otherwise("page/"), k.cast("string")).alias("url"), F.when(k % 4 == 0, "POST").otherwise("GET").alias("method"),
+        F.when(k % 5 == 0, "xhr").otherwise("fetch").alias("resource_type"), F.when(k % 2 == 0, "Application/JSON").otherwise("text/html").alias("content_type"), F.when(k % 10 == 0, "WebSocket").alias("upgrade"),
+        (k % 500).cast("int").alias("status"), (k % 91).alias("size"),
+    )
+
+
+@query("SELECT user_id AS page_id, CASE WHEN event_id % 4 = 0 THEN 'POST' ELSE 'GET' END AS method, CASE WHEN event_id % 5 = 0 THEN 'xhr' ELSE 'fetch' END AS resource_type, 'https://x.example/API/' || event_id AS url FROM events WHERE event_id % 3 = 0")
+def api_requests(t):
+    return aggregates.api_requests(requests(t))
+
+
+@query("SELECT user_id AS page_id, event_id % 500 AS status, event_id % 91 AS size, 'https://x.example/' || CASE WHEN event_id % 3 = 0 THEN 'API/' ELSE 'page/' END || event_id AS url FROM events WHERE event_id % 2 = 0")
+def json_responses(t):
+    return aggregates.json_responses(requests(t))
+
+
+@query(
+    "SELECT user_id AS page_id, time_bucket(INTERVAL '1 minute', ts) AS start, count(*) AS request_count, count(*) FILTER (WHERE event_id % 3 = 0) AS api_calls, count(*) FILTER (WHERE event_id % 2 = 0) AS json_responses, count(*) FILTER (WHERE event_id % 10 = 0) AS realtime FROM events GROUP BY 1, 2"
+)
+def network_counters(t):
+    return streams.network_counters(requests(t))
+
+
+@query(
+    "WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '12 hours' THEN 0 ELSE 1 END AS n FROM events), g AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM e) "
+    "SELECT user_id, max_by(CASE event_type WHEN 'purchase' THEN 'DONE' ELSE 'CODEGEN' END, (ts, CASE event_type WHEN 'purchase' THEN 'DONE' ELSE 'CODEGEN' END)) AS final_state, round(epoch(max(ts)) - epoch(min(ts)), 2) AS duration_seconds FROM g GROUP BY user_id, s"
+)
+def completions(t):
+    state = F.when(F.col("event_type") == "purchase", "DONE").otherwise("CODEGEN")
+    rows = t("events").select("user_id", "ts", state.alias("state"))
+    return streams.completions(rows, "user_id", gap="12 hours").select("user_id", "final_state", "duration_seconds")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.text import site_key
-from webloom.operators import aggregates, dom, extract, filters, scoring
+from webloom.operators import aggregates, dom, extract, filters, joins, scoring
 
 
 def page_signals(pages: DataFrame) -> DataFrame:
@@ -21,26 +21,39 @@ def page_signals(pages: DataFrame) -> DataFrame:
     )
 
 
-def recon(pages: DataFrame, requests: DataFrame | None = None) -> DataFrame:
-    """Signals with network activity, scores, browser mode and route."""
+def quiet() -> dict[str, Column]:
+    """The signals that a page's behaviour gives, with their values where they were not recorded."""
+    none = F.array().cast("array<string>")
+    return {"cookies": none, "mutation_rate": F.lit(0.0), "grows": F.lit(False), "shadow_dom": F.lit(False), "sse": F.lit(False)}
+
+
+def recon(pages: DataFrame, requests: DataFrame | None = None, behaviour: DataFrame | None = None) -> DataFrame:
+    """Signals with network activity, scores, browser mode and route.
+
+    requests: network log rows. behaviour: a row per page with page_id and any of cookies (names), mutation_rate (a
+    second), grows (on scrolling), shadow_dom and sse.
+    """
     signals = page_signals(pages)
     if requests is not None:
         signals = signals.join(aggregates.network_activity(requests), "page_id", "left")
     else:
         signals = signals.withColumns({"request_count": F.lit(0).cast("long"), "realtime": F.lit(0).cast("long"), "api_endpoints": F.array().cast("array<string>"), "has_challenge": F.lit(False)})
-    false = F.lit(False)
+    if behaviour is not None:
+        signals = signals.join(behaviour.select("page_id", *(c for c in quiet() if c in behaviour.columns)), "page_id", "left")
+    signals = signals.withColumns({c: F.coalesce(c, value) if c in signals.columns else value for c, value in quiet().items()})
     none = F.array().cast("array<string>")
     cloudflare = F.col("anti_bot.cloudflare")
     scored = signals.withColumns(
         {
-            "complexity": scoring.complexity(F.col("anti_bot.captcha"), cloudflare, F.col("framework"), F.lit(0.0), false),
-            "hostility": scoring.hostility(none, F.col("defence.scripts"), F.col("defence.honeypots"), none, F.col("has_challenge")),
+            "complexity": scoring.complexity(F.col("anti_bot.captcha"), cloudflare, F.col("framework"), F.col("mutation_rate"), F.col("grows")),
+            "hostility": scoring.hostility(joins.known_cookies(F.col("cookies")), F.col("defence.scripts"), F.col("defence.honeypots"), none, F.col("has_challenge")),
             "signin_score": scoring.signin_likelihood(F.col("signin"), F.col("url")),
         }
     )
-    mode = scoring.browser_mode(F.col("anti_bot.captcha"), cloudflare, F.col("stats.node_count"), F.coalesce("request_count", F.lit(0)), false, F.coalesce("realtime", F.lit(0)) > 0)
+    live = F.col("sse") | (F.coalesce("realtime", F.lit(0)) > 0)
+    mode = scoring.browser_mode(F.col("anti_bot.captcha"), cloudflare, F.col("stats.node_count"), F.coalesce("request_count", F.lit(0)), F.col("shadow_dom"), live)
     out = scored.withColumn("scores", scoring.merged(F.col("complexity"), F.col("hostility"), F.col("signin_score")))
-    return out.withColumns({"browser_mode": mode, "route": scoring.route(F.size("block_reasons") > 0, F.col("anti_bot.captcha"), false)})
+    return out.withColumns({"browser_mode": mode, "route": scoring.route(F.size("block_reasons") > 0, F.col("anti_bot.captcha"), F.lit(False))})
 
 
 def site_summary(pages: DataFrame) -> DataFrame:

@@ -49,7 +49,8 @@ def dedup(records: DataFrame, project: str, fields: list[str], late: str = "1 ho
 def completions(states: DataFrame, key: str = "project_id", gap: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Sessions of state events with their last state, whether they ended and how long they took."""
     out = states.withWatermark("ts", late).groupBy(F.session_window("ts", gap), key).agg(
-        F.max_by("state", "ts").alias("final_state"), F.min("ts").alias("first"), F.max("ts").alias("last")
+        F.max_by("state", F.struct("ts", "state")).alias("final_state"), F.min("ts").alias("first"), F.max("ts").alias("last")
     )
-    took = F.round(F.col("last").cast("double") - F.col("first").cast("double"), 2)
+    seconds = lambda c: F.col(c).cast("timestamp").cast("double")
+    took = F.round(seconds("last") - seconds("first"), 2)
     return out.select(key, "final_state", is_final(F.col("final_state")).alias("ended"), took.alias("duration_seconds"))
