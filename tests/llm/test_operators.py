@@ -71,6 +71,9 @@ def test_near_duplicates_of_nothing_and_null_ids(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (None, None)], "doc_id long, text string")
     assert sorted(map(tuple, minhash.near_duplicates(rows).collect()), key=repr) == [(1, 2, 1, True), (None, 0, None, True), (None, 2, None, True)]
+    same = [(5, "a b c d e f g h"), (5, "p q r s t u v w"), (6, "a b c d e f g h"), (7, "P q r s t u v w"), *[(8, "k l m n o p")] * 50, (9, "k l m n o p")]
+    got = {tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(same, "doc_id long, text string")).select("doc_id", "component_id").collect()}
+    assert {x for x in got if x[0] > 7} == {(8, 8), (9, 8)} and {x for x in got if x[0] == 6} == {(6, 5)}
 
 
 def crowd(seed=11, copies=500, sharing=500):
@@ -113,7 +116,7 @@ def test_groups_hold_each_member_once_and_cells_are_bounded(spark):
     from webloom.llm.common import save
     from webloom.llm.shingles import shingle_set
 
-    sketches = save(docs(spark, rows).select("doc_id", "text").mapInArrow(minhash._sketches(4, 20, 4), "doc_id long, n_shingles long, d1 long, d2 long, ka array<long>, kb array<long>, bins binary"), "t")
+    sketches = save(docs(spark, rows).select("doc_id", "text", F.lit(1).cast("long").alias("h1"), F.lit(1).cast("long").alias("h2")).mapInArrow(minhash._sketches(4, 20, 4), "doc_id long, h1 long, h2 long, n_shingles long, d1 long, d2 long, ka array<long>, kb array<long>, bins binary"), "t")
     members = minhash.candidate_keys(sketches.withColumnRenamed("doc_id", "rep"), 20)
     nothing = spark.createDataFrame([], "id long, component long")
     apart = minhash.open_groups(members, nothing)
@@ -319,6 +322,9 @@ def test_toxicity(spark):
     tests = ["alpha MOR0N beta", "alpha mоrоn", "alpha oxymoronic beta", "alpha loweixyz", *ODD]
     got = [r["toxicity"] >= 0.5 for r in toxicity.score(docs(spark, tests), lexicon).orderBy("doc_id").collect()]
     assert got == [True, True, False, True] + [False] * len(ODD)
+    one = both.filter("doc_id = 1000").select("doc_id", "text")
+    many = toxicity.fit(both.drop("toxic").union(spark.createDataFrame([one.first()] * 3_000, one.schema)), both.drop("text"), max_rows=400)
+    assert many.words or many.stems
     assert toxicity.score(docs(spark, []), toxicity.fit(both.drop("toxic").filter("false"), both.drop("text").filter("false"))).count() == 0
     spared = toxicity.Matcher(toxicity.Lexicon(words={"trash": 5.0}, exceptions=["trash can"]))
     assert spared.hits("a trash can") == [] and len(spared.hits("a trash cant")) == 1
@@ -343,10 +349,22 @@ def test_language_id(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in out) >= 118 and all(0 <= r["lang_score"] <= 1 for r in out)
     odd = langid.identify(docs(spark), model).collect()
     assert all((r["lang_pred"] == "und") == (not any(c.isalpha() for c in r["text"] or "")) for r in odd)
-    whole, slow = model.probabilities(b"thing and " * 50), langid.SLICE
-    langid.SLICE = 64
-    assert np.allclose(whole, model.probabilities(b"thing and " * 50), atol=0.02)
-    langid.SLICE = slow
+    nothing = langid.fit(spark.createDataFrame([(1, "x", None)], "doc_id long, text string, lang string"))
+    assert {(r["lang_pred"], r["lang_score"], r["lang_rejected"]) for r in langid.identify(docs(spark), nothing).collect()} == {("und", 0.0, False)}
+    assert langid.identify(docs(spark, []), model).count() == 0
+    hot = spark.createDataFrame([(7, "thing and er", "aa")] * 5_000 + rows, "doc_id long, text string, lang string")
+    assert langid.fit(hot, max_rows=60).classes == ["aa", "bb"]
+
+
+def test_features_are_the_same_slice_by_slice():
+    rng = random.Random(13)
+    for _ in range(300):
+        text = "".join(rng.choice("abÀÉñ ß日\n1Z") for _ in range(rng.randrange(120))).encode()
+        whole, size = sorted(langid.features(text)), rng.randint(1, 40)
+        assert whole == sorted(itertools.chain(*(langid.features(text, at, at + size) for at in range(0, len(text) + 2, size))))
+        padded = " " + text.decode().lower().replace("\n", " ").replace("1", " ") + " "
+        words = [(" " + w + " ").encode() for w in padded.split()]
+        assert len(whole) == sum(max(0, len(w) - 2) + max(0, len(w) - 3) for w in words)
 
 
 def test_unseen_language_is_rejected_and_every_language_learned(spark):
@@ -357,7 +375,7 @@ def test_unseen_language_is_rejected_and_every_language_learned(spark):
     rows = [(k, text(langs[x]), x) for k, x in enumerate(sorted(langs) * 6)]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.classes == sorted(langs)
-    four = langid.train([(text(langs[x]), x) for x in sorted(langs)[:4] * 40])
+    four = langid.train([(x, langid.windows(text(langs[x]), 1_500)) for x in sorted(langs)[:4] * 40])
     assert all(four.predict(text(langs["l60"]))[2] for _ in range(30))
     assert sum(four.predict(text(langs["l00"]))[2] for _ in range(100)) <= 2
 
@@ -365,6 +383,7 @@ def test_unseen_language_is_rejected_and_every_language_learned(spark):
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://A.Example.COM/en/71?x", "https://example.com/en/8", "http://xcom/en/", "https://a.net/de/1", "https://www.example.net/de/8#x", "https://q.org/es", "http://q.org?u=://b.org/es/", "https://spam-farm.x.io/", "https://cheap.x.io/bonus", "https://cheap.x.io/cheap", "https://spammy.x.io/"]
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert urlfilter.judge(rows.filter("false"), URL_RULES).count() == 0
     got = [(r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge(rows.withColumn("host", F.lit(1)), URL_RULES).orderBy("page_id").collect()]
     assert got == [
         ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("a.example.com", "/en/71", "example.com/en/7", "allow"),
@@ -379,6 +398,7 @@ def test_chats(spark):
     rows = [(c, t, *talk[t]) for c, n in ((1, 2), (2, 4), (3, 4), (4, 1)) for t in range(n)] + [(5, 0, "user", ""), (2, 0, "user", "hi"), (None, 0, "user", "hi")]
     out = chatformat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("a", F.lit(1))).orderBy("conv_id").collect()
     assert [(r["conv_id"], r["n_turns"], r["n_copies"]) for r in out] == [(2, 4, 2), (5, 1, 1)]
+    assert chatformat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
     assert out[0]["rendered"] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo < |im_end|><|im_end|>\n<|im_start|>user\n<|im_end|>\n<|im_start|>unknown\nx<|im_end|>\n"
 
 
@@ -394,11 +414,35 @@ def test_embeddings_match_brute_force(spark):
     link = (u @ u.T >= 0.93) & (np.array(label)[:, None] == np.array(label)[None])
     np.fill_diagonal(link, False)
     found = sum(r["n_links"] for r in got.values())
-    assert 0.97 * link.sum() <= found <= link.sum() and len(got) == len(rows)
+    assert found == link.sum() and len(got) == len(rows)
+    root = np.arange(len(x))
+    for _ in range(20):
+        root = np.minimum(root, np.where(link, root[None], len(x)).min(axis=1))
+    assert [got[i]["component_id"] for i in range(len(x))] == root.tolist()
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in [*range(1000, 1007), 2000])
     assert embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_embeddings_with_production_parameters(spark):
+    rng = np.random.default_rng(10)
+    centres = rng.normal(size=(150, 64))
+    x = np.concatenate([rng.normal(size=(3_000, 64)), np.repeat(centres, 8, axis=0) + 0.2 * rng.normal(size=(1_200, 64)), np.repeat(centres[:1], 400, axis=0) + 0.15 * rng.normal(size=(400, 64))])
+    x = x[rng.permutation(len(x))].astype(np.float32)
+    rows = [(i, v.tolist(), int(i % 3 == 0)) for i, v in enumerate(x)]
+    got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    link = (u @ u.T >= 0.93) & (label[:, None] == label[None])
+    np.fill_diagonal(link, False)
+    want = link.sum(axis=1)
+    assert all(got[i]["n_links"] <= want[i] for i in got) and sum(r["n_links"] for r in got.values()) >= 0.995 * want.sum() > 10_000
+    root = np.arange(len(x))
+    for _ in range(50):
+        root = np.minimum(root, np.where(link, root[None], len(x)).min(axis=1))
+    found = np.array([got[i]["component_id"] for i in range(len(x))])
+    assert (found >= root).all() and (found == root).mean() >= 0.995 and all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
+
+
 def test_embeddings_of_many_lengths(spark):
     rng = np.random.default_rng(9)
     rows, pairs = [], [*range(2, 72), *[100] * 30]
@@ -424,12 +468,19 @@ def test_token_counts_match_offsets(spark, rule):
         spans = [x + "\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] or len(lines) == 1 else [])
         assert [got[i][s][0] for s in range(len(spans))] == [len(x) for x in spans]
         assert math.isclose(sum(n for _, n in got[i].values()), len(whole.encode(t, add_special_tokens=False).ids), abs_tol=1e-9)
-        if rule == "start" and t.isascii():
-            want = [0] * len(spans)
+        if t.isascii():
+            want = [0.0] * len(spans)
             ends = list(itertools.accumulate(map(len, spans)))
-            for a, _ in whole.encode(t, add_special_tokens=False).offsets:
-                want[next(s for s, e in enumerate(ends) if a < e)] += 1
-            assert [n for _, (_, n) in sorted(got[i].items())] == want
+            for a, b in whole.encode(t, add_special_tokens=False).offsets:
+                shares = [max(0, min(b, e) - max(a, e - len(x))) / (b - a) for x, e in zip(spans, ends)]
+                first = next(s for s, n in enumerate(shares) if n)
+                last = max(s for s, n in enumerate(shares) if n)
+                if rule == "share":
+                    want = [w + n for w, n in zip(want, shares)]
+                else:
+                    want[{"start": first, "end": last, "most": shares.index(max(shares))}[rule]] += 1
+            assert np.allclose([n for _, (_, n) in sorted(got[i].items())], want)
+    assert tokencount.count_lines(docs(spark, []), tokenizer_path(), rule).count() == 0
 
 
 def test_token_counts_of_fields(spark):
@@ -438,6 +489,15 @@ def test_token_counts_of_fields(spark):
     assert got == {(1, 0): 12, (1, 1): 1, (1, 2): 3, (2, 0): 1, (2, 1): 1, (2, 2): 0}
 
 
+def test_samples_are_bounded_whatever_the_key(spark):
+    from webloom.llm.common import bounded
+
+    for keys in (range(4_000), [5] * 4_000, [None] * 4_000, [*[5] * 2_000, *range(2_000)]):
+        rows = spark.createDataFrame([(k, 1) for k in keys], "k long, x int")
+        for salt in range(3):
+            assert 500 <= bounded(rows, ["k"], 4_000, 1_000, salt).count() <= 1_600
+
+
 def test_html_text(spark):
     def page(i):
         return f"<!DOCTYPE html><html><head><title>T{i}</title><script>var t=\"</p>\";</script></head><body><nav><ul><li><a href='/x'>menu {i}</a></li></ul></nav><!-- c --><div class=\"ad\">buy things now please {i}</div><article><h1>Head &amp; {i}</h1><p>One  two\n three&nbsp;four {i}.<p><b>Bold</b>er <br>text<div class='notice'>Notice this now</div><p>Last.</article><footer>&copy; foot words here</footer></body></html>"
@@ -458,7 +518,32 @@ def test_marks_do_not_outvote_learned_weights():
     want = "The head\nOne two three four five six seven.\nMore words of the same text here."
     for wrap in ("form", "div class='page has-sidebar'", "div class='no-sidebar'", "div class='with-nav'", "div id=search-results"):
         assert htmltext.extract(f"<body><{wrap}>{nav}{body}</{wrap.split()[0]}><footer>foot words</footer></body>", weights) == want, wrap
-    inside = "<article><div class='entry-header'><h1>The head</h1></div><p>One two.</p><div class='related-work'><p>Others did this.</p></div><div class='search-methods'><p>We looked.</p></div><div class='notice'><p>Notice this.</p></div><p>Last.</p></article>"
-    assert htmltext.extract(inside, weights) == "The head\nOne two.\nOthers did this.\nWe looked.\nLast."
+    inside = "<article><div class='entry-header'><h1>The head</h1></div><p>One two.</p><section class='related-work'><p>Others did this.</p></section><div class='search-methods'><p>We looked.</p></div><p class='share'>Share price rose.</p><div class='notice'><p>Notice this.</p></div><div class='share'><a>Share this</a></div><div class='comment-list'><p>I disagree with every word of this, said a reader at great length here.</p></div><p>Last.</p></article>"
+    assert htmltext.extract(inside, weights) == "The head\nOne two.\nOthers did this.\nWe looked.\nShare price rose.\nLast."
     aside = f"<body><div class='sidebar'><p>Aside words.</p></div><div>{body}</div></body>"
     assert htmltext.extract(aside, weights) == want
+    talk = "<div class='comments'>" + "<article class='comment'><p>A reader says a good many words here, more than the text has.</p></article>" * 9 + "</div>"
+    assert htmltext.extract(f"<body>{nav}<article>{body}</article>{talk}</body>", weights) == want
+    assert htmltext.extract(f"<body>{nav}<article>{body}{talk}</article></body>", weights) == want
+
+
+def test_learned_weights_keep_the_text(spark):
+    pages = spark.createDataFrame([(i, f"<body><nav><a>menu {i}</a></nav><div class='ad'>buy now {i}</div><article><h1>Head</h1><p>Text of some words {i}.</p></article><footer>foot words</footer></body>") for i in range(30)], "page_id long, html string")
+    weights = htmltext.fit(pages)
+    for page, want in (
+        ("<article><p>One.</p><section class='related-work'><p>Others did.</p></section><p>Two.</p></article>", "One.\nOthers did.\nTwo."),
+        ("<article><p>One.</p><p class='share'>Share price rose.</p></article>", "One.\nShare price rose."),
+        ("<body><nav><a>menu</a></nav><div class='post search-results'><h1>Head</h1><p>Some words of text here.</p></div></body>", "Head\nSome words of text here."),
+    ):
+        assert htmltext.extract(page, weights) == want
+    assert htmltext.fit(pages.filter("false")) == {} and htmltext.main_text(pages.filter("false"), weights).count() == 0
+    assert htmltext.extract("<nav><a>menu</a></nav><p>Text.</p>", {}) == "Text."
+
+
+def test_best_region_matches_brute_force():
+    rng = random.Random(14)
+    for _ in range(300):
+        scores = [rng.choice([-3, -1, -0.5, 0.5, 2, 4]) for _ in range(rng.randrange(25))]
+        start, stop = htmltext.best_region(scores)
+        best = max((sum(scores[i:j]) for i in range(len(scores)) for j in range(i, len(scores) + 1)), default=0)
+        assert math.isclose(sum(scores[start:stop]), max(0, best)) and (stop == start or scores[start] > 0)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,16 +75,57 @@ def forget(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def out_of_the_way(docs: DataFrame, names: list[str], step) -> DataFrame:
+    """The columns of docs of step(docs), during which those of docs that have one of these names have another."""
+    other = {c: "_" * (1 + max(map(len, docs.columns))) + c for c in docs.columns if c in names}
+    return step(docs.withColumnsRenamed(other)).select(*(F.col(f"`{other.get(c, c)}`").alias(c) for c in docs.columns))
+
+
 def slices(batches, rows: int = 256):
     """The rows of Arrow batches in small batches, so that a task holds few texts as Python objects at once."""
-    import pyarrow as pa
-
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
     pa.default_memory_pool().release_unused()
 
 
+LEAST_BITS, MOST_BITS = 16, 25  # a filter has at least 8 KB and at most 4 MB
+
+
+def bit_filter(hashes: DataFrame) -> tuple[int, np.ndarray]:
+    """(power, a set of 2 ** power bits) of the hashes in the first column; its size follows their number up to MOST_BITS.
+
+    It passes every hash that is in the column, and few others until they outgrow it.
+    """
+    h = F.col(hashes.columns[0])
+    n = hashes.agg(F.approx_count_distinct(h)).first()[0]
+    power = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+    parts = hashes.select(F.shiftrightunsigned(h, 64 - power).alias("place"))
+    parts = parts.groupBy(F.shiftright("place", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 31 AS int))")).alias("bits"))
+    words = np.zeros(1 << (power - 5), dtype="<u4")
+    for at, bits in parts.collect():  # at most 2 ** (MOST_BITS - 5) rows
+        words[at] = bits
+    return power, words.view(np.uint8)
+
+
+def passes(found: tuple[int, np.ndarray], hashes: np.ndarray) -> np.ndarray:
+    """Which of the unsigned 64-bit hashes a bit_filter() passes."""
+    power, bits = found
+    place = (hashes >> np.uint64(64 - power)).astype(np.int64)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def passing(df: DataFrame, column: str, found: tuple[int, np.ndarray]) -> DataFrame:
+    """Rows whose hash of a column a bit_filter() passes; only the hashes go to Python."""
+    shared = df.sparkSession.sparkContext.broadcast(found)
+
+    @F.arrow_udf("boolean")
+    def known(h: pa.Array) -> pa.Array:
+        return pa.array(passes(shared.value, h.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    return df.filter(known(F.xxhash64(column)))
+
+
 def remainder(key: str | Column, n: int) -> Column:
     """crc32 of the key as text, modulo n; -1 for a null key."""
     key = F.col(key) if isinstance(key, str) else key

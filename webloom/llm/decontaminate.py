@@ -25,14 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import forget, save, slices
+from webloom.llm.common import bit_filter, forget, passes, save, slices
 from webloom.llm.shingles import BASE, mix, word_hashes
 
 BETWEEN = re.compile(r"[\W_]+")
 STOP = word_hashes(b"\x01")[0]  # stands between texts that are hashed at once
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 PRIME, ROOT = (1 << 61) - 1, 1_000_003
-LEAST_BITS, MOST_BITS = 16, 25  # the filter has at least 8 KB and at most 4 MB
 VOLUME = 1 << 20  # characters of texts that are hashed at once
 
 
@@ -126,27 +125,14 @@ def _items(k: int):
     return run
 
 
-def _filter(seeds: DataFrame) -> tuple[int, np.ndarray]:
-    """(power, a set of 2 ** power bits) of seeds; its size follows their number up to MOST_BITS."""
-    n = seeds.agg(F.approx_count_distinct("seed")).first()[0]
-    power = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
-    parts = seeds.select(F.shiftrightunsigned("seed", 64 - power).alias("place"))
-    parts = parts.groupBy(F.shiftright("place", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 31 AS int))")).alias("bits"))
-    words = np.zeros(1 << (power - 5), dtype="<u4")
-    for at, bits in parts.collect():  # at most 2 ** (MOST_BITS - 5) rows
-        words[at] = bits
-    return power, words.view(np.uint8)
-
-
 def _hits(shared, k: int):
     """Of each text the seeds that the filter knows and their tokens, -1 between runs; texts without any are left out."""
 
-    def found(texts: list[str | None], power: int, bits: np.ndarray):
+    def found(texts: list[str | None]):
         words = hashed(texts)
         ends = np.flatnonzero(words == STOP)
         seeds = rolling(words, k)
-        place = (seeds >> np.uint64(64 - power)).astype(np.int64)
-        known = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+        known = np.flatnonzero(passes(shared.value, seeds))
         owner = np.searchsorted(ends, known)
         whole = known + k <= ends[owner]  # a window with a STOP inside is none
         known, owner = known[whole], owner[whole]
@@ -157,7 +143,6 @@ def _hits(shared, k: int):
             yield int(text), np.insert(_tokens(words[inside]), cuts, -1), np.unique(seeds[own]).view(np.int64)
 
     def run(batches):
-        power, bits = shared.value
         for batch in slices(batches):
             texts, rows, at = batch.column("text").to_pylist(), [], 0
             while at < len(texts):
@@ -165,7 +150,7 @@ def _hits(shared, k: int):
                 while stop < len(texts) and (stop == at or size + len(texts[stop] or "") <= VOLUME):
                     size += len(texts[stop] or "")
                     stop += 1
-                rows += [(at + i, seq, seeds) for i, seq, seeds in found(texts[at:stop], power, bits)]
+                rows += [(at + i, seq, seeds) for i, seq, seeds in found(texts[at:stop])]
                 at = stop
             some = batch.take(pa.array([r[0] for r in rows], pa.int64()))
             lists = (pa.array([r[i] for r in rows], pa.list_(pa.int64())) for i in (1, 2))
@@ -209,7 +194,7 @@ def _leaked(docs: DataFrame, benchmark: DataFrame, k: int, threshold: float) ->
     ranked = ranked.withColumn("upto", F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     ranked = save(ranked.select("item", "seed", "copies", "need", (F.col("upto") <= F.floor(F.col("need") / 2)).alias("out")), "seeds")
     used = ranked.filter("NOT out")
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(ranked.select("seed")))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(ranked.select("seed")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     hits = save(docs.select("doc_id", "text", *_key()).mapInArrow(_hits(shared, k), f"doc_id {kind}, h1 long, h2 long, seq array<long>, seeds array<long>"), "hits")
     once = hits.groupBy("h1", "h2").agg(F.first("seeds").alias("seeds")).select("h1", "h2", F.explode("seeds").alias("seed"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import forget, save, slices
+from webloom.llm.common import bit_filter, forget, passing, save, save_in_buckets, settled, slices
 from webloom.llm.components import connected_components
 from webloom.llm.shingles import BASE, linked, mix, shingle_set
 
@@ -75,7 +75,7 @@ def _sketches(k: int, tables: int, rows: int):
             offsets = np.arange(0, tables * len(sets) + 1, tables, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
+                    *(batch.column(c) for c in ("doc_id", "h1", "h2")),
                     pa.array(sizes, pa.int64()),
                     pa.array(digests[:, 0].view(np.int64)),
                     pa.array(digests[:, 1].view(np.int64)),
@@ -83,7 +83,7 @@ def _sketches(k: int, tables: int, rows: int):
                     pa.ListArray.from_arrays(offsets, pa.array(keys[:, tables:].ravel().view(np.int64))),
                     pa.array([x.tobytes() for x in bins], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "d1", "d2", "ka", "kb", "bins"],
+                ["doc_id", "h1", "h2", "n_shingles", "d1", "d2", "ka", "kb", "bins"],
             )
 
     return run
@@ -297,17 +297,35 @@ def _confirm(k: int, percent: int):
 
 
 def confirm_links(pairs: DataFrame, texts: DataFrame, k: int, percent: int, most: int = 128) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets of `texts` (id, text) are similar enough.
+    """The pairs (a, b) whose full shingle sets of `texts` (rep, text) are similar enough, saved.
 
     Each pair carries the text of `b` to a copy of `a`'s text; pairs with one hub are dealt over groups of about `most`.
     """
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / most).alias("salts"))
     dealt = pairs.join(salts, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), F.col("b").alias("member"))
     hubs = dealt.select("hub", "salt").distinct().withColumn("member", F.lit(None).cast("long"))
-    need = dealt.withColumn("id", F.col("member")).union(hubs.withColumn("id", F.col("hub")))
-    rows = need.join(texts, "id").select("hub", "salt", "member", "text")
+    need = save(dealt.withColumn("rep", F.col("member")).union(hubs.withColumn("rep", F.col("hub"))), "need")
+    rows = need.join(texts, "rep").select("hub", "salt", "member", "text")
     rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.asc_nulls_first("member"))
-    return rows.mapInArrow(_confirm(k, percent), "a long, b long")
+    out = save(rows.mapInArrow(_confirm(k, percent), "a long, b long"), "links")
+    forget(need)
+    return out
+
+
+def bodies_of(docs: DataFrame, reps: DataFrame, members: DataFrame) -> DataFrame:
+    """(rep, n, bins, text) of the sets that share a key, in buckets by rep: texts move once for all later joins.
+
+    A filter of bounded size keeps nearly all other texts where they are.
+    """
+    ids = members.select("rep").distinct()
+    known = bit_filter(members.select(F.xxhash64("rep")))
+    own = reps.select("rep", "h1", "h2", F.col("n_shingles").alias("n"), "bins")
+    wanted = save(passing(own, "rep", known).join(ids, "rep", "left_semi"), "wanted")
+    texts = passing(docs.withColumnRenamed("doc_id", "rep"), "rep", known).join(wanted, ["rep", "h1", "h2"])
+    once = texts.groupBy("rep", "h1", "h2").agg(*(F.first(c).alias(c) for c in ("n", "bins", "text")))  # repeated rows
+    out = save_in_buckets(once.select("rep", "n", "bins", "text"), "bodies", "rep")
+    forget(wanted)
+    return out
 
 
 def candidate_keys(reps: DataFrame, tables: int) -> DataFrame:
@@ -341,42 +359,42 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, tables: int
 
     Linked are rows whose distinct k-word shingle sets have 100 * intersection >= percent * union.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = save(docs.mapInArrow(_sketches(k, tables, rows), "doc_id long, n_shingles long, d1 long, d2 long, ka array<long>, kb array<long>, bins binary"), "sketches")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"))
+    return settled(lambda: _near_duplicates(docs, k, percent, tables, rows, rounds, block), "near-duplicates")
+
+
+def _near_duplicates(docs: DataFrame, k: int, percent: int, tables: int, rows: int, rounds: int, block: int) -> DataFrame:
+    schema = "doc_id long, h1 long, h2 long, n_shingles long, d1 long, d2 long, ka array<long>, kb array<long>, bins binary"
+    sketches = save(docs.mapInArrow(_sketches(k, tables, rows), schema), "sketches")
     usable = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = usable.groupBy("d1", "d2", "n_shingles").agg(F.min_by(F.struct("ka", "kb", "bins"), "doc_id").alias("k"), F.min("doc_id").alias("rep"))
-    reps = save(reps.select("rep", "d1", "d2", "n_shingles", "k.ka", "k.kb", "k.bins"), "reps")
+    reps = usable.groupBy("d1", "d2", "n_shingles").agg(F.min_by(F.struct("h1", "h2", "ka", "kb", "bins"), "doc_id").alias("k"), F.min("doc_id").alias("rep"))
+    reps = save(reps.select("rep", "d1", "d2", "n_shingles", "k.*"), "reps")
     members = candidate_keys(reps, tables)
-    size = reps.select("rep", F.col("n_shingles").alias("n"), "bins")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").filter("id IS NOT NULL AND text IS NOT NULL")
-    made = [sketches, reps, members]
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        made.append(save(df, name))
-        return made[-1]
+    bodies = bodies_of(docs, reps, members)
+    size, texts = bodies.select("rep", "n", "bins"), bodies.select("rep", "text")
 
     # Each set with the smallest member of one key.
-    stars = kept(members.filter("hub <> rep").groupBy(F.col("rep").alias("b")).agg(F.min("hub").alias("a")).select("a", "b"), "stars")
+    stars = save(members.filter("hub <> rep").groupBy(F.col("rep").alias("b")).agg(F.min("hub").alias("a")).select("a", "b"), "stars")
     both = stars.join(size.select(F.col("rep").alias("a"), F.col("n").alias("n1"), F.col("bins").alias("s1")), "a")
     both = both.join(size.select(F.col("rep").alias("b"), F.col("n").alias("n2"), F.col("bins").alias("s2")), "b")
-    links = kept(confirm_links(both.mapInArrow(_hopeful(percent), "a long, b long"), texts, k, percent), "links")
-    comps = kept(connected_components(links), "comps")
+    links = confirm_links(save(both.mapInArrow(_hopeful(percent), "a long, b long"), "hopeful"), texts, k, percent)
+    comps = connected_components(links)
 
     # Each set that is still apart from another of its group with the likeliest; at last those that are left on full sets.
     while True:
-        apart = kept(open_groups(members, comps), "apart")
-        best = kept(dealt(apart.join(size, "rep"), block, 1 << 62).mapInArrow(_best(percent), "a long, b long"), "best")
+        apart = open_groups(members, comps)
+        best = save(dealt(apart.join(size, "rep"), block, 1 << 62).mapInArrow(_best(percent), "a long, b long"), "best")
         if best.isEmpty():
             break
         pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = kept(confirm_links(pairs, texts, k, percent), "links") if rounds else None
+        found = confirm_links(pairs, texts, k, percent) if rounds else None
         done = found is None or found.isEmpty()
         if done:
             some = best.select(F.col("a").alias("rep")).union(best.select(F.col("b").alias("rep"))).distinct()
-            rest = apart.join(some, "rep", "left_semi").join(size, "rep").join(texts.withColumnRenamed("id", "rep"), "rep")
-            found = kept(dealt(rest, block // 4 or 1, 1 << 20).mapInArrow(_links(k, percent), "a long, b long"), "rest")
+            rest = save(apart.join(some, "rep", "left_semi"), "left").join(bodies, "rep")
+            found = save(dealt(rest, block // 4 or 1, 1 << 20).mapInArrow(_links(k, percent), "a long, b long"), "rest")
         links, rounds = links.union(found), rounds - 1
-        comps = kept(connected_components(links), "comps")
+        comps = connected_components(links)
         if done:
             break
 
@@ -385,6 +403,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, tables: int
     out = sketches.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    out = save(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates")
-    forget(*made)
-    return out
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
