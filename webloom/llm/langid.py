@@ -183,10 +183,10 @@ def fit(labelled: DataFrame, max_rows: int = 3_000, least: int = 10, most: int =
         for batch in slices(batches):
             rows = [(row, k, u, n) for row, t in enumerate(batch.column("text").to_pylist()) for k, (u, n) in enumerate(windows(t, most))]
             some = batch.take(pa.array([r[0] for r in rows], pa.int64()))
-            lists = (pa.array([r[i] for r in rows], pa.list_(pa.int64())) for i in (2, 3))
+            lists = (pa.array([r[i].astype(np.int32) for r in rows], pa.list_(pa.int32())) for i in (2, 3))
             yield pa.RecordBatch.from_arrays([some.column("lang"), some.column("h"), pa.array([r[1] for r in rows], pa.int32()), *lists], ["lang", "h", "k", "u", "n"])
 
-    found = drawn.mapInArrow(cut, "lang string, h long, k int, u array<long>, n array<long>").toArrow()
+    found = drawn.mapInArrow(cut, "lang string, h long, k int, u array<int>, n array<int>").toArrow()
     found = found.sort_by([("lang", "ascending"), ("h", "ascending"), ("k", "ascending")])
     rows: dict[tuple, list] = {}
     for lang, h, u, n in zip(*(found[c] for c in ("lang", "h", "u", "n"))):
