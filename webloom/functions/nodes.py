@@ -6,11 +6,13 @@ import re
 from collections import Counter
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NODE = "array<struct<node_id:int,parent_id:int,subtree_end:int,depth:int,place:int,nth:int,tag:string,id:string,classes:array<string>,attrs:map<string,string>,texts:array<string>,words:array<struct<at:int,s:string>>,in_chrome:boolean>>"
+FIELDS = "node_id:int parent_id:int subtree_end:int depth:int place:int nth:int tag:string id:string classes:array<string> attrs:map<string,string> texts:array<string> words:array<struct<at:int,s:string>> in_chrome:boolean".split()
+NODE = f"array<struct<{','.join(FIELDS)}>>"
 # Elements without an end tag, and start tags that end an open element of the kinds named.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -108,15 +110,26 @@ def parse_with_text(page: str | None) -> list[dict]:
     return nodes
 
 
-_TYPE = pa.list_(
-    pa.struct(
-        [("node_id", pa.int32()), ("parent_id", pa.int32()), ("subtree_end", pa.int32()), ("depth", pa.int32()), ("place", pa.int32()), ("nth", pa.int32()), ("tag", pa.string()), ("id", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("texts", pa.list_(pa.string())), ("words", pa.list_(pa.struct([("at", pa.int32()), ("s", pa.string())]))), ("in_chrome", pa.bool_())]
-    )
-)
+def _offsets(sizes) -> pa.Array:
+    return pa.array(np.cumsum([0, *sizes]), pa.int32())
 
 
 def _nodes(pages: pa.Array) -> pa.Array:
-    return pa.array([parse(p) for p in pages.to_pylist()], _TYPE)
+    """The trees of pages, built column by column."""
+    trees = [parse(p) for p in pages.to_pylist()]
+    flat = [n for t in trees for n in t or ()]
+    plain = {"node_id": pa.int32(), "parent_id": pa.int32(), "subtree_end": pa.int32(), "depth": pa.int32(), "place": pa.int32(), "nth": pa.int32(), "tag": pa.string(), "id": pa.string(), "in_chrome": pa.bool_()}
+    columns = {name: pa.array([n[name] for n in flat], kind) for name, kind in plain.items()}
+    for name in ("classes", "texts"):
+        columns[name] = pa.ListArray.from_arrays(_offsets([len(n[name]) for n in flat]), pa.array([x for n in flat for x in n[name]], pa.string()))
+    pairs, words = [x for n in flat for x in n["attrs"]], [x for n in flat for x in n["words"]]
+    columns["attrs"] = pa.MapArray.from_arrays(_offsets([len(n["attrs"]) for n in flat]), pa.array([k for k, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string()))
+    pieces = pa.StructArray.from_arrays([pa.array([w["at"] for w in words], pa.int32()), pa.array([w["s"] for w in words], pa.string())], ["at", "s"])
+    columns["words"] = pa.ListArray.from_arrays(_offsets([len(n["words"]) for n in flat]), pieces)
+    names = [f.split(":")[0] for f in FIELDS]
+    ends = np.cumsum([0, *(len(t or ()) for t in trees)]).tolist()
+    starts = [None if t is None else at for t, at in zip(trees, ends)]
+    return pa.ListArray.from_arrays(pa.array([*starts, ends[-1]], pa.int32()), pa.StructArray.from_arrays([columns[n] for n in names], names))
 
 
 def html_nodes(page: str | Column) -> Column:

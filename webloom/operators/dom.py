@@ -205,12 +205,14 @@ def tree_export(parsed: DataFrame, most: int = 500) -> DataFrame:
     What is inside a node that is left out is left out too.
     """
     n = F.col("nodes")
-    cut = F.filter(n, lambda x: x["place"] > most)
-    out = lambda x: F.exists(cut, lambda c: (c["node_id"] <= x["node_id"]) & (x["node_id"] < c["subtree_end"]))
+    end = lambda x: F.coalesce(F.get(n, x["parent_id"])["subtree_end"], F.size(n))
+    cut = F.transform(F.filter(n, lambda x: x["place"] == most + 1), lambda x: F.struct(x["node_id"].alias("first"), end(x).alias("end")))
+    parsed = parsed.select("page_id", "nodes", cut.alias("cut"))  # once a page, not once a node
+    out = lambda x, first=0: F.exists("cut", lambda c: (c["first"] + first <= x["node_id"]) & (x["node_id"] < c["end"]))
     row = lambda parent, node, tag, text: F.struct(parent.alias("parent_id"), node.alias("node_id"), tag.alias("tag"), text.alias("text"))
     leaf = lambda x: F.when(x["subtree_end"] == x["node_id"] + 1, F.substring(text_of(n, x), 1, 50))
     kept = F.transform(F.filter(n, lambda x: ~out(x)), lambda x: row(x["parent_id"], x["node_id"], x["tag"], leaf(x)))
-    over = F.filter(n, lambda x: (x["place"] == most + 1) & ~F.exists(cut, lambda c: (c["node_id"] < x["node_id"]) & (x["node_id"] < c["subtree_end"])))
+    over = F.filter(n, lambda x: (x["place"] == most + 1) & ~out(x, 1))
     rest = lambda x: F.size(F.filter(n, lambda y: y["parent_id"].eqNullSafe(x["parent_id"]))) - most
     marks = F.transform(over, lambda x: row(x["parent_id"], F.lit(None).cast("int"), F.lit("#more"), F.format_string("... %d more items ...", rest(x))))
     return parsed.select("page_id", F.explode(F.concat(kept, marks)).alias("r")).select("page_id", "r.*")

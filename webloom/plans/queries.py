@@ -239,7 +239,9 @@ def listings(t, size: int = 20) -> DataFrame:
     page = F.floor(F.col("p_partkey") / size).cast("long")
     cards = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", card.alias("c")))), lambda x: x["c"]), "")
     out = t("part").groupBy(page.alias("page_id")).agg(F.concat(F.lit("<html><body>\n"), cards, F.lit("</body></html>")).alias("html"))
-    return out.withColumn("url", F.concat(F.lit("https://parts.example.com/?page="), F.col("page_id").cast("string")))
+    out = out.withColumn("url", F.concat(F.lit("https://parts.example.com/?page="), F.col("page_id").cast("string")))
+    # A page is little data but much work: keep as many partitions as there are cores for it.
+    return out.repartition(int(out.sparkSession.conf.get("spark.sql.shuffle.partitions")), "page_id")
 
 
 CARD = "SELECT p_partkey // {0} AS page_id, row_number() OVER (PARTITION BY p_partkey // {0} ORDER BY p_partkey) AS j, p_name, p_brand, CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR) AS price FROM part"
