@@ -3,13 +3,16 @@
 Unit vectors are split into halves; independent codebooks on either half form a product grid of cells. Every vector
 lies in one cell and visits the cells nearest to it, in the order of the multi-sequence algorithm, until the target
 recall: as many as found that share of test vectors that were turned away from sample vectors by exactly the
-threshold's angle. Two vectors are compared if either visits the other's cell; cosine is verified in double precision.
+threshold's angle. Neighbouring cells of a grid row are one unit of about `block` points, and a vector is sent once to
+each unit in which it visits a cell. Two vectors are compared if either visits the other's unit; cosine is verified in
+double precision.
 
-Equal vectors of a label are one point with a count. Cells are cut into blocks of points and of visitors, so a dense
-cell is many tasks; a task sends counts of links and a spanning forest of them, never all pairs.
+Equal vectors of a label are one point with a count. Units are cut into blocks of points and of visitors, so a dense
+cell is many tasks; a task sends counts of links and a spanning forest of them, never all pairs. The codebooks grow
+with the root of the number of points, up to an eighth of the sample they are fitted on.
 
 Defined results: vectors that are null or zero, or hold null or non-finite components, and rows with a null label or
-id, have no link and are kept; vectors of different lengths are never linked; rows with equal ids count as separate
+id, have no link and are kept; ids are read as longs, so a text id is a null one; vectors of different lengths are never linked; rows with equal ids count as separate
 vectors of one component; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import bounded, save
+from webloom.llm.common import bounded, save, settled
 from webloom.llm.components import connected_components
 
 
@@ -64,10 +67,13 @@ def multi_sequence(d1: np.ndarray, d2: np.ndarray, n: int) -> list[int]:
 
 
 class Index:
-    def __init__(self, sample: np.ndarray, codes: int, threshold: float, recall: float, tests: int = 2_000, seed: int = 6):
+    def __init__(self, sample: np.ndarray, codes: int, threshold: float, recall: float, wide: int = 1, tests: int = 2_000, seed: int = 6):
         x = unit(sample)
-        self.cut = x.shape[1] // 2 or 1
+        self.cut, self.wide = x.shape[1] // 2 or 1, wide
         self.first, self.second = kmeans(x[:, : self.cut], codes), kmeans(x[:, self.cut :] if x.shape[1] > 1 else x, codes)
+        # Near codes of the second half get near numbers, so that a tour's cells share units.
+        centred = self.second - self.second.mean(axis=0)
+        self.second = self.second[np.argsort(centred @ np.linalg.svd(centred, full_matrices=False)[2][0], kind="stable")]
         rng = np.random.default_rng(seed)
         some = x[rng.integers(0, len(x), tests)]
         noise = rng.normal(size=some.shape)
@@ -76,7 +82,7 @@ class Index:
         cells = self.cells(some)
         d1, d2 = self.distances(turned)
         own = d1[np.arange(tests), cells // len(self.second)] + d2[np.arange(tests), cells % len(self.second)]
-        rank = np.array([(d1[t][:, None] + d2[t][None] < own[t]).sum() for t in range(tests)])
+        rank = np.array([np.searchsorted(np.sort(d2[t]), own[t] - d1[t], "left").sum() for t in range(tests)])
         self.visits = int(np.sort(rank)[min(tests - 1, math.ceil(recall * tests))]) + 1
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,9 +92,14 @@ class Index:
         d1, d2 = self.distances(x)
         return d1.argmin(axis=1) * len(self.second) + d2.argmin(axis=1)
 
-    def tour(self, x: np.ndarray) -> list[list[int]]:
+    def units(self, cells: np.ndarray) -> np.ndarray:
+        """The unit of each cell: `wide` neighbouring cells of a grid row."""
+        row, column = np.divmod(cells, len(self.second))
+        return row * -(-len(self.second) // self.wide) + column // self.wide
+
+    def tour(self, x: np.ndarray) -> np.ndarray:
         d1, d2 = self.distances(x)
-        return [multi_sequence(a, b, self.visits) for a, b in zip(d1, d2)]
+        return self.units(np.array([multi_sequence(a, b, self.visits) for a, b in zip(d1, d2)]))
 
 
 def _rows(column) -> np.ndarray:
@@ -96,7 +107,7 @@ def _rows(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _compare(threshold: float, cells: int):
+def _compare(threshold: float):
     """Rows of a block come first, then its visitors; sends (a, n) for n links of a, and (a, b) for edges."""
 
     def run(batches):
@@ -114,21 +125,21 @@ def _compare(threshold: float, cells: int):
                     key, block, joined = keys[start], [], None
                 if (~visitor).any():
                     own = np.flatnonzero(~visitor)
-                    seen = np.zeros((len(own), cells), dtype=bool)
-                    tour = _rows(part.column("tour").take(pa.array(own)))
-                    seen[np.arange(len(own))[:, None], tour] = True
-                    block.append((ids[own], count[own], x[own], seen))
+                    block.append((ids[own], count[own], x[own], _rows(part.column("tour").take(pa.array(own)))))
                 if not visitor.any() or not block:
                     continue
                 if len(block) > 1 or joined is None:
                     block = [tuple(np.concatenate(p) for p in zip(*block))]
                     joined = np.arange(len(block[0][0])) if joined is None else joined
-                bi, bn, bx, seen = block[0]
+                bi, bn, bx, tours = block[0]
                 who = np.flatnonzero(visitor)
                 for at in range(0, len(who), 256):
                     w = who[at : at + 256]
                     near = (x[w] @ bx.T >= threshold) & (ids[w][:, None] != bi[None])
-                    lone = near & ~seen[:, home[w]].T  # pairs that only this side's visit finds
+                    lone = np.zeros_like(near)  # pairs that only this side's visit finds
+                    for r in np.flatnonzero(near.any(axis=1)):
+                        to = np.flatnonzero(near[r])
+                        lone[r, to] = (tours[to] != home[w[r]]).all(axis=1)
                     for total, names in ((near @ bn, ids[w]), (count[w] @ lone, bi)):
                         got = np.flatnonzero(total)
                         a.extend(names[got].tolist())
@@ -147,13 +158,18 @@ def _compare(threshold: float, cells: int):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.999, sample_rows: int = 20_000, block: int = 1024, max_codes: int = 256) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.999, sample_rows: int = 20_000, block: int = 1024) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, label).
 
     Each length of vectors with more than `block` points has codebooks of its own, fitted on about `sample_rows` points;
     every vector is indexed and visits. All other lengths are one cell each, compared exactly in one job.
     """
+    return settled(lambda: _near_duplicates(vectors, threshold, recall, sample_rows, block), "near-vectors")
+
+
+def _near_duplicates(vectors: DataFrame, threshold: float, recall: float, sample_rows: int, block: int) -> DataFrame:
     spark = vectors.sparkSession
+    kind = "float" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "double"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("string").alias("label"))
     e = F.col("embedding")
     sound = e.isNotNull() & F.exists(e, lambda x: x != 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -165,21 +181,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float =
     for dim, total in sizes.filter(F.col("total") > block).orderBy("dim").collect():
         own = points.filter(F.col("dim") == dim)
         taken = np.array([r["embedding"] for r in bounded(own, ["rep"], total, sample_rows, 7).select("embedding").collect()], dtype=np.float64)
-        codes = int(min(max_codes, max(2, math.sqrt(total / 64)), max(1, len(taken) // 8 + 1)))
-        index = Index(taken, codes, threshold, recall)
-        parts.append(save(own.mapInArrow(_tours(spark.sparkContext.broadcast(index)), "label string, dim int, rep long, n long, embedding array<double>, home int, tour array<int>"), "tours"))
+        codes = int(min(max(2, math.sqrt(total / 64)), max(1, len(taken) // 8 + 1)))
+        index = Index(taken, codes, threshold, recall, wide=max(1, min(codes, block * codes**2 // total)))
+        parts.append(save(own.mapInArrow(_tours(spark.sparkContext.broadcast(index), kind), f"label string, dim int, rep long, n long, embedding array<{kind}>, home int, tour array<int>"), "tours"))
     few = sizes.filter(F.col("total") <= block).select("dim")
     if not few.isEmpty():
-        one = points.join(F.broadcast(few), "dim").select("label", "dim", "rep", "n", F.col("embedding").cast("array<double>").alias("embedding"))
+        one = points.join(F.broadcast(few), "dim").select("label", "dim", "rep", "n", F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
         parts.append(save(one.withColumns({"home": F.lit(0), "tour": F.array(F.lit(0))}), "tours"))
     if not parts:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     links = None
     for tours in parts:
-        cells = int(tours.agg(F.max(F.greatest("home", F.array_max("tour")))).first()[0]) + 1
-        visits = tours.select("label", "dim", "rep", "n", "embedding", "home", "tour", F.explode("tour").alias("cell"))
+        visits = tours.withColumn("cell", F.explode(F.array_distinct("tour")))
         held = tours.groupBy("label", "dim", F.col("home").alias("cell")).agg(F.ceil(F.count("*") / block).cast("int").alias("pbs"))
-        coming = tours.select("label", "dim", F.explode("tour").alias("cell")).groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / (4 * block)).cast("int").alias("vbs"))
+        coming = visits.select("label", "dim", "cell").groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / (4 * block)).cast("int").alias("vbs"))
         grid = save(held.join(coming, ["label", "dim", "cell"]), "grid")
         deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -190,7 +205,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float =
         both = here.select(*columns, F.lit(False).alias("visitor")).union(there.select(*columns, F.lit(True).alias("visitor")))
         keys = [*at, "pb", "vb"]
         both = both.repartition(*keys).sortWithinPartitions(*keys, "visitor")
-        found = save(both.mapInArrow(_compare(threshold, cells), "a long, b long, n long"), "found")
+        found = save(both.mapInArrow(_compare(threshold), "a long, b long, n long"), "found")
         links = found if links is None else links.union(found)
     comps = connected_components(links.filter("b IS NOT NULL"))
     direct = links.filter("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
@@ -201,17 +216,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float =
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _tours(shared):
+def _tours(shared, kind: str):
+    """Rows (label, dim, rep, n, embedding) with home and tour; vectors travel in the type they came in."""
+
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw = _rows(batch.column("embedding")).astype(np.float64)
+            raw = _rows(batch.column("embedding")).astype(np.float32 if kind == "float" else np.float64)
             x = unit(raw)
-            home, tour = shared.value.cells(x), shared.value.tour(x)
+            home, tour = shared.value.units(shared.value.cells(x)), shared.value.tour(x)
             offsets = pa.array(np.arange(0, raw.size + 1, raw.shape[1], dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("label", "dim", "rep", "n")), pa.ListArray.from_arrays(offsets, pa.array(raw.ravel())), pa.array(home, pa.int32()), pa.array(tour, pa.list_(pa.int32()))],
+                [*(batch.column(c) for c in ("label", "dim", "rep", "n")), pa.ListArray.from_arrays(offsets, pa.array(raw.ravel())), pa.array(home, pa.int32()), pa.array(list(tour.astype(np.int32)), pa.list_(pa.int32()))],
                 ["label", "dim", "rep", "n", "embedding", "home", "tour"],
             )
 
