@@ -35,7 +35,8 @@ def render(turns: Column) -> Column:
 
 def format_chats(conversations: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_copies, rendered) of the maximal conversations of (conv_id, turn, role, text)."""
-    rows = conversations.select("conv_id", "turn", "role", "text").filter("conv_id IS NOT NULL").distinct()
+    # Dealt by conversation at once, texts move one time for everything that follows.
+    rows = conversations.select("conv_id", "turn", "role", "text").filter("conv_id IS NOT NULL").repartition("conv_id").distinct()
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     steps = rows.withColumn("step", F.row_number().over(order))
     until = Window.partitionBy("conv_id").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
