@@ -147,9 +147,10 @@ def subtree(nodes: Column, node: Column) -> Column:
 
 
 def text_of(nodes: Column, node: Column) -> Column:
-    """All stripped text in a node's subtree, joined."""
-    words = F.flatten(F.transform(subtree(nodes, node), lambda n: n["words"]))
-    return F.array_join(F.transform(F.array_sort(words), lambda w: w["s"]), "")
+    """All stripped text in a node's subtree, joined; that of a leaf without a look at other nodes."""
+    joined = lambda words: F.array_join(F.transform(words, lambda w: w["s"]), "")
+    below = F.array_sort(F.flatten(F.transform(subtree(nodes, node), lambda n: n["words"])))
+    return F.when(node["subtree_end"] == node["node_id"] + 1, joined(node["words"])).otherwise(joined(below))
 
 
 _COMPOUND = re.compile(r"([a-zA-Z][\w-]*|\*)|#([\w-]+)|\.([\w-]+)|\[([\w-]+)(?:(\*?=)[\"']?([^\"'\]]*)[\"']?)?\]|:nth-of-type\((\d+)\)")
