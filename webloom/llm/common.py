@@ -92,14 +92,14 @@ def slices(batches, rows: int = 256):
 LEAST_BITS, MOST_BITS = 16, 25  # a filter has at least 8 KB and at most 4 MB
 
 
-def bit_filter(hashes: DataFrame) -> tuple[int, np.ndarray]:
-    """(power, a set of 2 ** power bits) of the hashes in the first column; its size follows their number up to MOST_BITS.
+def bit_filter(hashes: DataFrame, spare: int = 16) -> tuple[int, np.ndarray]:
+    """(power, a set of 2 ** power bits) of the hashes in the first column: `spare` bits for each, up to MOST_BITS.
 
-    It passes every hash that is in the column, and few others until they outgrow it.
+    It passes every hash that is in the column, and one in `spare` others until they outgrow it.
     """
     h = F.col(hashes.columns[0])
     n = hashes.agg(F.approx_count_distinct(h)).first()[0]
-    power = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+    power = min(MOST_BITS, max(LEAST_BITS, (spare * n).bit_length()))
     parts = hashes.select(F.shiftrightunsigned(h, 64 - power).alias("place"))
     parts = parts.groupBy(F.shiftright("place", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 31 AS int))")).alias("bits"))
     words = np.zeros(1 << (power - 5), dtype="<u4")

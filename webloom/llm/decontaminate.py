@@ -8,7 +8,7 @@ unmarked tokens, found by running Karp-Rabin, is marked again and again until no
 leaked into a document if the tiles cover at least `threshold` of its tokens, in any order.
 
 A tile of k tokens or more has a seed, so an item of n tokens is covered only if `threshold * n / k` of its seeds are
-met. Half as many, those that the most items have, take no part in the join, so a phrase of every item pairs nothing.
+met; texts that meet fewer than any item takes go no further. Half as many, those that the most items have, take no part in the join, so a phrase of every item pairs nothing.
 
 Defined results: null or empty texts, and items with fewer than `k` tokens, match nothing; repeated rows of the
 benchmark count once, repeated documents give repeated results; null ids are carried; an empty table on either side
@@ -125,8 +125,8 @@ def _items(k: int):
     return run
 
 
-def _hits(shared, k: int):
-    """Of each text the seeds that the filter knows and their tokens, -1 between runs; texts without any are left out."""
+def _hits(shared, k: int, least: int):
+    """Of each text the seeds that the filter knows and their tokens, -1 between runs; texts with fewer than `least` seeds are left out."""
 
     def found(texts: list[str | None]):
         words = hashed(texts)
@@ -138,9 +138,11 @@ def _hits(shared, k: int):
         known, owner = known[whole], owner[whole]
         for text in np.unique(owner):
             own = known[owner == text]
+            if len(distinct := np.unique(seeds[own])) < least:
+                continue
             inside = np.unique((own[:, None] + np.arange(k)).ravel())
             cuts = np.flatnonzero(np.diff(inside) > 1) + 1
-            yield int(text), np.insert(_tokens(words[inside]), cuts, -1), np.unique(seeds[own]).view(np.int64)
+            yield int(text), np.insert(_tokens(words[inside]), cuts, -1), distinct.view(np.int64)
 
     def run(batches):
         for batch in slices(batches):
@@ -194,9 +196,11 @@ def _leaked(docs: DataFrame, benchmark: DataFrame, k: int, threshold: float) ->
     ranked = ranked.withColumn("upto", F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     ranked = save(ranked.select("item", "seed", "copies", "need", (F.col("upto") <= F.floor(F.col("need") / 2)).alias("out")), "seeds")
     used = ranked.filter("NOT out")
-    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(ranked.select("seed")))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(ranked.select("seed"), 8192))  # a text has many seeds to try
+    fewest = ranked.groupBy("item").agg(F.ceil(F.max("need") / F.max("copies")).alias("n"))  # distinct seeds that an item takes
+    least = fewest.agg(F.min("n")).first()[0] or 1
     kind = docs.schema["doc_id"].dataType.simpleString()
-    hits = save(docs.select("doc_id", "text", *_key()).mapInArrow(_hits(shared, k), f"doc_id {kind}, h1 long, h2 long, seq array<long>, seeds array<long>"), "hits")
+    hits = save(docs.select("doc_id", "text", *_key()).mapInArrow(_hits(shared, k, least), f"doc_id {kind}, h1 long, h2 long, seq array<long>, seeds array<long>"), "hits")
     once = hits.groupBy("h1", "h2").agg(F.first("seeds").alias("seeds")).select("h1", "h2", F.explode("seeds").alias("seed"))
     pairs = once.join(used, "seed").groupBy("h1", "h2", "item").agg(F.sum("copies").alias("met"), F.first("need").alias("need"))
     pairs = pairs.filter("met >= greatest(need - floor(need / 2), 1)").select("h1", "h2", "item")
