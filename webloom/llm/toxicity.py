@@ -134,7 +134,8 @@ def choose_terms(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int,
     """Words and stems whose texts are toxic far more often than chance; of nested ones the most telling form.
 
     counts: feature -> (toxic texts, clean texts). Among beginnings of one word the longest that still covers nearly
-    all the texts of the shortest is kept; a whole word is kept in place of a beginning it accounts for.
+    all the texts of the shortest is kept; a whole word is kept in place of a beginning it accounts for, and where none
+    of its beginnings tells as much.
     """
     floor = max(5, least * n_toxic)
 
@@ -161,12 +162,12 @@ def choose_terms(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int,
         name = max(longer, key=lambda x: (len(x), x))
         stems[name[:-1]] = weight(name)
     for name in sorted(x for x in good if x[-1] == "$"):
-        if len(name) < 5:  # shorter than any stem
+        if not any(name[:n] in covered for n in range(4, len(name))):  # no beginning tells as much
             words[name[:-1]] = weight(name)
     return words, stems
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, least: float = 0.004, precision: float = 0.97) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, least: float = 0.004, precision: float = 0.95) -> Lexicon:
     """Learn a lexicon from docs (doc_id, text) and labels (doc_id, toxic), of which about `max_rows` are used at most.
 
     The labels are sampled before they meet the texts, so texts never move and what is broadcast is bounded. Half of
