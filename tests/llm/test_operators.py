@@ -352,6 +352,8 @@ def test_language_id(spark):
     nothing = langid.fit(spark.createDataFrame([(1, "x", None)], "doc_id long, text string, lang string"))
     assert {(r["lang_pred"], r["lang_score"], r["lang_rejected"]) for r in langid.identify(docs(spark), nothing).collect()} == {("und", 0.0, False)}
     assert langid.identify(docs(spark, []), model).count() == 0
+    long = "thing and er " * 200_000
+    assert len(langid.excerpt(long, 16_384)) <= 16_384 and langid.excerpt("ab", 2) == "ab"
     hot = spark.createDataFrame([(7, "thing and er", "aa")] * 5_000 + rows, "doc_id long, text string, lang string")
     assert langid.fit(hot, max_rows=60).classes == ["aa", "bb"]
 

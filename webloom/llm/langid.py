@@ -85,6 +85,15 @@ class Model:
         return self.classes[best], float(p[best]), bool(p[best] < self.threshold)
 
 
+def excerpt(text: str, most: int, pieces: int = 16) -> str:
+    """The text, or pieces of it from all over, `most` characters together."""
+    if len(text) <= most:
+        return text
+    size = most // pieces
+    starts = np.random.default_rng(len(text)).integers(0, len(text) - size + 1, pieces)
+    return " ".join(text[at : at + size - 1] for at in sorted(starts.tolist()))
+
+
 def windows(text: str, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(subwords, counts) of the whole text and of a few of its passages of 1 to 60 words, so that short texts are learned too.
 
@@ -163,11 +172,11 @@ def train(rows: list[tuple[str, list]], dim: int = 16, epochs: int = 6, rate: fl
     return model
 
 
-def fit(labelled: DataFrame, max_rows: int = 3_000, least: int = 10, most: int = 1_500, **options) -> Model:
+def fit(labelled: DataFrame, max_rows: int = 3_000, least: int = 10, most: int = 1_500, most_chars: int = 16_384, **options) -> Model:
     """Train on rows (doc_id, text, lang): about `max_rows` at most, or `least` a language, dealt evenly over all languages.
 
-    Repeated rows count once. What reaches the driver are five windows of each sampled text, of at most `most` subwords
-    each.
+    Repeated rows count once. What reaches the driver are the sampled texts, of longer ones excerpts of at most
+    `most_chars` characters from all over the text; a window has at most `most` subwords.
     """
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     usable = usable.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(2)).alias("h"))
@@ -181,17 +190,10 @@ def fit(labelled: DataFrame, max_rows: int = 3_000, least: int = 10, most: int =
 
     def cut(batches):
         for batch in slices(batches):
-            rows = [(row, k, u, n) for row, t in enumerate(batch.column("text").to_pylist()) for k, (u, n) in enumerate(windows(t, most))]
-            some = batch.take(pa.array([r[0] for r in rows], pa.int64()))
-            lists = (pa.array([r[i].astype(np.int32) for r in rows], pa.list_(pa.int32())) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([some.column("lang"), some.column("h"), pa.array([r[1] for r in rows], pa.int32()), *lists], ["lang", "h", "k", "u", "n"])
-
-    found = drawn.mapInArrow(cut, "lang string, h long, k int, u array<int>, n array<int>").toArrow()
-    found = found.sort_by([("lang", "ascending"), ("h", "ascending"), ("k", "ascending")])
-    rows: dict[tuple, list] = {}
-    for lang, h, u, n in zip(*(found[c] for c in ("lang", "h", "u", "n"))):
-        rows.setdefault((lang.as_py(), h.as_py()), []).append((u.values.to_numpy(), n.values.to_numpy()))
-    return train([(lang, parts) for (lang, _), parts in rows.items()], **options)
+            yield batch.set_column(2, "text", pa.array([excerpt(t, most_chars) for t in batch.column("text").to_pylist()], pa.string()))
+
+    found = drawn.mapInArrow(cut, "lang string, h long, text string").collect()
+    return train([(r["lang"], windows(r["text"], most)) for r in sorted(found, key=lambda r: (r["lang"], r["h"]))], **options)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
