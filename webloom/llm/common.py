@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +90,19 @@ def slices(batches, rows: int = 256):
     pa.default_memory_pool().release_unused()
 
 
+def light_slices(batches, column: str, most: int = 1 << 21, rows: int = 1024):
+    """The rows of Arrow batches in slices of at most `rows` rows and about `most` bytes of a column; a longer value is a slice alone."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = min(max(at + 1, int(np.searchsorted(ends, before + most, "right"))), at + rows)
+            yield batch.slice(at, stop - at)
+            at = stop
+    pa.default_memory_pool().release_unused()
+
+
 LEAST_BITS, MOST_BITS = 16, 25  # a filter has at least 8 KB and at most 4 MB
 
 

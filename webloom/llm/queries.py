@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import chatformat, decontaminate, embed_dedup, htmltext, langid, minhash, packing, tokencount, toxicity, urlfilter
+from webloom.llm import align, chatformat, decontaminate, embed_dedup, htmltext, langid, minhash, packing, tokencount, toxicity, urlfilter
 from webloom.llm.common import remainder, table
 
 
@@ -16,6 +16,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_path() -> str:
+    """The sentence-piece vocabulary of the production queries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -75,6 +82,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_text(pages, htmltext.fit(pages))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.link_counts(table(spark, sf_dir, "documents"), tokenizer_path(), piece_path())
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
@@ -86,6 +97,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_html_text": op10_html_text,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 

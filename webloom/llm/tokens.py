@@ -68,6 +68,22 @@ class WholeTokenizer:
         return np.array(self.encode(text) if text else [], dtype="<u4")
 
 
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of text that each id of a byte-level vocabulary stands for."""
+    from tokenizers import Tokenizer
+
+    whole, letters = Tokenizer.from_file(path), _alphabet()
+    vocab = whole.get_vocab(with_added_tokens=True)
+    added = whole.get_added_tokens_decoder()
+    out = [b""] * (max(vocab.values()) + 1)
+    for piece, i in vocab.items():
+        if i not in added:
+            out[i] = bytes(letters[c] for c in piece)
+    for i, token in added.items():
+        out[i] = token.content.encode()
+    return out
+
+
 def byte_lengths(path: str) -> np.ndarray:
     """How many bytes of text each id of a byte-level vocabulary stands for."""
     from tokenizers import Tokenizer
