@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import align, chatformat, decontaminate, embed_dedup, htmltext, langid, minhash, packing, tokencount, toxicity, urlfilter
-from webloom.llm.common import remainder, table
+from webloom.llm import align, chatformat, decontaminate, embed_dedup, htmltext, langid, minhash, packing, resample, tokencount, toxicity, urlfilter, warc
+from webloom.llm.common import remainder, settled, shared_dir, table
 
 
 def tokenizer_path() -> str:
@@ -82,10 +84,22 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_text(pages, htmltext.fit(pages))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return resample.resample(docs, target, percent=10, least_words=20, seed="2024", longest=1, buckets=10_000)
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.link_counts(table(spark, sf_dir, "documents"), tokenizer_path(), piece_path())
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    out = settled(lambda: warc.round_trip(table(spark, sf_dir, "pages"), folder, least_bytes=0), "records")
+    warc.delete(spark, folder)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("error").isNull().alias("verified"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_id": op2_language_id,
@@ -97,7 +111,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_html_text": op10_html_text,
+    "op11_resample": op11_resample,
     "op12_token_alignment": op12_token_alignment,
+    "op13_warc": op13_warc,
 }
 
 
@@ -127,7 +143,45 @@ SELECT page_id, host, path, rule,
 FROM r"""
 
 
+def _resample_sql() -> str:
+    """CRC-32 byte by byte over the distinct words; its table is eight shifts of each number under 256."""
+    upper, lower = urlfilter.UPPER, urlfilter.LOWER
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH t AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS tab FROM range(256) r(i)),
+d AS (SELECT doc_id, unnest({words}) AS w FROM documents),
+b AS (SELECT unnest({words}) AS w FROM benchmark),
+distinct_words AS (SELECT DISTINCT w FROM (SELECT w FROM d UNION ALL SELECT w FROM b)),
+crc AS (SELECT w, xor(list_reduce(list_transform(range(1, length(hex(w)), 2), lambda p: ('0x' || substr(hex(w), p, 2))::BIGINT),
+                      lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM distinct_words, t),
+dw AS (SELECT doc_id, bucket FROM d JOIN crc USING (w)),
+s AS (SELECT bucket, count(*) AS n FROM dw GROUP BY 1),
+u AS (SELECT bucket, count(*) AS n FROM b JOIN crc USING (w) GROUP BY 1),
+g AS (SELECT s.bucket, floor(1000 * ln((coalesce(u.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM d) + 10000) / ((s.n + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000))))::BIGINT AS gain
+      FROM s LEFT JOIN u USING (bucket)),
+w AS (SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM dw JOIN g USING (bucket) GROUP BY 1),
+o AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+             + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+      FROM documents LEFT JOIN w USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM o WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) * 10 // 100 FROM r) THEN rank END AS rank FROM o LEFT JOIN r USING (doc_id)"""
+
+
+def _warc_sql() -> str:
+    """Base 32 of a SHA-1: every five hexadecimal digits are four letters."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    four = " || ".join(f"substr('{letters}', ((v >> {k}) & 31) + 1, 1)" for k in (15, 10, 5, 0))
+    return f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(list_transform(range(8), lambda k: ('0x' || substr(h, 5 * k + 1, 5))::BIGINT), lambda v: {four}), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to, TRUE AS verified
+FROM f"""
+
+
 SQL: dict[str, str] = {
+    "op11_resample": _resample_sql(),
+    "op13_warc": _warc_sql(),
     "op3_url_filter": _url_sql(),
     "op4_chat_format": """
 WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
