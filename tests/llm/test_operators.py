@@ -5,7 +5,9 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -310,6 +312,41 @@ def test_patterns_cover_counts_exactly_and_near_the_bound():
         assert got == counts and cost <= 1.01 * tokens + some * size
 
 
+@pytest.mark.parametrize("power", [5, 7, 9, 12])
+def test_program_ends_on_skewed_histograms(power):
+    """Within 0.1 % of the dual bound, and of its own rounding, in seconds."""
+    lengths = np.array([*range(1, 16), *range(16, 1024, 16)])
+    for seed in range(10):
+        rng = np.random.default_rng(seed)
+        counts = np.exp(rng.random(len(lengths)) * math.log(10.0**power)).astype(np.int64) + 1
+        began = time.time()
+        basis, times, share = packing.solve(lengths, counts.astype(float), 1024, 0.0005)
+        cost = sum(c * x for (_, c), x in zip(basis, times))
+        assert share >= 1 - 0.001
+        plan, got, paid = packing.patterns(dict(zip(lengths.tolist(), counts.tolist())), 1024), Counter(), 0
+        for pattern, n in plan:
+            fill = sum(k * c for k, c in pattern.items())
+            paid += n * (fill if fill & (fill - 1) == 0 else 1024)
+            got.update({k: c * n for k, c in pattern.items()})
+        assert got == dict(zip(lengths.tolist(), counts.tolist()))
+        assert paid <= 1.001 * cost + 1024 * len(lengths) and time.time() - began < 5
+
+
+def test_prices_match_brute_force():
+    rng = random.Random(5)
+    for _ in range(40):
+        size = rng.choice([16, 24, 32])
+        lengths = sorted(rng.sample(range(1, size), 5))
+        worth = [rng.random() * n for n in lengths]
+        best = 0.0
+        for copies in itertools.product(*(range(size // n + 1) for n in lengths)):
+            fill = sum(c * n for c, n in zip(copies, lengths))
+            if 0 < fill <= size:
+                best = max(best, sum(c * w for c, w in zip(copies, worth)) / (fill if fill & (fill - 1) == 0 else size))
+        ratio, pattern, cost = packing.Prices(np.array(lengths), size).best(np.array(worth))
+        assert ratio == pytest.approx(best) == pytest.approx(sum(worth[i] * n for i, n in pattern.items()) / cost)
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     clean = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(3, 60))) for _ in range(400)]

@@ -1,9 +1,9 @@
 """Packing into sequences as a cutting-stock problem, solved by column generation.
 
 A document is its token ids and an end id. It is cut into pieces of `size`, a piece of a multiple of `grain`, and what
-is left, so that the program has few rows. The histogram of piece lengths goes to the driver: a linear program over patterns of lengths starts from one pattern per
-length; a knapsack dynamic program prices new patterns with the program's dual values until none improves it by more
-than `gap`. A pattern costs `size`, or its own length where that is a power of two, as such sequences are not padded.
+is left, so that the program has few rows. The histogram of piece lengths goes to the driver: a linear program over
+patterns of lengths starts from one pattern per length; a knapsack dynamic program prices new patterns with the
+program's dual values until the cost is within `gap` of the dual bound. A pattern costs `size`, or its own length where that is a power of two, as such sequences are not padded.
 Pattern counts are rounded down, what is left is packed by best fit, and pieces, ranked within their length, take the
 places of the patterns.
 
@@ -61,76 +61,116 @@ def _pieces(tokenizer_path: str, size: int, end_id: int, grain: int):
     return run
 
 
-def price(lengths: np.ndarray, worth: np.ndarray, size: int) -> list[tuple[float, dict[int, int], int]]:
-    """(worth / cost, {index: copies}, cost) of the best pattern of each cost, by an unbounded knapsack."""
-    best = np.full(size + 1, -np.inf)
-    best[0] = 0.0
-    choice = np.full(size + 1, -1)
-    for c in range(1, size + 1):
-        n = np.searchsorted(lengths, c, "right")
-        if n:
-            value = best[c - lengths[:n]] + worth[:n]
-            i = int(value.argmax())
-            if value[i] > -np.inf:
-                best[c], choice[c] = value[i], i
-    out = []
-    whole = int(best.argmax())
-    powers = [1 << i for i in range(size.bit_length()) if 1 << i < size]
-    for fill, cost in [(whole, size), *((p, p) for p in powers if best[p] > -np.inf)]:
-        pattern, c = Counter(), fill
-        while c:
-            pattern[int(choice[c])] += 1
-            c -= int(lengths[choice[c]])
-        out.append((best[fill] / cost, dict(pattern), cost))
-    return sorted(out, key=lambda x: -x[0])
-
-
-def patterns(counts: dict[int, int], size: int, gap: float = 0.0005) -> list[tuple[dict[int, int], int]]:
-    """(pattern {length: copies}, times) covering `counts` exactly with little padding.
-
-    The program runs until no pattern improves it by more than `gap`. Demands that differ by less than a piece keep
-    it from standing still, and its inverse is computed anew now and then.
+class Prices:
+    """The best patterns for given worths of the lengths, by an unbounded knapsack over the places of a sequence."""
+
+    def __init__(self, lengths: np.ndarray, size: int):
+        self.size = size
+        # Copies of a length by powers of two make up any number of them that fits.
+        self.steps = [(i, k, int(n) * k) for i, n in enumerate(lengths) for k in (1 << p for p in range(size.bit_length())) if n * k <= size]
+        self.costs = [1 << p for p in range(size.bit_length()) if 1 << p < size]
+
+    def best(self, worth: np.ndarray) -> tuple[float, dict[int, int], int]:
+        """(worth / cost, {index: copies}, cost) of the best pattern; one that fills a power of two costs that."""
+        best = np.full(self.size + 1, -np.inf)
+        best[0] = 0.0
+        took = []
+        for i, k, n in self.steps:
+            value = best[:-n] + k * worth[i]
+            better = value > best[n:]
+            took.append(better)
+            np.copyto(best[n:], value, where=better)
+        fills = [(best[fill] / cost, fill, cost) for fill, cost in [(int(best.argmax()), self.size), *((p, p) for p in self.costs)]]
+        ratio, c, cost = max(fills)
+        pattern: Counter = Counter()
+        for (i, k, n), better in zip(reversed(self.steps), reversed(took)):
+            if c >= n and better[c - n]:
+                pattern[i] += k
+                c -= n
+        return float(ratio), dict(pattern), cost
+
+
+def solve(lengths: np.ndarray, demand: np.ndarray, size: int, gap: float) -> tuple[list[tuple[dict[int, int], int]], np.ndarray, float]:
+    """(patterns, times, share): a cover of the demands whose cost is at most 1 / share of the least possible.
+
+    Column generation ends at the bound of the dual: the worths divided by the best pattern's ratio are a solution of
+    it. Patterns are priced at worths between those of the best bound and the current ones, so that they don't swing. Of
+    rows that would leave the basis at once, demands that each differ by a random share choose one: no basis comes back.
     """
-    lengths = np.array(sorted(x for x in counts if x < size), dtype=np.int64)
-    plan = [({size: 1}, counts[size])] if counts.get(size) else []
-    if not len(lengths):
-        return plan
     m = len(lengths)
-    demand = np.array([counts[x] for x in lengths], dtype=float) + np.linspace(1e-6, 1e-4, m)
-    basis: list[tuple[dict[int, int], int]] = [({i: int(size // x)}, size) for i, x in enumerate(lengths)]
-    inverse = np.diag([1.0 / b[i] for i, (b, _) in enumerate(basis)])
-    cost = np.array([c for _, c in basis], dtype=float)
-    x = inverse @ demand
+    scale = float(demand @ lengths) / size
+    need = demand / scale * (1 + 1e-5 * np.random.default_rng(m).random(m))
+    basis = [({i: int(size // n)}, size) for i, n in enumerate(lengths)]
+    cost = np.full(m, float(size))
+    prices, bound, centre = Prices(lengths, size), 0.0, np.zeros(m)
+
+    def refresh() -> tuple[np.ndarray, np.ndarray]:
+        whole = np.zeros((m, m))
+        for at, (copies, _) in enumerate(basis):
+            whole[list(copies), at] = list(copies.values())
+        inverse = np.linalg.inv(whole)
+        return inverse, np.maximum(inverse @ need, 0)
+
+    inverse, x = refresh()
     for turn in itertools.count(1):
         worth = cost @ inverse
-        offers = price(lengths, np.maximum(worth, 0), size)
-        if offers[0][0] <= 1 + gap:
-            break  # the bound of the dual: no solution is better than this one divided by that ratio
-        _, pattern, c = offers[0]
+        total = float(cost @ x)
+        for share in (0.5, 0.0):  # of the best bound's worths, or else none of them
+            asked = np.maximum(share * centre + (1 - share) * worth, 0)
+            ratio, pattern, c = prices.best(asked)
+            if (now := float(asked @ need) / max(ratio, 1.0)) > bound:
+                bound, centre = now, asked / max(ratio, 1.0)
+            if sum(worth[i] * n for i, n in pattern.items()) > c * (1 + gap / 4):
+                break
+        else:
+            break  # no pattern is worth more than a little above its cost
+        if total <= bound * (1 + gap):
+            break
         column = inverse[:, list(pattern)] @ np.array(list(pattern.values()), dtype=float)
-        ratio = np.where(column > 1e-9, x / np.where(column > 1e-9, column, 1), np.inf)
-        out = int(ratio.argmin())
-        step = ratio[out]
-        x = x - step * column
+        ratios = np.where(column > 1e-7, x / np.where(column > 1e-7, column, 1), np.inf)
+        out = int(ratios.argmin())
+        step = ratios[out]
+        x = np.maximum(x - step * column, 0)
         x[out] = step
         row = inverse[out] / column[out]
         inverse -= np.outer(column, row)
         inverse[out] = row
         basis[out], cost[out] = (pattern, c), c
-        if turn % 200 == 0:
-            whole = np.zeros((m, m))
-            for at, (copies, _) in enumerate(basis):
-                whole[list(copies), at] = list(copies.values())
-            inverse = np.linalg.inv(whole)
-            x = inverse @ demand
+        if turn % 100 == 0:
+            inverse, x = refresh()
+    return basis, x * scale, bound / total
+
+
+def patterns(counts: dict[int, int], size: int, gap: float = 0.0005) -> list[tuple[dict[int, int], int]]:
+    """(pattern {length: copies}, times) covering `counts` exactly, with a padding near the least possible.
+
+    Lengths so rare that sequences of their own cost less than half of `gap` are left out of the program: demands in it
+    are then within a factor that `gap` bounds, however skewed the counts.
+    """
+    plan = [({size: 1}, counts[size])] if counts.get(size) else []
+    lengths = np.array(sorted(n for n in counts if n < size and counts[n] > 0), dtype=np.int64)
+    if not len(lengths):
+        return plan
+    demand = np.array([counts[int(n)] for n in lengths], dtype=float)
+    alone = np.ceil(demand / (size // lengths)) * size  # tokens and padding in sequences of that length only
+    order = np.argsort(alone, kind="stable")
+    rare = order[np.cumsum(alone[order]) <= gap / 2 * float(demand @ lengths)]
+    program = np.setdiff1d(np.arange(len(lengths)), rare)
     left = {int(n): counts[int(n)] for n in lengths}
-    for (pattern, _), times in sorted(zip(basis, x), key=lambda p: -p[1]):
-        times = min([int(times + 1e-9), *(left[int(lengths[i])] // n for i, n in pattern.items())])
+    wanted = [({int(n): int(size // n)}, counts[int(n)] / (size // n)) for n in lengths[rare]]
+    if len(program):
+        basis, times, _ = solve(lengths[program], demand[program], size, gap / 2)
+        wanted += [({int(lengths[program][i]): n for i, n in copies.items()}, t) for (copies, _), t in sorted(zip(basis, times), key=lambda p: -p[1])]
+    for pattern, times in wanted:
+        times = min([int(times + 1e-9), *(left[n] // copies for n, copies in pattern.items())])
         if times > 0:
-            named = {int(lengths[i]): n for i, n in pattern.items()}
-            plan.append((named, times))
-            for n, copies in named.items():
+            plan.append((pattern, times))
+            for n, copies in pattern.items():
                 left[n] -= copies * times
+    for n in left:  # what the program's small excess left of a frequent length
+        if times := left[n] // (size // n) if left[n] > 100 * (size // n) else 0:
+            plan.append(({n: size // n}, times))
+            left[n] -= times * (size // n)
     return plan + [(dict(Counter(b)), 1) for b in best_fit([n for n in sorted(left, reverse=True) for _ in range(left[n])], size)]
 
 
