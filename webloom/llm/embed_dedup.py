@@ -183,7 +183,7 @@ def _near_duplicates(vectors: DataFrame, threshold: float, recall: float, sample
         taken = np.array([r["embedding"] for r in bounded(own, ["rep"], total, sample_rows, 7).select("embedding").collect()], dtype=np.float64)
         codes = int(min(max(2, math.sqrt(total / 64)), max(1, len(taken) // 8 + 1)))
         index = Index(taken, codes, threshold, recall, wide=max(1, min(codes, block * codes**2 // total)))
-        parts.append(save(own.mapInArrow(_tours(spark.sparkContext.broadcast(index), kind), f"label string, dim int, rep long, n long, embedding array<{kind}>, home int, tour array<int>"), "tours"))
+        parts.append(save(own.mapInArrow(_tours(spark.sparkContext.broadcast(vars(index)), kind), f"label string, dim int, rep long, n long, embedding array<{kind}>, home int, tour array<int>"), "tours"))
     few = sizes.filter(F.col("total") <= block).select("dim")
     if not few.isEmpty():
         one = points.join(F.broadcast(few), "dim").select("label", "dim", "rep", "n", F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
@@ -220,12 +220,14 @@ def _tours(shared, kind: str):
     """Rows (label, dim, rep, n, embedding) with home and tour; vectors travel in the type they came in."""
 
     def run(batches):
+        index = Index.__new__(Index)  # of plain values, so that executors need no copy of this package
+        index.__dict__.update(shared.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
             raw = _rows(batch.column("embedding")).astype(np.float32 if kind == "float" else np.float64)
             x = unit(raw)
-            home, tour = shared.value.units(shared.value.cells(x)), shared.value.tour(x)
+            home, tour = index.units(index.cells(x)), index.tour(x)
             offsets = pa.array(np.arange(0, raw.size + 1, raw.shape[1], dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("label", "dim", "rep", "n")), pa.ListArray.from_arrays(offsets, pa.array(raw.ravel())), pa.array(home, pa.int32()), pa.array(list(tour.astype(np.int32)), pa.list_(pa.int32()))],

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -199,10 +199,11 @@ def fit(labelled: DataFrame, max_rows: int = 3_000, least: int = 10, most: int =
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs plus lang_pred, lang_score and lang_rejected, from whole texts. Existing columns of these names are replaced."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # its size is fixed: 2**17 subwords by at most `dim`
+    # Plain values, so that executors need no copy of this package; their size is fixed: 2**17 subwords by at most `dim`.
+    shared = spark.sparkContext.broadcast([getattr(model, f.name) for f in fields(Model)])
 
     def run(batches):
-        model = shared.value
+        model = Model(*shared.value)
         for batch in slices(batches):
             found = [model.predict(t) for t in batch.column(text).to_pylist()]
             new = {"lang_pred": pa.array([x[0] for x in found], pa.string()), "lang_score": pa.array([x[1] for x in found], pa.float64()), "lang_rejected": pa.array([x[2] for x in found], pa.bool_())}
