@@ -579,6 +579,66 @@ def test_learned_weights_keep_the_text(spark):
     assert htmltext.extract("<nav><a>menu</a></nav><p>Text.</p>", {}) == "Text."
 
 
+LEARNED = htmltext.weigh({"": (900, 300), "article": (900, 0), "h1": (100, 0), "p": (800, 0), "nav": (0, 200), "ul": (0, 200), "li": (0, 200), "a": (0, 200), "div": (0, 90), ".ad": (0, 90), "<ul": (0, 50), "<li": (0, 90), "<a": (0, 90), "<div": (0, 30), "<p": (90, 0)})
+
+
+@pytest.mark.parametrize(
+    "inside,want",
+    [
+        ("<h1>T</h1><ul><li>a b</li><li>c d</li></ul><table><tr><th>k</th><td>v w</td></tr></table><p>last</p>", "T\na b\nc d\nk\nv w\nlast"),
+        ("<h1>T</h1><div><div><ul><li><a href='/x'>one</a></li><li><a>two</a></li></ul></div></div>", "T\none\ntwo"),
+        ("<h1>T</h1><section class='menu'><p>Soup of the day.</p></section><p>x</p>", "T\nSoup of the day.\nx"),
+        ("<h2 class='cookies'>Cookies</h2><div class='cookies'><p>Bake them well.</p></div><p>x</p>", "Cookies\nBake them well.\nx"),
+        ("<p>x</p><ul class='menu'><li><a>home</a></li><li><a>shop</a></li></ul><p>y</p>", "x\ny"),
+        ("<p>x</p><section class='responses'><div class='reply'><p>I say no.</p></div></section>", "x"),
+        ("<p>x</p><div class='replies'><p>I say no, at great length and with many words more than the text.</p></div><p>y</p>", "x\ny"),
+        ("<header><h1>Head</h1></header><figure><img><figcaption>Shown</figcaption></figure><aside>Buy</aside><form><input><label>Mail</label></form><dl><dt>k</dt><dd>v</dd></dl>", "Head\nShown\nk\nv"),
+        ("<p>x</p><div>" + "<br><img>" * 3000 + "</div><p>y</p>", "x\ny"),
+    ],
+)
+def test_what_stays_of_an_article(inside, want):
+    around = "<body><nav><ul><li><a>menu one</a></li></ul></nav><div class='ad'>buy now</div><article>{}</article><p>between</p>{}<footer>foot</footer></body>"
+    for weights in (LEARNED, {}):
+        assert htmltext.extract(around.format(inside, ""), weights) == want
+        assert htmltext.extract(around.format(inside, "<article><p>And more.</p></article>"), weights) == want + "\nAnd more."
+
+
+def test_generated_articles_of_every_block():
+    """Blocks of all kinds, nested at random, in an article among menus and comments."""
+    rng = random.Random(8)
+    kinds = "p div section h1 h2 h3 blockquote pre ul ol dl table figure details address".split()
+
+    def block(depth, lines):
+        kind, word = rng.choice(kinds), lambda: " ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 6)))
+        if kind in ("ul", "ol"):
+            own = [word() for _ in range(rng.randint(1, 4))]
+            lines += own
+            return f"<{kind}>" + "".join(f"<li>{rng.choice(['{}', '<a href=x>{}</a>', '<b>{}</b>']).format(w)}</li>" for w in own) + f"</{kind}>"
+        if kind in ("dl", "table"):
+            own = [word() for _ in range(2)]
+            lines += own
+            return "<dl><dt>{}</dt><dd>{}</dd></dl>".format(*own) if kind == "dl" else "<table><tbody><tr><td>{}</td><td>{}</td></tr></tbody></table>".format(*own)
+        if depth < 3 and kind in ("div", "section", "blockquote", "details") and rng.random() < 0.6:
+            return f"<{kind} class='{rng.choice(['c-12', 'body', 'search-methods'])}'>" + "".join(block(depth + 1, lines) for _ in range(2)) + f"</{kind}>"
+        own = word()
+        lines.append(own)
+        return f"<{kind}>{own}</{kind}>"
+
+    for _ in range(60):
+        lines = []
+        inside = "".join(block(0, lines) for _ in range(rng.randint(1, 8)))
+        talk = "<section class='comments'><p>No no no.</p></section>"
+        page = f"<body><nav><ul><li><a>m</a></li></ul></nav><article>{inside}{talk}</article><div class='sidebar'><p>s s s</p></div><footer>f</footer></body>"
+        assert htmltext.extract(page, LEARNED) == "\n".join(lines)
+
+
+def test_deep_pages_take_time_in_proportion():
+    began = time.time()
+    deep = "<article>" + "<div class='a b'>" * 100_000 + "text" + "</i>" * 1000
+    assert htmltext.extract(deep, LEARNED) == "text"
+    assert time.time() - began < 4
+
+
 def test_best_region_matches_brute_force():
     rng = random.Random(14)
     for _ in range(300):

@@ -3,8 +3,18 @@
 A page is a sequence of text runs and tags. A run scores its number of words times a weight that is the sum of the
 weights of the elements and classes it stands in; a tag scores below zero. The weights are log-odds learned from
 labelled pages: those with exactly one `article` or `main` element, whose words are content and whose other words are
-not. A linear scan finds the contiguous region with the highest total; runs of negative weight inside it (notices,
-adverts, forms, comments) are left out.
+not. A linear scan finds the contiguous region with the highest total; runs of negative weight inside it are left out.
+
+What a name's place outside of main elements taught says nothing inside one: there every run counts, lists, tables and
+links too, but for what is marked as something else (notices, adverts, forms, reader comments). A mark is an element's
+tag, or a class, id or role whose words all are known marks; words that name a text's subject as often (menu, cookies,
+related, share) mark an element only if at least half of its words are links. Where main elements hold at least half of
+a page's words that are not marked, no run outside of them counts. On other pages marks add to the learned weights,
+except those of an element with most of the page's words, and the negative weights of lists, tables and divisions count
+only where at least half of the words are links.
+
+A page's elements are rows with a number and their parent's number; words are summed from children to parents and
+weights from parents to children, so that the work is in proportion to the page however deep it is.
 
 Blocks end at block-level tags; inline tags do not split a word's block, and `br` counts as white space. Character
 references are decoded, white space becomes one space, blocks are trimmed, empty ones go, and the rest is joined by
@@ -21,7 +31,6 @@ import html as references
 import math
 import re
 from collections import Counter
-from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,13 +48,16 @@ INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i i
 ASIDE = set("nav footer aside form menu dialog button select textarea fieldset".split())
 AROUND = set("nav footer aside dialog menu header".split())
 MARKS = set(
-    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer dropdown footer header login menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer discussion dropdown footer header login menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related replies reply responses search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 # Words beside a mark in a class or id that do not change its sense.
 FILLER = set("site page box list section wrapper container block buttons button links link area bar inner text item items group main global top bottom left right".split())
-# Marks that name what a text is about as often as what its element is, and elements of running text.
-UNSURE = set("banner header menu related search share social widget".split())
+# Marks that name what a text is about as often as what its element is, elements of running text, elements
+# that menus and texts have alike, and elements whose words are links or controls.
+UNSURE = set("banner consent cookie cookies disclaimer discussion header menu modal navigation pagination related search share sharing social widget".split())
 RUNNING = set("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figure figcaption span em strong b i a code".split())
+SHARED = set("ul ol li dl dt dd table thead tbody tr td th div section span a b i em strong img br".split())
+LINKS = set("a button select".split())
 # Start tags that end an open element of the kinds named.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -65,95 +77,124 @@ _PART = re.compile(
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
-class Mark(NamedTuple):
-    """An open element that may be no main text; `before` is how many names stood open outside it."""
-
-    number: int
-    tag: str
-    own: tuple[str, ...]
-    share: float
-    within: bool
-    before: int
-
-
-def _share(tag: str, values: list[str], within: bool) -> float:
-    """How far an element is marked as no main text, by its tag or by its names: class and id tokens, and role.
-
-    A name counts by the share of marking words in it, fillers aside. Inside a main element only a name of nothing but
-    marks counts, headers belong to the text, and an unsure mark says nothing of an element of running text.
-    """
+def _share(tag: str, values: list[str], within: bool, linked: bool) -> float:
+    """How far an element is marked as no main text, by its tag or by its names: class and id tokens, and role."""
     if tag in ASIDE or tag == "header" and not within:
         return 1.0
     best = 0.0
     for value in values:
         words = [w for w in re.split(r"[-_]+", value) if w and w not in FILLER] or [value]
-        marks = [w in MARKS and not (within and w == "header") and not (w in UNSURE and tag in RUNNING) for w in words]
+        marks = [w in MARKS and not (within and w == "header") and not (w in UNSURE and (not linked if within else tag in RUNNING)) for w in words]
         if not within or all(marks):
             best = max(best, sum(marks) / len(marks))
     return best
 
 
-def parts(page: str):
-    """(names, marks, None, text) for each text run and (names, marks, tag, None) for each tag; names are those of open elements."""
-    stack: list[tuple[str, tuple[str, ...], Mark | None]] = []
-    names: tuple[str, ...] = ()
-    marks: tuple[Mark, ...] = ()
-    silent = n = 0
-    for m in _PART.finditer(page):
-        text = m["text"]
-        if text is not None:
-            if not silent:
-                yield names, marks, None, text
-            continue
-        tag = m["name"] or m["name2"]
-        if not tag:
-            continue
-        tag = tag.lower()
-        if m["end"] or m["end2"]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is not None:
-                del stack[at:]
-        else:
-            if tag in CLOSES:
-                while stack and stack[-1][0] in CLOSES[tag]:
-                    stack.pop()
-            elif tag not in INLINE and stack and stack[-1][0] == "p":
-                stack.pop()
-            elif tag == "body":
-                stack = [x for x in stack if x[0] == "html"]
-            if tag in ("html", "body"):
-                stack.append((tag, (tag,), None))  # their classes speak of the whole page
-            elif tag not in VOID:
-                values = [v for a in _NAMED.findall(m["attrs"] or m["attrs2"] or "") for v in " ".join(a).lower().split()]
-                within = any(x[0] in ("article", "main") for x in stack)
-                n += 1
-                share = _share(tag, values, within)
-                if tag in ("article", "main"):
-                    values, share = [], share if share == 1.0 else 0.0  # of these only a name that says it is none counts
-                own = (tag, *(f".{w}" for v in values for w in re.split(r"[-_]+", v) if w))
-                stack.append((tag, own, Mark(n, tag, own, share, within, len(names)) if share else None))
-        silent = sum(x[0] in SILENT for x in stack)
-        marks = tuple(x[2] for x in stack if x[2])
-        names = tuple(dict.fromkeys(x for _, own, _ in stack for x in own))
-        yield names, marks, tag, None
+class Page:
+    """A page's elements, in order of their start tags, and its units: (element, tag or None, text or None) in order.
+
+    Element 0 stands for the page. `fresh` are an element's names that no element around it has; `main` says whether it
+    is or is inside an `article` or `main` element.
+    """
+
+    def __init__(self, page: str):
+        self.parent, self.tag, self.values, self.fresh, self.main, self.silent = [0], [""], [[]], [()], [False], [False]
+        self.units: list[tuple[int, str | None, str | None]] = []
+        self.stack, self.open, self.names = [0], Counter(), Counter()
+        for m in _PART.finditer(page):
+            if (text := m["text"]) is not None:
+                if not self.silent[self.stack[-1]]:
+                    self.units.append((self.stack[-1], None, text))
+            elif tag := m["name"] or m["name2"]:
+                tag = tag.lower()
+                if m["end"] or m["end2"]:
+                    if self.open[tag]:
+                        while self.shut() != tag:
+                            pass
+                else:
+                    self.start(tag, m["attrs"] or m["attrs2"] or "")
+                self.units.append((self.stack[-1], tag, None))
+        self.words = [0] * len(self.tag)
+        self.linked = [0] * len(self.tag)
+        for e, _, text in self.units:
+            if text is not None:
+                self.words[e] += len(text.split())
+        for e in range(len(self.tag) - 1, 0, -1):
+            if self.tag[e] in LINKS:
+                self.linked[e] = self.words[e]
+            self.words[self.parent[e]] += self.words[e]
+            self.linked[self.parent[e]] += self.linked[e]
+        self.share = [0.0] * len(self.tag)
+        for e in range(1, len(self.tag)):
+            within = self.main[self.parent[e]]
+            share = _share(self.tag[e], self.values[e], within, 2 * self.linked[e] >= self.words[e])
+            self.share[e] = share if self.tag[e] not in ("article", "main", "html", "body") or share == 1.0 and self.tag[e] in ("article", "main") else 0.0
+
+    def start(self, tag: str, attrs: str) -> None:
+        top = lambda: self.tag[self.stack[-1]]
+        if tag in CLOSES:
+            while top() in CLOSES[tag]:
+                self.shut()
+        elif tag not in INLINE and top() == "p":
+            self.shut()
+        elif tag == "body":
+            while top() not in ("", "html"):
+                self.shut()
+        if tag in VOID:
+            return
+        values = [v for a in _NAMED.findall(attrs) for v in " ".join(a).lower().split()]
+        # Classes of html and body speak of the whole page, those of a main element count only as marks.
+        names = () if tag in ("html", "body", "article", "main") else (f".{w}" for v in values for w in re.split(r"[-_]+", v) if w)
+        own = tuple(dict.fromkeys((tag, *names)))
+        above = self.stack[-1]
+        self.fresh.append(tuple(n for n in own if not self.names[n]))
+        self.parent.append(above)
+        self.tag.append(tag)
+        self.values.append(values)
+        self.main.append(self.main[above] or tag in ("article", "main"))
+        self.silent.append(self.silent[above] or tag in SILENT)
+        self.stack.append(len(self.tag) - 1)
+        self.open[tag] += 1
+        self.names.update(self.fresh[-1])
+
+    def shut(self) -> str:
+        e = self.stack.pop()
+        self.open[self.tag[e]] -= 1
+        self.names.subtract(self.fresh[e])
+        return self.tag[e]
+
+    def marked(self) -> list[bool]:
+        """Whether each element is or is inside one that is marked inside a main element, or is named as no main text around it."""
+        out = [False] * len(self.tag)
+        for e in range(1, len(self.tag)):
+            own = self.share[e] > 0 and (self.main[self.parent[e]] or self.tag[e] in AROUND or self.tag[e] in ("article", "main"))
+            out[e] = out[self.parent[e]] or own
+        return out
 
 
 def _labelled(batches):
-    """(name, kind, words or tags inside, outside the main element) of labelled pages."""
+    """(name, words or tags inside, outside the main element) of labelled pages."""
     for batch in slices(batches):
         inside, outside = Counter(), Counter()
-        for page in batch.column("html").to_pylist():
-            for names, marks, tag, text in parts(page):
-                if any(m.within for m in marks):
+        for html in batch.column("html").to_pylist():
+            page = Page(html)
+            marked = page.marked()
+            own = [Counter(), Counter()]  # words or tags of each element itself, outside and inside
+            for e, tag, text in page.units:
+                if page.main[e] and marked[e]:
                     continue  # not told apart by the page's labels
-                to = inside if "article" in names or "main" in names else outside
+                to = inside if page.main[e] else outside
                 if tag:
                     to[f"<{tag}"] += 1
-                else:
-                    n = len(text.split())
-                    for name in names if n else ():
-                        to[name] += n
+                elif n := len(text.split()):
                     to[""] += n
+                    own[page.main[e]][e] += n
+            for to, words in ((outside, own[0]), (inside, own[1])):
+                for e in range(len(page.tag) - 1, 0, -1):
+                    if words[e]:
+                        words[page.parent[e]] += words[e]
+                        for name in page.fresh[e]:
+                            to[name] += words[e]
         names = sorted({*inside, *outside})
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([inside[x] for x in names], pa.int64()), pa.array([outside[x] for x in names], pa.int64())], ["name", "inside", "outside"])
 
@@ -196,62 +237,63 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return best[1:]
 
 
-def extract(page: str | None, weights: dict[str, float]) -> str:
-    """The main text of one page.
+def _weights(page: Page, weights: dict[str, float]) -> tuple[list[float], bool]:
+    """The weight of a word in each element, and whether only main elements hold main text."""
+    marked, every = page.marked(), page.words[0]
+    own = list(page.words)
+    for e in range(len(own) - 1, 0, -1):
+        own[page.parent[e]] -= page.words[e]
+    central = sum(n for e, n in enumerate(own) if page.main[e] and not marked[e])
+    aside = [False] * len(own)
+    for e in range(1, len(own)):
+        aside[e] = aside[page.parent[e]] or page.share[e] == 1.0 and (page.main[page.parent[e]] or 2 * page.words[e] <= every or page.tag[e] in AROUND)
+    open_words = sum(n for e, n in enumerate(own) if not aside[e] and not page.main[e])
+    only_main = central > 0 and central >= open_words
+    total, share, out = [0.0] * len(own), [0.0] * len(own), [1.0] * len(own)
+    for e in range(1, len(own)):
+        above, tag = page.parent[e], page.tag[e]
+        linked = 2 * page.linked[e] >= page.words[e]
+        wide = 2 * page.words[e] > every and tag not in AROUND and not page.main[e]  # what wraps the page says nothing of its parts
+        learned = 0.0
+        for name in page.fresh[e]:
+            w = weights.get(name, 0.0)
+            if name not in ("html", "body") and not (w < 0 and (wide or name in SHARED and not linked)):
+                learned += w
+        total[e] = total[above] + learned
+        share[e] = max(share[above], 0.0 if wide else page.share[e])
+        if page.main[e]:
+            out[e] = 0.0 if marked[e] else 1.0 + max(0.0, weights.get("article", 0.0), weights.get("main", 0.0))
+        else:
+            out[e] = -1.0 if only_main else 1.0 + max(-6.0, min(6.0, total[e])) + PRIOR * share[e]
+    if only_main:
+        out[0] = -1.0
+    return out, only_main
 
-    A mark adds a prior to the learned weight. Inside a main element the weight is that of the names from the mark on;
-    around it only elements count that never hold the main text, and main elements named as something else. On a page
-    without a main element a mark that holds most of the page's words is none.
-    """
+
+def extract(page: str | None, weights: dict[str, float]) -> str:
+    """The main text of one page."""
     if not page:
         return ""
-    seen = list(parts(page))
-    held, all_words, central = Counter(), 0, False
-    for names, marks, _, text in seen:
-        central = central or "article" in names or "main" in names
-        if text is not None:
-            n = len(text.split())
-            all_words += n
-            for m in marks:
-                held[m.number] += n
-    wide = {k for k, n in held.items() if 2 * n > all_words}
-    plain = set() if central else wide  # beside a main element, a long list of comments is one still
-    known: dict[tuple, float] = {}
-
-    def weight(names: tuple[str, ...], marks: tuple[Mark, ...]) -> float:
-        main = "article" in names or "main" in names
-        # What wraps the page says nothing of its parts, unless it is an element that never holds the main text.
-        void = frozenset(x for m in marks if m.number in wide and not m.within and m.tag not in AROUND for x in m.own if x in ASIDE or x[1:] in MARKS)
-        left = [m for m in marks if m.within or m.number not in (wide if main else plain) and (not main or m.tag in AROUND or m.tag in ("article", "main"))]
-        share = max((m.share for m in left), default=0.0)
-        key = (names, void, share, left[0].before if left and main else 0)
-        if key not in known:
-            total = sum(weights.get(n, 0.0) for n in names[key[3] :] if n not in void)
-            if main and left:
-                # What is left out of a main element must not cut off what follows it there.
-                known[key] = max(-0.05, 1.0 + min(-PRIOR - 2.0, total) + PRIOR * share)
-            else:
-                known[key] = 1.0 + total + PRIOR * share
-        return known[key]
-
-    units, scores = [], []
-    for names, marks, tag, text in seen:
+    seen = Page(page)
+    known, only_main = _weights(seen, weights)
+    least = -0.5 / len(seen.units) if seen.units else 0.0  # all together less than a word: does not cut off what follows
+    scores = []
+    for e, tag, text in seen.units:
         if tag:
-            units.append(tag)
-            scores.append(weights.get(f"<{tag}", -1.0))
+            scores.append(least if only_main or seen.main[e] else weights.get(f"<{tag}", -1.0))
+        elif only_main and not seen.main[e]:
+            scores.append(least)
         else:
-            w = weight(names, marks)
-            units.append((text, w))
-            scores.append(len(text.split()) * w)
+            scores.append(len(text.split()) * known[e])
     start, stop = best_region(scores)
     blocks, now = [], []
-    for unit in [*units[start:stop], "p"]:
-        if isinstance(unit, tuple):
-            if unit[1] > 0:
-                now.append(references.unescape(unit[0]))
-        elif unit == "br":
+    for e, tag, text in [*seen.units[start:stop], (0, "p", None)]:
+        if text is not None:
+            if known[e] > 0:
+                now.append(references.unescape(text))
+        elif tag == "br":
             now.append(" ")
-        elif unit not in INLINE:
+        elif tag not in INLINE:
             if line := " ".join("".join(now).split()):
                 blocks.append(line)
             now = []
