@@ -84,17 +84,19 @@ def test_lanes_change_nothing(monkeypatch):
     out = []
     for lane in (1, 3, 10_000):
         monkeypatch.setattr(align, "LANE", lane)
-        a = align.Aligned([both.encode(t) for t in texts], *sizes)
+        a = align.Aligned(both.encode(texts), *sizes)
         out.append((a.link_a.tolist(), a.link_b.tolist(), a.cut.tolist(), a.n_groups.tolist()))
     assert out[0] == out[1] == out[2]
 
 
 def test_segments_encode_as_whole_texts(monkeypatch):
-    """With and without segments, and with a table that is emptied all the time."""
-    both, whole = align.Pair(tokenizer_path(), piece_path()), align.Pair(tokenizer_path(), piece_path())
-    whole.apart = False
-    monkeypatch.setattr(align, "CACHED", 2)
-    assert [both.encode(t) for t in some()] == [whole.encode(t) for t in some()]
+    whole, both = align.Pair(tokenizer_path(), piece_path()), align.Pair(tokenizer_path(), piece_path())
+    texts = [*some(), "word  and  blanks " * 50, "a\n b\t c " * 50]
+    want = [(a.tolist(), b.tolist()) for a, b in whole.encode(texts)]
+    for long in (0, 1, 7, 40):
+        monkeypatch.setattr(align, "LONG", long)
+        assert [(a.tolist(), b.tolist()) for a, b in both.encode(texts)] == want
+    assert len(both.segments("some more words " * 40)) > 10
 
 
 def test_nothing_to_align(spark):

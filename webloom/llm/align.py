@@ -11,9 +11,9 @@ How many documents hold a linked pair of ids is counted on Spark, from the disti
 there are at most `most_pairs` pairs, their counts are broadcast to the documents; otherwise the documents' pairs are
 joined with them.
 
-Texts are encoded by segments: neither vocabulary has a token that runs over a space after a character that is none,
-so what lies between such spaces has the same tokens alone as in its text, and is encoded once as long as it stays in a
-bounded table. A vocabulary B for which that does not hold gets whole texts.
+B gets texts of more than `LONG` characters in segments, so that its work and memory stay in proportion to the text: it
+has no token that runs over a space after a character that is none, so what lies between such spaces has the same tokens
+alone as in its text. A vocabulary for which that does not hold gets whole texts.
 
 Defined results: texts that are null or empty, and those whose joined A or B bytes differ from the space and the text
 (as U+2581 in a text, which B reads as a space), have no tokens: zeros and an empty `groups_sha256`. Strings of special
@@ -35,25 +35,8 @@ from webloom.llm.common import light_slices, save, settled
 from webloom.llm.tokens import WholeTokenizer, token_bytes
 
 LANE = 128
-CACHED, CACHED_CHARS = 1 << 17, 64  # so many segments of at most so many characters are held
-_BLANKS = re.compile(r"\s ")
-_EDGE = re.compile(r"(?<=\S)(?= )")
-
-
-class _Cache(dict):
-    """Encoded segments, a bounded number of them."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, segment: str):
-        found = self.encode(segment)
-        if len(segment) <= CACHED_CHARS:
-            if len(self) >= CACHED:
-                self.clear()
-            self[segment] = found
-        return found
+LONG = 1 << 16
+_EDGE = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Pair:
@@ -62,37 +45,35 @@ class Pair:
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
 
-        a, b = WholeTokenizer(a_path, ordinary=True), sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.a, self.b = WholeTokenizer(a_path, ordinary=True), sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a_bytes = token_bytes(a_path)
-        pieces = [b.id_to_piece(i) for i in range(b.vocab_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.apart = not any(re.search("[^▁]▁", p) for p in pieces)
-        lone = [pieces.index("▁")] if "▁" in pieces else []
-
-        def held(ids: list[int], known: list[bytes], segment: str) -> bytes | None:
-            same = b"".join(known[i] for i in ids) == f" {segment}".encode()
-            return np.array(ids, "<u4").tobytes() if same else None
-
-        self.a_ids = _Cache(lambda s: held(a.encode(" " + s), self.a_bytes, s))
-        self.b_ids = _Cache(lambda s: held(b.encode(s) if s else lone, self.b_bytes, s))
 
     def segments(self, text: str) -> list[str]:
-        """The parts of a space and the text, without the space that each begins with."""
-        if not self.apart:
-            return [text]
-        if not _BLANKS.search(" " + text):
-            return text.split(" ")
-        return [s[1:] for s in _EDGE.split(" " + text)]
-
-    def encode(self, text: str | None) -> tuple[bytes, bytes]:
-        """Ids of A and of B as little-endian unsigned 32-bit integers; none where the bytes are not those of the text."""
-        if not text:
-            return b"", b""
-        parts = self.segments(text)
-        try:
-            return b"".join(map(self.a_ids.__getitem__, parts)), b"".join(map(self.b_ids.__getitem__, parts))
-        except TypeError:  # a segment without ids
-            return b"", b""
+        """The text in segments of about LONG characters, each without the space that it begins with and that B puts back."""
+        out, at = [], 0
+        while self.apart and (edge := _EDGE.search(text, at + LONG)):
+            out.append(text[at : edge.start()])
+            at = edge.start() + 1
+        return [*out, text[at:]]
+
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of A and of B of each text; none where their bytes are not those of a space and the text."""
+        parts = [self.segments(t) if t else [] for t in texts]
+        found = iter(self.b.encode([p for own in parts for p in own], num_threads=1))
+        none = np.empty(0, np.int64)
+        out = []
+        for text, own in zip(texts, parts):
+            if not text:
+                out.append((none, none))
+                continue
+            a, b = self.a.encode(" " + text), [i for _ in own for i in next(found)]
+            whole = f" {text}".encode()
+            same = b"".join(map(self.a_bytes.__getitem__, a)) == whole == b"".join(map(self.b_bytes.__getitem__, b))
+            out.append((np.array(a, np.int64), np.array(b, np.int64)) if same else (none, none))
+        return out
 
 
 def lockstep(a_ends: np.ndarray, b_ends: np.ndarray, i: np.ndarray, j: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,10 +115,10 @@ def _digits(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Aligned:
     """Alignment of a batch of encoded texts."""
 
-    def __init__(self, encoded: list[tuple[bytes, bytes]], a_sizes: np.ndarray, b_sizes: np.ndarray):
+    def __init__(self, encoded: list[tuple[np.ndarray, np.ndarray]], a_sizes: np.ndarray, b_sizes: np.ndarray):
         self.docs = len(encoded)
-        self.a, self.b = (np.frombuffer(b"".join(x[k] for x in encoded), "<u4").astype(np.int64) for k in (0, 1))
-        self.n_a, self.n_b = (np.array([len(x[k]) // 4 for x in encoded], np.int64) for k in (0, 1))
+        self.a, self.b = (np.concatenate([np.empty(0, np.int64), *(x[k] for x in encoded)]) for k in (0, 1))
+        self.n_a, self.n_b = (np.array([len(x[k]) for x in encoded], np.int64) for k in (0, 1))
         a_ends, b_ends = np.cumsum(a_sizes[self.a]), np.cumsum(b_sizes[self.b])
         last = np.cumsum(self.n_a)
         lanes = -(-self.n_a // LANE)
@@ -190,7 +171,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, groups: bool = False) -> Da
         a_sizes, b_sizes = (np.array([len(x) for x in known], np.int64) for known in (both.a_bytes, both.b_bytes))
         digits, used = _digits(max(vocab_a, vocab_b))
         for batch in light_slices(batches, "text"):
-            found = Aligned([both.encode(t) for t in batch.column("text").to_pylist()], a_sizes, b_sizes)
+            found = Aligned(both.encode(batch.column("text").to_pylist()), a_sizes, b_sizes)
             doc, pair, times = found.pairs(vocab_a, vocab_b)
             offsets = pa.array(np.searchsorted(doc, np.arange(found.docs + 1)), pa.int32())
             shown = found.groups(digits, used)
