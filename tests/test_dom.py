@@ -1,9 +1,12 @@
 import math
+import random
+import time
+from collections import Counter
 
 from pyspark.sql import functions as F
 import pytest
 
-from webloom.functions.nodes import compound, parse, parse_with_text, text_of
+from webloom.functions.nodes import Matches, compound, parse, parse_with_text, text_of
 from webloom.operators import dom, extract, filters, joins
 
 # A trip's tile: an outer element whose class holds its number, an inner one with a title, a fare, a picture and a link.
@@ -88,3 +91,69 @@ def test_tree_export_marks_what_it_leaves_out(spark):
     assert [r["text"] for r in cut] == ["... 12 more items ...", *map(str, range(8))]
     deep = pages(spark, "<html><body>" + "".join(f"<p><b>{i}</b></p>" for i in range(4)) + "</body></html>")
     assert [(r["tag"], r["text"]) for r in dom.tree_export(dom.parse_pages(deep), most=3).orderBy("node_id").collect() if r["tag"] in ("b", "#more")] == [("#more", "... 1 more items ..."), ("b", "0"), ("b", "1"), ("b", "2")]
+
+
+def test_many_kinds_of_one_page(spark):
+    """8,000 kinds of nodes on a page: kinds are sorted, not compared with all nodes."""
+    page = "<html><body>" + "".join(f"<div class='k{i}'>t</div>" for i in range(8000)) + "<p class='b a'>one two</p>" * 4 + "<p class='a b c!'>x</p><div class='z z'>dd ee</div>" * 3 + "</body></html>"
+    pages = spark.createDataFrame([(1, page)], "page_id long, html string").select("page_id", dom.html_nodes("html").alias("nodes")).cache()
+    pages.count()
+    dom.sections(pages.limit(1)).collect()  # compiles the plan
+    began = time.time()
+    found = dom.sections(pages).collect()
+    assert time.time() - began < 2
+    assert [(r["selector"], r["count"], r["fields"][0]["css"]) for r in found] == [("p.a.b", 7, "p.b.a"), ("div.z.z", 3, "div.z.z")]
+
+
+def test_common_kinds_match_a_counter(spark):
+    rng = random.Random(3)
+    pages = []
+    for i in range(30):
+        nodes = [(rng.choice(["div", "p", "nav", "li"]), " ".join(rng.choice(["a", "b", "c:d", "e"]) for _ in range(rng.randrange(3)))) for _ in range(rng.randrange(60))]
+        pages.append((i, "<html><body>" + "".join(f"<{t} class='{c}'></{t}>" for t, c in nodes) + "</body></html>", nodes))
+    frame = spark.createDataFrame([p[:2] for p in pages], "page_id long, html string")
+    got = {r["page_id"]: [(k["tag"], tuple(k["safe"]), -k["less"]) for k in r["kinds"]] for r in frame.select("page_id", dom.common_kinds(dom.html_nodes("html"), 30).alias("kinds")).collect()}
+    for i, _, nodes in pages:
+        kinds = [(t, tuple(sorted(x for x in c.split() if x != "c:d"))) for t, c in nodes if t != "nav"]
+        assert got[i] == [(t, c, n) for (t, c), n in Counter(k for k in kinds if k[1]).most_common(30)]
+
+
+def test_a_thousand_templates_are_one_scan(spark, tmp_path):
+    html = "<html><body><div class='c'><h2>N{0}</h2><i class='x{1}'>v{0}</i></div><div class='c'><h2>M{0}</h2></div><a class='next' href='/{0}'>more</a></body></html>"
+    spark.createDataFrame([(i, f"s{i % 1000}", html.format(i, i % 1000)) for i in range(2000)] + [(5000, "s7", None), (5001, "none", html)], "page_id long, site string, html string").write.parquet(str(tmp_path / "p"))
+    node = lambda name, kind, *chain: (name, kind, list(chain), None)
+    rows = [(f"s{i}", [node("cards", "list", "body", ".c"), node("name", "field", "h2"), node("v", "field", f"i.x{i}"), node("n", "pagination", "a.next")]) for i in range(999)]
+    rows.append(("s999", [node("cards", "list", "body >"), node("name", "field", "h2")]))
+    templates = spark.createDataFrame(rows, f"site string, nodes {extract.TEMPLATE}")
+    pages = spark.read.parquet(str(tmp_path / "p"))
+    for broadcast in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        try:
+            out = extract.from_templates(pages, templates)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("FileScan parquet") == 1 and plan.count("MapInArrow") == 1 and ("BroadcastHashJoin" in plan) == (broadcast == "10m")
+            got = {r["page_id"]: r for r in out.collect()}
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert len(got) == 2001 and got[5000]["items"] == [] and got[5000]["next"] is None
+        assert [(x["item_no"], x["fields"]) for x in got[1007]["items"]] == [(0, {"name": "N1007", "v": "v1007"}), (1, {"name": "M1007", "v": None})] and got[1007]["next"] == "/1007"
+        assert got[999]["error"] == "selector not supported: body >" and got[999]["items"] == [] and got[998]["error"] is None
+
+
+def test_selectors_as_data_match_the_columns(spark):
+    page = "<div id=a class='x y'><p class=x><b title=q>1</b></p><div class=y><p><b>2</b></p><div class=x><p class=z>3</p></div></div></div><p class=x>4</p>"
+    nodes = Matches(parse(page))
+    frame = spark.createDataFrame([(1, page)], "page_id long, html string").select("page_id", dom.html_nodes("html").alias("nodes"))
+    for css in ("p", ".x p", "div > p", "div.y > div > p", "#a b", "b[title]", "b[title=q], p.z", "p:nth-of-type(2)", "div .x > p", "body > div > div p", "[class*=x]", "*"):
+        want = [n["node_id"] for n in dom.select_nodes(frame, css).first()["found"]]
+        assert nodes.of(css) == want, css
+    assert nodes.chain(["div", "p"]) == nodes.of("div p") and nodes.chain([".y", "b"], start=2) == [i for i in nodes.of(".y b") if i > 2]
+    for bad in ("", "a:hover", "> p", "div >", "a > > b", "p,", "a+b"):
+        with pytest.raises(ValueError):
+            nodes.of(bad)
+
+
+def test_unmatched_end_tags_take_time_in_proportion():
+    began = time.time()
+    assert len(parse("<div class='a b'>" * 50_000 + "</i>" * 50_000 + "x")) == 50_002
+    assert time.time() - began < 4

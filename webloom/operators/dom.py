@@ -12,7 +12,9 @@ SAFE = r"^[a-zA-Z0-9_-]+$"
 # Tags that are no repeating section, and parents whose text is no field.
 NO_SECTION = "script style noscript svg link meta nav footer header".split()
 NO_TEXT = ["script", "style", "noscript"]
+# Texts of next-page links, and what the page parameter of a url is called.
 NEXT_TEXTS = ["next", "next page", ">", "»"]
+URL_PARAM = "guessed_from_url"
 # Selectors and phrases of sign-in walls, bot defence scripts.
 LOGIN = ['a[href*="login"]', 'a[href*="signin"]', 'a[href*="sign-in"]', 'a[href*="account"]', 'button[id*="login"]', 'button[id*="signin"]', 'a[id*="nav-link-accountList"]', 'a[data-nav-ref*="sign"]', "#nav-signin-tooltip", ".sign-in-tooltip"]
 AUTH = ["[data-requires-auth]", ".requires-login", "[data-login-required]"]
@@ -57,11 +59,11 @@ def next_selector(nodes: Column) -> Column:
     """Selector of the first next-page link or button that yields one."""
 
     def found(n: Column) -> Column:
-        text = F.lower(text_of(nodes, n))
-        return n["tag"].isin("a", "button") & (text.isin(NEXT_TEXTS) | F.exists(n["classes"], lambda c: c.contains("next")))
+        named = F.coalesce(F.lower(n["label"]).isin(NEXT_TEXTS), F.lit(False))
+        return n["tag"].isin("a", "button") & (named | F.exists(n["classes"], lambda c: c.contains("next")))
 
     def name(n: Column) -> Column:
-        by_text = F.when(F.lower(text_of(nodes, n)) == "next", F.concat(n["tag"], F.lit(":contains('Next')")))
+        by_text = F.when(F.lower(n["label"]) == "next", F.concat(n["tag"], F.lit(":contains('Next')")))
         by_class = F.when(F.size(n["classes"]) > 0, F.concat(F.lit("."), F.array_join(n["classes"], ".")))
         return F.coalesce(F.when(n["id"] != "", F.concat(F.lit("#"), n["id"])), by_class, by_text)
 
@@ -73,7 +75,7 @@ def pagination(nodes: Column, url: Column) -> Column:
     button = next_selector(nodes)
     in_url = F.coalesce(url.contains("page=") | url.contains("/p/"), F.lit(False))
     kind = F.when(button.isNotNull(), "next_button").when(in_url, "url_param").otherwise("none")
-    param = F.when(button.isNull() & in_url, F.when(url.contains("page="), "page").otherwise("p"))
+    param = F.when(button.isNull() & in_url, URL_PARAM)
     return F.struct((kind != "none").alias("detected"), kind.alias("type"), button.alias("selector"), param.alias("param"))
 
 
@@ -120,7 +122,7 @@ def framework(nodes: Column) -> Column:
 
 def signin(nodes: Column) -> Column:
     texts = F.filter(nodes, lambda n: ~n["tag"].isin(NO_TEXT))
-    text = F.lower(F.array_join(F.flatten(F.transform(texts, lambda n: n["texts"])), " "))
+    text = F.lower(F.array_join(F.flatten(F.transform(texts, lambda n: F.transform(n["texts"], lambda t: t["s"]))), " "))
     return F.struct(
         count(nodes, *LOGIN).alias("login_links"),
         count(nodes, *AUTH).alias("auth_blocks"),
@@ -141,24 +143,44 @@ def defence(nodes: Column) -> Column:
     )
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, also where `use` names it inside other lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
+def common_kinds(nodes: Column, most: int) -> Column:
+    """The most common kinds of nodes, ties by first appearance: array<struct<less, first, tag, safe>>, less = -count.
+
+    A kind is a tag and its sorted safe classes. Nodes are sorted by kind, so that each kind is one run: its length is
+    the count, its first node the first appearance. No node is compared with every kind.
+    """
+    safe = lambda x: F.sort_array(safe_classes(x["classes"]))
+    kinds = F.transform(F.filter(nodes, lambda x: ~x["tag"].isin(NO_SECTION)), lambda x: F.struct(x["tag"].alias("tag"), safe(x).alias("safe"), x["node_id"].alias("at")))
+    sorted_kinds = F.sort_array(F.filter(kinds, lambda k: F.size(k["safe"]) > 0))
+
+    def runs(keys: Column) -> Column:
+        begins = lambda k, i: ~F.coalesce((F.get(keys, i - 1)["tag"] == k["tag"]) & (F.get(keys, i - 1)["safe"] == k["safe"]), F.lit(False))
+        starts = F.filter(F.transform(keys, lambda k, i: F.when(begins(k, i), i)), lambda i: i.isNotNull())
+
+        def kind(own: Column) -> Column:
+            length = lambda i, k: F.coalesce(F.get(own, k + 1), F.size(keys)) - i
+            return F.transform(own, lambda i, k: F.struct((-length(i, k)).alias("less"), keys[i]["at"].alias("first"), keys[i]["tag"].alias("tag"), keys[i]["safe"].alias("safe")))
+
+        return bound(starts, kind)
+
+    return F.slice(F.sort_array(bound(sorted_kinds, runs)), 1, most)
+
+
 def sections(parsed: DataFrame, candidates: int = 30, least: int = 2, most: int = 12) -> DataFrame:
     """Repeating sections of parsed pages: (page_id, rank, type, selector, count, score, fields), best first.
 
     Nodes of one tag and one set of safe classes are a group; the most common groups whose first matching element is
     rich, or has text, and yields fields are scored by fields times the root of their count. A page is worked on within
-    its row: only the candidate groups' first elements leave it.
+    its row: only the candidate groups' first elements leave it. Fields are texts in document order, then links, then
+    images; the first of each css stays.
     """
     n, inside = F.col("nodes"), F.col("inside")
-    safe = lambda x: F.array_sort(F.array_distinct(safe_classes(x["classes"])))
-    some = F.filter(n, lambda x: ~x["tag"].isin(NO_SECTION) & (F.size(safe_classes(x["classes"])) > 0))
-    keys = parsed.select("page_id", "nodes", F.transform(some, lambda x: F.struct(x["tag"].alias("tag"), safe(x).alias("safe"), x["node_id"].alias("at"))).alias("keys"))
-    kinds = F.array_distinct(F.transform("keys", lambda k: F.struct(k["tag"].alias("tag"), k["safe"].alias("safe"))))
-
-    def group(g: Column) -> Column:
-        own = F.filter("keys", lambda k: (k["tag"] == g["tag"]) & (k["safe"] == g["safe"]))
-        return F.struct((-F.size(own)).alias("less"), own[0]["at"].alias("first"), g["tag"].alias("tag"), g["safe"].alias("safe"))
-
-    top = keys.select("page_id", "nodes", F.slice(F.array_sort(F.transform(kinds, group)), 1, candidates).alias("top"))
+    top = parsed.select("page_id", "nodes", common_kinds(n, candidates).alias("top"))
 
     def example(g: Column) -> Column:
         found = F.filter(n, lambda x: (x["tag"] == g["tag"]) & (F.size(F.array_except(g["safe"], x["classes"])) == 0))
@@ -167,28 +189,30 @@ def sections(parsed: DataFrame, candidates: int = 30, least: int = 2, most: int
     found = F.transform(F.filter("top", lambda g: -g["less"] > least), lambda g: F.struct(g.alias("g"), example(g).alias("inside")))
     rows = top.select("page_id", F.posexplode(found).alias("order", "x")).select("page_id", "order", "x.g.tag", "x.g.safe", (-F.col("x.g.less")).cast("long").alias("count"), "x.inside")
     css = lambda x: selector(x["tag"], safe_classes(x["classes"]))
-    clean = lambda x: F.filter(F.transform(x["texts"], strip), lambda t: (F.length(t) > 1) & (F.length(t) < 250))
+    field = lambda phase, at, name, x, value: F.struct(F.lit(phase).alias("phase"), at.alias("at"), F.lit(name).alias("name"), css(x).alias("css"), F.substring(value, 1, 50).alias("sample"))
 
-    def part(phase: int, name: str, test, value) -> Column:
-        one = lambda x: F.struct(F.lit(phase).alias("phase"), x["node_id"].alias("at"), F.lit(name).alias("name"), css(x).alias("css"), F.substring(value(x), 1, 50).alias("sample"))
-        return F.transform(F.filter(inside, test), one)
+    def texts(x: Column) -> Column:
+        stripped = F.transform(x["texts"], lambda t: F.struct(t["at"].alias("at"), strip(t["s"]).alias("s")))
+        return F.transform(F.filter(stripped, lambda t: (F.length(t["s"]) > 1) & (F.length(t["s"]) < 250)), lambda t: field(1, t["at"], "text_field", x, t["s"]))
 
-    below = lambda x: x["node_id"] != inside[0]["node_id"]
+    below = lambda x, tag, attr: (x["tag"] == tag) & (x["node_id"] != inside[0]["node_id"]) & F.map_contains_key(x["attrs"], attr)
     parts = F.concat(
-        part(1, "text_field", lambda x: ~x["tag"].isin(NO_TEXT) & (F.size(clean(x)) > 0), lambda x: clean(x)[0]),
-        part(2, "link", lambda x: (x["tag"] == "a") & below(x) & F.map_contains_key(x["attrs"], "href"), lambda x: x["attrs"]["href"]),
-        part(3, "image", lambda x: (x["tag"] == "img") & below(x) & F.map_contains_key(x["attrs"], "src"), lambda x: x["attrs"]["src"]),
+        F.flatten(F.transform(F.filter(inside, lambda x: ~x["tag"].isin(NO_TEXT)), texts)),
+        F.transform(F.filter(inside, lambda x: below(x, "a", "href")), lambda x: field(2, x["node_id"], "link", x, x["attrs"]["href"])),
+        F.transform(F.filter(inside, lambda x: below(x, "img", "src")), lambda x: field(3, x["node_id"], "image", x, x["attrs"]["src"])),
     )
     kids = F.transform(F.filter(inside, lambda x: x["parent_id"] == inside[0]["node_id"]), lambda x: x["tag"])
-    rows = rows.select("page_id", "order", "tag", "safe", "count", F.array_sort(parts).alias("parts"), kids.alias("kids"), F.length(text_of(inside, inside[0])).alias("chars"))
-    names = rows.withColumn("names", F.transform("parts", lambda f: f["css"]))
-    first = names.withColumn("fields", F.filter("parts", lambda f, i: F.array_position("names", f["css"]) == i + 1))
+    rows = rows.select("page_id", "order", "tag", "safe", "count", F.sort_array(parts).alias("parts"), kids.alias("kids"), F.length(text_of(inside, inside[0])).alias("chars"))
+    # The first of each css: parts sorted by css keep their order within it, so that only its first differs from the one before.
+    by_css = F.sort_array(F.transform("parts", lambda f: F.struct(f["css"].alias("css"), f["phase"].alias("phase"), f["at"].alias("at"), f["name"].alias("name"), f["sample"].alias("sample"))))
+    firsts = bound(by_css, lambda p: F.filter(p, lambda f, i: ~F.coalesce(F.get(p, i - 1)["css"] == f["css"], F.lit(False))))
+    in_order = F.sort_array(F.transform(firsts, lambda f: F.struct(f["phase"].alias("phase"), f["at"].alias("at"), f["name"].alias("name"), f["css"].alias("css"), f["sample"].alias("sample"))))
+    first = rows.withColumn("fields", in_order)
     rich = (F.size("kids") >= 2) & (F.size(F.array_distinct("kids")) >= 2)
     scored = first.filter((F.size("fields") > 0) & (rich | (F.col("chars") >= 5))).withColumn("score", F.size("fields") * F.sqrt("count"))
     scored = scored.withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "order"))).filter(F.col("rank") <= most)
     fields = F.transform("fields", lambda f: F.struct(f["name"].alias("name"), f["css"].alias("css"), f["sample"].alias("sample")))
-    kind = F.when(F.col("tag").isin("table", "tr"), "table").otherwise("repeating_list")
-    return scored.select("page_id", "rank", kind.alias("type"), selector(F.col("tag"), F.col("safe")).alias("selector"), "count", "score", fields.alias("fields"))
+    return scored.select("page_id", "rank", F.lit("repeating_list").alias("type"), selector(F.col("tag"), F.col("safe")).alias("selector"), "count", "score", fields.alias("fields"))
 
 
 def best_unit(parsed: DataFrame, least: int = 5) -> DataFrame:

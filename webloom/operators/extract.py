@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webloom.functions.nodes import compound, parse_with_text, select, subtree
+from webloom.functions.nodes import Matches, compound, parse, parse_with_text, select, subtree, words_of
 from webloom.operators.dom import value_of
 
 # How many pages each scope reads.
@@ -34,18 +34,70 @@ def records(parsed: DataFrame, css: str, fields: dict[str, tuple[str, str]], kee
     return found.select(*keep, "item_no", *(field(F.col("item"), c, kind).alias(name) for name, (c, kind) in fields.items()))
 
 
-def from_templates(parsed: DataFrame, templates: list[dict], site: str = "site") -> DataFrame:
-    """Records of every page by its site's template {site, list, fields}: (page_id, site, item_no, fields map).
-
-    Templates are configuration; each is one branch of the plan over the pages of its site.
+# A template's nodes: lists give items, fields give an item's values, pagination gives the next page. `metadata` may
+# say what a field's value is: kind (text, image or link) or attribute (its name).
+TEMPLATE = "array<struct<name:string,type:string,selector_chain:array<string>,metadata:map<string,string>>>"
+EXTRACTED = "items array<struct<list:string,item_no:int,fields:map<string,string>>>, next string, error string"
+
+
+def _value(page: Matches, at: int, metadata: dict[str, str]) -> str | None:
+    """What value_of() says of a node, of a page as the helper has it."""
+    attrs, kind = page.attrs[at], metadata.get("kind", "text")
+    if "attribute" in metadata or kind in ("image", "link"):
+        return attrs.get(metadata.get("attribute") or {"image": "src", "link": "href"}[kind])
+    return attrs["title"] if "title" in attrs else words_of(page.nodes, at)
+
+
+def apply_template(page: Matches, template: list[dict]) -> tuple[list[dict], str | None]:
+    """(items, next page) of a page by a template's nodes; a selector that is not supported is an error."""
+    of = {kind: [t for t in template if t["type"] == kind] for kind in ("list", "field", "pagination")}
+    if len(template) != sum(map(len, of.values())):
+        raise ValueError(f"node types not supported: {sorted({str(t['type']) for t in template} - set(of))}")
+    found = []
+    for node in of["list"]:
+        for no, at in enumerate(page.chain(node["selector_chain"])):
+            values = []
+            for f in of["field"]:
+                hits = page.chain(f["selector_chain"], at)
+                values.append((f["name"], _value(page, hits[0], dict(f["metadata"] or ())) if hits else None))
+            found.append({"list": node["name"], "item_no": no, "fields": values})
+    following = (_value(page, at, {"kind": "link"}) for p in of["pagination"] for at in page.chain(p["selector_chain"])[:1])
+    return found, next((x for x in following if x is not None), None)
+
+
+def from_templates(pages: DataFrame, templates: DataFrame, site: str = "site") -> DataFrame:
+    """(page_id, site, items, next, error): every page (page_id, site, html) by its site's template (site, nodes).
+
+    Templates are rows: pages meet theirs in a join, broadcast or not as Spark sees fit, and all templates together are
+    one scan and one parse of the pages. A page without a template is left out. A template with a selector that is not
+    supported fails its own pages, with the reason in `error`; a field without a match is null; what a page without
+    html gives is nothing.
     """
-    out = None
-    for t in templates:
-        own = records(parsed.filter(F.col(site) == t["site"]), t["list"], t["fields"], ["page_id", site])
-        pairs = [x for name in t["fields"] for x in (F.lit(name), F.col(name))]
-        own = own.select("page_id", site, "item_no", F.create_map(*pairs).alias("fields"))
-        out = own if out is None else out.union(own)
-    return out
+    kind = pages.schema[site].dataType.simpleString()
+    both = pages.select("page_id", site, "html").join(templates.select(site, F.col("nodes").cast(TEMPLATE).alias("nodes")), site)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part, items, following, errors = batch.slice(at, 64), [], [], []
+                for html, nodes in zip(part.column("html").to_pylist(), part.column("nodes").to_pylist()):
+                    try:
+                        got, more, error = *apply_template(Matches(parse(html) or []), nodes or []), None
+                    except ValueError as e:
+                        got, more, error = [], None, str(e)
+                    items.append(got)
+                    following.append(more)
+                    errors.append(error)
+                item = pa.struct([("list", pa.string()), ("item_no", pa.int32()), ("fields", pa.map_(pa.string(), pa.string()))])
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column(site), pa.array(items, pa.list_(item)), pa.array(following, pa.string()), pa.array(errors, pa.string())], ["page_id", site, "items", "next", "error"])
+
+    page = pages.schema["page_id"].dataType.simpleString()
+    return both.select("page_id", site, "html", "nodes").mapInArrow(run, f"page_id {page}, `{site}` {kind}, {EXTRACTED}")
+
+
+def template_records(extracted: DataFrame, site: str = "site") -> DataFrame:
+    """(page_id, site, list, item_no, fields) of from_templates()."""
+    return extracted.select("page_id", site, F.explode("items").alias("x")).select("page_id", site, "x.*")
 
 
 def max_pages(scope: Column) -> Column:
@@ -69,6 +121,27 @@ def preview(found: DataFrame, project: str = "page_id") -> DataFrame:
     return found.withColumn("_k", F.row_number().over(Window.partitionBy(project).orderBy("item_no"))).filter("_k = 1").drop("_k")
 
 
+def parsed_items(html: str | None, get_items: Callable[[list[dict]], Iterable[Any]], parse_item: Callable[[Any], dict]) -> Iterator[tuple[int, str | None, dict]]:
+    """(item_no, error, values) of a page by a user's functions."""
+    try:
+        found = list(get_items(parse_with_text(html)))
+    except Exception as e:  # noqa: BLE001  the user's code
+        yield -1, f"{type(e).__name__}: {e}", {}
+        return
+    for no, item in enumerate(found):
+        try:
+            got = parse_item(item)
+            got = {} if got is None else got
+            bad = None if isinstance(got, dict) else f"TypeError: {type(got).__name__} is no dict"
+        except Exception as e:  # noqa: BLE001
+            got, bad = {}, f"{type(e).__name__}: {e}"
+        yield no, bad, got if bad is None else {}
+
+
+def _text(value: Any) -> str | None:
+    return None if value is None else str(value)
+
+
 def extract_with(pages: DataFrame, get_items: Callable[[list[dict]], Iterable[Any]], parse_item: Callable[[Any], dict], fields: list[str]) -> DataFrame:
     """User plug-in: (page_id, item_no, error, fields...) with text values.
 
@@ -79,25 +152,25 @@ def extract_with(pages: DataFrame, get_items: Callable[[list[dict]], Iterable[An
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()):
-                try:
-                    found = list(get_items(parse_with_text(html)))
-                except Exception as e:  # noqa: BLE001  the user's code
-                    rows.append((page_id, -1, f"{type(e).__name__}: {e}", {}))
-                    continue
-                for no, item in enumerate(found):
-                    try:
-                        got = parse_item(item)
-                        got = {} if got is None else got
-                        bad = None if isinstance(got, dict) else f"TypeError: {type(got).__name__} is no dict"
-                    except Exception as e:  # noqa: BLE001
-                        got, bad = {}, f"{type(e).__name__}: {e}"
-                    rows.append((page_id, no, bad, got if bad is None else {}))
-            text = lambda v: None if v is None else str(v)
+            rows = [(page_id, *r) for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()) for r in parsed_items(html, get_items, parse_item)]
             columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())]
-            columns += [pa.array([text(r[3].get(f)) for r in rows], pa.string()) for f in fields]
+            columns += [pa.array([_text(r[3].get(f)) for r in rows], pa.string()) for f in fields]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "item_no", "error", *fields])
 
     schema = ", ".join(["page_id long, item_no int, error string", *(f"`{f}` string" for f in fields)])
     return pages.select("page_id", "html").mapInArrow(run, schema)
+
+
+def register_plugin(spark: SparkSession, name: str, get_items: Callable[[list[dict]], Iterable[Any]], parse_item: Callable[[Any], dict], fields: list[str]) -> None:
+    """A user plug-in as a table function for SQL: `FROM pages, LATERAL name(html)` gives item_no, error and the fields.
+
+    Rows are those of extract_with() for the page.
+    """
+
+    class Plugin:
+        def eval(self, html: str):
+            for no, bad, got in parsed_items(html, get_items, parse_item):
+                yield (no, bad, *(_text(got.get(f)) for f in fields))
+
+    kinds = ", ".join(["item_no int, error string", *(f"`{f}` string" for f in fields)])
+    spark.udtf.register(name, F.udtf(Plugin, returnType=kinds))

@@ -164,7 +164,7 @@ def nav_ratio(t):
 
 
 @query(
-    "SELECT page_id, CASE WHEN b IS NOT NULL THEN 'next_button' WHEN page_id % 11 IN (1, 2) THEN 'url_param' ELSE 'none' END AS type, b AS selector, CASE WHEN b IS NULL AND page_id % 11 = 1 THEN 'page' WHEN b IS NULL AND page_id % 11 = 2 THEN 'p' END AS param "
+    "SELECT page_id, CASE WHEN b IS NOT NULL THEN 'next_button' WHEN page_id % 11 IN (1, 2) THEN 'url_param' ELSE 'none' END AS type, b AS selector, CASE WHEN b IS NULL AND page_id % 11 IN (1, 2) THEN 'guessed_from_url' END AS param "
     "FROM (SELECT page_id, CASE page_id % 8 WHEN 1 THEN '.pager.next' WHEN 2 THEN '#more' WHEN 3 THEN 'a:contains(''Next'')' END AS b FROM pages)"
 )
 def pagination_type(t):
@@ -280,6 +280,46 @@ def listing_sections(t):
     return found.select("page_id", "type", "selector", "count", F.round("score", 6).alias("score"), joined(F.transform("fields", lambda f: f["css"])).alias("fields"))
 
 
+@query(
+    "WITH c AS (SELECT page_id, page_id % 4 + 3 AS n FROM pages), s AS ("
+    "SELECT page_id, 'div.c' AS selector, n, 'b=first; i=x y; div.c=tail text; a=/l' AS fields, 4 AS k, 0 AS o FROM c UNION ALL "
+    "SELECT page_id, 'tr.r', n + 1, 'td=cell; td.k=key', 2, 1 FROM c) "
+    "SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k * sqrt(n) DESC, o) AS INTEGER) AS rank, 'repeating_list' AS type, selector, n AS count, round(k * sqrt(n), 6) AS score, fields FROM s"
+)
+def mixed_sections(t):
+    """Cards whose texts stand between their elements, and table rows; links without text and hidden scripts beside them."""
+    k = F.col("page_id")
+    card = "<div class='c'><b>first</b> <i>x y</i> tail text<script>var a=1</script><a href='/l'></a><i>again</i></div>"
+    row = "<tr class='r'><td>cell</td><td class='k'>key</td></tr>"
+    html = F.concat(F.lit("<html><body>"), times(card, k % 4 + 3), F.lit("<table>"), times(row, k % 4 + 4), F.lit("</table><p>"), times("<br>", k % 3), F.lit("</p></body></html>"))
+    found = dom.sections(dom.parse_pages(t("pages").select("page_id", "url", html.alias("html"))))
+    shown = joined(F.transform("fields", lambda f: F.concat(f["css"], F.lit("="), f["sample"])))
+    return found.select("page_id", "rank", "type", "selector", "count", F.round("score", 6).alias("score"), shown.alias("fields"))
+
+
+@query(
+    "SELECT page_id, CASE page_id % 6 WHEN 0 THEN '#n' WHEN 1 THEN '.pg' WHEN 2 THEN 'button:contains(''Next'')' WHEN 3 THEN '.x.nextish' END AS selector FROM pages"
+)
+def next_buttons(t):
+    """Texts split over elements, with blanks around them; what only reads as next without its blanks is none."""
+    k = F.col("page_id")
+    html = F.when(k % 6 == 0, '<a href="/">Home</a><a id="n">\n Next <span>page</span></a>').when(k % 6 == 1, '<a class="pg"><b> \u00bb</b>\n</a>').when(k % 6 == 2, "<a>next page x</a><button> Ne<i>xt</i> </button>")
+    html = html.when(k % 6 == 3, '<a>Next page</a><a class="x nextish">more</a>').when(k % 6 == 4, '<a id="n">Next<span>page</span></a>').otherwise('<p id="n">next</p><a>Ne xt</a>')
+    found = dom.pagination(F.col("nodes"), F.lit("https://x.example/"))
+    return dom.parse_pages(t("pages").select("page_id", "url", html.alias("html"))).select("page_id", found["selector"].alias("selector"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'The title' ELSE 'text ' || page_id END AS text, '/s' AS image, '/h' AS link, CASE WHEN page_id % 3 = 0 THEN '' END AS empty FROM pages")
+def titled_values(t):
+    """A title attribute comes before the text, an empty one too."""
+    k = F.col("page_id")
+    title = F.when(k % 3 == 0, " title='The title'").otherwise("")
+    html = F.concat(F.lit("<h2"), title, F.lit(">text "), k.cast("string"), F.lit("</h2><img title='t' src='/s'><a title='t' href='/h'>x</a>"), F.when(k % 3 == 0, "<i title=''>y</i>").otherwise(""))
+    body = F.concat(F.lit("<div class='item'>"), html, F.lit("</div>"))
+    fields = {"text": ("h2", "text"), "image": ("img", "image"), "link": ("a", "link"), "empty": ("i", "text")}
+    return extract.records(dom.parse_pages(t("pages").select("page_id", "url", body.alias("html"))), "div.item", fields).drop("item_no")
+
+
 @query("SELECT p_partkey // 20 AS page_id, 'DIV' AS tag, 'card' AS classes, count(*) AS count FROM part GROUP BY 1 HAVING count(*) > 5")
 def best_units(t):
     out = dom.best_unit(dom.parse_pages(listings(t)))
@@ -308,9 +348,48 @@ def listing_preview(t):
 @query("SELECT p_partkey // 20 AS page_id, CASE WHEN (p_partkey // 20) % 2 = 0 THEN 'even' ELSE 'odd' END AS site, CASE WHEN (p_partkey // 20) % 2 = 0 THEN p_name ELSE p_brand END AS value FROM part")
 def listing_templates(t):
     site = F.when(F.col("page_id") % 2 == 0, "even").otherwise("odd")
-    parsed = dom.parse_pages(listings(t).withColumn("site", site), ["page_id", "site"])
-    templates = [{"site": "even", "list": "div.card", "fields": {"name": FIELDS["name"]}}, {"site": "odd", "list": "div.card", "fields": {"brand": FIELDS["brand"]}}]
-    return extract.from_templates(parsed, templates).select("page_id", "site", F.map_values("fields")[0].alias("value"))
+    pages = listings(t).withColumn("site", site)
+    field = lambda name: F.array(template_node("cards", "list", "div.card"), template_node("value", "field", FIELDS[name][0]))
+    templates = pages.select("site").distinct().withColumn("nodes", F.when(F.col("site") == "even", field("name")).otherwise(field("brand")))
+    return extract.template_records(extract.from_templates(pages, templates)).select("page_id", "site", F.col("fields")["value"].alias("value"))
+
+
+def template_node(name: str, kind: str, /, *chain: str | Column, **metadata: str) -> Column:
+    pairs = [F.lit(x) for kv in metadata.items() for x in kv]
+    about = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    return F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type"), F.array(*(c if isinstance(c, Column) else F.lit(c) for c in chain)).alias("selector_chain"), about.alias("metadata"))
+
+
+def site_templates(t) -> tuple[DataFrame, DataFrame]:
+    """Listing pages with a pager, each a site of its own, and a template for each site.
+
+    Every fifth template's list goes by a chain of two selectors, every seventh has a selector that is not supported.
+    """
+    k = F.col("page_id")
+    pager = F.concat(F.lit('<div class="pager"><a class="prev" href="/0">Back</a><p><a class="next" href="/'), (k + 1).cast("string"), F.lit('">Next</a></p></div></body>'))
+    pages = listings(t).withColumn("html", F.replace("html", F.lit("</body>"), pager)).withColumn("site", F.concat(F.lit("site"), k.cast("string")))
+    chain = F.when(k % 5 == 0, F.array(F.lit("html > body"), F.lit("div.card"))).when(k % 7 == 0, F.array(F.lit("div:hover"))).otherwise(F.array(F.lit("body > .card, body > .none")))
+    cards = F.struct(F.lit("cards").alias("name"), F.lit("list").alias("type"), chain.alias("selector_chain"), F.create_map().cast("map<string,string>").alias("metadata"))
+    fields = [template_node("name", "field", "h2"), template_node("price", "field", "span:nth-of-type(2)"), template_node("key", "field", 'a[href*="/parts/"]', kind="link"), template_node("css", "field", "span.brand", attribute="class"), template_node("none", "field", "h2", "a")]
+    nodes = F.array(cards, *fields, template_node("next", "pagination", "div.pager", "p > a.next"))
+    return pages, pages.select("site", nodes.cast(extract.TEMPLATE).alias("nodes"))
+
+
+@query(
+    "SELECT p_partkey // 20 AS page_id, CAST(row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey) - 1 AS INTEGER) AS item_no, p_name AS name, CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS VARCHAR) AS price, '/parts/' || p_partkey AS key, 'brand' AS css, NULL AS none "
+    "FROM part WHERE NOT ((p_partkey // 20) % 7 = 0 AND (p_partkey // 20) % 5 <> 0)"
+)
+def template_records(t):
+    found = extract.template_records(extract.from_templates(*site_templates(t)))
+    return found.select("page_id", "item_no", *(F.col("fields")[f].alias(f) for f in ("name", "price", "key", "css", "none")))
+
+
+@query(
+    "SELECT p_partkey // 20 AS page_id, CASE WHEN bad THEN 0 ELSE count(*) END AS items, CASE WHEN NOT bad THEN '/' || (p_partkey // 20 + 1) END AS next, CASE WHEN bad THEN 'selector not supported: div:hover' END AS error "
+    "FROM (SELECT *, (p_partkey // 20) % 7 = 0 AND (p_partkey // 20) % 5 <> 0 AS bad FROM part) GROUP BY 1, bad"
+)
+def template_pages(t):
+    return extract.from_templates(*site_templates(t)).select("page_id", F.size("items").cast("long").alias("items"), "next", "error")
 
 
 def _cards(nodes: list[dict]):
@@ -333,6 +412,14 @@ def listing_plugin(t):
     return good.unionByName(bad).select("page_id", "key", "error")
 
 
+@query(SQL["listing_plugin"])
+def listing_plugin_sql(t):
+    pages = listings(t)
+    spark = pages.sparkSession
+    extract.register_plugin(spark, "parts_of_page", _cards, _card, ["key"])
+    return spark.sql("SELECT page_id, r.key, r.error FROM {pages}, LATERAL parts_of_page(html) r WHERE r.key IS NOT NULL OR r.error IS NOT NULL", pages=pages)
+
+
 # Documents
 
 
