@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -103,6 +105,15 @@ def light_slices(batches, column: str, most: int = 1 << 21, rows: int = 1024):
     pa.default_memory_pool().release_unused()
 
 
+def give_back() -> None:
+    """Return the memory that a fit in the driver has freed to the system, where the C library has a call for that."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 LEAST_BITS, MOST_BITS = 16, 25  # a filter has at least 8 KB and at most 4 MB
 
 

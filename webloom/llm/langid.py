@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import slices
+from webloom.llm.common import give_back, slices
 
 BITS = 16
 SLICE = 1 << 20  # bytes that are held as features at once
@@ -193,7 +193,10 @@ def fit(labelled: DataFrame, max_rows: int = 3_000, least: int = 10, most: int =
             yield batch.set_column(2, "text", pa.array([excerpt(t, most_chars) for t in batch.column("text").to_pylist()], pa.string()))
 
     found = drawn.mapInArrow(cut, "lang string, h long, text string").collect()
-    return train([(r["lang"], windows(r["text"], most)) for r in sorted(found, key=lambda r: (r["lang"], r["h"]))], **options)
+    model = train([(r["lang"], windows(r["text"], most)) for r in sorted(found, key=lambda r: (r["lang"], r["h"]))], **options)
+    del found
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

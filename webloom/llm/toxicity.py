@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import bounded, forget, save, slices
+from webloom.llm.common import bounded, forget, give_back, save, slices
 
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
@@ -233,6 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, least: float
     points = pairs.groupBy("strength", "toxic").count().collect()  # at most max_rows of them
     forget(sample)
     lexicon.a, lexicon.b = _logistic(np.array([(r["strength"], r["toxic"], r["count"]) for r in points], dtype=float), totals)
+    give_back()
     return lexicon
 
 
