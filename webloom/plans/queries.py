@@ -12,15 +12,50 @@ from webloom.functions import text as fn
 from webloom.functions.nodes import text_of
 from webloom.operators import aggregates, dom, extract, filters, joins, scoring, windows
 from webloom.plans import recon
+from webloom.sources import readers, sinks
+from webloom.sources.scratch import scratch
 from webloom.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+class Tables:
+    """The given tables by name; streams of them end when all rows are read."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def streamed(self, frame: DataFrame, build, conf: dict[str, str] | None = None) -> DataFrame:
+        """The rows that build(stream of frame) gives in append mode, written out and read back."""
+        path = scratch(self.spark, "stream")
+        frame.write.parquet(f"{path}/in")
+        before = {k: self.spark.conf.get(k, None) for k in conf or {}}
+        for k, v in (conf or {}).items():
+            self.spark.conf.set(k, v)
+        try:
+            live = build(self.spark.readStream.schema(frame.schema).parquet(f"{path}/in"))
+            live.writeStream.format("parquet").option("checkpointLocation", f"{path}/at").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+        finally:
+            for k, v in before.items():
+                self.spark.conf.set(k, v) if v is not None else self.spark.conf.unset(k)
+        return self.spark.read.schema(live.schema).parquet(f"{path}/out")
+
+    def arriving(self, parts: list[DataFrame], write) -> str:
+        """The folder that a stream's writer, write(stream, folder), fills from parts that come one by one; it starts anew, from its checkpoint, for each."""
+        path = scratch(self.spark, "arriving")
+        for part in parts:
+            part.write.mode("append").parquet(f"{path}/in")
+            write(self.spark.readStream.schema(part.schema).parquet(f"{path}/in"), f"{path}/out").trigger(availableNow=True).start().awaitTermination()
+        return f"{path}/out"
+
+
 def query(sql: str | None = None):
     def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
             SQL[f.__name__] = sql
         return f
@@ -740,3 +775,160 @@ def completions(t):
     state = F.when(F.col("event_type") == "purchase", "DONE").otherwise("CODEGEN")
     rows = t("events").select("user_id", "ts", state.alias("state"))
     return streams.completions(rows, "user_id", gap="12 hours").select("user_id", "final_state", "duration_seconds")
+
+
+# Streams, run to the end of the given tables
+
+
+def thirds(frame: DataFrame, key: str) -> list[DataFrame]:
+    """The rows in three parts of ascending keys."""
+    most = frame.agg(F.max(key)).first()[0] or 0
+    return [frame.filter((F.col(key) > most * i // 3) if i else F.lit(True)).filter((F.col(key) <= most * (i + 1) // 3) if i < 2 else F.lit(True)) for i in range(3)]
+
+
+@query(
+    "SELECT user_id AS page_id, time_bucket(INTERVAL '1 minute', ts) AS start, count(*) AS request_count, count(*) FILTER (WHERE event_id % 3 = 0) AS api_calls, count(*) FILTER (WHERE event_id % 2 = 0) AS json_responses, count(*) FILTER (WHERE event_id % 10 = 0) AS realtime "
+    "FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL '1 minute', ts) + INTERVAL '1 minute' <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL '1 minute' FROM events)"
+)
+def live_network_counters(t):
+    """Windows that the watermark has passed, in append mode, hot pages in eight shares."""
+    rows = requests(t).withColumn("ts", F.col("ts").cast("timestamp"))
+    return t.streamed(rows, lambda s: streams.network_counters(s, salts=8))
+
+
+@query(
+    "WITH e AS (SELECT user_id, ts, CASE event_type WHEN 'purchase' THEN 'DONE' ELSE 'CODEGEN' END AS state FROM events), "
+    "o AS (SELECT *, lag(ts) OVER w AS before, lag(state) OVER w AS old FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, state)), "
+    "g AS (SELECT *, sum(CASE WHEN ts - before <= INTERVAL '12 hours' AND old <> 'DONE' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, state ROWS UNBOUNDED PRECEDING) AS s FROM o), "
+    "r AS (SELECT user_id, s, max_by(state, (ts, state)) AS final_state, min(ts) AS first, max(ts) AS last FROM g GROUP BY 1, 2), n AS (SELECT *, lead(first) OVER (PARTITION BY user_id ORDER BY s) AS later FROM r) "
+    "SELECT user_id, final_state, final_state = 'DONE' AS ended, round(epoch(last) - epoch(first), 2) AS duration_seconds FROM n "
+    "WHERE final_state = 'DONE' OR later IS NOT NULL OR last + INTERVAL '12 hours' < (SELECT max(ts) - INTERVAL '1 hour' FROM events)"
+)
+def live_completions(t):
+    """Sessions that a final state, a gap or a timer has ended; those still open at the end of the stream are not told."""
+    state = F.when(F.col("event_type") == "purchase", "DONE").otherwise("CODEGEN")
+    rows = t("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), state.alias("state"))
+    store = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    return t.streamed(rows, lambda s: streams.live_completions(s, "user_id", gap="12 hours"), store)
+
+
+@query(
+    "WITH m AS (SELECT max(event_id) AS m FROM events), p AS (SELECT event_id, ts, CASE WHEN event_id <= m // 3 THEN 2 WHEN event_id <= m * 2 // 3 THEN 0 ELSE 1 END AS part FROM events, m), "
+    "h AS (SELECT part, max(ts) AS high FROM p GROUP BY 1) SELECT event_id, part AS batch FROM p WHERE ts < (SELECT max(high) FROM h WHERE h.part < p.part) - INTERVAL '2 hours'"
+)
+def late_events(t):
+    """Late rows of a stream whose first third comes last, and the batch each came in."""
+    first, second, third = thirds(t("events").select("event_id", "ts"), "event_id")
+    path = t.arriving([second, third, first], lambda s, out: streams.side_output(s, out, late="2 hours"))
+    return streams.late_rows(t.spark, path).select("event_id", F.col("batch").cast("long").alias("batch"))
+
+
+@query(SQL["content_dedup"])
+def live_content_dedup(t):
+    """A stream that stops and starts again twice keeps what the batch keeps."""
+    parts = thirds(t("documents").select("doc_id", "source", "lang", "text"), "doc_id")
+    path = t.arriving(parts, lambda s, out: streams.dedup_for_good(s, out, "source", ["doc_id"], ["text", "lang"]))
+    return streams.first_records(t.spark, path).select("doc_id", "source", "lang")
+
+
+@query("SELECT event_id, event_type AS type, CAST(user_id AS VARCHAR) AS user_id, CASE WHEN event_id % 2 = 0 THEN '[' || event_id || ',null]' END AS steps FROM events")
+def recording_steps(t):
+    """A recording that is appended to twice and read as a stream: its steps, and the event time."""
+    k = F.col("event_id").cast("string")
+    data = F.create_map(F.lit("id"), k, F.lit("user_id"), F.col("user_id").cast("string"), F.lit("steps"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("["), k, F.lit(",null]"))))
+    path = scratch(t.spark, "recording")
+    for part in (0, 1):
+        sinks.append_events(t("events").filter(F.col("event_id") % 2 == part).select(F.col("event_type").alias("type"), data.alias("data")), f"{path}/in")
+    live = streams.recording_tail(t.spark, f"{path}/in").filter("ts IS NOT NULL")
+    live.writeStream.format("parquet").option("checkpointLocation", f"{path}/at").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+    rows = t.spark.read.schema(live.schema).parquet(f"{path}/out")
+    return rows.select(F.col("data")["id"].cast("long").alias("event_id"), "type", F.col("data")["user_id"].alias("user_id"), F.col("data")["steps"].alias("steps"))
+
+
+# Sources and sinks: what is written is read back
+
+
+@query("SELECT event_id, 'run' AS name, 'm ' || event_id AS message, CAST(user_id AS VARCHAR) AS user_id, '{\"kind\":\"' || event_type || '\",\"n\":[1,2]}' AS detail, CASE WHEN event_id % 3 = 0 THEN 'inner' END AS kept FROM events")
+def log_lines(t):
+    """Log lines with fields of their own on the top level, some nested, some in an object named extra, corrupt lines between them."""
+    k = F.col("event_id")
+    line = F.struct(
+        F.lit("2024").alias("asctime"), F.lit("run").alias("name"), F.lit("INFO").alias("levelname"), F.concat(F.lit("m "), k.cast("string")).alias("message"), k.alias("event_id"), "user_id",
+        F.struct(F.col("event_type").alias("kind"), F.array(F.lit(1), F.lit(2)).alias("n")).alias("detail"), F.when(k % 3 == 0, F.struct(F.lit("inner").alias("kept"), F.lit("x").alias("event_id"))).alias("extra"),
+    )
+    text = F.to_json(line)
+    path = scratch(t.spark, "log")
+    t("events").select(F.explode(F.when(k % 50 == 0, F.array(text, F.lit("{broken"))).otherwise(F.array(text))).alias("value")).write.text(path)
+    extra = lambda name: F.col("extra")[name]
+    return readers.read_logs(t.spark, path).select(extra("event_id").cast("long").alias("event_id"), "name", "message", extra("user_id").alias("user_id"), extra("detail").alias("detail"), extra("kept").alias("kept"))
+
+
+@query("SELECT event_id, event_type AS kind, event_id % 4 AS n, CASE WHEN event_id % 4 = 1 THEN 'v' END AS mark FROM events WHERE event_id % 2 = 1")
+def recording_baseline(t):
+    """The extracted records of a recording; other events and other fields of a line do not disturb."""
+    k = F.col("event_id")
+    data = F.struct(k.alias("event_id"), F.col("event_type").alias("kind"), (k % 4).alias("n"), F.when(k % 4 == 1, "v").alias("mark"))
+    line = F.struct(F.lit("2024-01-01T00:00:00").alias("timestamp"), F.when(k % 2 == 1, "extract").otherwise("click").alias("type"), data.alias("data"), F.lit(1).alias("session"))
+    path = scratch(t.spark, "recording")
+    t("events").select(F.to_json(line).alias("value")).write.text(path)
+    d = F.col("data")
+    return readers.baseline(readers.read_recording(t.spark, path)).select(d["event_id"].cast("long").alias("event_id"), d["kind"].alias("kind"), d["n"].cast("long").alias("n"), d["mark"].alias("mark"))
+
+
+@query(
+    "SELECT doc_id // 50 AS file, CASE WHEN (doc_id // 50) % 10 NOT IN (3, 7) THEN doc_id ELSE -1 END AS doc_id, CASE WHEN (doc_id // 50) % 10 NOT IN (3, 7) THEN n_chars END AS n_chars, (doc_id // 50) % 10 IN (3, 7) AS is_default "
+    "FROM documents WHERE (doc_id // 50) % 10 NOT IN (3, 7) OR doc_id IN (SELECT min(doc_id) FROM documents GROUP BY doc_id // 50) "
+    "UNION ALL SELECT DISTINCT -1 - doc_id // 50, -1, NULL, TRUE FROM documents"
+)
+def json_defaults(t):
+    """A JSON file for every 50 documents: some are cut off, some blank, and as many again are asked for that do not exist."""
+    docs = t("documents").select(F.floor(F.col("doc_id") / 50).cast("long").alias("file"), "doc_id", "n_chars")
+    whole = F.to_json(F.sort_array(F.collect_list(F.struct("doc_id", "n_chars"))))
+    files = docs.groupBy("file").agg(whole.alias("json"))
+    text = F.when(F.col("file") % 10 == 3, F.expr("left(json, length(json) - 2)")).when(F.col("file") % 10 == 7, " ").otherwise(F.col("json"))
+    path = scratch(t.spark, "json")
+    files.select(F.concat(F.lit("f"), F.col("file").cast("string")).alias("name"), text.alias("value")).repartition("name").write.partitionBy("name").text(path)
+    names = files.select(F.explode(F.array(F.col("file"), -1 - F.col("file"))).alias("file")).select(F.concat(F.lit("name=f"), F.col("file").cast("string")))
+    found = readers.read_json_files(t.spark, path, "doc_id long, n_chars long", names, default=[(-1, None)])
+    return found.select(F.substring_index("name", "=f", -1).cast("long").alias("file"), "doc_id", "n_chars", "is_default")
+
+
+@query(
+    "SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderpriority IN (SELECT DISTINCT o_orderpriority FROM orders ORDER BY 1 LIMIT 2) THEN 'second' ELSE 'first' END AS run, o_totalprice FROM orders "
+    "WHERE o_orderpriority NOT IN (SELECT DISTINCT o_orderpriority FROM orders ORDER BY 1 LIMIT 2) OR o_orderkey % 2 = 0"
+)
+def project_outputs(t):
+    """Outputs of all projects, two of them saved again with fewer rows, and a broken run without its markers."""
+    rows = t("orders").select("o_orderkey", "o_orderpriority", F.lit("first").alias("run"), "o_totalprice")
+    again = rows.join(F.broadcast(rows.select("o_orderpriority").distinct().orderBy("o_orderpriority").limit(2)), "o_orderpriority", "left_semi")
+    path = scratch(t.spark, "projects")
+    sinks.save_projects(rows, path, "o_orderpriority")
+    sinks.save_projects(again.filter("o_orderkey % 2 = 0").withColumn("run", F.lit("second")), path, "o_orderpriority")
+    rows.withColumns({"run": F.lit("broken"), "_project": F.col("o_orderpriority"), "_run": F.lit("none")}).write.partitionBy("_project", "_run").mode("append").json(f"{path}/json")
+    return sinks.saved_projects(t.spark, path, "o_orderkey long, o_orderpriority string, run string, o_totalprice double")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS c_name, CASE WHEN c_custkey % 5 = 0 THEN 'a,\"b\"' ELSE c_mktsegment END AS note FROM customer")
+def csv_output(t):
+    """CSV with missing values, quotes and separators, as written and read back."""
+    k = F.col("c_custkey")
+    rows = t("customer").select("c_custkey", F.when(k % 3 == 0, F.col("c_name")).alias("c_name"), F.when(k % 5 == 0, 'a,"b"').otherwise(F.col("c_mktsegment")).alias("note"))
+    path = scratch(t.spark, "csv")
+    sinks.save_records(rows, path, "csv")
+    return t.spark.read.schema(rows.schema).option("header", True).option("escape", '"').csv(f"{path}/csv")
+
+
+@query(
+    "SELECT 'orders' AS output, CASE WHEN count(*) > 50000 THEN 'csv' ELSE 'xlsx' END AS kind, count(*) > 0 AS has_output FROM orders UNION ALL SELECT 'nested', 'json', count(*) > 0 FROM orders "
+    "UNION ALL SELECT 'small', CASE WHEN count(*) > 100 THEN 'csv' ELSE 'xlsx' END, count(*) > 0 FROM customer UNION ALL SELECT 'none', 'xlsx', FALSE"
+)
+def output_formats(t):
+    """The format chosen for tables of all kinds, and whether what is written has rows."""
+    orders, customers = t("orders"), t("customer").select("c_custkey")
+    frames = {"orders": (orders, 50_000), "nested": (orders.select(F.array("o_orderkey").alias("keys")), 50_000), "small": (customers, 100), "none": (customers.filter("c_custkey IS NULL"), 50_000)}
+    path = scratch(t.spark, "formats")
+    rows = []
+    for name, (frame, most) in frames.items():
+        sinks.write_json(frame, f"{path}/{name}")
+        rows.append((name, sinks.auto_format(frame, most), sinks.has_output(t.spark, f"{path}/{name}")))
+    return t.spark.createDataFrame(rows, "output string, kind string, has_output boolean")
