@@ -31,7 +31,6 @@ from webloom.llm.shingles import BASE, mix, word_hashes
 BETWEEN = re.compile(r"[\W_]+")
 STOP = word_hashes(b"\x01")[0]  # stands between texts that are hashed at once
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-PRIME, ROOT = (1 << 61) - 1, 1_000_003
 VOLUME = 1 << 20  # characters of texts that are hashed at once
 
 
@@ -53,56 +52,60 @@ def rolling(words: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * up[k - 1 :])
 
 
-def _windows(x: list[int], free: bytearray, s: int):
-    """(start, hash) of the free windows of s tokens; the hash rolls on from one to the next."""
-    top = pow(ROOT, s - 1, PRIME)
-    h = run = 0
-    for end, word in enumerate(x):
-        if not free[end]:
-            h = run = 0
-            continue
-        if run == s:
-            h -= x[end - s] * top
-        else:
-            run += 1
-        h = (h * ROOT + word) % PRIME
-        if run == s:
-            yield end + 1 - s, h
-
-
-def tile(a: list[int], b: list[int], k: int) -> list[tuple[int, int, int]]:
+class _Side:
+    """One side of a tiling: its tokens, which of them are free, and the hashes of its windows of any length."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.tokens, self.free = tokens, tokens >= 0
+        n = len(tokens)
+        up, down = np.full(n, BASE), np.full(n, INVERSE)
+        up[:1] = down[:1] = 1
+        self.up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens.view(np.uint64) * down, dtype=np.uint64)])
+
+    def windows(self, s: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start, hash) of the windows of s free tokens, from one running sum for all lengths."""
+        taken = np.concatenate([[0], np.cumsum(~self.free)])
+        at = np.flatnonzero(taken[s:] == taken[:-s])
+        return at, mix((self.total[at + s] - self.total[at]) * self.up[at + s - 1])
+
+
+def tile(a, b, k: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (start in a, start in b, length) of non-overlapping common runs of at least k tokens.
 
     Negative tokens match nothing. The longest length at which windows of both sides meet is found by halving the
     range of lengths; all runs of that length are marked, the first in a with the first in b, before the next length.
     Hashes that meet are compared token by token.
     """
-    free_a, free_b = bytearray(x >= 0 for x in a), bytearray(x >= 0 for x in b)
+    left, right = (_Side(np.asarray(x, dtype=np.int64)) for x in (a, b))
+    same = lambda i, j, s: np.array_equal(left.tokens[i : i + s], right.tokens[j : j + s])
 
     def meets(s: int) -> bool:
-        places: dict[int, int] = {}
-        for i, h in _windows(a, free_a, s):
-            places.setdefault(h, i)
-        return bool(places) and any(h in places and a[places[h] : places[h] + s] == b[j : j + s] for j, h in _windows(b, free_b, s))
+        (i, x), (j, y) = left.windows(s), right.windows(s)
+        both, first, second = np.intersect1d(x, y, return_indices=True)
+        return any(same(i[first[n]], j[second[n]], s) for n in range(len(both)))
 
-    tiles, most = [], min(len(a), len(b))
+    tiles, most = [], min(len(left.tokens), len(right.tokens))
     while most >= k and meets(k):
         low, high = k, most
         while low < high:
             s = (low + high + 1) // 2
             low, high = (s, high) if meets(s) else (low, s - 1)
+        (at, x), (there, y) = left.windows(low), right.windows(low)
+        held = np.isin(y, x)
         places: dict[int, deque[int]] = {}
-        for j, h in _windows(b, free_b, low):
+        for j, h in zip(there[held].tolist(), y[held].tolist()):
             places.setdefault(h, deque()).append(j)
-        for i, h in list(_windows(a, free_a, low)):
-            if not (free_a[i] and free_a[i + low - 1]):
+        held = np.isin(x, y)
+        for i, h in zip(at[held].tolist(), x[held].tolist()):
+            if not (left.free[i] and left.free[i + low - 1]):
                 continue
-            there = places.get(h, ())
-            while there and not (free_b[there[0]] and free_b[there[0] + low - 1]):
-                there.popleft()
-            if there and a[i : i + low] == b[there[0] : there[0] + low]:
-                j = there.popleft()
-                free_a[i : i + low] = free_b[j : j + low] = bytes(low)
+            found = places[h]
+            while found and not (right.free[found[0]] and right.free[found[0] + low - 1]):
+                found.popleft()
+            if found and same(i, found[0], low):
+                j = found.popleft()
+                left.free[i : i + low] = right.free[j : j + low] = False
                 tiles.append((i, j, low))
         most = low - 1
     return tiles
@@ -167,7 +170,8 @@ def _tiled(k: int, threshold: float):
     def run(batches):
         for batch in slices(batches):
             rows = []
-            for row, (item, seq) in enumerate(zip(batch.column("words").to_pylist(), batch.column("seq").to_pylist())):
+            for row, (item, seq) in enumerate(zip(batch.column("words"), batch.column("seq"))):
+                item, seq = (x.values.to_numpy() for x in (item, seq))
                 tiles = tile(item, seq, k)
                 covered = sum(x[2] for x in tiles)
                 if covered >= threshold * len(item):
