@@ -389,8 +389,14 @@ def test_language_id(spark):
     nothing = langid.fit(spark.createDataFrame([(1, "x", None)], "doc_id long, text string, lang string"))
     assert {(r["lang_pred"], r["lang_score"], r["lang_rejected"]) for r in langid.identify(docs(spark), nothing).collect()} == {("und", 0.0, False)}
     assert langid.identify(docs(spark, []), model).count() == 0
-    long = "thing and er " * 200_000
-    assert len(langid.excerpt(long, 16_384)) <= 16_384 and langid.excerpt("ab", 2) == "ab"
+    long = "thing and er " * 200_000 + "ción"
+    ids, shares = langid.counted(long)
+    every = Counter(langid.features(long.encode()).tolist())
+    assert dict(zip(ids.tolist(), shares.tolist())) == pytest.approx({u: n / every.total() for u, n in every.items()}, rel=1e-6)
+    few = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_features=1, least=3)
+    assert few.classes == ["aa", "bb"]  # three texts a language, whatever their size
+    with pytest.raises(ValueError):
+        langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_languages=1)
     hot = spark.createDataFrame([(7, "thing and er", "aa")] * 5_000 + rows, "doc_id long, text string, lang string")
     assert langid.fit(hot, max_rows=60).classes == ["aa", "bb"]
 
@@ -414,7 +420,7 @@ def test_unseen_language_is_rejected_and_every_language_learned(spark):
     rows = [(k, text(langs[x]), x) for k, x in enumerate(sorted(langs) * 6)]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.classes == sorted(langs)
-    four = langid.train([(x, langid.windows(text(langs[x]), 1_500)) for x in sorted(langs)[:4] * 40])
+    four = langid.train([(x, langid.windows(text(langs[x]))) for x in sorted(langs)[:4] * 40])
     assert all(four.predict(text(langs["l60"]))[2] for _ in range(30))
     assert sum(four.predict(text(langs["l00"]))[2] for _ in range(100)) <= 2
 

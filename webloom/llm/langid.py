@@ -18,10 +18,10 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import give_back, slices
+from webloom.llm.common import forget, give_back, save, slices
 
 BITS = 16
 SLICE = 1 << 20  # bytes that are held as features at once
@@ -85,42 +85,40 @@ class Model:
         return self.classes[best], float(p[best]), bool(p[best] < self.threshold)
 
 
-def excerpt(text: str, most: int, pieces: int = 16) -> str:
-    """The text, or pieces of it from all over, `most` characters together."""
-    if len(text) <= most:
-        return text
-    size = most // pieces
-    starts = np.random.default_rng(len(text)).integers(0, len(text) - size + 1, pieces)
-    return " ".join(text[at : at + size - 1] for at in sorted(starts.tolist()))
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(subwords, their shares) of a whole text, slice by slice."""
+    data = text.encode("utf-8", "replace")
+    n = np.zeros(2 << BITS, np.int64)
+    for start in range(0, len(data) + 2, SLICE):
+        n += np.bincount(features(data, start, start + SLICE), minlength=2 << BITS)
+    some = np.flatnonzero(n)
+    return some.astype("<u4"), (n[some] / max(n.sum(), 1)).astype("<f4")
 
 
-def windows(text: str, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(subwords, counts) of the whole text and of a few of its passages of 1 to 60 words, so that short texts are learned too.
-
-    Of a window with more than `most` subwords as many are drawn, from all of it.
-    """
+def windows(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """counted() of the whole text and of a few of its passages of 1 to 60 words, so that short texts are learned too."""
     rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "replace")))
     words, parts = text.split(), [text]
     for _ in range(4):
         n = int(rng.integers(1, 61))
         at = int(rng.integers(0, max(1, len(words) - n)))
         parts.append(" ".join(words[at : at + n]))
-    out = []
-    for part in parts:
-        data = part.encode("utf-8", "replace")
-        places = [(at, features(data, at, at + SLICE)) for at in range(0, len(data) + 2, SLICE)]
-        total = sum(len(f) for _, f in places)
-        if total > most:
-            drawn = np.sort(rng.integers(0, total, most))
-            ends = np.cumsum([len(f) for _, f in places])
-            places = [(0, f[drawn[(drawn >= end - len(f)) & (drawn < end)] - (end - len(f))]) for (_, f), end in zip(places, ends)]
-        if total:
-            out.append(np.unique(np.concatenate([f for _, f in places]), return_counts=True))
-    return out
+    return [x for x in map(counted, parts) if len(x[0])]
+
+
+def _windows(batches):
+    """(lang, h, size, ids, shares) of the windows of each text, numbers as bytes."""
+    for batch in slices(batches):
+        found = [windows(t) for t in batch.column("text").to_pylist()]
+        rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        some = batch.take(pa.array(rows))
+        flat = [w for x in found for w in x]
+        size = pa.array([len(u) for u, _ in flat], pa.int64())
+        yield pa.RecordBatch.from_arrays([some.column("lang"), some.column("h"), size, *(pa.array([w[k].tobytes() for w in flat], pa.binary()) for k in (0, 1))], ["lang", "h", "size", "ids", "shares"])
 
 
 def train(rows: list[tuple[str, list]], dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 2, reject_quantile: float = 0.001) -> Model:
-    """Fit on (lang, windows) rows; every fifth text of a language sets the temperature and the rejection threshold instead.
+    """Fit on (lang, windows) rows, windows as of windows(); every fifth text of a language sets the temperature and the rejection threshold instead.
 
     Without any row the model has no class.
     """
@@ -132,7 +130,7 @@ def train(rows: list[tuple[str, list]], dim: int = 16, epochs: int = 6, rate: fl
     for lang, parts in rows:
         seen[lang] += 1
         for u, n in parts:
-            sets[seen[lang] % 5 == 0].append((u, (n / n.sum()).astype(np.float32), index[lang]))
+            sets[seen[lang] % 5 == 0].append((u, n, index[lang]))
     learn, held = sets[0] or sets[1], sets[1] or sets[0]
     E = (rng.random((2 << BITS, dim), dtype=np.float32) - 0.5) / dim
     W, bias = np.zeros((dim, len(classes)), np.float32), np.zeros(len(classes), np.float32)
@@ -172,29 +170,41 @@ def train(rows: list[tuple[str, list]], dim: int = 16, epochs: int = 6, rate: fl
     return model
 
 
-def fit(labelled: DataFrame, max_rows: int = 3_000, least: int = 10, most: int = 1_500, most_chars: int = 16_384, **options) -> Model:
+def fit(labelled: DataFrame, max_rows: int = 3_000, least: int = 10, max_features: int = 8_000_000, max_languages: int = 2_000, **options) -> Model:
     """Train on rows (doc_id, text, lang): about `max_rows` at most, or `least` a language, dealt evenly over all languages.
 
-    Repeated rows count once. What reaches the driver are the sampled texts, of longer ones excerpts of at most
-    `most_chars` characters from all over the text; a window has at most `most` subwords.
+    Repeated rows count once. Features of whole texts are counted in tasks; what reaches the driver are the counts, of
+    at most about `max_features` subwords: of a language's sampled texts, in the order of their hashes, as many as fit
+    in its share, and `least` in any case. A model has a column for each language; more than `max_languages` are an error.
     """
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     usable = usable.select("lang", "text", F.xxhash64("doc_id", "text", F.lit(2)).alias("h"))
-    totals = usable.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
+    totals = usable.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(max_languages + 1).collect()
     if not totals:
         return train([])
+    if len(totals) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     share = max(least, max_rows // len(totals))
     rates = usable.sparkSession.createDataFrame([(r["lang"], int(1_000_003 * min(1.0, share / max(1, r["n"])))) for r in totals], "lang string, rate int")
     drawn = usable.join(F.broadcast(rates), "lang").filter(F.pmod("h", F.lit(1_000_003)) < F.col("rate"))
     drawn = drawn.groupBy("lang", "h").agg(F.first("text").alias("text"))
-
-    def cut(batches):
-        for batch in slices(batches):
-            yield batch.set_column(2, "text", pa.array([excerpt(t, most_chars) for t in batch.column("text").to_pylist()], pa.string()))
-
-    found = drawn.mapInArrow(cut, "lang string, h long, text string").collect()
-    model = train([(r["lang"], windows(r["text"], most)) for r in sorted(found, key=lambda r: (r["lang"], r["h"]))], **options)
-    del found
+    made = save(drawn.mapInArrow(_windows, "lang string, h long, size long, ids binary, shares binary"), "lang-windows")
+    texts = made.groupBy("lang", "h").agg(F.sum("size").alias("size"))  # a row for each sampled text
+    order = Window.partitionBy("lang").orderBy("h")
+    texts = texts.withColumn("upto", F.sum("size").over(order)).withColumn("k", F.row_number().over(order))
+    fit_in = texts.filter((F.col("k") <= least) | (F.col("upto") <= max_features // len(totals))).select("lang", "h")
+    found = made.join(F.broadcast(fit_in), ["lang", "h"]).orderBy("lang", "h", "size", "ids").toArrow()
+    forget(made)
+    numbers = lambda x, kind: np.frombuffer(x.as_buffer(), kind)
+    rows: list[tuple[str, list]] = []
+    last = None
+    for lang, h, u, n in zip(found.column("lang").to_pylist(), found.column("h").to_pylist(), found.column("ids"), found.column("shares")):
+        if (lang, h) != last:
+            rows.append((lang, []))
+            last = lang, h
+        rows[-1][1].append((numbers(u, "<u4"), numbers(n, "<f4")))
+    model = train(rows, **options)
+    del found, rows
     give_back()
     return model
 
