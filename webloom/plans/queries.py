@@ -344,6 +344,17 @@ def next_buttons(t):
     return dom.parse_pages(t("pages").select("page_id", "url", html.alias("html"))).select("page_id", found["selector"].alias("selector"))
 
 
+@query("SELECT page_id, page_id % 8 + 1 AS count, left(url || repeat('x', page_id % 90), 100) AS first_source, least(page_id % 8, 4) + 1 AS sources FROM pages")
+def iframe_sources(t):
+    """The first five sources, cut at 100 characters; frames without one count, but have none."""
+    k = F.col("page_id")
+    source = F.concat("url", times("x", k % 90))
+    html = F.concat(F.lit("<iframe></iframe><iframe src=''></iframe>"), F.lit("<p><iframe src='"), source, F.lit("'></iframe>"), times("<iframe src='/f'></iframe>", k % 8), F.lit("</p>"))
+    found = dom.iframes(F.col("nodes"))
+    parsed = dom.parse_pages(t("pages").select("page_id", "url", html.alias("html")))
+    return parsed.select("page_id", (found["count"] - 2).cast("long").alias("count"), found["sources"][0].alias("first_source"), F.size(found["sources"]).cast("long").alias("sources"))
+
+
 @query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'The title' ELSE 'text ' || page_id END AS text, '/s' AS image, '/h' AS link, CASE WHEN page_id % 3 = 0 THEN '' END AS empty FROM pages")
 def titled_values(t):
     """A title attribute comes before the text, an empty one too."""
@@ -708,6 +719,23 @@ def redact_fields(t):
     return t("events").select("user_id", safe["Token"].alias("token"), safe["note"].alias("note"))
 
 
+@query(
+    "SELECT c_custkey, '[REDACTED]' AS secret, CASE WHEN c_custkey % 2 = 0 THEN '[REDACTED_EMAIL] of ' || c_mktsegment ELSE c_name END AS note, '[REDACTED]' AS inner_key, 'Name ' || c_name AS inner_name, "
+    "'[REDACTED]' AS item_token, '[REDACTED_PASSWORD]' AS item_text, 'password=1' AS plain_item FROM customer"
+)
+def redact_structs(t):
+    """Nested structs and structs in arrays are redacted, strings in arrays are not."""
+    note = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("a.b@x.example of "), "c_mktsegment")).otherwise(F.col("c_name"))
+    item = F.struct(F.lit("t").alias("token"), F.lit("password=a1!").alias("text"))
+    data = F.struct(F.lit("s").alias("Secret"), note.alias("note"), F.struct(F.col("c_name").alias("KEY"), F.concat(F.lit("Name "), "c_name").alias("name")).alias("inner"), F.array(item).alias("items"), F.array(F.lit("password=1")).alias("plain"))
+    rows = t("customer").select("c_custkey", data.alias("d"))
+    safe = rows.select("c_custkey", fn.redact_struct(F.col("d"), rows.schema["d"].dataType).alias("d"))
+    return safe.select(
+        "c_custkey", F.col("d.Secret").alias("secret"), "d.note", F.col("d.inner.KEY").alias("inner_key"), F.col("d.inner.name").alias("inner_name"),
+        F.col("d.items")[0]["token"].alias("item_token"), F.col("d.items")[0]["text"].alias("item_text"), F.col("d.plain")[0].alias("plain_item"),
+    )
+
+
 @query("SELECT event_id, list_position(['INIT', 'RECON', 'TEST', 'DONE', 'FAILED'], s) IS NOT NULL AS known, CASE s WHEN 'INIT' THEN 1 WHEN 'RECON' THEN 4 WHEN 'TEST' THEN 9 WHEN 'DONE' THEN 13 WHEN 'FAILED' THEN 14 END AS step, s IN ('DONE', 'FAILED') AS final FROM (SELECT event_id, ['INIT', 'RECON', 'TEST', 'DONE', 'FAILED', 'NONE'][event_id % 6 + 1] AS s FROM events)")
 def state_steps(t):
     state = F.element_at(F.array(*map(F.lit, ["INIT", "RECON", "TEST", "DONE", "FAILED", "NONE"])), (F.col("event_id") % 6 + 1).cast("int"))
@@ -796,6 +824,16 @@ def live_network_counters(t):
     return t.streamed(rows, lambda s: streams.network_counters(s, salts=8))
 
 
+@query(
+    "SELECT user_id, time_bucket(INTERVAL '4 seconds', ts, TIMESTAMP '1970-01-01') AS start, sum(event_id % 7) / 4 AS rate FROM events GROUP BY 1, 2 "
+    "HAVING time_bucket(INTERVAL '4 seconds', ts, TIMESTAMP '1970-01-01') + INTERVAL '4 seconds' <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL '10 seconds' FROM events)"
+)
+def live_mutation_rate(t):
+    """Windows that the watermark has passed, in append mode."""
+    rows = t("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 7).alias("n"))
+    return t.streamed(rows, lambda s: streams.mutation_rate(s, key="user_id"))
+
+
 @query(
     "WITH e AS (SELECT user_id, ts, CASE event_type WHEN 'purchase' THEN 'DONE' ELSE 'CODEGEN' END AS state FROM events), "
     "o AS (SELECT *, lag(ts) OVER w AS before, lag(state) OVER w AS old FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, state)), "
