@@ -369,7 +369,10 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, tables: int, rows: i
     usable = sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = usable.groupBy("d1", "d2", "n_shingles").agg(F.min_by(F.struct("h1", "h2", "ka", "kb", "bins"), "doc_id").alias("k"), F.min("doc_id").alias("rep"))
     reps = save(reps.select("rep", "d1", "d2", "n_shingles", "k.*"), "reps")
-    members = candidate_keys(reps, tables)
+    shared = candidate_keys(reps, tables)
+    # A hub is in each of its keys, so sets that share a key share its hub: one row for each of a hub's sets, not one a key.
+    members = save(shared.select(F.col("hub").alias("key"), "hub", "rep").distinct(), "members")
+    forget(shared)
     bodies = bodies_of(docs, reps, members)
     size, texts = bodies.select("rep", "n", "bins"), bodies.select("rep", "text")
 

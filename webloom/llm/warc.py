@@ -281,7 +281,7 @@ def resolved(records: DataFrame) -> DataFrame:
 
 def page_of(record_id: Column) -> Column:
     """The page id inside a record id that write() made."""
-    return F.nullif(F.regexp_extract(record_id, r"^urn:page:([^:/]*)", 1), F.lit("")).cast("long")
+    return F.nullif(F.regexp_extract(record_id, r"^urn:page:([^:/]*)", 1), F.lit("")).try_cast("long")
 
 
 def round_trip(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
