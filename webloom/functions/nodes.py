@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -212,7 +211,6 @@ def compound(node: Column, text: str) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-@lru_cache(4096)
 def steps_of(text: str) -> list[list[tuple[bool, list[tuple[str, ...]]]]]:
     """The chains of a selector list, each of (child of the step before, tests)."""
     out = []
@@ -249,17 +247,22 @@ def _fits(node: dict, tests: list[tuple[str, ...]], attrs: dict) -> bool:
 
 
 class Matches:
-    """Selectors given as data, on the nodes of one page: each selector looks at every node once, however deep it is."""
+    """Selectors given as data, on the nodes of one page: each selector looks at every node once, however deep it is.
 
-    def __init__(self, nodes: list[dict]):
-        self.nodes, self.found = nodes, {}
+    `compiled` keeps the steps of selectors for further pages.
+    """
+
+    def __init__(self, nodes: list[dict], compiled: dict[str, list] | None = None):
+        self.nodes, self.found, self.compiled = nodes, {}, {} if compiled is None else compiled
         self.attrs = [dict(n["attrs"]) for n in nodes]
 
     def of(self, selector: str) -> list[int]:
         """Ids of the nodes that match a selector list, in document order."""
         if selector not in self.found:
+            if selector not in self.compiled:
+                self.compiled[selector] = steps_of(selector)
             hits = set()
-            for steps in steps_of(selector):
+            for steps in self.compiled[selector]:
                 last = inside = None  # nodes that the steps so far end at, and nodes at or below such
                 for child, tests in steps:
                     now, below = bytearray(len(self.nodes)), bytearray(len(self.nodes))

@@ -77,12 +77,13 @@ def from_templates(pages: DataFrame, templates: DataFrame, site: str = "site") -
     both = pages.select("page_id", site, "html").join(templates.select(site, F.col("nodes").cast(TEMPLATE).alias("nodes")), site)
 
     def run(batches):
+        compiled: dict[str, list] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part, items, following, errors = batch.slice(at, 64), [], [], []
                 for html, nodes in zip(part.column("html").to_pylist(), part.column("nodes").to_pylist()):
                     try:
-                        got, more, error = *apply_template(Matches(parse(html) or []), nodes or []), None
+                        got, more, error = *apply_template(Matches(parse(html) or [], compiled), nodes or []), None
                     except ValueError as e:
                         got, more, error = [], None, str(e)
                     items.append(got)
