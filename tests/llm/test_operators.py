@@ -585,6 +585,34 @@ def test_learned_weights_keep_the_text(spark):
     assert htmltext.extract("<nav><a>menu</a></nav><p>Text.</p>", {}) == "Text."
 
 
+def test_clashing_columns_change_nothing(spark):
+    """Columns named like an operator's own."""
+    plain = docs(spark).select("doc_id", "text")
+    names = "start length ids_crc32 doc_tokens sequence_id offset share before own rank n section n_chars n_tokens rule seq h1 h2 seeds pairs row".split()
+    clash = plain.select("doc_id", "text", *(F.lit("x").alias(c) for c in names))
+    for run in (lambda d: packing.pack(d, tokenizer_path(), size=64), lambda d: tokencount.count_lines(d, tokenizer_path(), rule="most")):
+        want, got = run(plain), run(clash)
+        shared = [c for c in want.columns if c in got.columns]
+        assert set(want.columns) <= set(got.columns)
+        assert sorted(map(tuple, got.select(shared).collect()), key=repr) == sorted(map(tuple, want.select(shared).collect()), key=repr)
+
+
+def test_equal_texts_have_equal_toxicity(spark):
+    rows = [(i, f"you absolute stinkard number {i % 40}" if i % 2 else f"a fine clean day number {i % 40}") for i in range(80)]
+    frame = spark.createDataFrame([*rows, (None, rows[1][1]), (1, rows[1][1])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    out = toxicity.score(frame, toxicity.fit(frame, labels)).select("text", "toxicity").distinct().collect()
+    assert len(out) == 40 and {(r["text"].split()[0], r["toxicity"] >= 0.5) for r in out} == {("you", True), ("a", False)}
+
+
+def test_nothing_is_toxic_without_a_match(spark):
+    """Most labelled texts are toxic, and no term tells them."""
+    frame = spark.createDataFrame([(i, f"w{i} v{i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 6 > 0)) for i in range(60)], "doc_id long, toxic int")
+    out = toxicity.score(frame, toxicity.fit(frame, labels)).collect()
+    assert all(r["toxicity"] < 0.5 for r in out)
+
+
 LEARNED = htmltext.weigh({"": (900, 300), "article": (900, 0), "h1": (100, 0), "p": (800, 0), "nav": (0, 200), "ul": (0, 200), "li": (0, 200), "a": (0, 200), "div": (0, 90), ".ad": (0, 90), "<ul": (0, 50), "<li": (0, 90), "<a": (0, 90), "<div": (0, 30), "<p": (90, 0)})
 
 

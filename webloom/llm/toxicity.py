@@ -248,7 +248,10 @@ def _strengths(lexicon: Lexicon):
 
 
 def _logistic(points: np.ndarray, totals: dict) -> tuple[float, float]:
-    """Logistic fit of label on strength by Newton steps, each label weighted to its share of all labelled rows."""
+    """Logistic fit of label on strength by Newton steps, each label weighted to its share of all labelled rows.
+
+    A text without a match stays under one half, also where most labelled texts are toxic and few of them match.
+    """
     x, y, w = points[:, 0], points[:, 1], points[:, 2].copy()
     for label in (0, 1):
         if (of := y == label).any():
@@ -263,7 +266,7 @@ def _logistic(points: np.ndarray, totals: dict) -> tuple[float, float]:
         step = np.linalg.solve(h, g)
         step *= min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
         a, b = a - step[0], b - step[1]
-    return float(a), float(max(b, 0.0))
+    return float(min(a, -0.05)), float(max(b, 0.0))
 
 
 def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
