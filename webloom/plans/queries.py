@@ -839,7 +839,7 @@ def live_mutation_rate(t):
     "o AS (SELECT *, lag(ts) OVER w AS before, lag(state) OVER w AS old FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, state)), "
     "g AS (SELECT *, sum(CASE WHEN ts - before <= INTERVAL '12 hours' AND old <> 'DONE' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, state ROWS UNBOUNDED PRECEDING) AS s FROM o), "
     "r AS (SELECT user_id, s, max_by(state, (ts, state)) AS final_state, min(ts) AS first, max(ts) AS last FROM g GROUP BY 1, 2), n AS (SELECT *, lead(first) OVER (PARTITION BY user_id ORDER BY s) AS later FROM r) "
-    "SELECT user_id, final_state, final_state = 'DONE' AS ended, round(epoch(last) - epoch(first), 2) AS duration_seconds FROM n "
+    "SELECT user_id, final_state, final_state = 'DONE' AS ended, ((epoch_us(last) - epoch_us(first) + 5000) // 10000) / 100 AS duration_seconds FROM n "
     "WHERE final_state = 'DONE' OR later IS NOT NULL OR last + INTERVAL '12 hours' < (SELECT max(ts) - INTERVAL '1 hour' FROM events)"
 )
 def live_completions(t):

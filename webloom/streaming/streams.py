@@ -79,7 +79,7 @@ class _Sessions(StatefulProcessor):
 
     def _row(self, key, session: tuple[int, int, str]) -> Row:
         first, last, state = session
-        return Row(**{self.key: key[0]}, final_state=state, ended=state in FINAL_STATES, duration_seconds=round((last - first) / 1e6, 2))
+        return Row(**{self.key: key[0]}, final_state=state, ended=state in FINAL_STATES, duration_seconds=(last - first + 5_000) // 10_000 / 100)  # hundredths, exactly
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  names of the interface
         now = tuple(self.held.get()) if self.held.exists() else None
