@@ -135,6 +135,28 @@ def test_groups_hold_each_member_once_and_cells_are_bounded(spark):
             assert minhash.agreement(x, y, len(full[a]), len(full[b]), 80)[1].all()
 
 
+def test_rounds_go_through_the_keys_once_and_compare_only_what_is_left(spark, monkeypatch):
+    keyed, compared, save, dealt = [], [], minhash.save, minhash.dealt
+
+    def saved(df, name):
+        out = save(df, name)
+        if {"key", "rep"} <= set(out.columns):
+            keyed.append((name, out.count()))
+        return out
+
+    def counted(rows, block, volume):
+        compared.append(rows.count())
+        return dealt(rows, block, volume)
+
+    monkeypatch.setattr(minhash, "save", saved)
+    monkeypatch.setattr(minhash, "dealt", counted)
+    minhash.near_duplicates(docs(spark, crowd()), k=4, rounds=9)
+    members = next(n for name, n in reversed(keyed) if name == "members")
+    later = [n for name, n in keyed if name not in ("keys", "members")]
+    assert len(compared) >= 3 and sum(later) <= 2 * members
+    assert max(compared[1:]) < 0.7 * compared[0]  # unlike texts that share a passage are compared once
+
+
 def test_components_of_a_long_chain(spark):
     chain = list(range(40))
     random.Random(3).shuffle(chain)

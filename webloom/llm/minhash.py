@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.llm.common import bit_filter, forget, passing, save, save_in_buckets, settled, slices
@@ -240,26 +240,41 @@ def _links(k: int, percent: int):
     return run
 
 
-def open_groups(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """(grp, rep, c, lone) of the sets that share a key with a set of another component.
+def groups_of(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(grp, rep) of the sets that share a key with a set of another component, saved.
 
     members: (key, hub, rep). A key joins the group of the smallest hub that any of its members has elsewhere, so keys
-    of one crowd of similar sets are one group. Members outside the component of the group's name are lone.
+    of one crowd of similar sets are one group.
     """
     named = members.join(comps.select(F.col("id").alias("rep"), F.col("component").alias("c")), "rep", "left")
-    named = named.select("key", "hub", "rep", F.coalesce("c", "rep").alias("c"))
-    split = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
-    named = save(named.join(split, "key", "left_semi"), "named")
-    lead = named.groupBy("rep").agg(F.min("hub").alias("lead"))
-    group = named.join(lead, "rep").groupBy("key").agg(F.min("lead").alias("grp"))
-    rows = named.join(group, "key").select("grp", "rep", "c").distinct()
-    first = comps.select(F.col("id").alias("grp"), F.col("component").alias("h"))
-    rows = rows.join(first, "grp", "left").select("grp", "rep", "c", (F.col("c") != F.coalesce("h", "grp")).alias("lone"))
-    out = save(rows, "open")
-    forget(named)
+    named = save(named.select("key", "hub", "rep", F.coalesce("c", "rep").alias("c")), "named")
+    split = save(named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key"), "split")
+    lead = F.min("hub").over(Window.partitionBy("rep"))
+    led = save(named.join(split, "key", "left_semi").select("key", "rep", lead.alias("lead")), "led")
+    forget(named, split)
+    group = save(led.groupBy("key").agg(F.min("lead").alias("grp")), "group")
+    out = save(led.join(group, "key").select("grp", "rep").distinct(), "groups")
+    forget(led, group)
     return out
 
 
+def still_open(groups: DataFrame, comps: DataFrame) -> DataFrame:
+    """(grp, rep, c, lone) of the groups (grp, rep) that hold several components, saved.
+
+    Members outside the component of the group's name are lone.
+    """
+    named = groups.select("grp", "rep").join(comps.select(F.col("id").alias("rep"), F.col("component").alias("c")), "rep", "left")
+    named = named.select("grp", "rep", F.coalesce("c", "rep").alias("c"))
+    several = named.groupBy("grp").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("grp")
+    first = several.join(comps.select(F.col("id").alias("grp"), F.col("component").alias("h")), "grp", "left")
+    return save(named.join(first, "grp").select("grp", "rep", "c", (F.col("c") != F.coalesce("h", "grp")).alias("lone")), "open")
+
+
+def open_groups(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """still_open() of groups_of()."""
+    return still_open(groups_of(members, comps), comps)
+
+
 def dealt(rows: DataFrame, block: int, volume: int) -> DataFrame:
     """rows (grp, rep, c, lone, n, ...) dealt over a grid of each group: lone members held in blocks, all as visitors.
 
@@ -384,18 +399,22 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, tables: int, rows: i
     comps = connected_components(links)
 
     # Each set that is still apart from another of its group with the likeliest; at last those that are left on full sets.
+    # Components only merge, so a set that no other component may be linked with leaves its groups for good.
+    left = groups_of(members, comps)
     while True:
-        apart = open_groups(members, comps)
+        apart = still_open(left, comps)
         best = save(dealt(apart.join(size, "rep"), block, 1 << 62).mapInArrow(_best(percent), "a long, b long"), "best")
         if best.isEmpty():
             break
+        some = best.select(F.col("a").alias("rep")).union(best.select(F.col("b").alias("rep"))).distinct()
+        left = save(apart.join(some, "rep", "left_semi"), "left")
         pairs = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = confirm_links(pairs, texts, k, percent) if rounds else None
         done = found is None or found.isEmpty()
         if done:
-            some = best.select(F.col("a").alias("rep")).union(best.select(F.col("b").alias("rep"))).distinct()
-            rest = save(apart.join(some, "rep", "left_semi"), "left").join(bodies, "rep")
-            found = save(dealt(rest, block // 4 or 1, 1 << 20).mapInArrow(_links(k, percent), "a long, b long"), "rest")
+            found = save(dealt(left.join(bodies, "rep"), block // 4 or 1, 1 << 20).mapInArrow(_links(k, percent), "a long, b long"), "rest")
+            if found.isEmpty():
+                break
         links, rounds = links.union(found), rounds - 1
         comps = connected_components(links)
         if done:
