@@ -23,3 +23,18 @@ def test_sql(spark, name):
     want = con.sql(f"select {', '.join(f'\"{n}\"' for n in names)} from ({entry.oracle_sql()[name]})").fetchall()
     tidy = lambda rows: sorted((tuple(round(float(v), 6) if isinstance(v, (int, float)) else v for v in r) for r in rows), key=repr)
     assert tidy(frame.select(*names).collect()) == tidy(want)
+
+
+def test_pagination_of_given_pages(spark, tmp_path):
+    links = ["", "<a>next</a>", '<p class="next">no</p><button class="b go-next" >x</button>', "<a href='/x'>&raquo;</a>", '<a href="/y">\n>\n</a><a id="n"> Next Page </a>', '<button> NEXT </button>', '<a class="next">']
+    urls = ["https://x.example/", "https://x.example/a?page=2", "https://x.example/p/3", None]
+    rows = [(i, urls[i % 4], None if i == 27 else f"<html><body>{link}") for i, link in enumerate(links * 4)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    frame = entry.queries()["pagination_type"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = sorted(map(tuple, frame.collect()), key=repr)
+    assert got == sorted(con.sql(f"select {', '.join(frame.columns)} from ({entry.oracle_sql()['pagination_type']})").fetchall(), key=repr)
+    own = {r[0]: r[2:] for r in got if r[1]}
+    assert len(own) == 28 and own[1] == ("next_button", "a:contains('Next')", None) and own[2][1] == ".b.go-next" and own[4][1] == "#n" and own[6][1] == ".next"
+    assert own[3] == ("none", None, None) and own[21] == ("url_param", None, "guessed_from_url") and own[10][0] == "url_param"

@@ -198,13 +198,25 @@ def nav_ratio(t):
     return dom.parse_pages(flavoured(t)).select("page_id", F.round(dom.nav_ratio(F.col("nodes")), 6).alias("nav_ratio"))
 
 
+LINKS = r"regexp_extract_all(html, '(?i)<(?:a|button)(?:\s[^>]*)?>[^<]*')"
+NEXT_BUTTON = (
+    rf"(SELECT page_id, CASE WHEN id <> '' THEN '#' || id WHEN cls <> '' THEN '.' || regexp_replace(cls, '\s+', '.', 'g') WHEN label = 'next' THEN tag || ':contains(''Next'')' END AS name, i FROM ("
+    rf"SELECT page_id, i, lower(regexp_extract(x, '^<(\w+)', 1)) AS tag, regexp_extract(x, '\sid=\"([^\"]*)\"', 1) AS id, regexp_extract(x, '\sclass=\"\s*([^\"]*?)\s*\"', 1) AS cls, lower(regexp_extract(x, '>\s*([^<]*?)\s*$', 1)) AS label "
+    f"FROM (SELECT page_id, unnest({LINKS}) AS x, generate_subscripts({LINKS}, 1) AS i FROM pages)) WHERE label IN ('next', 'next page', '>', '»', '&gt;', '&raquo;') OR contains(cls, 'next'))"
+)
+
+
 @query(
-    "SELECT page_id, CASE WHEN b IS NOT NULL THEN 'next_button' WHEN page_id % 11 IN (1, 2) THEN 'url_param' ELSE 'none' END AS type, b AS selector, CASE WHEN b IS NULL AND page_id % 11 IN (1, 2) THEN 'guessed_from_url' END AS param "
-    "FROM (SELECT page_id, CASE page_id % 8 WHEN 1 THEN '.pager.next' WHEN 2 THEN '#more' WHEN 3 THEN 'a:contains(''Next'')' END AS b FROM pages)"
+    "WITH p AS (SELECT page_id, true AS given, url, b FROM pages LEFT JOIN (SELECT page_id, arg_min(name, i) AS b FROM " + NEXT_BUTTON + " WHERE name IS NOT NULL GROUP BY 1) USING (page_id) UNION ALL "
+    "SELECT page_id, false, CASE page_id % 11 WHEN 1 THEN '?page=' WHEN 2 THEN '/p/' ELSE '' END, CASE page_id % 8 WHEN 1 THEN '.pager.next' WHEN 2 THEN '#more' WHEN 3 THEN 'a:contains(''Next'')' END FROM pages) "
+    "SELECT page_id, given, CASE WHEN b IS NOT NULL THEN 'next_button' WHEN contains(url, 'page=') OR contains(url, '/p/') THEN 'url_param' ELSE 'none' END AS type, b AS selector, "
+    "CASE WHEN b IS NULL AND (contains(url, 'page=') OR contains(url, '/p/')) THEN 'guessed_from_url' END AS param FROM p"
 )
 def pagination_type(t):
+    """Of each given page by its own url and html, and of each derived one."""
     p = dom.pagination(F.col("nodes"), F.col("url"))
-    return dom.parse_pages(flavoured(t)).select("page_id", p["type"].alias("type"), p["selector"].alias("selector"), p["param"].alias("param"))
+    pages = t("pages").select("page_id", "url", "html", F.lit(True).alias("given")).unionByName(flavoured(t).withColumn("given", F.lit(False)))
+    return dom.parse_pages(pages, ["page_id", "url", "given"]).select("page_id", "given", p["type"].alias("type"), p["selector"].alias("selector"), p["param"].alias("param"))
 
 
 @query(
