@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tests.llm.test_operators import crowd
 
 SF = "/root/testdata/sf0.001"
 SYLLABLES = {"aa": ["th", "ing", "er", "and", "o"], "bb": ["ción", "os", "ñ", "que", "a"]}
@@ -135,3 +136,13 @@ def test_clashing_columns_pass_through(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and out.count() > 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() > 0
+
+
+def test_near_duplicate_stage_compares_only_what_is_left(spark, monkeypatch):
+    compared, dealt = [], corpus_pipeline.minhash.dealt
+    monkeypatch.setattr(corpus_pipeline.minhash, "dealt", lambda d, *a: compared.append(d.count()) or dealt(d, *a))
+    rows = crowd()
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert 0 in kept and 500 < len(kept) < 1000
+    assert len(compared) > 2 and max(compared[1:]) < 0.7 * compared[0]  # unlike texts that share a passage are compared once
