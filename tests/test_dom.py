@@ -3,9 +3,11 @@ import random
 import time
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 import pytest
 
+from webloom.functions import nodes as node_functions
 from webloom.functions.nodes import Matches, compound, parse, parse_with_text, text_of
 from webloom.operators import dom, extract, filters, joins
 
@@ -50,6 +52,15 @@ def test_tree_repair():
     assert nodes[5]["subtree_end"] == 6 and parse(None) is None and parse("") == []
 
 
+def test_pages_are_parsed_slice_by_slice():
+    html = [PAGE, None, "", "<p>" + "x" * 2 * node_functions.HELD] + [PAGE] * (3 * node_functions.HELD // len(PAGE)) + [None] * 3000
+    whole = pa.array(html, pa.string())
+    parts = list(node_functions._node_batches(iter([whole, whole.slice(0, 0), whole.slice(2, 2)])))
+    assert len(parts) > 8 and max(map(len, parts)) <= 1024
+    assert all(len(p) == 1 or sum(len(x or "") for x in html[at : at + len(p)]) <= node_functions.HELD for at, p in zip([sum(map(len, parts[:i])) for i in range(len(parts))], parts) if at < len(html))
+    assert pa.concat_arrays(parts).equals(node_functions._nodes(pa.array(html + html[2:4], pa.string())))
+
+
 def test_selectors(spark):
     parsed = dom.parse_pages(pages(spark, PAGE, None, ""))
     got = {r["page_id"]: r["n"] for r in dom.select_nodes(parsed, "ul > li.trip b, img[src*=\"view\"]").select("page_id", F.size("found").alias("n")).collect()}
