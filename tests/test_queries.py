@@ -42,7 +42,7 @@ def test_pagination_of_given_pages(spark, tmp_path):
     assert own[3] == ("none", None, None) and own[21] == ("url_param", None, "guessed_from_url") and own[10][0] == "url_param"
 
 
-@pytest.mark.parametrize("name", ["listing_collect", "dom_depth", "tree_export", "stable_selectors", "listing_sections", "best_units", "subtree_words", "listing_preview"])
+@pytest.mark.parametrize("name", ["listing_collect", "dom_depth", "tree_export", "stable_selectors", "listing_sections", "best_units", "subtree_words", "listing_preview", "listing_extract"])
 def test_listings_are_held_in_small_parts(spark, monkeypatch, name):
     """All pages come in one batch, which no task may hold as trees at once."""
     sf, parse = SF.replace("0.001", "0.01"), nodes._nodes
